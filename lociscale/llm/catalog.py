@@ -136,16 +136,16 @@ SQL: dict[str, str] = {
     """,
     "op8_line_spread": r"""
         WITH lines AS (
-            SELECT source, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x, ' ')))) AS line FROM documents
+            SELECT source, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM documents
         ), boiler AS (
             SELECT line FROM lines WHERE length(line) >= 16
             GROUP BY line HAVING count(DISTINCT source) >= 8 AND count(DISTINCT text) >= 8
         ), gone AS (SELECT coalesce(list(line), []) AS lines FROM boiler),
         kept AS (
-            SELECT doc_id, text, string_split(text, chr(10)) AS own, list_filter(string_split(text, chr(10)), x -> NOT list_contains(g.lines, trim(x, ' '))) AS rest
+            SELECT doc_id, text, string_split(text, chr(10)) AS own, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(g.lines, trim(x, ' '))) AS rest
             FROM documents, gone g
         ), decided AS (
-            SELECT *, len(list_filter(rest, x -> length(trim(x, ' ')) > 0)) = 0 OR len(rest) = len(own) AS whole FROM kept
+            SELECT *, len(list_filter(rest, lambda x: length(trim(x, ' ')) > 0)) = 0 OR len(rest) = len(own) AS whole FROM kept
         )
         SELECT doc_id, CASE WHEN whole THEN text ELSE array_to_string(rest, chr(10)) END AS text,
             CAST(coalesce(len(own), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN whole THEN 0 ELSE coalesce(len(own) - len(rest), 0) END AS BIGINT) AS n_removed

@@ -54,7 +54,7 @@ def features_of(text: str | None) -> set[str]:
     return own | {f"{w[:n]}*" for w in own for n in BEGINNINGS if len(w) >= n}
 
 
-def fit(texts: list[set[str]], grades: list[int], *, most: int = 1_500, chi: float = 15.0, ridge: float = 0.3, rounds: int = 400) -> OrdinalModel:
+def fit(texts: list[set[str]], grades: list[int], *, most: int = 1_500, chi: float = 12.0, ridge: float = 0.1, rounds: int = 400) -> OrdinalModel:
     """Weights by maximum penalised likelihood, with Adam over all samples at once."""
     y = np.asarray(grades)
     levels = int(y.max()) if len(y) else 0
@@ -129,9 +129,9 @@ def train(docs: DataFrame, graded: DataFrame, *, sample: int = 6_000, text: str
     return fit(texts, grades)
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: OrdinalModel, *, cutoff: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with at_least (chance of each grade or above), severity (expected grade), grade (the
-    likeliest) and toxic (a grade above 0 is likelier than not)."""
+    likeliest) and toxic (the chance of a grade above 0 is at least ``cutoff``)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most`` features
     added = {"at_least": "array<double>", "severity": "double", "grade": "int", "toxic": "boolean"}
@@ -144,7 +144,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text")
         for batch in batches:
             chances = [own.at_least(x) for x in batch.column(batch.schema.get_field_index(source)).to_pylist()]
             edges = [np.array([1.0, *c, 0.0]) for c in chances]
-            values = [chances, [float(sum(c)) for c in chances], [int(np.argmax(e[:-1] - e[1:])) for e in edges], [c[0] >= 0.5 for c in chances]]
+            values = [chances, [float(sum(c)) for c in chances], [int(np.argmax(e[:-1] - e[1:])) for e in edges], [c[0] >= cutoff for c in chances]]
             yield pa.RecordBatch.from_arrays([*batch.columns[: -len(kinds)], *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], names=batch.schema.names)
 
     return plain.mapInArrow(scored, plain.schema)
