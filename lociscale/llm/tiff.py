@@ -355,7 +355,8 @@ def tiff_pages(files: DataFrame, *, content: str = "content") -> DataFrame:
     names = [c for c in files.columns if c != content]
     added = {"page": "int", "width": "int", "height": "int", "samples": "int", "pixels": "binary", "error": "string"}
     plain = replaced(files.select(*[f"`{c}`" for c in names]), **{k: F.lit(None).cast(v) for k, v in added.items()})
-    kept = plain.columns[: -len(added)]
+    outer = plain.columns
+    kept = outer[: -len(added)]
     kinds = [pa.int32()] * 4 + [pa.binary(), pa.string()]
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +373,7 @@ def tiff_pages(files: DataFrame, *, content: str = "content") -> DataFrame:
                     except ValueError as e:
                         page, row = None, (None, None, None, None, None, str(e))
                     if row:
-                        yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array([v], k) for v, k in zip(row, kinds, strict=True)]], names=plain.columns)
+                        yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array([v], k) for v, k in zip(row, kinds, strict=True)]], names=outer)
                     if page is None:
                         break
 
