@@ -1,0 +1 @@
+"""Evaluating per-variant scores on Spark DataFrames."""

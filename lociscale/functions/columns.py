@@ -59,9 +59,9 @@ def affine(x: Column, slope: float, offset: float = 0.0) -> Column:
 
 
 def parse_bool(text: Column, *, strict: bool = False) -> Column:
-    """true/1/yes/y/t and false/0/no/n/f (strict: true and false alone); anything else is null."""
+    """true/1/yes and false/0/no (strict: true and false alone); anything else is null."""
     x = F.lower(F.trim(text.cast("string")))
-    yes, no = (["true"], ["false"]) if strict else (["true", "1", "yes", "y", "t"], ["false", "0", "no", "n", "f"])
+    yes, no = (["true"], ["false"]) if strict else (["true", "1", "yes"], ["false", "0", "no"])
     return F.when(x.isin(yes), True).when(x.isin(no), False)
 
 
@@ -99,7 +99,7 @@ def orient(ref: Column, alt: Column, af_alt: Column, score: Column) -> Column:
         F.when(minor, alt).when(major, ref).alias("minor_allele"),
         F.when(minor, ref).when(major, alt).alias("major_allele"),
         F.least(af_alt, 1 - af_alt).alias("maf"),
-        F.when(minor, "alt_is_minor").when(major, "ref_is_minor").when(af_alt.isNotNull(), "frequency_tie").alias("orientation"),
+        F.when(minor, "alt_minor").when(major, "ref_minor").when(af_alt.isNotNull(), "frequency_tie").alias("orientation"),
         major.alias("flipped"),
         F.when(major, -score).otherwise(score).alias("paper_oriented"),
         F.when(minor, score).when(major, -score).alias("minor_vs_major"),
@@ -131,7 +131,7 @@ def tss_distance(pos: Column, site: Column, strand: Column) -> Column:
 
 
 def gene_context(cds: Column, exon: Column, gene: Column) -> Column:
-    return F.when(cds, "CDS").when(exon, "exon").when(gene, "gene").otherwise("intergenic")
+    return F.when(cds, "coding_cds").when(exon, "exonic_non_cds").when(gene, "other_genic").otherwise("intergenic")
 
 
 def locus_context(cds: Column, exon: Column, gene: Column) -> Column:
@@ -145,6 +145,11 @@ def edge_padded(pos: Column, length: Column, window: int) -> Column:
     return (pos <= half) | (pos > length - (window - half - 1))
 
 
+def left_edge_padded(pos: Column, window: int = 512) -> Column:
+    """The same for the left end alone, where the length of the contig isn't known."""
+    return pos <= window // 2
+
+
 def dosage(genotype: Column) -> Column:
     """ALT copies of a diploid call; null if any allele is missing or not 0 or 1."""
     a = F.split(F.get(F.split(genotype, ":"), F.lit(0)), r"[|/]")
@@ -153,7 +158,7 @@ def dosage(genotype: Column) -> Column:
 
 
 def match_category(found: Column, ref: Column, alt: Column, seen_ref: Column, seen_alt: Column) -> Column:
-    return F.when(~F.coalesce(found, F.lit(False)), "no_record").when(ref != seen_ref, "ref_mismatch").when(alt != seen_alt, "alt_mismatch").otherwise("exact")
+    return F.when(~F.coalesce(found, F.lit(False)), "no_VCF_record_at_position").when(ref != seen_ref, "reference_allele_mismatch").when(alt != seen_alt, "ALT_or_biallelic_definition_mismatch").otherwise("exact_biallelic_match")
 
 
 def shortlist_change(baseline_rank: Column, rank: Column, k: int = 5) -> Column:
@@ -161,7 +166,7 @@ def shortlist_change(baseline_rank: Column, rank: Column, k: int = 5) -> Column:
 
 
 def coverage_status(covered: Column, masked: Column) -> Column:
-    return F.when(masked, "CDS_masked").when(covered, "covered").otherwise("outside_windows")
+    return F.when(covered & ~masked, "covered").when(covered, "CDS_masked").otherwise("outside_windows")
 
 
 def regulatory_window(start: Column, end: Column, strand: Column, *, out: int = 5000, into: int = 1200) -> Column:
@@ -253,14 +258,17 @@ def masked(seq: Column, intervals: Column) -> Column:
     )
 
 
-def oligo_hit(seq: Column, oligo: Column) -> Column:
-    """Struct of strand and 1-based position of the only exact hit on either strand, overlaps counted."""
+def oligo_hit(seq: Column, oligo: Column, *, strict: bool = False) -> Column:
+    """Struct of strand and 1-based start of an oligo that one strand alone holds exactly once (strict:
+    once in all); overlapping hits count. Null otherwise."""
     def hits(probe: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(seq) - F.length(probe) + 1))
         return F.filter(starts, lambda i: F.substring(seq, i, F.length(probe)) == probe)
 
     plus, minus = hits(oligo), hits(reverse_complement_iupac(oligo))
-    return F.when(F.size(plus) + F.size(minus) == 1, F.struct(F.when(F.size(plus) == 1, "+").otherwise("-").alias("strand"), F.coalesce(F.get(plus, F.lit(0)), F.get(minus, F.lit(0))).alias("start")))
+    one, other = F.size(plus) == 1, F.size(minus) == 1
+    ok = F.size(plus) + F.size(minus) == 1 if strict else one != other
+    return F.when(ok, F.struct(F.when(one, "+").otherwise("-").alias("strand"), F.when(one, F.get(plus, F.lit(0))).otherwise(F.get(minus, F.lit(0))).alias("start")))
 
 
 #: Token numbers of bases, of padding, the mask and anything else.

@@ -29,14 +29,14 @@ def key_differences(left: DataFrame, right: DataFrame, key: list[str]) -> DataFr
     return membership(left, right, key).groupBy("status").agg(F.count("*").alias("keys"))
 
 
-def membership(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """Each key with left_rows, right_rows and status: matched, left_only, right_only or duplicate.
+def membership(left: DataFrame, right: DataFrame, key: list[str], names: tuple[str, str, str, str] = ("matched", "left_only", "right_only", "duplicate")) -> DataFrame:
+    """Each key with left_rows, right_rows and a status out of ``names``.
 
     Both sides are counted in one aggregation over their union, so a hot key is summed before it moves.
     """
     both = left.select(*key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*key, F.lit(0).alias("l"), F.lit(1).alias("r")))
     counts = both.groupBy(*key).agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
-    status = F.when((F.col("left_rows") > 1) | (F.col("right_rows") > 1), "duplicate").when(F.col("right_rows") == 0, "left_only").when(F.col("left_rows") == 0, "right_only").otherwise("matched")
+    status = F.when((F.col("left_rows") > 1) | (F.col("right_rows") > 1), names[3]).when(F.col("right_rows") == 0, names[1]).when(F.col("left_rows") == 0, names[2]).otherwise(names[0])
     return counts.withColumn("status", status)
 
 
@@ -113,8 +113,9 @@ def compare_tables(ours: DataFrame, theirs: DataFrame, key: list[str], columns:
 def spaced_exclusion(sites: DataFrame, *, group: str, pos: str, order: str, apart: int) -> DataFrame:
     """``sites`` with ``kept``: in the order given, a site is kept if none kept before it in its group is
     within ``apart``. A fold over the group's ordered sites (loci, not variants)."""
-    item = F.struct(F.col(order).alias("o"), F.col(pos).alias("p"))
-    ordered = sites.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.array().cast("array<long>")
-    kept = F.aggregate("items", empty, lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(y - x["p"].cast("long")) < apart), acc).otherwise(F.concat(acc, F.array(x["p"].cast("long")))))
-    return sites.join(ordered.select(group, kept.alias("__kept")), group).withColumn("kept", F.array_contains("__kept", F.col(pos).cast("long"))).drop("__kept")
+    item = F.struct(F.col(order).alias("o"), F.col(pos).cast("long").alias("p"))
+    ordered = sites.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    empty = F.array().cast("array<struct<o:string,p:bigint>>")
+    kept = F.aggregate("__items", empty, lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(y["p"] - x["p"]) < apart), acc).otherwise(F.concat(acc, F.array(F.struct(x["o"].cast("string").alias("o"), x["p"].alias("p"))))))
+    own = F.struct(F.col(order).cast("string").alias("o"), F.col(pos).cast("long").alias("p"))
+    return sites.join(ordered.select(group, kept.alias("__kept")), group).withColumn("kept", F.array_contains("__kept", own)).drop("__kept")

@@ -13,9 +13,10 @@ from lociscale.plans.lineage import cut
 _R2 = T.StructType([T.StructField("n_complete", T.IntegerType()), T.StructField("r2", T.DoubleType()), T.StructField("status", T.StringType())])
 
 
-def r2_of(a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, float | None, str]:
-    """Of complete pairs (NaN and negative are missing); undefined results are named, not raised."""
-    ok = np.isfinite(a) & np.isfinite(b)
+def r2_of(a: np.ndarray, b: np.ndarray, least: int, lowest: float = -np.inf) -> tuple[int, float | None, str]:
+    """Of complete pairs (NaN and what is below ``lowest`` are missing, so 0 for dosages coded -1 where
+    they are missing); undefined results are named, not raised."""
+    ok = np.isfinite(a) & np.isfinite(b) & (a >= lowest) & (b >= lowest)
     x, y = a[ok], b[ok]
     if len(x) < least:
         return len(x), None, "insufficient_complete_samples"
@@ -29,21 +30,21 @@ def r2_of(a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, float | None,
     return len(x), min(1.0, max(0.0, r2)), "ok"
 
 
-def r2_column(left: Column, right: Column, least: int = 200) -> Column:
+def r2_column(left: Column, right: Column, least: int = 200, lowest: float = float("-inf")) -> Column:
     """Struct of n_complete, r2, status for two array columns, in Arrow batches."""
 
     @F.pandas_udf(_R2)
     def kernel(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([r2_of(np.asarray(x, float), np.asarray(y, float), least) for x, y in zip(a, b, strict=True)], columns=["n_complete", "r2", "status"])
+        return pd.DataFrame([r2_of(np.asarray(x, float), np.asarray(y, float), least, lowest) for x, y in zip(a, b, strict=True)], columns=["n_complete", "r2", "status"])
 
     return kernel(left.cast("array<double>"), right.cast("array<double>"))
 
 
-def pairwise_r2(pairs: DataFrame, vectors: DataFrame, *, key: str, vector: str, least: int = 200) -> DataFrame:
+def pairwise_r2(pairs: DataFrame, vectors: DataFrame, *, key: str, vector: str, least: int = 200, lowest: float = float("-inf")) -> DataFrame:
     """``pairs`` (left_key, right_key, ...) with n_complete, r2, status."""
     a = vectors.select(F.col(key).alias("left_key"), F.col(vector).alias("__a"))
     b = vectors.select(F.col(key).alias("right_key"), F.col(vector).alias("__b"))
-    out = pairs.join(a, "left_key").join(b, "right_key").withColumn("__r", r2_column(F.col("__a"), F.col("__b"), least))
+    out = pairs.join(a, "left_key").join(b, "right_key").withColumn("__r", r2_column(F.col("__a"), F.col("__b"), least, lowest))
     return out.select(*[F.col(c) for c in pairs.columns], "__r.*")
 
 

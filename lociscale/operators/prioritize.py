@@ -81,9 +81,9 @@ def paired_outcomes(rankings: DataFrame, k: int = 5) -> DataFrame:
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:
-    """scope, method, loci, model_hits, baseline_hits, gained, lost, kept, missed."""
+    """scope, method, loci, model_hits, baseline_hits, into_top, out_of_top, stayed_in, stayed_out."""
     m, b = F.col("model_hit"), F.col("baseline_hit")
-    return outcomes.groupBy("scope", "method").agg(F.count("*").alias("loci"), F.count_if(m).alias("model_hits"), F.count_if(b).alias("baseline_hits"), F.count_if(m & ~b).alias("gained"), F.count_if(~m & b).alias("lost"), F.count_if(m & b).alias("kept"), F.count_if(~m & ~b).alias("missed"))
+    return outcomes.groupBy("scope", "method").agg(F.count("*").alias("loci"), F.count_if(m).alias("model_hits"), F.count_if(b).alias("baseline_hits"), F.count_if(m & ~b).alias("into_top"), F.count_if(~m & b).alias("out_of_top"), F.count_if(m & b).alias("stayed_in"), F.count_if(~m & ~b).alias("stayed_out"))
 
 
 def recovery_curve(outcomes: DataFrame, most: int = 20) -> DataFrame:

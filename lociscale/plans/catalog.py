@@ -92,7 +92,7 @@ def arithmetic_invariants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("orient_minor_major", f"""
-    WITH {V} SELECT CASE WHEN af_alt < 0.5 THEN 'alt_is_minor' WHEN af_alt > 0.5 THEN 'ref_is_minor' ELSE 'frequency_tie' END AS orientation, chrom,
+    WITH {V} SELECT CASE WHEN af_alt < 0.5 THEN 'alt_minor' WHEN af_alt > 0.5 THEN 'ref_minor' ELSE 'frequency_tie' END AS orientation, chrom,
         CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN af_alt <> 0.5 THEN 1 END) AS BIGINT) AS oriented,
         round(sum(CASE WHEN af_alt < 0.5 THEN score WHEN af_alt > 0.5 THEN -score END), 2) AS minor_vs_major, round(sum(CASE WHEN af_alt > 0.5 THEN -score ELSE score END), 2) AS paper,
         round(avg(least(af_alt, 1 - af_alt)), 6) AS maf, CAST(count(CASE WHEN CASE WHEN af_alt < 0.5 THEN alt WHEN af_alt > 0.5 THEN ref END = 'A' THEN 1 END) AS BIGINT) AS minor_a
@@ -264,7 +264,7 @@ def interval_lookup(spark: SparkSession, sf: str) -> DataFrame:
     p AS (SELECT s_suppkey, s_suppkey * 37 + 5 AS pos FROM supplier)
     SELECT s_suppkey, pos, coalesce(bool_or(kind = 'CDS'), false) AS in_cds, coalesce(bool_or(kind = 'exon'), false) AS in_exon, coalesce(bool_or(kind = 'gene'), false) AS in_gene,
         coalesce(string_agg(DISTINCT CASE WHEN kind = 'gene' THEN name END, '|' ORDER BY CASE WHEN kind = 'gene' THEN name END), '') AS genes,
-        CASE WHEN bool_or(kind = 'CDS') THEN 'CDS' WHEN bool_or(kind = 'exon') THEN 'exon' WHEN bool_or(kind = 'gene') THEN 'gene' ELSE 'intergenic' END AS context
+        CASE WHEN bool_or(kind = 'CDS') THEN 'coding_cds' WHEN bool_or(kind = 'exon') THEN 'exonic_non_cds' WHEN bool_or(kind = 'gene') THEN 'other_genic' ELSE 'intergenic' END AS context
     FROM p LEFT JOIN f ON pos BETWEEN s AND e GROUP BY 1, 2""")
 def feature_overlap(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
@@ -634,7 +634,7 @@ def paired_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("outcome_summary", f"""WITH {OUTCOMES} SELECT scope, method, CAST(count(*) AS BIGINT) AS loci, CAST(count(*) FILTER (WHERE model_hit) AS BIGINT) AS model_hits, CAST(count(*) FILTER (WHERE baseline_hit) AS BIGINT) AS baseline_hits,
-    CAST(count(*) FILTER (WHERE model_hit AND NOT baseline_hit) AS BIGINT) AS gained, CAST(count(*) FILTER (WHERE NOT model_hit AND baseline_hit) AS BIGINT) AS lost, CAST(count(*) FILTER (WHERE model_hit AND baseline_hit) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE NOT model_hit AND NOT baseline_hit) AS BIGINT) AS missed FROM outcomes GROUP BY 1, 2""")
+    CAST(count(*) FILTER (WHERE model_hit AND NOT baseline_hit) AS BIGINT) AS into_top, CAST(count(*) FILTER (WHERE NOT model_hit AND baseline_hit) AS BIGINT) AS out_of_top, CAST(count(*) FILTER (WHERE model_hit AND baseline_hit) AS BIGINT) AS stayed_in, CAST(count(*) FILTER (WHERE NOT model_hit AND NOT baseline_hit) AS BIGINT) AS stayed_out FROM outcomes GROUP BY 1, 2""")
 def outcome_summary(spark: SparkSession, sf: str) -> DataFrame:
     return prioritize.outcome_summary(prioritize.paired_outcomes(_scopes(spark, sf)))
 
