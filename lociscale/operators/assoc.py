@@ -20,13 +20,15 @@ def imputed(df: DataFrame, vector: str, out: str = "standardized") -> DataFrame:
     """``df`` with each row's vector mean-imputed and standardised (divisor n); rows whose called values
     are constant or missing get null, for a contract to report."""
     called = F.filter(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
-    n = F.size(called)
-    mean = F.try_divide(F.aggregate(called, F.lit(0.0), lambda a, x: a + x), n)
-    size = F.size(vector)
-    square = F.aggregate(called, F.lit(0.0), lambda a, x: a + (x - F.col("__mean")) * (x - F.col("__mean")))
-    rows = df.withColumn("__mean", mean).withColumn("__sd", F.sqrt(F.try_divide(square, size)))
-    value = F.transform(vector, lambda x: F.when(x.isNull() | F.isnan(x.cast("double")), 0.0).otherwise((x - F.col("__mean")) / F.col("__sd")))
-    return rows.withColumn(out, F.when(F.col("__sd") > 0, value)).drop("__mean", "__sd")
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  evaluates ``value`` once a row
+
+    def scaled(mean):
+        sd = F.sqrt(F.try_divide(add(F.transform(called, lambda x: (x - mean) * (x - mean))), F.size(vector)))
+        values = lambda sd: F.transform(vector, lambda x: F.when(x.isNull() | F.isnan(x.cast("double")), 0.0).otherwise((x - mean) / sd))
+        return once(sd, lambda sd: F.when(sd > 0, values(sd)))
+
+    return df.withColumn(out, once(F.try_divide(add(called), F.size(called)), scaled))
 
 
 def kinship(df: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:
@@ -148,7 +150,7 @@ def mixed_model(y: np.ndarray, genotypes: np.ndarray, kin: np.ndarray) -> tuple[
     return beta, se, p, delta
 
 
-def association_scan(genotypes: DataFrame, phenotypes: DataFrame, kin: DataFrame, *, locus: str = "gene", variant: str = "variant_id", vector: str = "dosages", samples_most: int = 20_000) -> DataFrame:
+def association_scan(genotypes: DataFrame, phenotypes: DataFrame, kin: DataFrame, *, locus: str = "gene", variant: str = "variant_id", vector: str = "dosages", samples_most: int = 3_000) -> DataFrame:
     """locus, variant, beta, se, p, delta: a scan of each locus's variants against its phenotype vector
     (``phenotypes``: locus, values), given kinship entries (i, j, k) over the same samples.
 
@@ -158,8 +160,8 @@ def association_scan(genotypes: DataFrame, phenotypes: DataFrame, kin: DataFrame
     if n is None or n >= samples_most:
         raise ValueError(f"kinship of {n} samples; the kernel holds {samples_most}")
     matrix = np.zeros((n + 1, n + 1))
-    for r in kin.select("i", "j", "k").toLocalIterator():
-        matrix[r["i"], r["j"]] = r["k"]
+    entries = kin.select("i", "j", "k").toPandas()
+    matrix[entries["i"], entries["j"]] = entries["k"]
     shared = genotypes.sparkSession.sparkContext.broadcast(matrix)
 
     def scan(key: tuple, g: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
