@@ -54,29 +54,42 @@ def features_of(text: str | None) -> set[str]:
     return own | {f"{w[:n]}*" for w in own for n in BEGINNINGS if len(w) >= n}
 
 
-def fit(texts: list[set[str]], grades: list[int], *, most: int = 1_500, chi: float = 12.0, ridge: float = 0.1, rounds: int = 400) -> OrdinalModel:
-    """Weights by maximum penalised likelihood, with Adam over all samples at once."""
-    y = np.asarray(grades)
-    levels = int(y.max()) if len(y) else 0
-    if levels == 0:
-        return OrdinalModel({}, [50.0])
+def chi_square(up: float, seen: float, m: float, n: float) -> float:
+    """Of a feature that ``seen`` of n samples have, ``up`` of them among the m graded above 0; negative
+    where it speaks for grade 0."""
+    num = up * (n - m - seen + up) - (m - up) * (seen - up)
+    return float(np.sign(num) * n * num * num / max(seen * (n - seen) * m * (n - m), 1e-9))
+
+
+def kept_features(counts: list[tuple[str, int, int]], m: int, n: int, most: int, chi: float) -> list[str]:
+    """Of (feature, samples, samples graded above 0) those that pass the test, the surest first."""
+    scored = sorted((-c, f) for f, seen, up in counts if up >= 3 and (c := chi_square(up, seen, m, n)) >= chi)
+    return [f for _, f in scored[:most]]
+
+
+def fit(texts: list[set[str]], grades: list[int], *, most: int = 1_500, chi: float = 12.0) -> OrdinalModel:
+    """A model of texts by their feature sets."""
     seen, up = Counter(), Counter()
     for own, g in zip(texts, grades, strict=True):
         seen.update(own)
         if g:
             up.update(own)
-    n, m = len(y), int((y > 0).sum())
-    scored = []
-    for f, b in seen.items():
-        a = up[f]
-        if a >= 3:
-            num = a * (n - m - b + a) - (m - a) * (b - a)
-            scored.append((n * num * num / (b * (n - b + 1e-9) * m * (n - m + 1e-9)), f, num))
-    kept = [f for c, f, num in sorted(scored, key=lambda x: (-x[0], x[1])) if c >= chi and num > 0][:most]
+    kept = kept_features([(f, n, up[f]) for f, n in seen.items()], sum(g > 0 for g in grades), len(grades), most, chi)
     at = {f: i for i, f in enumerate(kept)}
+    return fit_weights(kept, [[at[f] for f in own & at.keys()] for own in texts], grades)
+
+
+def fit_weights(kept: list[str], rows: list[list[int]], grades: list[int], *, ridge: float = 0.1, rounds: int = 400) -> OrdinalModel:
+    """Weights by maximum penalised likelihood, with Adam over all samples at once; ``rows`` holds each
+    sample's features by their place in ``kept``."""
+    y = np.asarray(grades, dtype=int)
+    levels = int(y.max()) if len(y) else 0
+    if levels == 0:
+        return OrdinalModel({}, [50.0])
+    n = len(y)
     x = np.zeros((n, len(kept)), dtype=np.float32)
-    for i, own in enumerate(texts):
-        x[i, [at[f] for f in own & at.keys()]] = 1
+    for i, own in enumerate(rows):
+        x[i, own] = 1
     share = np.array([(y >= k).mean() for k in range(1, levels + 1)]).clip(1e-4, 1 - 1e-4)
     theta, w = -np.log(share / (1 - share)), np.zeros(len(kept))
     moments = [np.zeros(len(w) + levels) for _ in range(2)]
@@ -100,9 +113,9 @@ def fit(texts: list[set[str]], grades: list[int], *, most: int = 1_500, chi: flo
     return OrdinalModel(dict(zip(kept, map(float, w), strict=True)), [float(t) for t in theta])
 
 
-def train(docs: DataFrame, graded: DataFrame, *, sample: int = 6_000, text: str = "text", key: str = "doc_id") -> OrdinalModel:
+def train(docs: DataFrame, graded: DataFrame, *, sample: int = 5_000, most: int = 1_500, chi: float = 12.0, text: str = "text", key: str = "doc_id") -> OrdinalModel:
     """Fit on rows of ``graded`` (doc_id, grade) joined to their texts; ``sample`` bounds how many are
-    drawn, by a hash of the key."""
+    drawn, by a hash of the key; ``most`` bounds the features."""
     small_batches(docs.sparkSession)
     rows = graded.where("grade IS NOT NULL AND doc_id IS NOT NULL")
     n = rows.count()
@@ -116,17 +129,21 @@ def train(docs: DataFrame, graded: DataFrame, *, sample: int = 6_000, text: str
 
     sampled = joined.select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
     got = cut(sampled.mapInArrow(found, "doc_id long, grade int, features array<string>"))  # bounded by the sample
-    # a feature of few graded samples can't pass the test; only the others go to the driver
-    known = {r[0] for r in got.where("grade > 0").select(F.explode("features").alias("f")).groupBy("f").count().where("count >= 3").collect()}
-
-    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m, n = got.agg(F.count_if(F.col("grade") > 0), F.count("*")).first()
+    counts = got.select(F.explode("features").alias("f"), (F.col("grade") > 0).alias("up")).groupBy("f").agg(F.count("*").alias("seen"), F.count_if("up").alias("up"))
+    num = F.col("up") * (n - m - F.col("seen") + F.col("up")) - (m - F.col("up")) * (F.col("seen") - F.col("up"))
+    sure = F.lit(float(n)) * num * num / F.greatest(F.col("seen") * (n - F.col("seen")) * F.lit(float(m * (n - m))), F.lit(1e-9))
+    top = counts.where((F.col("up") >= 3) & (num > 0)).orderBy(F.desc(sure), "f").limit(2 * most)
+    kept = kept_features([tuple(r) for r in top.collect()], m, n, most, chi)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(kept)}
         for batch in batches:
-            own = [sorted(known.intersection(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], names=["grade", "features"])
+            own = [[at[f] for f in x if f in at] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["grade", "at"])
 
-    small = got.orderBy("doc_id", "grade").select("grade", "features").mapInArrow(reduced, "grade int, features array<string>").collect()
-    texts, grades = [set(r["features"]) for r in small], [r["grade"] for r in small]
-    return fit(texts, grades)
+    small = got.orderBy("doc_id", "grade").select("grade", "features").mapInArrow(numbered, "grade int, at array<int>").collect()
+    return fit_weights(kept, [r["at"] for r in small], [r["grade"] for r in small])
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, *, cutoff: float = 0.5, text: str = "text") -> DataFrame:
