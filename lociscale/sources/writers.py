@@ -22,9 +22,10 @@ def table_digest(df: DataFrame) -> dict:
 
 
 def write_table(df: DataFrame, path: str, *, digits: int = 17, partition_by: list[str] | None = None) -> dict:
-    """Tab-separated with a header; doubles with ``digits`` significant digits. Fails if ``path`` exists;
-    files appear only when the job commits."""
-    text = [F.format_string(f"%.{digits}g", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    """Tab-separated with a header; doubles with ``digits`` significant digits (17: the shortest text that
+    reads back as the same double). Fails if ``path`` exists; files appear only when the job commits."""
+    shown = lambda c: F.col(c).cast("string") if digits >= 17 else F.format_string(f"%.{digits}g", c)
+    text = [shown(c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
     flat = [F.array_join(F.col(c), "|").alias(c) if t == "array<string>" else x for (c, t), x in zip(df.dtypes, text, strict=True)]
     df.select(*flat).write.mode("errorifexists").options(sep="\t", header=True, emptyValue="").csv(path)
     return table_digest(df)
