@@ -32,15 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of linked documents: the one that names the class."""
-    rows = docs.select(*COLUMNS)
-    classes = forest.similarity_classes(rows)
-    names = classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("doc_id")).distinct()
-    kept = rows.where("doc_id IS NOT NULL").join(names, "doc_id", "left_semi")
-    again = F.xxhash64("doc_id", "text")
-    unkeyed = rows.where("doc_id IS NULL")
-    del again
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(unkeyed)
+    """Keeps one document of each class of linked documents: the one of the least doc_id."""
+    return forest.one_of_each(docs.select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ compared. A pair is handled only in the first tree in which it meets, so links a
 
 Node members are compared in blocks of bounded size (a hot node becomes many pairs of blocks), and what
 comes back is one row a member: links counted, and the root of its links inside the block pair. Pairs of
-documents are never emitted. Signatures only rule pairs out (four standard errors under the threshold);
-every link is verified on the whole shingle sets, by 64-bit hashes.
+documents are never emitted. Signatures only rule pairs out (five standard errors under the threshold);
+every link is verified on the whole shingle sets, by 64-bit hashes. At the threshold itself a link is missed
+with a chance under one in a hundred thousand, above it with less.
 
 Defined cases: a null text has no shingles and no links, and is a class by itself; texts without words are
 copies of each other; short texts are compared like others; repeated rows are copies; a class is named by
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 
 from lociscale.llm.common import cut, small_batches, streamed_groups
 
-TREES, DEPTH = 16, 8
+TREES, DEPTH = 32, 6
 WORDS = 5
 #: Members of a node that are compared with each other, or with as many others, at a time.
-BLOCK = 400
+BLOCK = 256
 #: Sets with a partner up to which their keys are broadcast to find their texts (some 50 bytes each).
 BROADCAST_SETS = 200_000
 
@@ -79,12 +80,12 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH MinHash values."""
+    """TREES * DEPTH MinHash values, of each its lower 16 bits."""
     low = (shingles >> np.uint64(16)).astype(np.uint32)
     out = np.full(TREES * DEPTH, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(low), 2048):
         np.minimum(out, (low[None, i : i + 2048] * _A[:, None] + _B[:, None]).min(axis=1), out=out)
-    return out
+    return (out & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,21 +99,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 own = shingler(text)
                 sids.append(hashlib.md5(own.tobytes()).digest())
-                signatures.append(signature(own).astype(">u4").tobytes())
+                signatures.append(signature(own).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "body", "sid", "signature"])
 
 
 def _active(threshold: float, depth: int):
-    least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The members of each pair of blocks that may have a link there."""
-        names = ["node", "tree", "one", "two", "block", "sid"]
-        for (node, tree, one, two), rows in streamed_groups(batches, names[:4], 1 << 40):
-            sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=">u4").astype(np.uint32).reshape(-1, TREES * DEPTH)
+        names = ["node", "one", "two", "block", "id"]
+        for (node, one, two), rows in streamed_groups(batches, names[:3], 1 << 40):
+            sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, TREES * DEPTH)
             block = rows.column("block").to_numpy()
             hit = np.zeros(len(sig), dtype=bool)
-            for i, _, js in meeting(sig, block, one != two, tree, depth, least):
+            for i, js in meeting(sig, block, one != two, node % TREES, depth, least):
                 hit[i] = True
                 hit[js] = True
             if hit.any():
@@ -122,20 +123,19 @@ def _active(threshold: float, depth: int):
     return active
 
 
-def meeting(sig: np.ndarray, block: np.ndarray, across: bool, tree: int, depth: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each member, the estimates and indices of later ones that it may be linked to and that it
-    meets here first: within a block, or across two."""
+def meeting(sig: np.ndarray, block: np.ndarray, across: bool, tree: int, depth: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member, the indices of later ones that it may be linked to and that it meets here first:
+    within a block, or across two."""
     prefixes = sig.reshape(len(sig), TREES, DEPTH)[:, :tree, :depth]
     for i in range(len(sig) - 1):
-        alike = (sig[i + 1 :] == sig[i]).mean(axis=1)
-        keep = alike >= least
+        keep = (sig[i + 1 :] == sig[i]).mean(axis=1) >= least
         if across:
             keep &= block[i + 1 :] != block[i]
         js = np.flatnonzero(keep) + i + 1
         if tree and len(js):
             js = js[~(prefixes[js] == prefixes[i]).all(axis=2).any(axis=1)]
         if len(js):
-            yield i, alike[js - i - 1], js
+            yield i, js
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -149,16 +149,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(threshold: float, depth: int):
-    least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a member of each pair of blocks: its links there, and the least member linked to it."""
-        for (_, tree, one, two), rows in streamed_groups(batches, ["node", "tree", "one", "two"], 1 << 40):
-            sids = rows.column("sid").to_pylist()
+        for (node, one, two), rows in streamed_groups(batches, ["node", "one", "two"], 1 << 40):
+            ids = rows.column("id").to_pylist()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
             copies = rows.column("copies").to_pylist()
             sig = np.stack([signature(x) for x in sets])
-            links, texts, root = [0] * len(sids), [0] * len(sids), list(range(len(sids)))
+            links, texts, root = [0] * len(ids), [0] * len(ids), list(range(len(ids)))
 
             def find(i: int, root: list[int] = root) -> int:
                 while root[i] != i:
@@ -166,7 +166,7 @@ def _verified(threshold: float, depth: int):
                     i = root[i]
                 return i
 
-            for i, _, js in meeting(sig, rows.column("block").to_numpy(), one != two, tree, depth, least):
+            for i, js in meeting(sig, rows.column("block").to_numpy(), one != two, node % TREES, depth, least):
                 for j in js:
                     a, b = sets[i], sets[j]
                     if min(len(a), len(b)) >= threshold * max(len(a), len(b)) and jaccard(a, b) >= threshold:
@@ -174,12 +174,12 @@ def _verified(threshold: float, depth: int):
                         links[j] += copies[i]
                         texts[i] += 1
                         texts[j] += 1
-                        x, y = sorted((find(i), find(j)), key=lambda k: sids[k])
+                        x, y = sorted((find(i), find(j)), key=lambda k: ids[k])
                         root[y] = x
-            out = [(sids[i], sids[find(i)], links[i], texts[i]) for i in range(len(sids)) if texts[i]]
+            out = [(ids[i], ids[find(i)], links[i], texts[i]) for i in range(len(ids)) if texts[i]]
             if out:
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["sid", "root", "links", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4, strict=True)], names=["id", "root", "links", "texts"])
 
     return verified
 
@@ -188,7 +188,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         own = [shingler(x).tobytes() for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.binary())], names=["sid", "copies", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.binary())], names=["id", "copies", "shingles"])
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -213,45 +213,76 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not settled after {most} rounds")
 
 
-def similarity_classes(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.999, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, class_id (linked documents share it), n_links (other documents at
-    ``threshold`` or above, copies included) and n_texts (different shingle sets among those)."""
+def _linked(docs: DataFrame, threshold: float, recall: float, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, body, sid) of all documents, and for each shingle set sid: class_id, pick (the row that
+    stands for its class), copies, links and texts."""
     spark = docs.sparkSession
     small_batches(spark)
     depth = prefix_depth(threshold, recall)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     rows = cut(slim.mapInArrow(_signed, "doc_id long, body long, sid binary, signature binary"))
-    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "body")).alias("pick"), F.min("doc_id").alias("least"), F.max("signature").alias("signature"))
-    sets = cut(sets)
-    # nodes of all trees, by hash of tree and prefix; only those that sets share go on
-    label = lambda t: F.xxhash64(t, F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * depth)))
-    nodes = sets.select("sid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), label)).alias("tree", "node"))
-    shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
-    members = nodes.join(shared, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    pick = F.struct(F.col("doc_id").isNull().alias("unkeyed"), "doc_id", "body")
+    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(pick).alias("pick"), F.max("signature").alias("signature"))
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))  # fixed once it is written
+    # nodes of all trees, by hash of tree and prefix with the tree's number in place of the last digit;
+    # only those that sets share go on
+    prefix = lambda t: F.substring(F.col("signature"), t * (2 * DEPTH) + 1, F.lit(2 * depth))
+    node = lambda t: F.floor(F.xxhash64(t, prefix(t)) / (2 * TREES)).cast("long") * TREES + t
+    nodes = sets.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), node)).alias("node"))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
+    members = nodes.join(shared, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("node", "tree", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "sid")
-    group = ["node", "tree", "one", "two"]
-    signed = dealt.join(sets.select("sid", "signature"), "sid").repartition(*group).sortWithinPartitions(*group)
-    active = cut(signed.mapInArrow(_active(threshold, depth), "node long, tree int, one int, two int, block int, sid binary"))
-    wanted = active.select("sid").distinct().join(sets.select("sid", "copies", "pick.doc_id", "pick.body"), "sid")
-    wanted = cut(wanted)
+    dealt = other.select("node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id")
+    group = ["node", "one", "two"]
+    signed = dealt.join(sets.select("id", "signature"), "id").repartition(*group).sortWithinPartitions(*group)
+    active = cut(signed.mapInArrow(_active(threshold, depth), "node long, one int, two int, block int, id long"))
+    wanted = cut(active.select("id").distinct().join(sets.select("id", "copies", "pick.doc_id", "pick.body"), "id"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
     a, b = slim.alias("a"), side.alias("b")
-    picked = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.body") == F.col("b.body"))).select("a.text", "b.sid", "b.copies")
-    shingled = picked.mapInArrow(_shingled, "sid binary, copies long, shingles binary").dropDuplicates(["sid"])
-    compared = active.join(shingled, "sid").repartition(*group).sortWithinPartitions(*group)
-    found = cut(compared.mapInArrow(_verified(threshold, depth), "sid binary, root binary, links long, texts long"))
-    roots = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("sid").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    named = sets.select("sid", "copies", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(counts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    linked = named.where("texts IS NOT NULL")
-    least = linked.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = linked.join(least, "root").select("sid", "class_id", "copies", "links", "texts").unionByName(
-        named.where("texts IS NULL").select("sid", F.col("least").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("texts"))
+    picked = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.body") == F.col("b.body"))).select("a.text", "b.id", "b.copies")
+    shingled = picked.mapInArrow(_shingled, "id long, copies long, shingles binary").dropDuplicates(["id"])
+    compared = active.join(shingled, "id").repartition(*group).sortWithinPartitions(*group)
+    found = cut(compared.mapInArrow(_verified(threshold, depth), "id long, root long, links long, texts long"))
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    linked = counts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(sets.select("id", "pick"), "id")
+    heads = linked.groupBy("root").agg(F.min("pick").alias("head"))
+    joined = cut(linked.join(heads, "root").select("id", "head", "links", "texts"))
+    none = F.lit(0).cast("long")
+    classes = sets.select("sid", "id", "copies", "pick").join(joined, "id", "left").select(
+        "sid", F.coalesce("head", "pick").alias("pick"), "copies", F.coalesce("links", none).alias("links"), F.coalesce("texts", none).alias("texts")
     )
-    out = rows.select("doc_id", "sid").join(classes, "sid", "left")
+    return rows.select("doc_id", "body", "sid"), classes
+
+
+def similarity_classes(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.99999, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row a document: doc_id, class_id (linked documents share it), n_links (other documents at
+    ``threshold`` or above, copies included) and n_texts (different shingle sets among those)."""
+    rows, classes = _linked(docs, threshold, recall, text, key)
+    out = rows.join(classes, "sid", "left")
     null = F.col("sid").isNull()
     return out.select(
-        "doc_id", F.when(null, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", F.when(null, F.col("doc_id")).otherwise(F.col("pick.doc_id")).alias("class_id"),
         F.when(null, 0).otherwise(F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"), F.when(null, 0).otherwise(F.col("texts")).cast("long").alias("n_texts"),
     )
+
+
+def one_of_each(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.99999, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id. Rows without a text all stay.
+
+    What leaves is joined to the documents, not what stays: it is the smaller side. Only where rows of one
+    key and text repeat, those alone are gathered to keep one.
+    """
+    rows, classes = _linked(docs, threshold, recall, text, key)
+    own = (F.col("doc_id").eqNullSafe(F.col("pick.doc_id"))) & (F.col("body") == F.col("pick.body"))
+    placed = rows.join(classes.select("sid", "pick"), "sid").select("doc_id", "body", own.alias("stays"))
+    tally = cut(placed.groupBy("doc_id", "body", "stays").agg(F.count("*").alias("n")).where("NOT stays OR n > 1"))
+    side = tally.select(F.col("doc_id").alias("__d"), F.col("body").alias("__b"), F.col("stays").alias("__again"))
+    side = F.broadcast(side) if tally.count() <= BROADCAST_SETS else side
+    body = F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))
+    met = docs.withColumn("__body", body).join(side, F.col(key).cast("long").eqNullSafe(F.col("__d")) & (F.col("__body") == F.col("__b")), "left")
+    names = [f"`{c}`" for c in docs.columns]
+    alone = met.where("__again IS NULL").select(*names)
+    if not tally.where("stays").limit(1).count():
+        return alone
+    return alone.unionByName(met.where("__again").dropDuplicates(["__d", "__b"]).select(*names))

@@ -82,9 +82,9 @@ def test_hot_copies_and_empty_table(spark):
 
 def test_depth_meets_the_target():
     for t in (0.8, 0.85, 0.9):
-        d = forest.prefix_depth(t, 0.999)
-        assert 1 - (1 - t**d) ** forest.TREES >= 0.999
-        assert d == forest.DEPTH or 1 - (1 - t ** (d + 1)) ** forest.TREES < 0.999
+        d = forest.prefix_depth(t, 0.99999)
+        assert 1 - (1 - t**d) ** forest.TREES >= 0.99999
+        assert d == forest.DEPTH or 1 - (1 - t ** (d + 1)) ** forest.TREES < 0.99999
 
 
 def test_signatures_estimate_similarity():
@@ -95,6 +95,32 @@ def test_signatures_estimate_similarity():
 
 
 def test_components_of_chains(spark):
-    pairs = [(bytes([0, i]), bytes([0, i + 1])) for i in range(60)] + [(b"x", b"y"), (b"y", b"x"), (b"z", b"z")]
-    found = {bytes(r.node): bytes(r.root) for r in forest.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
-    assert all(found[bytes([0, i])] == b"\0\0" for i in range(1, 61)) and found[b"y"] == b"x" and b"z" not in found
+    pairs = [(i, i + 1) for i in range(60)] + [(101, 100), (100, 101), (300, 300)]
+    found = {r.node: r.root for r in forest.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(found[i] == 0 for i in range(1, 61)) and found[101] == 100 and 300 not in found
+
+
+def test_one_row_of_each_class_stays(spark):
+    rows = corpus(40, 10, 3) + [(5000, None), (5001, None), (None, "alone without any key at all"), (None, "alone without any key at all"), (None, "some keyed text of six words"), (70, "some keyed text of six words")]
+    rows += rows[:5] * 3 + [(7, "another text under a key that is taken already")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA)
+    found = [(r.doc_id, r.text) for r in forest.one_of_each(df).collect()]
+    assert forest.one_of_each(df).columns == df.columns
+    assert [r for r in found if r[1] is None].__len__() == 2
+    texts = [r for r in rows if r[1] is not None]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [shingles(t) for _, t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(texts):
+        least.setdefault(find(i), []).append(doc)
+    assert sorted((r[0] for r in found if r[1] is not None), key=str) == sorted((min((d for d in v if d is not None), default=None) for v in least.values()), key=str)
