@@ -8,6 +8,19 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The labels that results carry, and the limits of frequency classes.
+ORIENTATIONS = ("alt_minor", "ref_minor", "frequency_tie")
+FREQUENCY_CLASSES = ("rare", "low_frequency", "common")
+FREQUENCY_LIMITS = (0.01, 0.05)
+GENE_CONTEXTS = ("coding_cds", "exonic_non_cds", "other_genic", "intergenic")
+LOCUS_CONTEXTS = ("CDS", "exon_nonCDS", "genic", "intergenic")
+MATCHES = ("exact_biallelic_match", "no_VCF_record_at_position", "reference_allele_mismatch", "ALT_or_biallelic_definition_mismatch")
+SHORTLIST = ("entered", "left", "retained", "outside")
+COVERAGE = ("covered", "CDS_masked", "outside_windows")
+TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
+BASES, COMPLEMENTS = "ACGTN", "TGCAN"
+IUPAC, IUPAC_COMPLEMENTS = "ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"
+
 # --- numbers -------------------------------------------------------------------------------------
 
 
@@ -61,8 +74,8 @@ def affine(x: Column, slope: float, offset: float = 0.0) -> Column:
 def parse_bool(text: Column, *, strict: bool = False) -> Column:
     """true/1/yes and false/0/no (strict: true and false alone); anything else is null."""
     x = F.lower(F.trim(text.cast("string")))
-    yes, no = (["true"], ["false"]) if strict else (["true", "1", "yes"], ["false", "0", "no"])
-    return F.when(x.isin(yes), True).when(x.isin(no), False)
+    yes, no = (TRUE_WORDS[:1], FALSE_WORDS[:1]) if strict else (TRUE_WORDS, FALSE_WORDS)
+    return F.when(x.isin(*yes), True).when(x.isin(*no), False)
 
 
 # --- variants ------------------------------------------------------------------------------------
@@ -99,7 +112,7 @@ def orient(ref: Column, alt: Column, af_alt: Column, score: Column) -> Column:
         F.when(minor, alt).when(major, ref).alias("minor_allele"),
         F.when(minor, ref).when(major, alt).alias("major_allele"),
         F.least(af_alt, 1 - af_alt).alias("maf"),
-        F.when(minor, "alt_minor").when(major, "ref_minor").when(af_alt.isNotNull(), "frequency_tie").alias("orientation"),
+        F.when(minor, ORIENTATIONS[0]).when(major, ORIENTATIONS[1]).when(af_alt.isNotNull(), ORIENTATIONS[2]).alias("orientation"),
         major.alias("flipped"),
         F.when(major, -score).otherwise(score).alias("paper_oriented"),
         F.when(minor, score).when(major, -score).alias("minor_vs_major"),
@@ -107,7 +120,7 @@ def orient(ref: Column, alt: Column, af_alt: Column, score: Column) -> Column:
 
 
 def frequency_class(maf: Column) -> Column:
-    return F.when(maf < 0.01, "rare").when(maf < 0.05, "low_frequency").when(maf.isNotNull(), "common")
+    return F.when(maf < FREQUENCY_LIMITS[0], FREQUENCY_CLASSES[0]).when(maf < FREQUENCY_LIMITS[1], FREQUENCY_CLASSES[1]).when(maf.isNotNull(), FREQUENCY_CLASSES[2])
 
 
 def substitution_class(ref: Column, alt: Column) -> Column:
@@ -131,12 +144,12 @@ def tss_distance(pos: Column, site: Column, strand: Column) -> Column:
 
 
 def gene_context(cds: Column, exon: Column, gene: Column) -> Column:
-    return F.when(cds, "coding_cds").when(exon, "exonic_non_cds").when(gene, "other_genic").otherwise("intergenic")
+    return F.when(cds, GENE_CONTEXTS[0]).when(exon, GENE_CONTEXTS[1]).when(gene, GENE_CONTEXTS[2]).otherwise(GENE_CONTEXTS[3])
 
 
 def locus_context(cds: Column, exon: Column, gene: Column) -> Column:
     """The second vocabulary, in which exons outside the coding sequence are named for that."""
-    return F.when(cds, "CDS").when(exon, "exon_nonCDS").when(gene, "genic").otherwise("intergenic")
+    return F.when(cds, LOCUS_CONTEXTS[0]).when(exon, LOCUS_CONTEXTS[1]).when(gene, LOCUS_CONTEXTS[2]).otherwise(LOCUS_CONTEXTS[3])
 
 
 def edge_padded(pos: Column, length: Column, window: int) -> Column:
@@ -158,15 +171,15 @@ def dosage(genotype: Column) -> Column:
 
 
 def match_category(found: Column, ref: Column, alt: Column, seen_ref: Column, seen_alt: Column) -> Column:
-    return F.when(~F.coalesce(found, F.lit(False)), "no_VCF_record_at_position").when(ref != seen_ref, "reference_allele_mismatch").when(alt != seen_alt, "ALT_or_biallelic_definition_mismatch").otherwise("exact_biallelic_match")
+    return F.when(~F.coalesce(found, F.lit(False)), MATCHES[1]).when(ref != seen_ref, MATCHES[2]).when(alt != seen_alt, MATCHES[3]).otherwise(MATCHES[0])
 
 
 def shortlist_change(baseline_rank: Column, rank: Column, k: int = 5) -> Column:
-    return F.when((rank <= k) & (baseline_rank <= k), "retained").when(rank <= k, "entered").when(baseline_rank <= k, "left").otherwise("outside")
+    return F.when((rank <= k) & (baseline_rank <= k), SHORTLIST[2]).when(rank <= k, SHORTLIST[0]).when(baseline_rank <= k, SHORTLIST[1]).otherwise(SHORTLIST[3])
 
 
 def coverage_status(covered: Column, masked: Column) -> Column:
-    return F.when(covered & ~masked, "covered").when(covered, "CDS_masked").otherwise("outside_windows")
+    return F.when(covered & ~masked, COVERAGE[0]).when(covered, COVERAGE[1]).otherwise(COVERAGE[2])
 
 
 def regulatory_window(start: Column, end: Column, strand: Column, *, out: int = 5000, into: int = 1200) -> Column:
@@ -210,12 +223,12 @@ def cache_key(sequence: Column, spec: Mapping[str, object]) -> Column:
 
 def reverse_complement(seq: Column) -> Column:
     """Of A, C, G, T and N, in upper case."""
-    return F.translate(F.reverse(F.upper(seq)), "ACGTN", "TGCAN")
+    return F.translate(F.reverse(F.upper(seq)), BASES, COMPLEMENTS)
 
 
 def reverse_complement_iupac(seq: Column) -> Column:
     """Of upper-case IUPAC codes; characters beyond those stay."""
-    return F.translate(F.reverse(seq), "ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN")
+    return F.translate(F.reverse(seq), IUPAC, IUPAC_COMPLEMENTS)
 
 
 def padded_context(seq: Column, pos: Column, window: int, target: int) -> Column:

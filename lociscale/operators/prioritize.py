@@ -13,11 +13,17 @@ from lociscale.functions.columns import distance_decay, filled
 from lociscale.operators.ranks import percentile_rank
 
 
+#: Weights of a ranking's parts, the scale of distances, and the least group that is ranked.
+ASSOCIATION, LINKAGE = 0.9, 0.1
+BASELINE, DISTANCE, CONSERVATION, NONCODING = 0.8, 0.1, 0.05, 0.05
+MODEL, SCALE, LEAST_GROUP, TOP = 0.2, 2000.0, 6, 5
+
+
 @dataclass(frozen=True)
 class Rule:
     """How model scores enter a ranking: their weight, and whether by magnitude, sign or its reverse."""
 
-    weight: float = 0.2
+    weight: float = MODEL
     form: str = "magnitude"
 
     def term(self, score: Column) -> Column:
@@ -33,9 +39,9 @@ def rank_candidates(df: DataFrame, score: str | None = None, *, by: list[str] |
     by = by or ["gene"]
     p = lambda c: percentile_rank(c, by)
     out = df.withColumn("association", p(F.col("discovery_neglogp")))
-    out = out.withColumn("baseline", 0.9 * F.col("association") + 0.1 * filled(F.col("ld_r2_lead")))
-    bonus = F.when(F.col("context") != "CDS", 0.05).otherwise(0.0)
-    out = out.withColumn("annotated", 0.8 * F.col("baseline") + 0.1 * distance_decay(F.col("tss_distance")) + 0.05 * p(filled(F.col("phylop"))) + bonus)
+    out = out.withColumn("baseline", ASSOCIATION * F.col("association") + LINKAGE * filled(F.col("ld_r2_lead")))
+    bonus = F.when(F.col("context") != "CDS", NONCODING).otherwise(0.0)
+    out = out.withColumn("annotated", BASELINE * F.col("baseline") + DISTANCE * distance_decay(F.col("tss_distance"), SCALE) + CONSERVATION * p(filled(F.col("phylop"))) + bonus)
     if score is None:
         out = out.withColumn("priority", F.col("annotated"))
     else:
@@ -52,7 +58,7 @@ def held_out_targets(df: DataFrame, threshold: float = 0.05) -> DataFrame:
     return own.select("gene", F.col("m.v").alias("target"), F.col("m.p").alias("target_p"), "full_candidates", (F.col("m.p") < threshold / F.col("full_candidates")).alias("replicated"))
 
 
-def scoped_rankings(df: DataFrame, methods: dict[str, str], scopes: dict[str, Iterable[str]], *, least: int = 6, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+def scoped_rankings(df: DataFrame, methods: dict[str, str], scopes: dict[str, Iterable[str]], *, least: int = LEAST_GROUP, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """scope, method, gene, variant_id, rank, baseline_rank, target: in each scope the rows with scores of
     all its models; groups of fewer than ``least`` are left out, the baseline is ranked anew."""
     targets = held_out_targets(df).select("gene", "target")
@@ -74,7 +80,7 @@ def scoped_rankings(df: DataFrame, methods: dict[str, str], scopes: dict[str, It
     return out.join(targets, "gene").withColumn("target", F.col("variant_id") == F.col("target"))
 
 
-def paired_outcomes(rankings: DataFrame, k: int = 5) -> DataFrame:
+def paired_outcomes(rankings: DataFrame, k: int = TOP) -> DataFrame:
     """scope, method, gene, block, target ranks and hits where the target is in the scope."""
     hit = rankings.where("target")
     return hit.select("scope", "method", "gene", "block", "variant_id", F.col("rank").alias("target_rank"), F.col("baseline_rank").alias("target_baseline_rank"), (F.col("rank") <= k).alias("model_hit"), (F.col("baseline_rank") <= k).alias("baseline_hit"), "candidates")
