@@ -31,7 +31,8 @@ class Rule:
 
 
 def rank_candidates(df: DataFrame, score: str | None = None, *, by: list[str] | None = None, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """``df`` with association, baseline, annotated, priority and rank (priority down, then variant_id).
+    """``df`` with association, baseline, annotated, priority, rank (priority down, then variant_id) and
+    baseline_rank (the same without the model).
 
     Percentiles are inside the rows given, so a subset has to be ranked anew. Candidates of a locus are
     few; the windows run over one locus each.
@@ -46,7 +47,8 @@ def rank_candidates(df: DataFrame, score: str | None = None, *, by: list[str] |
         out = out.withColumn("priority", F.col("annotated"))
     else:
         out = out.withColumn("priority", (1 - rule.weight) * F.col("annotated") + rule.weight * p(rule.term(F.col(score))))
-    return out.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.round("priority", 12)), "variant_id")))
+    place = lambda c: F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.round(c, 12)), "variant_id"))
+    return out.withColumns({"rank": place("priority"), "baseline_rank": place("annotated")})
 
 
 def held_out_targets(df: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -60,23 +62,21 @@ def held_out_targets(df: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 def scoped_rankings(df: DataFrame, methods: dict[str, str], scopes: dict[str, Iterable[str]], *, least: int = LEAST_GROUP, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """scope, method, gene, variant_id, rank, baseline_rank, target: in each scope the rows with scores of
-    all its models; groups of fewer than ``least`` are left out, the baseline is ranked anew."""
+    all its models; groups of fewer than ``least`` are left out, the baseline is ranked anew. All scopes
+    and methods are ranked in one exchange by scope, method and gene."""
     targets = held_out_targets(df).select("gene", "target")
-    parts = []
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c))
+    items = []
     for scope, needed in scopes.items():
-        rows = df
+        whole = F.lit(True)
         for c in needed:
-            rows = rows.where(F.col(c).isNotNull() & ~F.isnan(F.col(c)))
-        rows = rows.withColumn("__n", F.count("*").over(W.partitionBy("gene"))).where(F.col("__n") >= least)
-        base = rank_candidates(rows).select("gene", "variant_id", F.col("rank").alias("baseline_rank"))
-        for method, column in methods.items():
-            if column not in needed:
-                continue
-            own = rank_candidates(rows, column, rule=rule).select("gene", "block", "variant_id", "rank", F.col("__n").alias("candidates"))
-            parts.append(own.join(base, ["gene", "variant_id"]).select(F.lit(scope).alias("scope"), F.lit(method).alias("method"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            whole = whole & there(c)
+        items += [F.when(whole, F.struct(F.lit(scope).alias("scope"), F.lit(method).alias("method"), F.col(c).alias("score"))) for method, c in methods.items() if c in needed]
+    by = ["scope", "method", "gene"]
+    rows = df.withColumn("__i", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull()))).select("*", "__i.*")
+    rows = rows.withColumn("candidates", F.count("*").over(W.partitionBy(*by))).where(F.col("candidates") >= least)
+    ranked = rank_candidates(rows, "score", by=by, rule=rule)
+    out = ranked.select("scope", "method", "gene", "block", "variant_id", "rank", "baseline_rank", "candidates")
     return out.join(targets, "gene").withColumn("target", F.col("variant_id") == F.col("target"))
 
 

@@ -36,6 +36,17 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, out: s
     return df.join(ranks, [*by, value], "left")
 
 
+def rank_pairs(df: DataFrame, x: str, y: str, by: list[str] | None = None, out: tuple[str, str] = ("rx", "ry")) -> DataFrame:
+    """``df`` with the ranks of two columns, each from counts of its own; the rows are read for both
+    counts and once more to be joined, and don't pass through one ranking to get to the other."""
+    by = by or []
+    ranked = df
+    for value, name in ((x, out[0]), (y, out[1])):
+        own = value_ranks(df.select(*by, value), value, by).select(*by, value, F.col("rank").alias(name))
+        ranked = ranked.join(own, [*by, value], "left")
+    return ranked
+
+
 def group_average_rank(value: Column, by: list[Column | str]) -> Column:
     """The same as a window expression, for groups that fit in one task (candidates of a locus)."""
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociscale.functions.columns import hash_draw
-from lociscale.operators.ranks import average_ranks
+from lociscale.operators.ranks import rank_pairs
 from lociscale.operators.stats import complete, moment_corr, safe_corr
 
 
@@ -39,7 +39,7 @@ def cluster_bootstrap(df: DataFrame, x: str, y: str, *, stratum: str, cluster: s
     """
     rows = complete(df, x, y).select(F.col(stratum).alias("s"), F.col(cluster).alias("c"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if ranked:
-        rows = average_ranks(average_ranks(rows, "x", [], "rx"), "y", [], "ry").select("s", "c", F.col("rx").alias("x"), F.col("ry").alias("y"))
+        rows = rank_pairs(rows, "x", "y").select("s", "c", F.col("rx").alias("x"), F.col("ry").alias("y"))
     sums = rows.groupBy("s", "c").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
     own = W.partitionBy("s")
     indexed = sums.withColumn("i", F.row_number().over(own.orderBy("c")) - 1).withColumn("m", F.count("*").over(own))
@@ -71,7 +71,7 @@ def stratified_permutation(df: DataFrame, x: str, y: str, *, stratum: str, key:
     p = (extreme + 1) / (replicates + 1), two-sided; values that are equal to 12 digits count as extreme.
     """
     rows = complete(df, x, y)
-    ranked = average_ranks(average_ranks(rows, x, [], "rx"), y, [], "ry").select(F.col(stratum).alias("s"), F.col(key).alias("k"), "rx", "ry")
+    ranked = rank_pairs(rows, x, y).select(F.col(stratum).alias("s"), F.col(key).alias("k"), "rx", "ry")
     observed = ranked.agg(safe_corr(F.col("rx"), F.col("ry")).alias("observed"))
     many = ranked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     left = many.select("replicate", "s", "rx", F.row_number().over(W.partitionBy("replicate", "s").orderBy("k")).alias("i"))

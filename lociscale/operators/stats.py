@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociscale.operators.ranks import average_ranks, value_ranks
+from lociscale.operators.ranks import rank_pairs, value_ranks
 
 
 def summary_columns(x: Column) -> list[Column]:
@@ -40,7 +40,7 @@ def correlations(df: DataFrame, x: str, y: str, by: list[str] | None = None) ->
     """by, method, n, estimate for pearson and spearman, ranks taken inside each group's complete pairs."""
     by = by or []
     rows = complete(df, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranked = average_ranks(average_ranks(rows, "x", by, "rx"), "y", by, "ry")
+    ranked = rank_pairs(rows, "x", "y", by)
     both = ranked.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("pearson"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
     return both.select(*by, "n", F.expr("stack(2, 'pearson', pearson, 'spearman', spearman) AS (method, estimate)"))
 
