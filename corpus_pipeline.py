@@ -6,14 +6,13 @@ Every stage works on all rows of its predecessor. All but the last return the co
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociscale.llm import forest, langid, linespread, mixing, packing
-from lociscale.llm.common import table
+from lociscale.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,14 +57,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return posixpath.join(shared or tempfile.gettempdir(), f"corpus-pipeline-{uuid.uuid4().hex}")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), _folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), posixpath.join(shared_folder(spark), f"corpus-pipeline-{uuid.uuid4().hex}")
     for i, (name, stage) in enumerate(STAGES):
         out = posixpath.join(folder, f"{i}-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,19 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and end its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir. Only a
+    session without one (tests, a laptop) gets a temporary folder, which is right in local mode alone."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
 
-    The folder is the one that the session names in spark.checkpoint.dir. Only a session without
-    one (tests, a laptop) gets a temporary folder, which is right in local mode alone.
-    """
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lociscale-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and end its lineage there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lociscale-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch of whole texts holds; long texts make the default too large."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

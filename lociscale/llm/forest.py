@@ -9,9 +9,9 @@ compared. A pair is handled only in the first tree in which it meets, so links a
 
 Node members are compared in blocks of bounded size (a hot node becomes many pairs of blocks), and what
 comes back is one row a member: links counted, and the root of its links inside the block pair. Pairs of
-documents are never emitted. Signatures only rule pairs out (five standard errors under the threshold);
+documents are never emitted. Signatures only rule pairs out (six standard errors under the threshold);
 every link is verified on the whole shingle sets, by 64-bit hashes. At the threshold itself a link is missed
-with a chance under one in a hundred thousand, above it with less.
+with a chance of about one in ten million, above it with less.
 
 Defined cases: a null text has no shingles and no links, and is a class by itself; texts without words are
 copies of each other; short texts are compared like others; repeated rows are copies; a class is named by
@@ -58,7 +58,7 @@ class Shingler:
         self.known: dict[str, int] = {}
 
     def _hash(self, word: str) -> int:
-        if len(self.known) > 500_000:  # a memo of hashes
+        if len(self.known) > 200_000:  # a memo of hashes
             self.known.clear()
         value = self.known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
@@ -104,7 +104,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _active(threshold: float, depth: int):
-    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+    least = threshold - 6 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The members of each pair of blocks that may have a link there."""
@@ -149,7 +149,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(threshold: float, depth: int):
-    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+    least = threshold - 6 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a member of each pair of blocks: its links there, and the least member linked to it."""
@@ -255,7 +255,7 @@ def _linked(docs: DataFrame, threshold: float, recall: float, text: str, key: st
     return rows.select("doc_id", "body", "sid"), classes
 
 
-def similarity_classes(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.99999, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similarity_classes(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999999, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, class_id (linked documents share it), n_links (other documents at
     ``threshold`` or above, copies included) and n_texts (different shingle sets among those)."""
     rows, classes = _linked(docs, threshold, recall, text, key)
@@ -267,7 +267,7 @@ def similarity_classes(docs: DataFrame, *, threshold: float = 0.8, recall: float
     )
 
 
-def one_of_each(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.99999, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999999, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id. Rows without a text all stay.
 
     What leaves is joined to the documents, not what stays: it is the smaller side. Only where rows of one
