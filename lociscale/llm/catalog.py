@@ -44,7 +44,7 @@ def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = labels.select("doc_id", toxicity.severity(F.col("toxic"), F.col("quality")).alias("grade"))
     model = toxicity.train(docs, graded)
     scored = toxicity.score_toxicity(docs, model)
-    return scored.select("doc_id", "severity", "grade", "toxic", "at_least")
+    return scored.select("doc_id", "toxic", "severity", F.get("at_least", F.lit(0)).alias("p_toxic"), "grade")
 
 
 def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
