@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociscale.functions import columns as C
-from lociscale.operators import assoc, contracts, joins, ld, prioritize, ranks, resample, stats
+from lociscale.operators import assoc, contracts, joins, ld, prioritize, ranks, reports, resample, stats
 from lociscale.plans.standins import CANDIDATES_SQL, VARIANTS_SQL, candidates, table, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -664,3 +664,118 @@ def paired_recovery(spark: SparkSession, sf: str) -> DataFrame:
 @query("rank_audit", f"""WITH {OUTCOMES} SELECT r.scope, r.method, r.gene, CAST(count(*) AS BIGINT) AS n, min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AS ranks_ok, count(DISTINCT variant_id) = count(*) AS ids_ok, count(*) FILTER (WHERE variant_id = target) = 1 AS target_ok FROM rankings r JOIN target USING (gene) GROUP BY 1, 2, 3""")
 def rank_audit(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.rank_audit(_scopes(spark, sf))
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+@query("lead_variant", f"WITH {K} SELECT gene, min_by(variant_id, ROW(heldout_p, variant_id)) AS lead, min(heldout_p) AS p FROM candidates GROUP BY 1")
+def lead_variant(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.lead_variant(candidates(spark, sf), ["gene"], "heldout_p", "variant_id")
+
+
+@query("longest_pick", "SELECT p_brand, min_by(p_partkey, ROW(-length(p_name), p_partkey)) AS pick, CAST(max(length(p_name)) AS INTEGER) AS length FROM part GROUP BY 1")
+def longest_pick(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.longest(table(spark, sf, "part"), ["p_brand"], F.length("p_name"), "p_partkey")
+
+
+@query("carrier_eligibility", """
+    WITH c AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS r, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'O') AS a FROM lineitem GROUP BY 1)
+    SELECT l_suppkey, CAST(r AS BIGINT) AS ref_carriers, CAST(a AS BIGINT) AS alt_carriers, r >= 100 AND a >= 100 AS eligible FROM c""")
+def carrier_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    one = F.when(F.col("l_returnflag") == "A", "0").when(F.col("l_returnflag") == "R", "1").otherwise(".")
+    d = table(spark, sf, "lineitem").select("l_suppkey", C.dosage(F.concat(one, F.lit("|"), F.when(F.col("l_linestatus") == "F", "0").otherwise("1"))).alias("d"))
+    return reports.carriers(d, ["l_suppkey"], F.col("d"), 100)
+
+
+@query("member_counts", "SELECT word AS member, CAST(count(*) AS BIGINT) AS rows FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part) GROUP BY 1")
+def member_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.member_counts(table(spark, sf, "part").select(F.split("p_name", " ").alias("m")), "m")
+
+
+@query("score_concordance", f"""WITH {K}, f AS (SELECT gene, 'raw' AS form, model_a AS x, model_b AS y FROM candidates UNION ALL SELECT gene, 'absolute', abs(model_a), abs(model_b) FROM candidates),
+    s AS (SELECT gene AS scope, form, x, y FROM f UNION ALL SELECT 'all', form, x, y FROM f), {_corr_sql('s', 'scope, form', 'x', 'y')}""")
+def score_concordance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.concordance(candidates(spark, sf), "model_a", "model_b", "gene"))
+
+
+@query("key_sets", """
+    WITH u AS (SELECT c_custkey AS k, 'customer' AS t FROM customer UNION ALL SELECT o_custkey, 'orders' FROM orders UNION ALL SELECT user_id, 'events' FROM events),
+    g AS (SELECT k, string_agg(DISTINCT t, ',' ORDER BY t) AS present FROM u GROUP BY 1) SELECT present, CAST(count(*) AS BIGINT) AS keys FROM g GROUP BY 1""")
+def key_sets(spark: SparkSession, sf: str) -> DataFrame:
+    k = lambda name, column: table(spark, sf, name).select(F.col(column).alias("k"))
+    return reports.key_sets({"customer": k("customer", "c_custkey"), "orders": k("orders", "o_custkey"), "events": k("events", "user_id")}, ["k"])
+
+
+@query("genotype_groups", """
+    WITH d AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 END + CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS dosage, l_extendedprice AS v FROM lineitem)
+    SELECT CAST(dosage AS INTEGER) AS dosage, CAST(count(v) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75 FROM d WHERE dosage IS NOT NULL GROUP BY 1""")
+def genotype_groups(spark: SparkSession, sf: str) -> DataFrame:
+    one = F.when(F.col("l_returnflag") == "A", "0").when(F.col("l_returnflag") == "R", "1").otherwise(".")
+    d = table(spark, sf, "lineitem").select(C.dosage(F.concat(one, F.lit("|"), F.when(F.col("l_linestatus") == "F", "0").otherwise("1"))).alias("dosage"), "l_extendedprice")
+    return rounded(reports.genotype_groups(d, "dosage", "l_extendedprice"))
+
+
+@query("panel_table", """
+    SELECT 'A' AS panel, o_orderstatus, NULL AS o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 2
+    UNION ALL SELECT 'B', NULL, o_orderpriority, CAST(count(*) AS BIGINT), NULL FROM orders WHERE o_orderstatus = 'F' GROUP BY 3""")
+def panel_table(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    a = o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean"))
+    return reports.panels({"A": a, "B": o.where("o_orderstatus = 'F'").groupBy("o_orderpriority").agg(F.count("*").alias("n"))})
+
+
+@query("capped_selection", """
+    WITH RECURSIVE o AS (SELECT c_nationkey AS g, c_custkey * 17 % 5003 AS pos, sha256('sel|' || c_custkey) AS h, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('sel|' || c_custkey)) AS i FROM customer),
+    w AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, '' AS h, CAST(NULL AS BIGINT) AS pos, '' AS status FROM (SELECT DISTINCT g FROM o) UNION ALL
+        SELECT o.g, o.i, CASE WHEN len(kept) < 8 AND len(list_filter(kept, lambda v: abs(v - o.pos) < 400)) = 0 THEN list_append(kept, o.pos) ELSE kept END, o.h, o.pos,
+            CASE WHEN len(kept) >= 8 THEN 'block_full' WHEN len(list_filter(kept, lambda v: abs(v - o.pos) < 400)) > 0 THEN 'overlapping_window' ELSE 'selected' END FROM w JOIN o ON o.g = w.g AND o.i = w.i + 1)
+    SELECT g AS c_nationkey, h, pos, status FROM w WHERE i > 0""")
+def capped_selection(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_nationkey", C.hash_rank("sel", F.col("c_custkey")).alias("h"), (F.col("c_custkey") * 17 % 5003).alias("pos"))
+    return reports.capped_selection(c, group="c_nationkey", pos="pos", order="h", apart=400, cap=8)
+
+
+@query("direction_agreement", f"WITH {K} SELECT CAST(count(*) FILTER (WHERE sign(model_a) <> 0 AND sign(model_b) <> 0) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE sign(model_a) = sign(model_b) AND sign(model_a) <> 0) AS BIGINT) AS agreeing FROM candidates")
+def direction_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return prioritize.direction_agreement(candidates(spark, sf), "model_a", "model_b")
+
+
+@query("reference_report", f"""
+    WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {SEQ} AS seq FROM benchmark), v AS (SELECT CAST(l_suppkey % 60 AS VARCHAR) AS chrom, l_linenumber * 40 - 40 AS pos, substr('ACGT', CAST(l_partkey % 4 AS INTEGER) + 1, 1) AS ref FROM lineitem WHERE l_orderkey % 50 = 0),
+    o AS (SELECT v.chrom || ':' || pos || ':' || ref AS site, CASE WHEN seq IS NULL THEN 'mapping' WHEN pos < 1 OR pos > length(seq) THEN 'out_of_bounds' WHEN substr(seq, pos, 1) = ref THEN 'match' ELSE 'mismatch' END AS outcome FROM v LEFT JOIN s USING (chrom))
+    SELECT outcome, CAST(count(*) AS BIGINT) AS rows, array_to_string(list_sort(list(site))[1:20], ';') AS examples FROM o GROUP BY 1""")
+def reference_report(spark: SparkSession, sf: str) -> DataFrame:
+    bases = F.array(*[F.lit(b) for b in "ACGT"])
+    text = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACGT]", "N")
+    s = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), text.alias("seq"))
+    v = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 60).cast("string").alias("chrom"), (F.col("l_linenumber") * 40 - 40).alias("pos"), F.get(bases, (F.col("l_partkey") % 4).cast("int")).alias("ref"))
+    return contracts.reference_report(v, s).withColumn("examples", F.array_join("examples", ";"))
+
+
+@query("locus_screen", """
+    WITH n AS (SELECT c_nationkey AS k, count(*) AS c, min(c_acctbal) AS lo, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS m FROM customer GROUP BY 1)
+    SELECT k, CASE WHEN k % 7 = 0 THEN 'overlapping_window' WHEN c % 12 < 6 THEN 'too_few_common_snps' WHEN k % 5 = 1 THEN 'expression_nonfinite' WHEN lo IS NULL THEN 'invalid_association' WHEN m % 3 = 0 THEN 'no_discovery_cis_signal' WHEN m < 6 THEN 'fewer_than_six_linked' ELSE 'selected' END AS status FROM n""")
+def locus_screen(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("c"), F.min("c_acctbal").alias("lo"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("m"))
+    k = F.col("k")
+    flags = n.withColumns({"overlapping": k % 7 == 0, "common_snps": F.col("c") % 12, "expression_finite": k % 5 != 1, "association_valid": F.col("lo").isNotNull(), "cis_signal": F.col("m") % 3 != 0, "linked_snps": F.col("m")})
+    return flags.select("k", prioritize.locus_screen(flags).alias("status"))
+
+
+@query("lead_r2", """
+    WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), l AS (SELECT label, min_by(v, vec_id) AS lead FROM e GROUP BY 1),
+    p AS (SELECT label, vec_id, unnest(v) AS x, unnest(lead) AS y FROM e JOIN l USING (label)) SELECT label, vec_id, round(corr(x, y) * corr(x, y), 6) AS r2 FROM p GROUP BY 1, 2""")
+def lead_r2(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(ld.lead_r2(e, e.groupBy("label").agg(F.min_by("v", "vec_id").alias("lead")), by="label", key="vec_id", vector="v"))
+
+
+@query("worked_locus", f"WITH {K}, s AS (SELECT * FROM candidates WHERE model_b IS NOT NULL), {_rank_sql('s', 'r', 'model_b')} SELECT gene, variant_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND gene = (SELECT min(gene) FROM r)")
+def worked_locus(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.worked_locus(prioritize.rank_candidates(candidates(spark, sf).where("model_b IS NOT NULL"), "model_b")).select("gene", "variant_id", "rank")
+
+
+@query("normal_scores")
+def normal_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.normal_scores(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_acctbal", ["s_nationkey"])

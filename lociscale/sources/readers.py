@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import io
 import json
 import re
@@ -143,6 +145,13 @@ def vcf_genotypes(spark: SparkSession, path: str, keys: DataFrame | None = None)
     return long.select("chrom", "pos", "ref", "alt", F.col("c.sample").alias("sample"), F.col("c.gt").alias("gt"))
 
 
+def embedded(spark: SparkSession, payload: str) -> DataFrame:
+    """A small table from a base64 text of gzipped tab-separated lines, for where no file can be read."""
+    lines = gzip.decompress(base64.b64decode(payload)).decode().splitlines()
+    names, *rows = [x.split("\t") for x in lines if x]
+    return spark.createDataFrame([[v or None for v in r] for r in rows], ", ".join(f"`{n}` string" for n in names))
+
+
 def json_document(spark: SparkSession, path: str) -> dict:
     """One JSON file, such as a protocol or a completion marker."""
     return json.loads(spark.read.text(path, wholetext=True).first()[0])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,6 +139,16 @@ def withheld(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict]:
     return df.drop(*columns), {"columns": columns, **table_digest(df.select(*columns))}
 
 
+def write_zip(folder: str, path: str) -> None:
+    """An archive that depends on names and contents alone: sorted, with one fixed date."""
+    root = Path(folder)
+    with zipfile.ZipFile(path, "x", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(x for x in root.rglob("*") if x.is_file()):
+            entry = zipfile.ZipInfo(p.relative_to(root).as_posix(), (1980, 1, 1, 0, 0, 0))
+            entry.compress_type = zipfile.ZIP_DEFLATED
+            z.writestr(entry, p.read_bytes())
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A table of at most ``most`` rows as text."""
     rows = df.limit(most).collect()

@@ -148,3 +148,16 @@ def test_streams(spark, tmp_path):
     batch = spark.read.schema(scores.SCHEMA).options(sep="\t", header=True).csv(str(folder))
     expected = {r.selection_hash for r in bottom_k(batch, 7, "ns", "chrom", "pos", "ref", "alt").collect()}
     assert {r.selection_hash for r in spark.read.parquet(str(tmp_path / "k/batch=1")).collect()} == expected
+
+
+def test_embedded_tables_and_stable_archives(spark, tmp_path):
+    import base64
+
+    payload = base64.b64encode(gzip.compress(b"chrom\tpos\n1\t5\n2\t\n")).decode()
+    assert [tuple(r) for r in readers.embedded(spark, payload).collect()] == [("1", "5"), ("2", None)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/b").write_text("x")
+    writers.write_zip(str(tmp_path / "d"), str(tmp_path / "1.zip"))
+    (tmp_path / "d/b").touch()
+    writers.write_zip(str(tmp_path / "d"), str(tmp_path / "2.zip"))
+    assert (tmp_path / "1.zip").read_bytes() == (tmp_path / "2.zip").read_bytes()
