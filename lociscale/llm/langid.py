@@ -29,6 +29,8 @@ from lociscale.llm.common import replaced, small_batches, uniform
 ORDERS = (5, 4, 3, 2, 1)
 TOKEN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Scores of unseen words that a task remembers.
+MEMO = 200_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -55,22 +57,31 @@ class BackoffModel:
                     raw[index[g], at[lang]] = n
             total = raw.sum(axis=0, keepdims=True)
             self.index[order], self.logs[order] = index, np.log((raw + 0.5) / (total + 0.5 * (len(index) + 1)))
-        self._unseen: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memo of scored unseen words: their rows in a table that grows to MEMO rows."""
+        self._rows: dict[str, int] = {}
+        self._scores = np.zeros((1024, len(self.langs)))
 
     def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word that is not known."""
-        if (found := self._unseen.get(word)) is not None:
-            return found
-        out = np.zeros(len(self.langs))
+        """Scores of a word that is not known: of its longest n-grams that are."""
         for n in ORDERS:
             index = self.index[n]
             if rows := [i for g in grams(word, n) if (i := index.get(g)) is not None]:
-                out = self.logs[n][rows].mean(axis=0)
-                break
-        if len(self._unseen) >= 200_000:  # a memo, not a cap: a word that is gone is scored anew
-            self._unseen.clear()
-        self._unseen[word] = out
-        return out
+                return self.logs[n][rows].mean(axis=0)
+        return np.zeros(len(self.langs))
+
+    def _unseen_total(self, words: list[str]) -> np.ndarray:
+        if len(self._rows) > MEMO:  # a word that is gone is scored anew
+            self._forget()
+        for word in {w for w in words if w not in self._rows}:
+            at = len(self._rows)
+            if at == len(self._scores):
+                self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+            self._scores[at] = self.unseen(word)
+            self._rows[word] = at
+        return self._scores[[self._rows[w] for w in words]].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         tokens = TOKEN.findall(text.lower()) if text else []
@@ -79,8 +90,8 @@ class BackoffModel:
         at = np.fromiter(map(self.index[0].get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
         known = at >= 0
         score = self.logs[0][at[known]].sum(axis=0)
-        for i in np.flatnonzero(~known):
-            score = score + self.unseen(tokens[i])
+        if not known.all():
+            score = score + self._unseen_total([tokens[i] for i in np.flatnonzero(~known)])
         score = (score - score.max()) / np.sqrt(len(tokens))
         chances = np.exp(score)
         best = int(np.argmax(score))
