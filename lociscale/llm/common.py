@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: for wide rows of which later passes read few
+    columns. It stays until the folder is cleaned."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lociscale-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch of whole texts holds; long texts make the default too large."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

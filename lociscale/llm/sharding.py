@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut
+from lociscale.llm.common import cut, stored
 
 LEVELS = ("__h", "__t", "__m")
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -127,7 +127,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, tolerance: float = 0.00
         *[F.col(f"`{c}`") for c in kept], (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("__size"),
         F.coalesce(F.crc32(body), F.lit(0)).alias("__crc"), *[v.alias(k) for v, k in zip(levels, LEVELS, strict=True)],
     )
-    rows = cut(slim)
+    # the passes below read sizes and levels alone; whole documents are kept in columns for that
+    rows = cut(slim) if {c.lower() for c in kept} <= {key.lower()} else stored(slim)
     splitters = find_splitters(rows, shards, tolerance, probes)
     shard = sum((F.when(at_or_above(k), 1).otherwise(0) for k in splitters), F.lit(0))
     n = rows.count()
