@@ -198,6 +198,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     flip = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, before = cut(flip), None
+    parts = max(8, now.count() // 500_000)  # a round's result never has more edges: few files for few edges
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -205,7 +206,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small, "a")
-        now = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        now = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct().coalesce(parts))
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
