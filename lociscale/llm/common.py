@@ -52,6 +52,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spread(df: DataFrame, mb_per_core: int = 8) -> DataFrame:
+    """``df``, dealt evenly to all cores if it is under ``mb_per_core`` a core as Spark estimates it: a small
+    file is one split however costly its rows are. Larger inputs have splits enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * mb_per_core << 20 else df
+
+
 def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with ``columns`` at its end, in place of any that have those names already."""
     taken = {c.lower() for c in columns}

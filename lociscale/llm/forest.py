@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut, small_batches, streamed_groups
+from lociscale.llm.common import cut, small_batches, spread, streamed_groups
 
 TREES, DEPTH = 32, 6
 WORDS = 5
@@ -221,7 +221,7 @@ def _linked(docs: DataFrame, threshold: float, recall: float, text: str, key: st
     small_batches(spark)
     depth = prefix_depth(threshold, recall)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
-    rows = cut(slim.mapInArrow(_signed, "doc_id long, body long, sid binary, signature binary"))
+    rows = cut(spread(slim).mapInArrow(_signed, "doc_id long, body long, sid binary, signature binary"))
     pick = F.struct(F.col("doc_id").isNull().alias("unkeyed"), "doc_id", "body")
     sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(pick).alias("pick"), F.max("signature").alias("signature"))
     sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))  # fixed once it is written

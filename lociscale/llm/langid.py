@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import replaced, small_batches, uniform
+from lociscale.llm.common import replaced, small_batches, spread, uniform
 
 ORDERS = (5, 4, 3, 2, 1)
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -137,7 +137,7 @@ def train(docs: DataFrame, *, docs_per_lang: int = 2_000, words_per_lang: int =
         return BackoffModel({}, {})
     limits = F.create_map(*[x for k, n in prior.items() for x in (F.lit(k), F.lit(int(min(1.0, docs_per_lang / n) * (1 << 40))))])
     sample = rows.where(uniform(F.col("key"), seed=10) < F.element_at(limits, F.col("lang"))).select("lang", "text")
-    seen = sample.mapInArrow(_counts, "lang string, n int, gram string, seen long").groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
+    seen = spread(sample).mapInArrow(_counts, "lang string, n int, gram string, seen long").groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
     rank = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("seen"), "gram"))
     kept = seen.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
     counts: dict[int, dict[str, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: BackoffModel, *, text: str = "text") -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by train()'s parameters
-    plain = replaced(docs, lang_pred=F.lit(None).cast("string"), score=F.lit(None).cast("double"))
+    plain = replaced(spread(docs), lang_pred=F.lit(None).cast("string"), score=F.lit(None).cast("double"))
     at = [c.lower() for c in docs.columns].index(text.lower())
     source = docs.columns[at]
 

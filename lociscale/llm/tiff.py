@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import replaced, small_batches
+from lociscale.llm.common import replaced, small_batches, spread
 
 #: Fixed values of the format: tags, field sizes, compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -345,7 +345,7 @@ def store_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
             found = list(zip(*map(text_features, batch.column(1).to_pylist()), strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(found, kinds, strict=True)]], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stored, schema)
+    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(stored, schema)
 
 
 def tiff_pages(files: DataFrame, *, content: str = "content") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut, replaced, small_batches, uniform
+from lociscale.llm.common import cut, replaced, small_batches, spread, uniform
 
 TOKEN = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
@@ -152,7 +152,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, cutoff: float = 0.5,
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most`` features
     added = {"at_least": "array<double>", "severity": "double", "grade": "int", "toxic": "boolean"}
-    plain = replaced(docs, **{k: F.lit(None).cast(v) for k, v in added.items()})
+    plain = replaced(spread(docs), **{k: F.lit(None).cast(v) for k, v in added.items()})
     source = next(c for c in docs.columns if c.lower() == text.lower())
     kinds = [pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.bool_()]
 
