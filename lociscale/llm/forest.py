@@ -201,7 +201,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     parts = max(8, now.count() // 500_000)  # a round's result never has more edges: few files for few edges
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # materialised, so that the join below shuffles both sides itself and can split a hub's edges
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(parts))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
