@@ -187,29 +187,75 @@ def principal_components(df: DataFrame, vector: str, key: str, k: int) -> DataFr
     return out.select(key, F.posexplode(vector_to_array("p")).alias("component", "value")).withColumn("component", F.col("component") + 1)
 
 
-def neighbour_sets(df: DataFrame, vector: str, key: str, k: int = 15, most: int = 50_000) -> DataFrame:
+def neighbour_sets(df: DataFrame, vector: str, key: str, k: int = 15, block: int = 2048) -> DataFrame:
     """key, neighbours: the k nearest other rows by Euclidean distance, ties to the smaller key.
 
-    For samples, of which there are few: up to ``most`` vectors go to every task, more raise.
+    Every pair of rows is compared. Rows are packed into blocks of about ``block``; each block is held by one
+    task and meets all blocks one by one, so no task or driver holds all vectors. The work and what is
+    exchanged grow with the square of the rows. Matrix products only rule pairs out (with a margin for their
+    rounding); the order is that of the plain sums of squares.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    if (n := rows.count()) > most:
-        raise ValueError(f"{n} vectors; the kernel holds {most}")
-    held = rows.orderBy("key").collect()
-    keys, x = np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=float)
-    shared = df.sparkSession.sparkContext.broadcast((keys, x))
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    packed = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("r")).select("block", "r.key", F.flatten("r.v").alias("x"))
+    dealt = packed.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("other", F.col("target") != F.col("block"))
+    dealt = dealt.repartition("target").sortWithinPartitions("target", "other", "block").select("target", "key", "x")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, x = shared.value
+        target, held = None, None
         for batch in batches:
-            out = []
-            for own, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                d = ((x - np.asarray(v)) ** 2).sum(axis=1)
-                d[keys == own] = np.inf
-                out.append([int(i) for i in keys[np.lexsort((keys, d))[:k]]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["key", "neighbours"])
-
-    return rows.mapInArrow(nearest, "key long, neighbours array<long>")
+            for i in range(batch.num_rows):
+                keys = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                x = batch.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+                if batch.column(0)[i].as_py() != target:  # a block comes first among those it meets
+                    if held:
+                        yield held.result()
+                    target, held = batch.column(0)[i].as_py(), _Nearest(keys, x, k)
+                held.meet(keys, x)
+        if held:
+            yield held.result()
+
+    return dealt.mapInArrow(nearest, "key long, neighbours array<long>")
+
+
+class _Nearest:
+    """The nearest rows to those of one block, among the blocks it has met."""
+
+    def __init__(self, keys: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.keys, self.x, self.k = keys.copy(), x.copy(), k
+        self.near = np.full((len(keys), k), np.inf)
+        self.who = np.full((len(keys), k), np.iinfo(np.int64).max)
+
+    def meet(self, keys: np.ndarray, x: np.ndarray, step: int = 256, most: int = 200_000) -> None:
+        sizes = (x * x).sum(axis=1)
+        for at in range(0, len(self.keys), step):
+            own, v = self.keys[at : at + step], self.x[at : at + step]
+            size = (v * v).sum(axis=1)[:, None]
+            about = size + sizes - 2 * (v @ x.T)
+            about[own[:, None] == keys] = np.inf
+            limit = self.near[at : at + step, -1:]
+            if len(keys) > self.k and np.isinf(limit).any():
+                limit = np.minimum(limit, np.partition(about, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+            margin = 1e-12 * (size + sizes.max(initial=0))
+            i, j = np.nonzero((about <= limit + 2 * margin) & ~np.isinf(about))
+            for part in range(0, len(i), most):
+                self._add(at, i[part : part + most], keys, v, x, j[part : part + most])
+
+    def _add(self, at: int, i: np.ndarray, keys: np.ndarray, v: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
+        touched, row = np.unique(i, return_inverse=True)
+        d = ((v[i] - x[j]) ** 2).sum(axis=1)
+        rows = np.concatenate([np.repeat(np.arange(len(touched)), self.k), row])
+        near = np.concatenate([self.near[at + touched].ravel(), d])
+        who = np.concatenate([self.who[at + touched].ravel(), keys[j]])
+        order = np.lexsort((who, near, rows))
+        first = np.searchsorted(rows[order], np.arange(len(touched)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.near[at + touched], self.who[at + touched] = near[best], who[best]
+
+    def result(self) -> pa.RecordBatch:
+        out = [w[~np.isinf(d)] for w, d in zip(self.who, self.near, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(out, pa.list_(pa.int64()))], names=["key", "neighbours"])
 
 
 def neighbour_agreement(df: DataFrame, one: str, two: str, key: str, k: int = 15) -> DataFrame:

@@ -564,6 +564,16 @@ def neighbour_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(assoc.neighbour_agreement(e, "a", "b", "vec_id"), 9)
 
 
+@query("neighbour_jaccard_whole", """
+    WITH e AS (SELECT vec_id, list_transform(embedding[1:32], lambda v: CAST(v AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda v: CAST(v AS DOUBLE)) AS b FROM embeddings),
+    d AS (SELECT x.vec_id AS key, y.vec_id AS o, list_sum(list_transform(range(1, 33), lambda i: (x.a[i] - y.a[i]) * (x.a[i] - y.a[i]))) AS da, list_sum(list_transform(range(1, 33), lambda i: (x.b[i] - y.b[i]) * (x.b[i] - y.b[i]))) AS db FROM e x JOIN e y ON x.vec_id <> y.vec_id),
+    r AS (SELECT key, o, row_number() OVER (PARTITION BY key ORDER BY da, o) <= 15 AS na, row_number() OVER (PARTITION BY key ORDER BY db, o) <= 15 AS nb FROM d)
+    SELECT key, round(count(*) FILTER (WHERE na AND nb) / count(*) FILTER (WHERE na OR nb)::DOUBLE, 9) AS jaccard FROM r GROUP BY key""")
+def neighbour_jaccard_whole(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return rounded(assoc.neighbour_agreement(e, "a", "b", "vec_id"), 9)
+
+
 @query("sample_quality", """
     WITH s AS (SELECT unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embeddings), r AS (SELECT i, avg(CASE WHEN v >= 0 THEN 1.0 ELSE 0.0 END) AS c FROM s GROUP BY 1)
     SELECT CAST(i AS INTEGER) AS sample_index, round(c, 9) AS call_rate, c >= 0.8 AS primary_include, c >= 0.9 AS strict_include FROM r""")

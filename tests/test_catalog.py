@@ -43,3 +43,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() >= 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_neighbour_jaccard_whole_has_every_row(spark):
+    found = catalog.QUERIES["neighbour_jaccard_whole"](spark, SMALL)
+    assert {r.key for r in found.collect()} == {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
