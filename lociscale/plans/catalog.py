@@ -751,16 +751,28 @@ def direction_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return prioritize.direction_agreement(candidates(spark, sf), "model_a", "model_b")
 
 
+def _reference_report(spark: SparkSession, sf: str, sites: DataFrame) -> DataFrame:
+    bases = F.array(*[F.lit(b) for b in "ACGT"])
+    text = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACGT]", "N")
+    s = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), text.alias("seq"))
+    v = sites.select((F.col("l_suppkey") % 60).cast("string").alias("chrom"), (F.col("l_linenumber") * 40 - 40).alias("pos"), F.get(bases, (F.col("l_partkey") % 4).cast("int")).alias("ref"))
+    return contracts.reference_report(v, s).withColumn("examples", F.array_join("examples", ";"))
+
+
 @query("reference_report", f"""
     WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {SEQ} AS seq FROM benchmark), v AS (SELECT CAST(l_suppkey % 60 AS VARCHAR) AS chrom, l_linenumber * 40 - 40 AS pos, substr('ACGT', CAST(l_partkey % 4 AS INTEGER) + 1, 1) AS ref FROM lineitem WHERE l_orderkey % 50 = 0),
     o AS (SELECT v.chrom || ':' || pos || ':' || ref AS site, CASE WHEN seq IS NULL THEN 'mapping' WHEN pos < 1 OR pos > length(seq) THEN 'out_of_bounds' WHEN substr(seq, pos, 1) = ref THEN 'match' ELSE 'mismatch' END AS outcome FROM v LEFT JOIN s USING (chrom))
     SELECT outcome, CAST(count(*) AS BIGINT) AS rows, array_to_string(list_sort(list(site))[1:20], ';') AS examples FROM o GROUP BY 1""")
 def reference_report(spark: SparkSession, sf: str) -> DataFrame:
-    bases = F.array(*[F.lit(b) for b in "ACGT"])
-    text = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACGT]", "N")
-    s = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), text.alias("seq"))
-    v = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 60).cast("string").alias("chrom"), (F.col("l_linenumber") * 40 - 40).alias("pos"), F.get(bases, (F.col("l_partkey") % 4).cast("int")).alias("ref"))
-    return contracts.reference_report(v, s).withColumn("examples", F.array_join("examples", ";"))
+    return _reference_report(spark, sf, table(spark, sf, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("reference_report_whole", f"""
+    WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {SEQ} AS seq FROM benchmark), v AS (SELECT CAST(l_suppkey % 60 AS VARCHAR) AS chrom, l_linenumber * 40 - 40 AS pos, substr('ACGT', CAST(l_partkey % 4 AS INTEGER) + 1, 1) AS ref FROM lineitem),
+    o AS (SELECT v.chrom || ':' || pos || ':' || ref AS site, CASE WHEN seq IS NULL THEN 'mapping' WHEN pos < 1 OR pos > length(seq) THEN 'out_of_bounds' WHEN substr(seq, pos, 1) = ref THEN 'match' ELSE 'mismatch' END AS outcome FROM v LEFT JOIN s USING (chrom))
+    SELECT outcome, CAST(count(*) AS BIGINT) AS rows, array_to_string(list_sort(list(site))[1:20], ';') AS examples FROM o GROUP BY 1""")
+def reference_report_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _reference_report(spark, sf, table(spark, sf, "lineitem"))
 
 
 @query("locus_screen", """

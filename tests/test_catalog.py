@@ -48,3 +48,8 @@ def test_entry(spark):
 def test_neighbour_jaccard_whole_has_every_row(spark):
     found = catalog.QUERIES["neighbour_jaccard_whole"](spark, SMALL)
     assert {r.key for r in found.collect()} == {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+
+
+def test_reference_report_whole_checks_every_line(spark):
+    found = catalog.QUERIES["reference_report_whole"](spark, SMALL)
+    assert sum(r.rows for r in found.collect()) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
