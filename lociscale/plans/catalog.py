@@ -240,6 +240,25 @@ def key_set_difference(spark: SparkSession, sf: str) -> DataFrame:
     return joins.key_differences(c, table(spark, sf, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") + 100).alias("key")), ["key"])
 
 
+MEMBERSHIP_WHOLE = """k AS (SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS l, coalesce(b.n, 0) AS r FROM (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1) a
+    FULL JOIN (SELECT o_custkey + 100 AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k)"""
+
+
+@query("crosswalk_status_whole", f"""
+    WITH {MEMBERSHIP_WHOLE} SELECT key, CASE WHEN l > 1 OR r > 1 THEN 'duplicate' WHEN r = 0 THEN 'left_only' WHEN l = 0 THEN 'right_only' ELSE 'matched' END AS status,
+        CAST(l AS BIGINT) AS left_rows, CAST(r AS BIGINT) AS right_rows FROM k""")
+def crosswalk_status_whole(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    return joins.membership(c, table(spark, sf, "orders").select((F.col("o_custkey") + 100).alias("key")), ["key"])
+
+
+@query("key_set_difference_whole", f"""
+    WITH {MEMBERSHIP_WHOLE} SELECT CASE WHEN l > 1 OR r > 1 THEN 'duplicate' WHEN r = 0 THEN 'left_only' WHEN l = 0 THEN 'right_only' ELSE 'matched' END AS status, CAST(count(*) AS BIGINT) AS keys FROM k GROUP BY 1""")
+def key_set_difference_whole(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    return joins.key_differences(c, table(spark, sf, "orders").select((F.col("o_custkey") + 100).alias("key")), ["key"])
+
+
 @query("keyed_chain_join", """
     SELECT n_nationkey, n_name, r_name, suppliers FROM nation JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) USING (n_regionkey)
         JOIN (SELECT s_nationkey AS n_nationkey, CAST(count(*) AS BIGINT) AS suppliers FROM supplier GROUP BY 1) USING (n_nationkey) WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")

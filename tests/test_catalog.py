@@ -53,3 +53,10 @@ def test_neighbour_jaccard_whole_has_every_row(spark):
 def test_reference_report_whole_checks_every_line(spark):
     found = catalog.QUERIES["reference_report_whole"](spark, SMALL)
     assert sum(r.rows for r in found.collect()) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+
+
+def test_membership_whole_counts_every_order(spark):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    found = catalog.QUERIES["crosswalk_status_whole"](spark, SMALL).collect()
+    assert sum(r.right_rows for r in found) == orders.count()
+    assert {r.status: r["keys"] for r in catalog.QUERIES["key_set_difference_whole"](spark, SMALL).collect()} == Counter(r.status for r in found)
