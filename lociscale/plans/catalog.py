@@ -573,6 +573,23 @@ def kinship_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(assoc.leave_one_group_out(assoc.kinship(e, "v", ["label"]), "label"))
 
 
+@query("kinship_whole", """
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_avg(v) AS mu FROM e), s AS (SELECT vec_id, v, mu, sqrt(list_avg(list_transform(v, lambda x: (x - mu) * (x - mu)))) AS sd FROM m),
+    z AS (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(list_transform(v, lambda x: (x - mu) / sd)) AS x FROM s)
+    SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x * b.x), 6) AS k FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2""")
+def kinship_whole(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(assoc.kinship(assoc.imputed(e, "v"), "standardized").select("i", "j", "k"))
+
+
+@query("kinship_leave_one_out_whole", """
+    WITH z AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS i, unnest(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS x FROM embeddings), g AS (SELECT DISTINCT label FROM embeddings)
+    SELECT g.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x * b.x), 6) + 0.0 AS k FROM z a JOIN z b USING (vec_id) JOIN g ON g.label <> a.label GROUP BY 1, 2, 3""")
+def kinship_leave_one_out_whole(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(assoc.leave_one_group_out(assoc.kinship(e, "v", ["label"]), "label"))
+
+
 @query("neighbour_jaccard", """
     WITH e AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS a, list_transform(embedding[17:32], lambda v: CAST(v AS DOUBLE)) AS b FROM embeddings WHERE vec_id % 5 = 0),
     d AS (SELECT x.vec_id AS key, y.vec_id AS o, list_sum(list_transform(range(1, 17), lambda i: (x.a[i] - y.a[i]) * (x.a[i] - y.a[i]))) AS da, list_sum(list_transform(range(1, 17), lambda i: (x.b[i] - y.b[i]) * (x.b[i] - y.b[i]))) AS db FROM e x JOIN e y ON x.vec_id <> y.vec_id),

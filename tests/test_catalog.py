@@ -60,3 +60,11 @@ def test_membership_whole_counts_every_order(spark):
     found = catalog.QUERIES["crosswalk_status_whole"](spark, SMALL).collect()
     assert sum(r.right_rows for r in found) == orders.count()
     assert {r.status: r["keys"] for r in catalog.QUERIES["key_set_difference_whole"](spark, SMALL).collect()} == Counter(r.status for r in found)
+
+
+def test_kinship_whole_has_every_component(spark):
+    size = {(i, j) for i in range(64) for j in range(64)}
+    assert {(r.i, r.j) for r in catalog.QUERIES["kinship_whole"](spark, SMALL).collect()} == size
+    out = catalog.QUERIES["kinship_leave_one_out_whole"](spark, SMALL).collect()
+    labels = {r.label for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+    assert {(r.label, r.i, r.j) for r in out} == {(g, *x) for g in labels for x in size}
