@@ -88,12 +88,15 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
-def _prefixes(render: Callable[[list[Turn]], str], turns: list[Turn], first: int) -> tuple[str, list[Span]]:
-    """Spans of the turns from ``first`` on, from the outputs of all prefixes; the last of these."""
-    before = render(turns[:first])
+def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int | None = None) -> tuple[str, list[Span]]:
+    """The formatted conversation, and a span for each turn, from the outputs of all prefixes.
+
+    Every prefix is rendered whole at every length, so that no rewriting of history goes unseen; this
+    costs the square of a conversation's length. ``window`` is taken from earlier callers and has no effect.
+    """
+    before = render([])
     spans = []
-    for k in range(first, len(turns)):
-        role, text = turns[k]
+    for k, (role, text) in enumerate(turns):
         now = render(turns[: k + 1])
         same = common_prefix(before, now)
         x, y = (render([*turns[:k], (role, probe)]) for probe in "xy")
@@ -106,27 +109,6 @@ def _prefixes(render: Callable[[list[Turn]], str], turns: list[Turn], first: int
     return before, spans
 
 
-def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int = 128) -> tuple[str, list[Span]]:
-    """The formatted conversation, and a span for each turn.
-
-    Rendering every prefix costs the square of a conversation's length. Beyond ``window`` turns, each
-    block of that many is rendered after the block before it alone, and its outcome is held against the
-    rendering of the whole prefix at its end; where they differ, the block's prefixes are all rendered.
-    """
-    output, spans = _prefixes(render, turns[:window], 0)
-    for first in range(window, len(turns), window):
-        upto = turns[: first + window]
-        whole = render(upto)
-        near, own = _prefixes(render, upto[first - window :], window)
-        shift = own[0].start - len(output)
-        if any(s.rewrites for s in own) or whole != output + near[own[0].start :]:
-            whole, own = _prefixes(render, upto, first)
-            shift = 0
-        spans += [Span(s.start - shift, s.end - shift, s.text_start - shift, s.text_end - shift, s.rewrites) for s in own]
-        output = whole
-    return output, spans
-
-
 def format_conversations(turns: DataFrame, template: MarkedTemplate | None = None, *, loss_role: str = "assistant", with_output: bool = True) -> DataFrame:
     """One row a conversation: conv_id, formatted, spans, rewrites_history and figures read back from
     the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""

@@ -65,3 +65,12 @@ def test_a_long_conversation(spark):
     (r,) = chat.format_conversations(spark.createDataFrame(rows, SCHEMA), with_output=False).collect()
     said = "".join(f"t{i}#" for i in range(600))
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (600, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def restored(turns):
+    return "".join(f"[{r}:{t}{'!' if i == 0 and len(turns) == 300 else ''}]" for i, (r, t) in enumerate(turns))
+
+
+def test_rewriting_that_is_restored_later_is_found_in_a_long_conversation():
+    _, spans = chat.locate(restored, [("user", f"t{i}") for i in range(400)])
+    assert [k + 1 for k, s in enumerate(spans) if s.rewrites] == [300, 301]
