@@ -60,7 +60,8 @@ def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[st
 
     Solved as a fixpoint over all nodes at once: a node none of whose left neighbours can still be
     retained is retained, and what a retained one is linked to is removed. Rounds are as many as the
-    longest chain of decisions, and each is materialised.
+    longest chain of decisions, and each is materialised. What ``most`` rounds leave open is folded in the
+    order of keys, by one task for each group of ``by``.
     """
     by = by or []
     edges = cut(links.select(*by, "left_key", "right_key", "distance", "r2"))
@@ -74,7 +75,7 @@ def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[st
         if not state.where("kept IS NULL").count():
             break
     else:
-        raise RuntimeError(f"thinning is not settled after {most} rounds")
+        state = cut(_folded(state, edges, by))
     kept = state.where("kept").select(*by, F.col("k").alias("left_key"))
     remover = edges.join(kept, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.min(F.struct("left_key", "distance", "r2")).alias("m"))
     out = state.join(remover, [*by, "k"], "left")
@@ -82,6 +83,27 @@ def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[st
     return out.select(*by, F.col("k").alias(key), F.col("kept").alias("retained"), *[F.when(gone, F.col(f"m.{c}")).alias(name) for c, name in (("left_key", "removed_by"), ("distance", "removal_distance"), ("r2", "removal_r2"))])
 
 
+def _folded(state: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """``state`` with the open nodes of each group decided one after the other."""
+    left = state.select(*by, F.col("k").alias("left_key"), F.col("kept").alias("left_kept"))
+    votes = edges.join(left, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.bool_or(F.coalesce("left_kept", F.lit(False))).alias("hit"), F.collect_list(F.when(F.col("left_kept").isNull(), F.col("left_key"))).alias("lefts"))
+    still = state.where("kept IS NULL").select(*by, "k").join(votes, [*by, "k"], "left")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        kept, out = set(), []
+        for k, hit, lefts in zip(rows["k"], rows["hit"], rows["lefts"], strict=True):
+            own = not hit and not (lefts is not None and any(x in kept for x in lefts))
+            if own:
+                kept.add(k)
+            out.append(own)
+        return rows[[*by, "k"]].assign(kept=out)
+
+    ready = still.select(*by, "k", F.coalesce("hit", F.lit(False)).alias("hit"), "lefts")
+    decided = ready.groupBy(*by).applyInPandas(fold, state.select(*by, "k", "kept").schema)
+    return state.where("kept IS NOT NULL").select(*by, "k", "kept").unionByName(decided)
+
+
 def threshold_counts(pairs: DataFrame, windows: list[int], thresholds: list[float]) -> DataFrame:
     """window, pairs, valid and a count for each r2 threshold."""
     items = F.filter(F.array(*[F.when(F.col("distance") <= w, F.lit(w)) for w in windows]), lambda x: x.isNotNull())
