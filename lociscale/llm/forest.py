@@ -1,11 +1,12 @@
-"""N-gram Jaccard self-join through a MinHash LSH forest, and the classes of its links.
+"""N-gram Jaccard self-join through MinHash prefixes, and the classes of its links.
 
 Texts are compared by their sets of five-word shingles (words are lower-cased runs between white space; a
 text of fewer words is one shingle). Equal sets are one class from the start, so copies cost one row each.
-A signature holds ``TREES`` labels of ``DEPTH`` MinHash values; a tree orders the sets by label, and sets
-that share a label's prefix share a node of its trie. Prefixes start at full length and are shortened until
-a pair at the threshold meets in some tree with the target probability; each node's members are then
-compared. A pair is handled only in the first tree in which it meets, so links are counted once.
+A signature holds ``TREES`` labels of ``DEPTH`` MinHash values. Of each label a prefix is used, whose length is
+fixed before any row is read: the longest at which a pair at the threshold shares a prefix in some tree with
+the target probability (4 at 0.8). Sets that share it are a node, found by hash; this is banding by prefixes,
+labels aren't sorted and no node is descended. Each node's members are then compared. A pair is handled only
+in the first tree in which it meets, so links are counted once.
 
 Node members are compared in blocks of bounded size (a hot node becomes many pairs of blocks), and what
 comes back is one row a member: links counted, and the root of its links inside the block pair. Pairs of
