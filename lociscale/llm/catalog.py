@@ -151,4 +151,26 @@ SQL: dict[str, str] = {
             CAST(coalesce(len(own), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN whole THEN 0 ELSE coalesce(len(own) - len(rest), 0) END AS BIGINT) AS n_removed
         FROM decided
     """,
+    "op9_ngram_forest": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, text IS NULL AS without, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingled AS (
+            SELECT doc_id, without, list_sort(list_distinct(CASE WHEN len(w) = 0 OR without THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM split
+        ), keyed AS (
+            SELECT doc_id, without, s, CASE WHEN without THEN 'null ' || doc_id ELSE md5(array_to_string(s, chr(10))) || len(s) END AS k FROM shingled
+        ), sets AS (
+            SELECT k, min(doc_id) AS id, count(*) AS copies, any_value(s) AS s, any_value(len(s)) AS n FROM keyed GROUP BY k
+        ), items AS (SELECT id, n, unnest(s) AS x FROM sets),
+        met AS (
+            SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+            FROM items a JOIN items b ON a.x = b.x AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2
+        ), half AS (SELECT a, b FROM met WHERE CAST(common AS DOUBLE) / CAST(na + nb - common AS DOUBLE) >= CAST(0.8 AS DOUBLE)),
+        links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+        reach AS (SELECT id, id AS r FROM sets UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a),
+        classes AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id),
+        linked AS (SELECT a AS id, sum(copies) AS n_links, count(*) AS n_texts FROM links JOIN sets ON links.b = sets.id GROUP BY a)
+        SELECT keyed.doc_id, class_id, CAST(copies - 1 + coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_texts, 0) AS BIGINT) AS n_texts
+        FROM keyed JOIN sets USING (k) JOIN classes USING (id) LEFT JOIN linked USING (id)
+    """,
 }

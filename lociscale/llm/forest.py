@@ -1,22 +1,28 @@
-"""N-gram Jaccard self-join through MinHash prefixes, and the classes of its links.
+"""N-gram Jaccard self-join through a MinHash LSH forest, and the classes of its links.
 
 Texts are compared by their sets of five-word shingles (words are lower-cased runs between white space; a
 text of fewer words is one shingle). Equal sets are one class from the start, so copies cost one row each.
-A signature holds ``TREES`` labels of ``DEPTH`` MinHash values. Of each label a prefix is used, whose length is
-fixed before any row is read: the longest at which a pair at the threshold shares a prefix in some tree with
-the target probability (4 at 0.8). Sets that share it are a node, found by hash; this is banding by prefixes,
-labels aren't sorted and no node is descended. Each node's members are then compared. A pair is handled only
-in the first tree in which it meets, so links are counted once.
-
-Node members are compared in blocks of bounded size (a hot node becomes many pairs of blocks), and what
-comes back is one row a member: links counted, and the root of its links inside the block pair. Pairs of
-documents are never emitted. Signatures only rule pairs out (six standard errors under the threshold);
-every link is verified on the whole shingle sets, by 64-bit hashes. At the threshold itself a link is missed
-with a chance of about one in ten million, above it with less.
+
+A signature holds ``TREES`` labels of ``DEPTH`` MinHash values. The labels of a tree in sorted order are its
+prefix trie: sets that share a prefix are a run of neighbours, a node. All sets start at the full length,
+where they meet the sets of their nodes. Whoever hasn't reached the target recall shortens its prefixes by
+one value and meets the larger nodes, and so on. The recall of a set is estimated from what it has met: a
+partner of similarity s is met at length d with the chance 1 - (1 - s**d)**TREES, so each one stands for
+1 / chance partners. A set that has met nobody has no estimate and goes on. The shortest length is the
+longest at which any pair at the threshold meets with the target chance (4 at 0.8), so nobody need go
+below it. A pair is met where either of its sets walks, at the longest prefix that it shares and there in
+the first tree, so links are counted once.
+
+Nodes are compared in blocks of bounded size (a hot node becomes many pairs of blocks), and what comes
+back is one row a member. Pairs of documents are never emitted. Signatures only rule pairs out (six
+standard errors under the threshold); every link is verified on the whole shingle sets, by 64-bit hashes.
+A link at the threshold of which neither set stopped early is missed with a chance of about one in ten
+million; if both stopped early, because their other partners are nearer, with at most six in 100,000.
 
 Defined cases: a null text has no shingles and no links, and is a class by itself; texts without words are
-copies of each other; short texts are compared like others; repeated rows are copies; a class is named by
-its least doc_id, nulls aside (null if it has no other). Extra columns aren't read.
+copies of each other; short texts are compared like others; very long texts are taken whole; repeated rows
+are copies; an empty table gives no rows; a class is named by its least doc_id, nulls aside (null if it has
+no other). Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ from lociscale.llm.common import cut, small_batches, spread, streamed_groups
 
 TREES, DEPTH = 32, 6
 WORDS = 5
-#: Members of a node that are compared with each other, or with as many others, at a time.
-BLOCK = 256
+#: Members of a node, and their shingles, that are compared with each other or with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Sets with a partner up to which their keys are broadcast to find their texts (some 50 bytes each).
 BROADCAST_SETS = 200_000
 
@@ -44,28 +50,31 @@ _B = _random.randint(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint3
 _MIX = [int(x) | 1 for x in _random.randint(1 << 62, (1 << 63) - 1, WORDS, dtype=np.int64)]
 
 
-def prefix_depth(threshold: float, target: float) -> int:
-    """The longest prefix at which a pair at ``threshold`` meets in some tree with chance ``target``."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < target:
-        depth -= 1
-    return depth
+def chance(similarity: float | np.ndarray, length: int) -> float | np.ndarray:
+    """That two sets of this similarity share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** TREES
+
+
+def prefix_lengths(threshold: float, target: float) -> list[int]:
+    """The lengths that are walked, from the full one to the longest that meets the target at the threshold."""
+    least = next((d for d in range(DEPTH, 1, -1) if chance(threshold, d) >= target), 1)
+    return list(range(DEPTH, least - 1, -1))
 
 
 class Shingler:
     """Sets of word shingles as sorted arrays of 64-bit hashes."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
-    def _hash(self, word: str) -> int:
+    def _hash(self, word: bytes) -> int:
         if len(self.known) > 200_000:  # a memo of hashes
             self.known.clear()
-        value = self.known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        value = self.known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.lower().split()
+        words = text.lower().encode("utf-8", "surrogatepass").split()  # of bytes: at the space and the controls from tab to carriage return
         if not words:
             return np.empty(0, dtype=np.uint64)
         get, new = self.known.get, self._hash
@@ -92,51 +101,124 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
-        sids, signatures = [], []
+        sids, signatures, sizes = [], [], []
         for text in batch.column(2).to_pylist():
             if text is None:
                 sids.append(None)
                 signatures.append(None)
+                sizes.append(None)
             else:
                 own = shingler(text)
                 sids.append(hashlib.md5(own.tobytes()).digest())
                 signatures.append(signature(own).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "body", "sid", "signature"])
+                sizes.append(len(own))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "body", "sid", "signature", "size"])
 
 
-def _active(threshold: float, depth: int):
-    least = threshold - 6 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+def _least(threshold: float) -> float:
+    """The estimated similarity under which a pair is ruled out."""
+    return threshold - 6 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
-    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The members of each pair of blocks that may have a link there."""
-        names = ["node", "one", "two", "block", "id"]
-        for (node, one, two), rows in streamed_groups(batches, names[:3], 1 << 40):
-            sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, TREES * DEPTH)
-            block = rows.column("block").to_numpy()
-            hit = np.zeros(len(sig), dtype=bool)
-            for i, js in meeting(sig, block, one != two, node % TREES, depth, least):
-                hit[i] = True
-                hit[js] = True
-            if hit.any():
-                found = rows.filter(pa.array(hit)).select(names)
-                yield from found.combine_chunks().to_batches()
-
-    return active
-
-
-def meeting(sig: np.ndarray, block: np.ndarray, across: bool, tree: int, depth: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member, the indices of later ones that it may be linked to and that it meets here first:
-    within a block, or across two."""
-    prefixes = sig.reshape(len(sig), TREES, DEPTH)[:, :tree, :depth]
+
+def meeting(sig: np.ndarray, block: np.ndarray, walks: np.ndarray, across: bool, tree: int, length: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member, the indices of later ones that it may be linked to and meets here first, and their
+    estimated similarities: within a block or across two, of pairs of which at least one set still walks,
+    in the first tree of those in which they share ``length`` values, if they share no more in any."""
     for i in range(len(sig) - 1):
-        keep = (sig[i + 1 :] == sig[i]).mean(axis=1) >= least
+        same = sig[i + 1 :] == sig[i]
+        near = same.mean(axis=1)
+        keep = near >= least
         if across:
             keep &= block[i + 1 :] != block[i]
-        js = np.flatnonzero(keep) + i + 1
-        if tree and len(js):
-            js = js[~(prefixes[js] == prefixes[i]).all(axis=2).any(axis=1)]
-        if len(js):
-            yield i, js
+        if not walks[i]:
+            keep &= walks[i + 1 :]
+        at = np.flatnonzero(keep)
+        if not len(at):
+            continue
+        shared = same[at].reshape(-1, TREES, DEPTH)
+        met = shared[:, :, :length].all(axis=2)
+        first = met[:, tree] & ~met[:, :tree].any(axis=1)
+        if length < DEPTH:
+            first &= ~(met & shared[:, :, length]).any(axis=1)
+        if first.any():
+            yield i, at[first] + i + 1, near[at[first]]
+
+
+def _met(threshold: float, length: int, weighed: list[int]):
+    """The members of each pair of blocks that may have a link there: with how many, and for each of the
+    lengths in ``weighed`` for how many partners these stand."""
+    least = _least(threshold)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "one", "two", "tree", "block", "id", "walks"]
+        for (_, one, two), rows in streamed_groups(batches, names[:3], 1 << 40):
+            sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, TREES * DEPTH)
+            block, walks = rows.column("block").to_numpy(), rows.column("walks").to_numpy()
+            n, stand = np.zeros(len(sig), dtype=np.int64), np.zeros((len(weighed), len(sig)))
+            for i, js, near in meeting(sig, block, walks, one != two, rows.column("tree")[0].as_py(), length, least):
+                n[i] += len(js)
+                n[js] += 1
+                for own, d in zip(stand, weighed, strict=True):
+                    for_each = 1 / chance(np.maximum(near, threshold), d)
+                    own[i] += for_each.sum()
+                    own[js] += for_each
+            if n.any():
+                hit = n > 0
+                kept = rows.select(names).filter(pa.array(hit)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*[c.chunk(0) for c in kept.columns], pa.array(n[hit]), *[pa.array(x[hit]) for x in stand]], names=[*names, "n", *[f"w{d}" for d in weighed]])
+
+    return met
+
+
+def walk(sets: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999999) -> tuple[list[DataFrame], DataFrame]:
+    """Walks the forest of ``sets`` (id, signature, size) from full prefixes to shorter ones.
+
+    Gives, for each length, the members of pairs of blocks in which candidates were met there (node, one,
+    two, tree, block, id, walks), and (id, length) of the sets that reached the target recall before the
+    shortest length. Only sets that share the shortest prefix with another in some tree are in the tries.
+    """
+    lengths = prefix_lengths(threshold, recall)
+    label = lambda t: F.substring(F.col("signature"), t * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    # by hash of tree and shortest prefix, with the tree's number in place of the last digit
+    root = lambda t: F.floor(F.xxhash64(t, F.substring(label(t), 1, 2 * lengths[-1])) / (2 * TREES)).cast("long") * TREES + t
+    roots = sets.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), root)).alias("root"))
+    shared = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members = roots.join(shared, "root").select("id", F.pmod("root", F.lit(TREES)).cast("int").alias("tree"))
+    labels = cut(members.join(sets, "id").select("tree", label(F.col("tree")).alias("label"), "id", "size"))
+    order = ["tree", "label", "id"]
+    trie = cut(labels.repartitionByRange(*order).sortWithinPartitions(*order))
+    group = ["node", "one", "two"]
+    found: list[DataFrame] = []
+    stopped: DataFrame | None = None
+    for place, length in enumerate(lengths):
+        weighed = lengths[place:-1]
+        prefix = F.substring("label", 1, 2 * length)
+        rows = trie.select("tree", F.xxhash64("tree", prefix).alias("node"), F.substring("label", 1, 2 * length + 2).alias("longer"), "label", "id", "size")
+        walks = F.lit(True)
+        if stopped is not None:
+            rows, walks = rows.join(stopped.select("id", F.lit(True).alias("__stopped")), "id", "left"), F.col("__stopped").isNull()
+        rows = rows.withColumn("walks", walks)
+        tallied = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.max("walks").alias("any"), (F.min("longer") != F.max("longer")).alias("parts"))
+        # below the full length only where two longer prefixes come together; there nobody met before
+        nodes = tallied.where("n > 1 AND any" + " AND parts" * (length < DEPTH))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        own = rows.join(nodes.select("node", blocks.alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = other.select("node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "tree", "block", "id", "walks", "label")
+        signed = dealt.join(sets.select("id", "signature"), "id").repartition(*group).sortWithinPartitions(*group, "label")
+        schema = "node long, one int, two int, tree int, block int, id long, walks boolean, n long" + "".join(f", w{d} double" for d in weighed)
+        found.append(cut(signed.drop("label").mapInArrow(_met(threshold, length, weighed), schema)))
+        if weighed:
+            sums = None
+            for f in found:
+                one = f.select("id", "n", f"w{length}")
+                sums = one if sums is None else sums.unionByName(one)
+            reached = sums.groupBy("id").agg(F.sum("n").alias("n"), F.sum(f"w{length}").alias("stands_for")).where(F.col("n") >= F.lit(recall) * F.col("stands_for"))
+            now = reached.select("id", F.lit(length).alias("length"))
+            stopped = cut(now if stopped is None else stopped.unionByName(now.join(stopped, "id", "left_anti")))
+    if stopped is None:
+        stopped = sets.select("id", F.lit(lengths[0]).alias("length")).where("false")
+    return [f.select("node", "one", "two", "tree", "block", "id", "walks", F.lit(d).alias("length")) for d, f in zip(lengths, found, strict=True)], stopped
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -149,12 +231,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verified(threshold: float, depth: int):
-    least = threshold - 6 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+def _verified(threshold: float):
+    least = _least(threshold)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a member of each pair of blocks: its links there, and the least member linked to it."""
-        for (node, one, two), rows in streamed_groups(batches, ["node", "one", "two"], 1 << 40):
+        for (length, _, one, two), rows in streamed_groups(batches, ["length", "node", "one", "two"], 1 << 40):
             ids = rows.column("id").to_pylist()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
             copies = rows.column("copies").to_pylist()
@@ -167,7 +249,8 @@ def _verified(threshold: float, depth: int):
                     i = root[i]
                 return i
 
-            for i, js in meeting(sig, rows.column("block").to_numpy(), one != two, node % TREES, depth, least):
+            block, walks = rows.column("block").to_numpy(), rows.column("walks").to_numpy()
+            for i, js, _ in meeting(sig, block, walks, one != two, rows.column("tree")[0].as_py(), length, least):
                 for j in js:
                     a, b = sets[i], sets[j]
                     if min(len(a), len(b)) >= threshold * max(len(a), len(b)) and jaccard(a, b) >= threshold:
@@ -192,15 +275,16 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.binary())], names=["id", "copies", "shingles"])
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(``node``, ``root``) for the nodes of ``edges`` (``a``, ``b``): the least node reachable.
 
-    Alternating large and small stars; each round is two aggregations and joins, and is materialised.
+    Alternating large and small stars until a round changes nothing; each round is two aggregations and
+    joins, and is materialised.
     """
     flip = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, before = cut(flip), None
     parts = max(8, now.count() // 500_000)  # a round's result never has more edges: few files for few edges
-    for _ in range(most):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # materialised, so that the join below shuffles both sides itself and can split a hub's edges
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(parts))
@@ -213,39 +297,29 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-    raise RuntimeError(f"components are not settled after {most} rounds")
 
 
 def _linked(docs: DataFrame, threshold: float, recall: float, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, body, sid) of all documents, and for each shingle set sid: class_id, pick (the row that
     stands for its class), copies, links and texts."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    depth = prefix_depth(threshold, recall)
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
-    rows = cut(spread(slim).mapInArrow(_signed, "doc_id long, body long, sid binary, signature binary"))
+    rows = cut(spread(slim).mapInArrow(_signed, "doc_id long, body long, sid binary, signature binary, size int"))
     pick = F.struct(F.col("doc_id").isNull().alias("unkeyed"), "doc_id", "body")
-    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(pick).alias("pick"), F.max("signature").alias("signature"))
+    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(pick).alias("pick"), F.max("signature").alias("signature"), F.max("size").alias("size"))
     sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))  # fixed once it is written
-    # nodes of all trees, by hash of tree and prefix with the tree's number in place of the last digit;
-    # only those that sets share go on
-    prefix = lambda t: F.substring(F.col("signature"), t * (2 * DEPTH) + 1, F.lit(2 * depth))
-    node = lambda t: F.floor(F.xxhash64(t, prefix(t)) / (2 * TREES)).cast("long") * TREES + t
-    nodes = sets.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), node)).alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
-    members = nodes.join(shared, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id")
-    group = ["node", "one", "two"]
-    signed = dealt.join(sets.select("id", "signature"), "id").repartition(*group).sortWithinPartitions(*group)
-    active = cut(signed.mapInArrow(_active(threshold, depth), "node long, one int, two int, block int, id long"))
+    met, _ = walk(sets.select("id", "signature", "size"), threshold=threshold, recall=recall)
+    active = met[0]
+    for more in met[1:]:
+        active = active.unionByName(more)
     wanted = cut(active.select("id").distinct().join(sets.select("id", "copies", "pick.doc_id", "pick.body"), "id"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
     a, b = slim.alias("a"), side.alias("b")
     picked = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.body") == F.col("b.body"))).select("a.text", "b.id", "b.copies")
     shingled = picked.mapInArrow(_shingled, "id long, copies long, shingles binary").dropDuplicates(["id"])
+    group = ["length", "node", "one", "two"]
     compared = active.join(shingled, "id").repartition(*group).sortWithinPartitions(*group)
-    found = cut(compared.mapInArrow(_verified(threshold, depth), "id long, root long, links long, texts long"))
+    found = cut(compared.mapInArrow(_verified(threshold), "id long, root long, links long, texts long"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     linked = counts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(sets.select("id", "pick"), "id")

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ SCHEMA = "doc_id long, text string, class_id string"
 
 
 def shingles(text):
-    w = text.lower().split()
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
 
 
@@ -80,11 +82,64 @@ def test_hot_copies_and_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_depth_meets_the_target():
+def test_lengths_end_where_the_target_is_met():
     for t in (0.8, 0.85, 0.9):
-        d = forest.prefix_depth(t, 0.99999)
-        assert 1 - (1 - t**d) ** forest.TREES >= 0.99999
-        assert d == forest.DEPTH or 1 - (1 - t ** (d + 1)) ** forest.TREES < 0.99999
+        lengths = forest.prefix_lengths(t, 0.99999)
+        assert lengths == list(range(forest.DEPTH, lengths[-1] - 1, -1))
+        assert [1 - (1 - t**d) ** forest.TREES >= 0.99999 for d in lengths] == [False] * (len(lengths) - 1) + [True]
+
+
+def test_sets_stop_at_different_lengths(spark):
+    """Near partners end a walk at the full length; weaker ones, or none, send it on to shorter prefixes."""
+    rng = random.Random(2)
+    texts = []
+    for kind, changes in (("near", 1), ("weak", 4), ("alone", 0)):
+        for group in range(30):
+            base = [f"{kind}{group}_{i}" for i in range(200)]
+            texts.append((kind, " ".join(base)))
+            for _ in range(3 if changes else 0):
+                own = list(base)
+                for at in rng.sample(range(10, 190), changes):
+                    own[at] = f"y{rng.randrange(10**9)}"
+                texts.append((kind, " ".join(own)))
+    own = [forest.Shingler()(t) for _, t in texts]
+    sets = spark.createDataFrame([(i, bytearray(forest.signature(s).tobytes()), len(s)) for i, s in enumerate(own)], "id long, signature binary, size int")
+    met, stops = forest.walk(sets)
+    length = {r.id: r.length for r in stops.collect()}
+    by_kind = {k: Counter(length.get(i, 4) for i, (x, _) in enumerate(texts) if x == k) for k in ("near", "weak", "alone")}
+    assert by_kind["near"][6] > 100 and set(by_kind["alone"]) == {4} and 6 not in by_kind["weak"]
+    assert [m.first() is not None for m in met][0]
+
+
+def test_recall_of_weak_links(spark):
+    """Of links at 0.80 to 0.85 nearly all are found."""
+    rng = random.Random(9)
+    rows = []
+    for group in range(150):
+        base = [f"g{group}_{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(base)))
+        own = list(base)
+        for at in rng.sample(range(10, 290), rng.choice([5, 6])):
+            own[at] = f"z{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    weak = [i for i in range(0, len(rows), 2) if 0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) <= 0.85]
+    found = {r[0]: r[2] for r in run(spark, rows)}
+    assert len(weak) > 60 and sum(found[i] for i in weak) >= 0.99 * len(weak)
+
+
+def test_each_pair_is_met_once():
+    rng = np.random.RandomState(3)
+    base = np.unique(rng.randint(0, 1 << 62, 300, dtype=np.int64).astype(np.uint64))
+    own = [np.unique(np.where(rng.rand(len(base)) < 0.08, rng.randint(0, 1 << 62, len(base)).astype(np.uint64), base)) for _ in range(30)]
+    sig = np.stack([forest.signature(s) for s in own])
+    counts = np.zeros((30, 30), dtype=int)
+    everyone, one = np.ones(30, dtype=bool), np.zeros(30, dtype=np.int32)
+    for length in (6, 5, 4):
+        for tree in range(forest.TREES):
+            for i, js, _ in forest.meeting(sig, one, everyone, False, tree, length, 0.0):
+                counts[i, js] += 1
+    assert counts.max() == 1 and counts.sum() > 300
 
 
 def test_signatures_estimate_similarity():
