@@ -8,8 +8,8 @@ seeded hash until the target is met; the document at the cut gives the words tha
 Nothing orders a whole source: sizes are summed by hash bucket, the bucket with the cut is found from at
 most 4096 sums a source, and only that bucket's documents are ordered. What leaves this is one row a source.
 
-Defined cases: a null or blank text has size 0 and gives 0 words; a null source is a source, the last in
-order; documents with the same key and size at the cut share the missing words equally (rounded down);
+Defined cases: a null or blank text has size 0 and gives 0 words, an empty one too; very long texts count
+whole; a null source is a source, the last in order; documents with the same key and size at the cut share the missing words equally (rounded down);
 repeated rows count as rows; no words at all, or no rows: all targets are 0. Extra columns pass through.
 """
 
@@ -19,16 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut, replaced, words
+from lociscale.llm.common import cut, numbered, replaced, words
 
 #: Beyond so many sources, joins with the table of sources no longer broadcast it.
 BROADCAST_SOURCES = 50_000
 
 
-def by_code_point(pattern: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """Weights that repeat over the sources in code point order, null last."""
-    place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
-    return F.element_at(F.array(*map(F.lit, pattern)), (place % len(pattern) + 1).cast("int"))
+def by_code_point(sources: DataFrame, pattern: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """``sources`` with weights that repeat over them in code point order, null last."""
+    placed = numbered(sources, "__at", F.col("source").isNull(), "source")
+    weight = F.element_at(F.array(*map(F.lit, pattern)), (F.col("__at") % len(pattern) + 1).cast("int"))
+    return placed.withColumn("weight", weight).drop("__at")
 
 
 def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -56,7 +57,8 @@ def plan_mix(docs: DataFrame, *, weights: Column | None = None, max_epochs: int
     """One row a source: source, source_size, target, whole, and where the last repetition is cut."""
     rows = cut(docs.select(F.col(source).alias("source"), words(F.col(text)).alias("size"), _order_key(key, seed).alias("u")))
     sums = cut(rows.groupBy("source", F.substring("u", 1, 3).alias("bucket")).agg(F.sum("size").alias("size")))
-    sources = cut(sums.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weights if weights is not None else by_code_point()))
+    sized = sums.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = cut(by_code_point(sized) if weights is None else sized.withColumn("weight", weights))
     filled = water_fill(sources, max_epochs).withColumn("goal", F.floor(F.col("target") + 0.5))
     parts = [F.expr(f"goal {op} greatest(source_size, 1)").alias(name) for op, name in (("div", "whole"), ("%", "extra"))]
     sources = cut(filled.select("source", "source_size", "target", *parts))
