@@ -5,10 +5,15 @@ longest of its character n-grams that are known: all 5-grams of the bounded word
 on down to single characters; the word then adds the mean log frequency of the known n-grams of that
 order. The language with the largest sum wins.
 
-Defined cases: a null text, a text without a letter and any text when nothing was learned get ``und``
-and score 0. A letter that no language knows adds nothing; a text of such letters alone gets the most
-frequent language with score 1 / languages. Rows are kept as they are, repeated ones too. A row whose
-doc_id is null is never learned from and counts as held out.
+The model is sparse: a word or n-gram has an entry for each language that it was seen in, so its size is that
+of the sample's vocabulary, whatever the number of languages. Nothing of the sample's vocabulary is left out.
+
+Defined cases: a null text, a text without a letter and any text when nothing was learned (an empty table,
+or no row with text, lang and doc_id) get ``und`` and score 0. A letter that no language knows adds nothing; a
+text of such letters alone gets the most frequent language with score 1 / languages. Equal sums go to the
+language with more labelled rows, then to the smaller name. Very long texts are read whole. Rows are kept as
+they are, repeated ones too. A row whose doc_id is null is never learned from and counts as held out. Extra
+columns pass through, but for those with the names of the results, which these replace.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociscale.llm.common import replaced, small_batches, spread, uniform
@@ -29,8 +34,8 @@ from lociscale.llm.common import replaced, small_batches, spread, uniform
 ORDERS = (5, 4, 3, 2, 1)
 TOKEN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Scores of unseen words that a task remembers.
-MEMO = 200_000
+#: Numbers (one a language) that a task remembers of the scores of unseen words.
+MEMO = 1 << 21
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -39,57 +44,74 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
+class LogTable:
+    """Log frequencies of the words, or n-grams of one order, by language: one entry for each that a language
+    has, above what the language gives to all that it lacks."""
+
+    def __init__(self, grams: list[str], rows: np.ndarray, langs: np.ndarray, seen: np.ndarray, languages: int):
+        """Entries by row (the place in ``grams``), language and how often it was seen there; rows ascend."""
+        self.index = {g: i for i, g in enumerate(grams)}
+        self.starts = np.searchsorted(rows, np.arange(len(grams) + 1))
+        self.langs = langs
+        self.above = np.log(seen + 0.5) - np.log(0.5)
+        self.lacking = np.log(0.5) - np.log(np.bincount(langs, weights=seen, minlength=languages) + 0.5 * (len(grams) + 1))
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """The sums over ``rows``, which may repeat."""
+        first = self.starts[rows]
+        sizes = self.starts[rows + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return len(rows) * self.lacking + np.bincount(self.langs[at], weights=self.above[at], minlength=len(self.lacking))
+
+
 class BackoffModel:
     """Per-language log frequencies of words and of character n-grams."""
 
-    def __init__(self, counts: dict[int, dict[str, dict[str, int]]], prior: dict[str, int]):
-        """counts: for order 0 (words) and each n-gram order, language -> text -> count."""
+    def __init__(self, seen: pa.Table, prior: dict[str, int]):
+        """seen: (n, gram, lang, seen), n being 0 for words; prior: labelled rows by language."""
         self.langs = sorted(prior, key=lambda x: (-prior[x], x))
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.index: dict[int, dict[str, int]] = {}
-        self.logs: dict[int, np.ndarray] = {}
+        place = pa.array(self.langs, pa.string())
+        self.tables: dict[int, LogTable] = {}
         for order in (0, *ORDERS):
-            by_lang = counts.get(order, {})
-            index = {g: i for i, g in enumerate(sorted({g for own in by_lang.values() for g in own}))}
-            raw = np.zeros((len(index), len(self.langs)))
-            for lang, own in by_lang.items():
-                for g, n in own.items():
-                    raw[index[g], at[lang]] = n
-            total = raw.sum(axis=0, keepdims=True)
-            self.index[order], self.logs[order] = index, np.log((raw + 0.5) / (total + 0.5 * (len(index) + 1)))
+            own = seen.filter(pc.equal(seen["n"], order)).sort_by([("gram", "ascending"), ("lang", "ascending")])
+            grams = pc.unique(own["gram"])
+            rows, langs = (pc.index_in(own[c], value_set=v).to_numpy().astype(np.int64) for c, v in (("gram", grams), ("lang", place)))
+            self.tables[order] = LogTable(grams.to_pylist(), rows, langs, own["seen"].to_numpy().astype(float), len(self.langs))
         self._forget()
 
     def _forget(self) -> None:
-        """An empty memo of scored unseen words: their rows in a table that grows to MEMO rows."""
+        """An empty memo of scored unseen words: their rows in a table that grows to MEMO numbers."""
         self._rows: dict[str, int] = {}
-        self._scores = np.zeros((1024, len(self.langs)))
+        self._scores = np.zeros((64, len(self.langs)))
 
     def unseen(self, word: str) -> np.ndarray:
         """Scores of a word that is not known: of its longest n-grams that are."""
         for n in ORDERS:
-            index = self.index[n]
-            if rows := [i for g in grams(word, n) if (i := index.get(g)) is not None]:
-                return self.logs[n][rows].mean(axis=0)
+            table = self.tables[n]
+            if rows := [i for g in grams(word, n) if (i := table.index.get(g)) is not None]:
+                return table.total(np.array(rows)) / len(rows)
         return np.zeros(len(self.langs))
 
     def _unseen_total(self, words: list[str]) -> np.ndarray:
-        if len(self._rows) > MEMO:  # a word that is gone is scored anew
+        if len(self._rows) * len(self.langs) > MEMO:  # a word that is gone is scored anew
             self._forget()
-        for word in {w for w in words if w not in self._rows}:
-            at = len(self._rows)
-            if at == len(self._scores):
-                self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-            self._scores[at] = self.unseen(word)
-            self._rows[word] = at
+        for word in words:
+            if word not in self._rows:
+                at = len(self._rows)
+                if at == len(self._scores):
+                    self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+                self._scores[at] = self.unseen(word)
+                self._rows[word] = at
         return self._scores[[self._rows[w] for w in words]].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         tokens = TOKEN.findall(text.lower()) if text else []
         if not self.langs or not (any(map(str.isalpha, tokens)) or any(c.isalpha() for t in tokens for c in t)):
             return UNKNOWN, 0.0
-        at = np.fromiter(map(self.index[0].get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+        at = np.fromiter(map(self.tables[0].index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
         known = at >= 0
-        score = self.logs[0][at[known]].sum(axis=0)
+        score = self.tables[0].total(at[known])
         if not known.all():
             score = score + self._unseen_total([tokens[i] for i in np.flatnonzero(~known)])
         score = (score - score.max()) / np.sqrt(len(tokens))
@@ -123,34 +145,33 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def train(docs: DataFrame, *, docs_per_lang: int = 2_000, words_per_lang: int = 20_000, grams_per_lang: int = 5_000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> BackoffModel:
+def train(docs: DataFrame, *, docs_per_lang: int = 2_000, sample: int = 100_000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> BackoffModel:
     """Fit on rows of ``docs`` with a language.
 
-    docs_per_lang bounds the sample of labelled rows: of a language with more, about that many are
-    drawn by a hash of the key. words_per_lang and grams_per_lang (an order) bound the model.
+    docs_per_lang and sample bound the labelled rows that are fitted on: of a language with more than
+    docs_per_lang, or than its even part of sample, about that many are drawn by a hash of key and text. All
+    words and n-grams of the drawn texts are in the model; only one row a language is collected besides.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang IS NOT NULL AND key IS NOT NULL AND text IS NOT NULL")
-    prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang IS NOT NULL AND key IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("lang", F.nullif("lang", F.lit(UNKNOWN))).where("lang IS NOT NULL")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    prior = {r["lang"]: r["n"] for r in sizes.collect()}
     if not prior:
-        return BackoffModel({}, {})
-    limits = F.create_map(*[x for k, n in prior.items() for x in (F.lit(k), F.lit(int(min(1.0, docs_per_lang / n) * (1 << 40))))])
-    sample = rows.where(uniform(F.col("key"), seed=10) < F.element_at(limits, F.col("lang"))).select("lang", "text")
-    seen = spread(sample).mapInArrow(_counts, "lang string, n int, gram string, seen long").groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
-    rank = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("seen"), "gram"))
-    kept = seen.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
-    counts: dict[int, dict[str, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
-    for lang_, n, gram, count in kept.select("lang", "n", "gram", "seen").collect():  # bounded by languages and the two parameters
-        counts[n][lang_][gram] = count
-    return BackoffModel(counts, prior)
+        return BackoffModel(pa.table({"n": pa.array([], pa.int32()), "gram": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "seen": pa.array([], pa.int64())}), {})
+    most = max(1, min(docs_per_lang, sample // len(prior)))
+    limits = spark.createDataFrame([(k, int(min(1.0, most / n) * (1 << 40))) for k, n in prior.items()], "lang string, upto long")
+    drawn = rows.join(F.broadcast(limits), "lang").where(uniform(F.col("key"), F.col("text"), seed=10) < F.col("upto")).select("lang", "text")  # a row for each language
+    seen = spread(drawn).mapInArrow(_counts, "lang string, n int, gram string, seen long").groupBy("n", "gram", "lang").agg(F.sum("seen").alias("seen"))
+    return BackoffModel(seen.toArrow(), prior)  # bounded by the vocabulary of the sample
 
 
 def identify(docs: DataFrame, model: BackoffModel, *, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, in place of columns of those names."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # its size is bounded by train()'s parameters
+    shared = spark.sparkContext.broadcast(model)  # bounded by the vocabulary of train()'s sample
     plain = replaced(spread(docs), lang_pred=F.lit(None).cast("string"), score=F.lit(None).cast("double"))
     at = [c.lower() for c in docs.columns].index(text.lower())
     source = docs.columns[at]
