@@ -2,12 +2,16 @@
 
 P(grade <= k) = sigmoid(threshold_k - w . x): one weight vector for all grades, and thresholds in order.
 Features are whether a text has a word, or a word with a given beginning of 3 to 6 letters (which holds
-inflected forms together); those that tell grades apart by a chi-square test are kept. Predictions are over
-whole texts and give the chance of each grade and the expected severity.
-
-Defined cases: a null text has no features and gets the grade chances of the thresholds alone; texts
-without labels, labels without a text and null grades aren't learned from; a document with several labels
-is learned once for each; nothing to learn from: severity 0 for all. Repeated rows stay; extra columns pass.
+inflected forms together). All that tell grades apart by a chi-square test are kept, whichever way they
+speak. Weights and thresholds maximise the penalised likelihood, found by L-BFGS over sparse rows.
+Predictions are over whole texts and give the chance of each grade and the expected severity.
+
+Defined cases: a null or empty text has no features and gets the grade chances of the thresholds alone; texts
+without labels, labels without a text, null grades and null doc_ids aren't learned from; a document with
+several different grades is learned once for each, with repeated equal ones once; of several texts under one
+doc_id the least is learned from; nothing to learn from, or an empty table: severity 0 for all; of equally
+likely grades the least is given. Very long texts are read whole. Repeated rows stay; extra columns pass, but
+for those with the names of the results, which these replace.
 """
 
 from __future__ import annotations
@@ -55,86 +59,126 @@ def features_of(text: str | None) -> set[str]:
 
 
 def chi_square(up: float, seen: float, m: float, n: float) -> float:
-    """Of a feature that ``seen`` of n samples have, ``up`` of them among the m graded above 0; negative
-    where it speaks for grade 0."""
+    """Of a feature that ``seen`` of n samples have, ``up`` of them among the m graded above 0."""
     num = up * (n - m - seen + up) - (m - up) * (seen - up)
-    return float(np.sign(num) * n * num * num / max(seen * (n - seen) * m * (n - m), 1e-9))
-
-
-def kept_features(counts: list[tuple[str, int, int]], m: int, n: int, most: int, chi: float) -> list[str]:
-    """Of (feature, samples, samples graded above 0) those that pass the test, the surest first."""
-    scored = sorted((-c, f) for f, seen, up in counts if up >= 3 and (c := chi_square(up, seen, m, n)) >= chi)
-    return [f for _, f in scored[:most]]
+    return float(n * num * num / max(seen * (n - seen) * m * (n - m), 1e-9))
 
 
-def fit(texts: list[set[str]], grades: list[int], *, most: int = 1_500, chi: float = 12.0) -> OrdinalModel:
+def fit(texts: list[set[str]], grades: list[int], *, chi: float = 12.0, support: int = 3) -> OrdinalModel:
     """A model of texts by their feature sets."""
     seen, up = Counter(), Counter()
     for own, g in zip(texts, grades, strict=True):
         seen.update(own)
         if g:
             up.update(own)
-    kept = kept_features([(f, n, up[f]) for f, n in seen.items()], sum(g > 0 for g in grades), len(grades), most, chi)
+    m, n = sum(g > 0 for g in grades), len(grades)
+    kept = sorted(f for f, k in seen.items() if k >= support and chi_square(up[f], k, m, n) >= chi)
     at = {f: i for i, f in enumerate(kept)}
     return fit_weights(kept, [[at[f] for f in own & at.keys()] for own in texts], grades)
 
 
-def fit_weights(kept: list[str], rows: list[list[int]], grades: list[int], *, ridge: float = 0.1, rounds: int = 400) -> OrdinalModel:
-    """Weights by maximum penalised likelihood, with Adam over all samples at once; ``rows`` holds each
-    sample's features by their place in ``kept``."""
+class Likelihood:
+    """The penalised negative log likelihood of sparse samples, and its gradient.
+
+    Parameters are the weights, the first threshold, and the logarithms of the steps to the next ones.
+    """
+
+    def __init__(self, rows: list[list[int]], grades: np.ndarray, features: int, levels: int, ridge: float):
+        self.sample = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.at = np.array([i for r in rows for i in r], dtype=np.int64)
+        self.y, self.features, self.levels, self.ridge = grades, features, levels, ridge
+
+    def thresholds(self, params: np.ndarray) -> np.ndarray:
+        first, steps = params[self.features], params[self.features + 1 :]
+        return first + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(steps, -30, 30)))])
+
+    def __call__(self, params: np.ndarray) -> tuple[float, np.ndarray]:
+        n, y, w, theta = len(self.y), self.y, params[: self.features], self.thresholds(params)
+        z = np.bincount(self.sample, weights=w[self.at], minlength=n)
+        cdf = np.ones((n, self.levels + 2))
+        cdf[:, 0] = 0
+        cdf[:, 1:-1] = 1 / (1 + np.exp(-np.clip(theta[None] - z[:, None], -50, 50)))
+        slope, each = cdf * (1 - cdf), np.arange(n)
+        p = np.maximum(cdf[each, y + 1] - cdf[each, y], 1e-12)
+        by_z = (slope[each, y + 1] - slope[each, y]) / p
+        by_theta = np.array([(slope[y == k + 1, k + 1] / p[y == k + 1]).sum() - (slope[y == k, k + 1] / p[y == k]).sum() for k in range(self.levels)])
+        by_w = np.bincount(self.at, weights=by_z[self.sample], minlength=self.features) + self.ridge * w
+        after = by_theta[::-1].cumsum()[::-1]  # a step moves all thresholds behind it
+        by_steps = after[1:] * np.exp(np.clip(params[self.features + 1 :], -30, 30))
+        return float(-np.log(p).sum() + self.ridge / 2 * (w @ w)), np.concatenate([by_w, after[:1], by_steps])
+
+
+def minimised(f, x: np.ndarray, *, rounds: int = 300, memory: int = 10, tolerance: float = 1e-4) -> np.ndarray:
+    """L-BFGS with backtracking, until no part of the gradient exceeds ``tolerance``."""
+    value, grad = f(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(grad).max() <= tolerance:
+            break
+        way, held = -grad, []
+        for s, g in reversed(moves):
+            held.append((s @ way) / (s @ g))
+            way = way - held[-1] * g
+        if moves:
+            s, g = moves[-1]
+            way = way * (s @ g) / (g @ g)
+        else:
+            way = way / max(1.0, np.linalg.norm(way))
+        for (s, g), a in zip(moves, reversed(held), strict=True):
+            way = way + (a - (g @ way) / (s @ g)) * s
+        slope, step = grad @ way, 1.0
+        if slope >= 0:
+            way, slope, moves = -grad, -(grad @ grad), []
+        while step > 1e-12:
+            new, after = f(x + step * way)
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, g = step * way, after - grad
+        if s @ g > 1e-12:
+            moves = [*moves[-memory + 1 :], (s, g)]
+        x, value, grad = x + s, new, after
+    return x
+
+
+def fit_weights(kept: list[str], rows: list[list[int]], grades: list[int], *, ridge: float = 0.1) -> OrdinalModel:
+    """Weights by maximum penalised likelihood; ``rows`` holds each sample's features by their place in
+    ``kept``."""
     y = np.asarray(grades, dtype=int)
     levels = int(y.max()) if len(y) else 0
     if levels == 0:
         return OrdinalModel({}, [50.0])
-    n = len(y)
-    x = np.zeros((n, len(kept)), dtype=np.float32)
-    for i, own in enumerate(rows):
-        x[i, own] = 1
+    f = Likelihood(rows, y, len(kept), levels, ridge)
     share = np.array([(y >= k).mean() for k in range(1, levels + 1)]).clip(1e-4, 1 - 1e-4)
-    theta, w = -np.log(share / (1 - share)), np.zeros(len(kept))
-    moments = [np.zeros(len(w) + levels) for _ in range(2)]
-    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -50, 50)))
-    for step in range(1, rounds + 1):
-        z = x @ w.astype(np.float32)
-        cdf = np.concatenate([np.zeros((n, 1)), sigmoid(theta[None] - z[:, None]), np.ones((n, 1))], axis=1)
-        slope = cdf * (1 - cdf)
-        p = np.maximum(cdf[np.arange(n), y + 1] - cdf[np.arange(n), y], 1e-9)
-        dz = (slope[np.arange(n), y + 1] - slope[np.arange(n), y]) / p  # of -log p by z
-        dt = np.zeros(levels)
-        for k in range(levels):
-            dt[k] = (slope[y == k + 1, k + 1] / p[y == k + 1]).sum() - (slope[y == k, k + 1] / p[y == k]).sum()
-        grad = np.concatenate([x.T @ dz.astype(np.float32) + ridge * w, dt])
-        for i, value in enumerate((grad, grad * grad)):
-            keep = (0.9, 0.999)[i]
-            moments[i] = keep * moments[i] + (1 - keep) * value
-        move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
-        w -= move[: len(w)]
-        theta = np.sort(theta - move[len(w) :])
-    return OrdinalModel(dict(zip(kept, map(float, w), strict=True)), [float(t) for t in theta])
-
-
-def train(docs: DataFrame, graded: DataFrame, *, sample: int = 5_000, most: int = 1_500, chi: float = 12.0, text: str = "text", key: str = "doc_id") -> OrdinalModel:
-    """Fit on rows of ``graded`` (doc_id, grade) joined to their texts; ``sample`` bounds how many are
-    drawn, by a hash of the key; ``most`` bounds the features."""
+    first = -np.log(share / (1 - share))
+    start = np.concatenate([np.zeros(len(kept)), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
+    found = minimised(f, start)
+    return OrdinalModel(dict(zip(kept, map(float, found), strict=False)), [float(t) for t in f.thresholds(found)])
+
+
+def train(docs: DataFrame, graded: DataFrame, *, sample: int = 5_000, chi: float = 12.0, support: int = 3, text: str = "text", key: str = "doc_id") -> OrdinalModel:
+    """Fit on rows of ``graded`` (doc_id, grade) joined to their texts; ``sample`` bounds how many different
+    ones are drawn, by a hash of the key, and so the features, of which all that pass the test are kept."""
     small_batches(docs.sparkSession)
-    rows = graded.where("grade IS NOT NULL AND doc_id IS NOT NULL")
+    rows = graded.select("doc_id", F.col("grade").cast("int").alias("grade")).where("grade IS NOT NULL AND doc_id IS NOT NULL").distinct()
     n = rows.count()
     drawn = rows.where(uniform(F.col("doc_id"), seed=6) < int(min(1.0, sample / max(1, n)) * (1 << 40)))
-    joined = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(drawn, "doc_id")
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    sampled = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # about ``sample`` rows
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(features_of(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "grade", "features"])
+            own = [sorted(features_of(x)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "grade", "features"])
 
-    sampled = joined.select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
-    got = cut(sampled.mapInArrow(found, "doc_id long, grade int, features array<string>"))  # bounded by the sample
+    got = cut(sampled.select("doc_id", "grade", "text").mapInArrow(found, "doc_id long, grade int, features array<string>"))  # bounded by the sample
     m, n = got.agg(F.count_if(F.col("grade") > 0), F.count("*")).first()
     counts = got.select(F.explode("features").alias("f"), (F.col("grade") > 0).alias("up")).groupBy("f").agg(F.count("*").alias("seen"), F.count_if("up").alias("up"))
     num = F.col("up") * (n - m - F.col("seen") + F.col("up")) - (m - F.col("up")) * (F.col("seen") - F.col("up"))
-    sure = F.lit(float(n)) * num * num / F.greatest(F.col("seen") * (n - F.col("seen")) * F.lit(float(m * (n - m))), F.lit(1e-9))
-    top = counts.where((F.col("up") >= 3) & (num > 0)).orderBy(F.desc(sure), "f").limit(2 * most)
-    kept = kept_features([tuple(r) for r in top.collect()], m, n, most, chi)
+    test = F.lit(float(n)) * num * num / F.greatest(F.col("seen") * (n - F.col("seen")) * F.lit(float(m * (n - m))), F.lit(1e-9))
+    kept = sorted(r["f"] for r in counts.where((F.col("seen") >= support) & (test >= chi)).select("f").collect())  # of the sample's vocabulary
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {f: i for i, f in enumerate(kept)}
@@ -150,7 +194,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, cutoff: float = 0.5,
     """``docs`` with at_least (chance of each grade or above), severity (expected grade), grade (the
     likeliest) and toxic (the chance of a grade above 0 is at least ``cutoff``)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most`` features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary of the sample
     added = {"at_least": "array<double>", "severity": "double", "grade": "int", "toxic": "boolean"}
     plain = replaced(spread(docs), **{k: F.lit(None).cast(v) for k, v in added.items()})
     source = next(c for c in docs.columns if c.lower() == text.lower())

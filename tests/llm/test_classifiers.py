@@ -1,6 +1,10 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lociscale.llm")
@@ -28,8 +32,13 @@ def test_language_id_holds_out_and_predicts(spark):
     assert found[903].lang_pred == "de" and found[None].held_out
 
 
+def seen_table(counts):
+    rows = [(n, g, lang, k) for n, by in counts.items() for lang, own in by.items() for g, k in own.items()]
+    return pa.table(dict(zip(("n", "gram", "lang", "seen"), (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int64()))))))
+
+
 def test_unseen_words_fall_back_to_shorter_ngrams():
-    model = langid.BackoffModel({0: {"a": {"xx": 5}, "b": {"yy": 5}}, 5: {"a": {"^long": 3}}, 2: {"b": {"qu": 9}}, 1: {"a": {"k": 4}, "b": {"z": 1}}}, {"a": 1, "b": 1})
+    model = langid.BackoffModel(seen_table({0: {"a": {"xx": 5}, "b": {"yy": 5}}, 5: {"a": {"^long": 3}}, 2: {"b": {"qu": 9}}, 1: {"a": {"k": 4}, "b": {"z": 1}}}), {"a": 1, "b": 1})
     assert model.predict("xx")[0] == "a" and model.predict("yy yy xx")[0] == "b"
     assert model.predict("longer")[0] == "a"  # its 5-gram
     assert model.predict("quip")[0] == "b"  # its 2-gram
@@ -37,6 +46,66 @@ def test_unseen_words_fall_back_to_shorter_ngrams():
     assert model.predict("ж") == (model.langs[0], 0.5)
 
 
+def brute_language(rows):
+    """Predictions from counts in plain dictionaries: all (doc_id, text, lang) not held out are learned."""
+    learned = [(t, lang) for i, t, lang in rows if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    prior = Counter(lang for _, lang in learned)
+    langs = sorted(prior, key=lambda x: (-prior[x], x))
+    seen = {n: {lang: Counter() for lang in langs} for n in range(6)}
+    tokens = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    split = lambda w, n: list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    for t, lang in learned:
+        for w in tokens(t):
+            seen[0][lang][w] += 1
+            for n in range(1, 6):
+                seen[n][lang].update(split(w, n))
+    size = {n: len({g for own in by.values() for g in own}) for n, by in seen.items()}
+    total = {n: {lang: sum(own.values()) for lang, own in by.items()} for n, by in seen.items()}
+    log = lambda g, n, lang: math.log((seen[n][lang][g] + 0.5) / (total[n][lang] + 0.5 * (size[n] + 1)))
+    out = {}
+    for i, t, _ in rows:
+        words = tokens(t or "")
+        if not words:
+            out[i] = ("und", 0.0)
+            continue
+        score = dict.fromkeys(langs, 0.0)
+        for w in words:
+            level, grams = next(((n, k) for n, k in [(0, [w]), *((n, split(w, n)) for n in (5, 4, 3, 2, 1))] if any(g in seen[n][lang] for g in k for lang in langs)), (None, []))
+            known = [g for g in grams if any(g in seen[level][lang] for lang in langs)]
+            for lang in langs:
+                score[lang] += sum(log(g, level, lang) for g in known) / max(1, len(known))
+        top = max(score.values())
+        chance = {lang: math.exp((v - top) / math.sqrt(len(words))) for lang, v in score.items()}
+        best = max(langs, key=lambda lang: (score[lang], -langs.index(lang)))
+        out[i] = (best, chance[best] / sum(chance.values()))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    """Many rare words, so that held-out texts fall back; ties, repeated rows, a long text, clashing names."""
+    rng = np.random.RandomState(5)
+    rows = []
+    for i in range(150):
+        lang = ["aa", "bb", "cc"][i % 3]
+        own = [rng.choice(["kat", "lor", "min"]) + lang + "".join(rng.choice(list("abcdest"), rng.randint(0, 5))) for _ in range(12)]
+        rows.append((i, " ".join(own), lang))
+    rows += [(200, None, "aa"), (201, "?", "bb"), (202, "ж", "cc"), (203, "katbb " * 20_000, None), (204, "", "aa")] + rows[:4]
+    df = spark.createDataFrame([(*r, "clash", 7.0) for r in rows], "doc_id long, text string, lang string, Lang_Pred string, score double")
+    expected = brute_language(rows)
+    found = langid.language_id(df)
+    assert Counter(c.lower() for c in found.columns).most_common(1)[0][1] == 1
+    got = found.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == expected[r.doc_id][0] and abs(r.score - expected[r.doc_id][1]) < 1e-9
+
+
+def test_a_language_without_end_is_drawn_by_the_documented_bound(spark):
+    df = spark.createDataFrame([(i, f"word{i % 7} other", "aa" if i % 2 else "bb") for i in range(600)], "doc_id long, text string, lang string")
+    model = langid.train(df, docs_per_lang=50)
+    assert model.langs == ["aa", "bb"] and model.predict("word3 other")[0] in ("aa", "bb")
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.language_id(df).collect()] == [("und", 0.0)]
@@ -76,6 +145,72 @@ def test_thresholds_are_ordered_and_share_weights():
     assert np.mean(right) > 0.95
 
 
+def dense_likelihood(x, y, w, theta, ridge):
+    edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    z = x @ w
+    cdf = 1 / (1 + np.exp(-(edges[None] - z[:, None])))
+    return -np.log(cdf[np.arange(len(y)), y + 1] - cdf[np.arange(len(y)), y]).sum() + ridge / 2 * w @ w
+
+
+def test_weights_against_a_dense_solution():
+    """No small move of any parameter of the fitted model raises a plainly written likelihood, and features
+    that speak for grade 0 are among them."""
+    rng = np.random.RandomState(8)
+    x = (rng.rand(300, 6) < 0.4).astype(float)
+    true = np.array([2.0, 1.0, -2.0, 0.0, 0.5, -1.0])
+    z = x @ true + rng.logistic(size=300)
+    y = (z > 0.5).astype(int) + (z > 2.0)
+    model = toxicity.fit_weights([f"f{i}" for i in range(6)], [list(np.flatnonzero(r)) for r in x], list(y))
+    w, theta = np.array([model.words[f"f{i}"] for i in range(6)]), np.array(model.thresholds)
+    best = dense_likelihood(x, y, w, theta, 0.1)
+    for i in range(8):
+        for step in (1e-3, -1e-3):
+            moved = np.concatenate([w, theta])
+            moved[i] += step
+            assert dense_likelihood(x, y, moved[:6], moved[6:], 0.1) >= best - 1e-7
+    assert w[0] > 1 and w[2] < -1 and np.all(np.abs(w - true) < 1)
+
+
+def test_all_features_that_pass_the_test_are_kept():
+    rows = list(graded(800))
+    own = [toxicity.features_of(t) | ({f"mild{i % 4}"} if g == 0 else set()) for i, t, g in rows]
+    grades = [g for *_, g in rows]
+    model = toxicity.fit(own, grades)
+    n, m = len(rows), sum(g > 0 for g in grades)
+    passing = set()
+    for f in set().union(*own):
+        a = sum(f in x and g > 0 for x, g in zip(own, grades))
+        b = sum(f in x and g == 0 for x, g in zip(own, grades))
+        cells = [(a, (a + b) * m / n), (b, (a + b) * (n - m) / n), (m - a, (n - a - b) * m / n), (n - m - b, (n - a - b) * (n - m) / n)]
+        if a + b >= 3 and sum((o - e) ** 2 / max(e, 1e-12) for o, e in cells) >= 12:
+            passing.add(f)
+    kept = set(model.words) | {f"{h}*" for heads in model.heads.values() for h in heads}
+    assert kept == passing and any(f.startswith("mild") for f in kept) and all(model.words[f"mild{i}"] < 0 for i in range(4))
+
+
+def test_predictions_against_the_formula(spark):
+    model = toxicity.OrdinalModel({"vile": 2.0, "wor*": 0.5, "kind": -3.0}, [1.0, 2.5])
+    docs = spark.createDataFrame([(1, "Vile words", "x"), (2, "kind", "x"), (2, "kind", "x"), (3, None, "x")], "doc_id long, text string, Grade string")
+    found = toxicity.score_toxicity(docs, model)
+    assert found.columns == ["doc_id", "text", "at_least", "severity", "grade", "toxic"]
+    for r in found.collect():
+        x = {1: 2.5, 2: -3.0, 3: 0.0}[r.doc_id]
+        chances = [1 / (1 + math.exp(t - x)) for t in (1.0, 2.5)]
+        grades = [1 - chances[0], chances[0] - chances[1], chances[1]]
+        assert np.allclose(r.at_least, chances) and abs(r.severity - (grades[1] + 2 * grades[2])) < 1e-12
+        assert r.grade == grades.index(max(grades)) and r.toxic == (chances[0] >= 0.5)
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_repeated_labels_and_documents_are_learned_once(spark):
+    rows = list(graded(200))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, rows[1][1])] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows] + [(1, rows[1][2])] * 300, "doc_id long, grade int")
+    once = toxicity.train(spark.createDataFrame([(i, t) for i, t, _ in rows], docs.schema), spark.createDataFrame([(i, g) for i, _, g in rows], labels.schema))
+    again = toxicity.train(docs, labels)
+    assert again.words == once.words and again.thresholds == once.thresholds
+
+
 def test_toxicity_over_a_table(spark):
     rows = list(graded(600))
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(None, "vile rude3", "x"), (9000, None, "x"), (9001, "", "x"), (9002, "word1 " * 200_000 + "vile rude4", "x")], "doc_id long, text string, toxic string")
