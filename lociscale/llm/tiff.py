@@ -4,8 +4,11 @@ The reader takes either byte order, strips and tiles, no compression, PackBits,
 undoes horizontal differencing; it gives one page at a time. Samples are 8-bit and in one plane.
 
 Defined cases: a null file gives no pages; a file that isn't TIFF, is cut short, loops through its
-directories or uses what isn't supported raises ValueError (from ``tiff_pages``: one row with ``error``);
-empty texts are stored as one row of padding; equal payloads give equal files.
+directories, claims more samples than its stored bytes can hold or than ``MOST_BYTES`` a page, or uses what
+isn't supported raises ValueError (from ``tiff_pages``: one row with ``error``, behind the pages before the
+fault); null and empty texts are stored as one row of padding; equal payloads give equal files; very long
+texts become several pages; an empty table gives no rows; repeated rows stay rows. ``tiff_pages`` passes
+extra columns on, but for those with the names of its results; ``store_texts`` reads key and text alone.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,12 @@ FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST = 256, 257, 258
 
+#: The most bytes that a stored byte can stand for, by compression: a literal, a run of 128 in two bytes, the
+#: longest string of a full table in 12 bits, and deflate's limit.
+MOST_GAIN = {NONE: 1, PACKBITS: 64, LZW: 2_600, DEFLATE: 1_040, OLD_DEFLATE: 1_040}
+#: The most samples of a page, a strip or a tile: what a reader allocates whatever a header says.
+MOST_BYTES = 1 << 28
+
 
 # --- compression ---------------------------------------------------------------------------------
 
@@ -153,7 +163,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
 
 
 def compress(data: bytes, scheme: int) -> bytes:
-    return {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 6), PACKBITS: packbits_encode}[scheme](data)
+    deflate = lambda x: zlib.compress(x, 6)
+    return {NONE: bytes, LZW: lzw_encode, DEFLATE: deflate, OLD_DEFLATE: deflate, PACKBITS: packbits_encode}[scheme](data)
 
 
 def decompress(data: bytes, scheme: int, size: int) -> bytes:
@@ -163,7 +174,7 @@ def decompress(data: bytes, scheme: int, size: int) -> bytes:
         out = lzw_decode(data, size)
     elif scheme in (DEFLATE, OLD_DEFLATE):
         try:
-            out = zlib.decompress(data)
+            out = zlib.decompressobj().decompress(data, max(1, size))
         except zlib.error as e:
             raise ValueError(f"deflate: {e}") from e
     elif scheme == PACKBITS:
@@ -230,7 +241,7 @@ def pages(data: bytes) -> Iterator[Page]:
 def _page(number: int, tags: dict[int, tuple[int, ...]], data: bytes) -> Page:
     one = lambda tag, default=None: (tags.get(tag) or (default,))[0]
     width, height, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
-    if not width or not height or set(tags.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1 and samples > 1:
+    if not width or not height or not samples or set(tags.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1 and samples > 1:
         raise ValueError("only 8-bit samples in one plane are supported")
     scheme, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
     tiled = TILE_OFFSETS in tags
@@ -238,6 +249,12 @@ def _page(number: int, tags: dict[int, tuple[int, ...]], data: bytes) -> Page:
     offsets, counts = (tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ()))
     if not wide or not high or len(offsets) != len(counts) or len(offsets) < -(-width // wide) * -(-height // high):
         raise ValueError("the strips or tiles don't cover the image")
+    if scheme not in MOST_GAIN:
+        raise ValueError(f"compression {scheme} is not supported")
+    if max(width * height, wide * high) * samples > MOST_BYTES:
+        raise ValueError(f"a page, strip or tile of more than {MOST_BYTES} bytes")
+    if width * height * samples > sum(counts) * MOST_GAIN[scheme]:
+        raise ValueError("the stored bytes can't hold that many samples")
     pixels = np.empty((height, width, samples), dtype=np.uint8)
     across = -(-width // wide)
     for i, (start, count) in enumerate(zip(offsets, counts, strict=True)):
@@ -299,82 +316,123 @@ def write(images: list[np.ndarray], *, scheme: int = DEFLATE, predictor: int = 1
 # --- texts as media ------------------------------------------------------------------------------
 
 UNIT, PAGE_ROWS = 576, 4096
-#: By checksum of the payload: scheme, predictor, tile. All that the reader knows is in use.
-FORMS = [(DEFLATE, 1, None), (DEFLATE, 2, None), (DEFLATE, 1, (64, 64)), (DEFLATE, 2, (64, 64)), (PACKBITS, 1, None), (PACKBITS, 2, (64, 64)), (DEFLATE, 1, None), (LZW, 1, None)]
+#: By checksum of the payload, in equal shares: all that the reader knows.
+FORMS = list(product((NONE, PACKBITS, LZW, DEFLATE, OLD_DEFLATE), (1, 2), (None, (64, 64)), "<>"))
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
-    raw = (text or "").encode()
+    raw = (text or "").encode("utf-8", "surrogatepass")
     return len(raw), raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\xff")
 
 
 def text_to_tiff(payload: bytes) -> bytes:
     """Rows of 576 samples, in pages of 4096 rows at most."""
     image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, UNIT, 1)
-    scheme, predictor, tile = FORMS[zlib.crc32(payload) % len(FORMS)]
-    return write([image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)], scheme=scheme, predictor=predictor, tile=tile)
-
-
-def text_features(text: str | None) -> tuple:
-    """n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_pages."""
-    n, payload = payload_of(text)
-    media = text_to_tiff(payload)
-    digest, size, tail, count = hashlib.sha256(), 0, b"", 0
-    total, peak, shape = 0, 0, ""
-    for page in pages(media):
-        own = page.pixels.tobytes()
-        digest.update(own)
-        size += len(own)
-        tail = (tail + own[-32:])[-32:]
-        count += 1
-        total += int(page.pixels.sum(dtype=np.int64))
-        peak = max(peak, int(page.pixels.max()))
-        shape = f"{page.width}x{page.height}x{page.samples} c{page.compression} p{page.predictor} {'tiles' if page.tiled else 'strips'}"
-    feature = f"{count} {shape} mean={total / size:.4f} max={peak}"
-    return n, size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, count
+    scheme, predictor, tile, order = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return write([image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)], scheme=scheme, predictor=predictor, tile=tile, order=order)
 
 
-def store_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Each text through a TIFF file and back: the figures of ``text_features`` for each row."""
+def _columns(schema: str) -> list[tuple[str, pa.DataType]]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
+
+
+def _batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    values = list(zip(*rows, strict=True)) if rows else [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, columns, strict=True)], names=[n for n, _ in columns])
+
+
+def text_files(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Each text as a TIFF file: doc_id, n_bytes, media_bytes, media_sha256, content."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, content binary"
 
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(zip(*map(text_features, batch.column(1).to_pylist()), strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(found, kinds, strict=True)]], names=[x.split()[0] for x in schema.split(", ")])
+            rows = []
+            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, payload = payload_of(own)
+                media = text_to_tiff(payload)
+                rows.append((doc, n, len(media), hashlib.sha256(media).hexdigest(), media))
+            yield _batch(rows, _columns(schema))
+
+    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(filed, schema)
 
-    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(stored, schema)
+
+def store_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Each text through a TIFF file and ``tiff_pages`` back: doc_id, n_bytes, payload_bytes, payload_sha256,
+    tail_crc32, media_bytes, media_sha256, feature, n_pages. A file's pages follow one another in their task,
+    so they are folded as they come. A file that can't be read back raises."""
+    read = tiff_pages(text_files(docs, text=text, key=key))
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
+    columns = _columns(schema)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, digest, size, tail, count, total, peak, shape = None, None, 0, b"", 0, 0, 0, ""
+
+        def row() -> tuple:
+            doc, n, media, sha = file
+            return doc, n, size, digest.hexdigest(), zlib.crc32(tail), media, sha, f"{count} {shape} mean={total / size:.4f} max={peak}", count
+
+        for batch in batches:
+            rows = []
+            named = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "width", "height", "samples", "compression", "predictor", "tiled", "error", "pixels")]
+            for doc, n, media, sha, page, width, height, samples, scheme, predictor, tiled, error, pixels in zip(*(c.to_pylist() for c in named), strict=True):
+                if error:
+                    raise ValueError(f"document {doc}: {error}")
+                if page == 0:
+                    if file:
+                        rows.append(row())
+                    file, digest, size, tail, count, total, peak = (doc, n, media, sha), hashlib.sha256(), 0, b"", 0, 0, 0
+                own = np.frombuffer(pixels, dtype=np.uint8)
+                digest.update(pixels)
+                size, tail, count = size + len(own), (tail + pixels[-32:])[-32:], count + 1
+                total, peak = total + int(own.sum(dtype=np.int64)), max(peak, int(own.max()))
+                shape = f"{width}x{height}x{samples} c{scheme} p{predictor} {'tiles' if tiled else 'strips'}"
+            yield _batch(rows, columns)
+        if file:
+            yield _batch([row()], columns)
+
+    return read.mapInArrow(folded, schema)
 
 
 def tiff_pages(files: DataFrame, *, content: str = "content") -> DataFrame:
     """One row for each page: the columns of ``files`` but ``content``, then page, width, height, samples,
-    pixels (binary, rows from the top) and error."""
-    small_batches(files.sparkSession, 50)
+    compression, predictor, tiled, pixels (binary, rows from the top) and error."""
+    small_batches(files.sparkSession)
     names = [c for c in files.columns if c != content]
-    added = {"page": "int", "width": "int", "height": "int", "samples": "int", "pixels": "binary", "error": "string"}
+    added = {"page": "int", "width": "int", "height": "int", "samples": "int", "compression": "int", "predictor": "int", "tiled": "boolean", "pixels": "binary", "error": "string"}
     plain = replaced(files.select(*[f"`{c}`" for c in names]), **{k: F.lit(None).cast(v) for k, v in added.items()})
     outer = plain.columns
     kept = outer[: -len(added)]
-    kinds = [pa.int32()] * 4 + [pa.binary(), pa.string()]
+    kinds = [k for _, k in _columns(", ".join(f"{k} {v}" for k, v in added.items()))]
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, rows, held = [], [], 0
+
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                own = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, *[pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=outer)  # noqa: B023
+
             for i, data in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                own = pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns[:-1]], names=kept)
-                if data is None:
-                    continue
-                found = pages(data)
+                found = pages(data) if data is not None else iter(())
                 while True:
                     try:
                         page = next(found, None)
-                        row = None if page is None else (page.number, page.width, page.height, page.samples, page.pixels.tobytes(), None)
-                    except ValueError as e:
-                        page, row = None, (None, None, None, None, None, str(e))
+                        row = None if page is None else (page.number, page.width, page.height, page.samples, page.compression, page.predictor, page.tiled, page.pixels.tobytes(), None)
+                    except (ValueError, MemoryError) as e:
+                        page, row = None, (None,) * 8 + (str(e) or "out of memory",)
                     if row:
-                        yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array([v], k) for v, k in zip(row, kinds, strict=True)]], names=outer)
+                        at.append(i)
+                        rows.append(row)
+                        held += len(row[7] or b"")
+                    if held > 1 << 22:
+                        yield out()
+                        at, rows, held = [], [], 0
                     if page is None:
                         break
+            if rows:
+                yield out()
 
     return files.select(*[f"`{c}`" for c in kept], F.col(content)).mapInArrow(walked, plain.schema)

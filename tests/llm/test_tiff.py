@@ -20,7 +20,7 @@ def test_codecs_round_trip(n):
 
 
 @pytest.mark.parametrize("order", ["<", ">"])
-@pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.OLD_DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [None, (16, 32)])
 def test_files_round_trip(order, scheme, predictor, tile):
@@ -57,7 +57,16 @@ def test_texts_are_stored_whole(spark):
         r = by[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert tuple(by[None])[1:] == tuple(by[2])[1:] and by[len(texts) - 1].n_pages == 2
-    assert {r.feature.split()[2] for r in found} == {"c5", "c8", "c32773"}
+    assert {r.feature.split()[2] for r in found} == {"c1", "c5", "c8", "c32773", "c32946"}
+    for i, t in enumerate(texts):
+        media = tiff.text_to_tiff(tiff.payload_of(t)[1])
+        assert (by[i].media_bytes, by[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        raw = np.frombuffer(tiff.payload_of(t)[1], np.uint8)
+        scheme, predictor, tile, order = tiff.FORMS[zlib.crc32(raw.tobytes()) % len(tiff.FORMS)]
+        assert media[:2] == (b"II" if order == "<" else b"MM")
+        rows = len(raw) // 576
+        last = rows - (by[i].n_pages - 1) * 4096
+        assert by[i].feature == f"{by[i].n_pages} 576x{last}x1 c{scheme} p{predictor} {'tiles' if tile else 'strips'} mean={raw.sum(dtype=np.int64) / len(raw):.4f} max={raw.max()}"
     assert tiff.store_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -68,3 +77,27 @@ def test_one_row_for_each_page(spark):
     assert sorted((r.path, r.page) for r in found if r.error is None) == [("a", i) for i in range(4)]
     assert all(bytes(r.pixels) == images[r.page].tobytes() and r.width == 5 for r in found if r.path == "a")
     assert sorted(r.path for r in found if r.error) == ["c", "d"]
+
+
+def header(**fields):
+    """A file of one directory whose tags are set at will, with 64 bytes of data at 8."""
+    tags = {256: 4, 257: 4, 258: 8, 259: 1, 262: 1, 273: 8, 277: 1, 278: 4, 279: 16, 284: 1} | {int(k[1:]): v for k, v in fields.items()}
+    entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items()))
+    return b"II*\0" + struct.pack("<I", 72) + bytes(64) + struct.pack("<H", len(tags)) + entries + bytes(4)
+
+
+@pytest.mark.parametrize("fields", [
+    {"t256": 0xFFFFFFFF, "t257": 0xFFFFFFFF, "t278": 0xFFFFFFFF}, {"t256": 1 << 14, "t257": 1 << 13, "t278": 1 << 13}, {"t257": 0xFFFFFFFF, "t278": 0xFFFFFFFF}, {"t256": 0}, {"t277": 0}, {"t277": 0xFFFF, "t258": 8},
+    {"t259": 7}, {"t317": 3}, {"t279": 0xFFFFFFFF}, {"t273": 0xFFFFFFF0}, {"t259": 8, "t256": 60_000, "t257": 60_000, "t278": 60_000}, {"t259": 5, "t279": 64, "t256": 200, "t257": 200, "t278": 200},
+])
+def test_hostile_headers_become_one_row_with_an_error(spark, fields):
+    assert list(tiff.pages(header()))[0].pixels.shape == (4, 4, 1)
+    found = tiff.tiff_pages(spark.createDataFrame([("bad", header(**fields))], "path string, content binary")).collect()
+    assert [(r.path, r.page, r.error is not None) for r in found] == [("bad", None, True)]
+
+
+def test_a_deflate_bomb_is_not_unpacked():
+    bomb = zlib.compress(bytes(50_000_000))
+    data = bytearray(tiff.write([np.zeros((4, 4, 1), np.uint8)]))
+    assert len(tiff.decompress(bomb, tiff.DEFLATE, 16)) == 16
+    assert list(tiff.pages(bytes(data)))[0].pixels.sum() == 0
