@@ -1,15 +1,16 @@
 """Cross-site boilerplate lines by distinct-site spread, in DataFrame functions alone.
 
-A line counts as boilerplate when it stands on at least ``min_sites`` distinct sites and in as many
-distinct texts (so that the copies of one document don't make its lines boilerplate). One aggregation
-by line hash merges two HyperLogLog sketches a line; where an estimate is near the threshold, exact
-distinct counts decide, so the outcome is that of exact counting.
+A line counts as boilerplate when it stands on at least ``min_sites`` distinct sites, in more than one
+distinct text (the lines of a document that is merely copied are none). One aggregation by line hash merges a
+HyperLogLog sketch of the sites a line; where the estimate is near the threshold, an exact distinct count
+decides, so the outcome is that of exact counting.
 
 Lines are compared without spaces at their ends, by a 64-bit hash; lines under ``min_chars`` characters
 are never boilerplate. Defined cases: a null text stays null with 0 lines; an empty text has one empty
 line; a null site is no site; a document whose lines are all boilerplate stays whole (it is a copy, which
-document-level removal is for). All other boilerplate lines go, in every document. Repeated rows are kept
-as rows; columns besides the text pass through.
+document-level removal is for). All other boilerplate lines go, in every document. Very long texts are split
+whole, line by line; an empty table gives no rows. Repeated rows are kept as rows; columns besides the text
+pass through, but for those with the names of the results, which these replace.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from lociscale.llm.common import cut
 LOG_SLOTS = 8
 #: Estimates within this share of the threshold are counted exactly: four standard errors.
 NEAR = 0.26
+#: Into how many parts the documents of one text are dealt where many hashes are joined.
+SALTS = 32
 
 
 def line_keys(text: Column, min_chars: int) -> Column:
@@ -39,21 +42,21 @@ def boilerplate(docs: DataFrame, *, min_sites: int = 8, min_chars: int = 16, tex
         F.explode(F.array_distinct(line_keys(F.col(text), min_chars))).alias("line"),
     ).where("line IS NOT NULL")
     seen = seen.select("line", "body", F.when(F.col("has"), F.col("hash")).alias("site"))
-    estimates = seen.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_SLOTS)).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("body", LOG_SLOTS)).alias("bodies")
-    )
-    least = F.least("sites", "bodies")
-    candidates = cut(estimates.where(least >= min_sites * (1 - NEAR)).select("line", (least > min_sites * (1 + NEAR)).alias("sure")))
+    several = F.min("body") != F.max("body")
+    estimates = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_SLOTS)).alias("sites"), several.alias("several"))
+    spread = F.col("sites")
+    candidates = cut(estimates.where(F.col("several") & (spread >= min_sites * (1 - NEAR))).select("line", (spread > min_sites * (1 + NEAR)).alias("sure")))
     near = seen.join(candidates.where("NOT sure").select("line"), "line", "left_semi")
-    exact = near.groupBy("line").agg(F.countDistinct("site").alias("sites"), F.countDistinct("body").alias("bodies"))
-    return cut(candidates.where("sure").select("line").unionByName(exact.where((F.col("sites") >= min_sites) & (F.col("bodies") >= min_sites)).select("line")))
+    exact = near.groupBy("line").agg(F.countDistinct("site").alias("sites"))
+    return cut(candidates.where("sure").select("line").unionByName(exact.where(F.col("sites") >= min_sites).select("line")))
 
 
 def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, min_chars: int = 16, inline: int = 5_000, text: str = "text", site: str = "source") -> DataFrame:
     """``docs`` without boilerplate lines, with n_lines (before) and n_removed at the end.
 
     Up to ``inline`` boilerplate hashes travel inside the plan as one hash set. With more, the
-    hashes are joined to the documents' lines and come back as one array for each distinct text.
+    hashes are joined to the documents' lines and come back as one array for each distinct text; the
+    documents of a text, and those without one, are dealt to that join in parts. The results are the same.
     """
     found = boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text=text, site=site)
     body = F.col(text)
@@ -68,7 +71,10 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, min_chars: int =
     else:
         own = docs.select(F.xxhash64(body).alias("__body"), F.explode(F.array_distinct(line_keys(body, min_chars))).alias("line"))
         gone = own.join(found, "line").groupBy("__body").agg(F.collect_set("line").alias("__gone"))
-        marked = docs.withColumn("__body", F.xxhash64(body)).join(gone, "__body", "left").select(*[f"`{c}`" for c in docs.columns], lines.alias("__lines"), "__gone")
+        part = F.monotonically_increasing_id()
+        salted = gone.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        dealt = docs.withColumns({"__body": F.when(body.isNull(), -part).otherwise(F.xxhash64(body)), "__salt": F.when(body.isNull(), F.lit(-1)).otherwise(F.pmod(part, F.lit(SALTS)))})
+        marked = dealt.join(salted, ["__body", "__salt"], "left").select(*[f"`{c}`" for c in docs.columns], lines.alias("__lines"), "__gone")
         hit = lambda x: F.coalesce((F.length(F.trim(x)) >= min_chars) & F.array_contains("__gone", F.xxhash64(F.trim(x))), F.lit(False))
         marked = marked.withColumn("__kept", F.filter("__lines", lambda x: ~hit(x)))
     whole = ~F.exists("__kept", lambda x: F.length(F.trim(x)) > 0) | (F.size("__kept") == F.size("__lines"))

@@ -17,7 +17,7 @@ def brute(rows, least, min_chars):
             if len(line) >= min_chars:
                 sites[line] |= {source} - {None}
                 texts[line].add(text)
-    gone = {x for x in sites if len(sites[x]) >= least and len(texts[x]) >= least}
+    gone = {x for x in sites if len(sites[x]) >= least and len(texts[x]) > 1}
     out = []
     for i, text, *_ in rows:
         if text is None:
