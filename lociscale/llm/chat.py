@@ -6,8 +6,9 @@ what was there rewrites history, which is reported and leaves the conversation w
 text is located inside its span by rendering two probes in its place: they differ just where it goes.
 
 Defined cases: turns are in order of (turn, role, text), nulls last; repeated rows are turns of their own;
-a null text or role is empty; rows with a null conv_id are one conversation; an empty table gives no rows;
-columns besides the four are not read. A conversation is one string in the result, so one task holds it.
+a null text or role is empty; very long texts and conversations are rendered whole; a row without a conv_id
+belongs to no conversation and is formatted alone; an empty table gives no rows; columns besides the four are
+not read. A conversation is one string in the result, so one task holds it.
 """
 
 from __future__ import annotations
@@ -34,10 +35,15 @@ _FORTH = str.maketrans(ESCAPES)
 
 
 @lru_cache(maxsize=1024)
-def _escaped(text: str) -> str:
+def _remembered(text: str) -> str:
     return text.translate(_FORTH)
 
 
+def _escaped(text: str) -> str:
+    """Escaped; those of short texts are remembered, which prefixes repeat."""
+    return _remembered(text) if len(text) < 4096 else text.translate(_FORTH)
+
+
 class MarkedTemplate:
     """Turns between control strings; texts are escaped so that they can't hold any, reversibly."""
 
@@ -117,17 +123,18 @@ def format_conversations(turns: DataFrame, template: MarkedTemplate | None = Non
     small_batches(spark, 2000)
     text = [F.col(c).cast("string").alias(c) for c in ("role", "text")]
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *text)
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text"))
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    rows = rows.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text"))
     figures = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
     schema = f"conv_id long, {figures}" + ", formatted string, spans array<struct<start:int,end:int,text_start:int,text_end:int>>" * with_output
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
         key, held = (), []
-        for (conv,), part in streamed_groups(batches, ["conv_id"], 10_000):
-            if (conv,) != key and key:
+        for own, part in streamed_groups(batches, ["conv_id", "alone"], 10_000):
+            if own != key and key:
                 yield key[0], held
                 held = []
-            key = (conv,)
+            key = own
             held += [(r or "", t or "") for r, t in zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)]
         if key:
             yield key[0], held
