@@ -86,12 +86,18 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
+#: CRC-32 in SQL: its table of 256 entries from the polynomial, and the checksum of a hexadecimal string.
+CRC_TABLE = """crc_steps(i, k, x) AS (
+            SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM crc_steps WHERE k < 8
+        ), crc_table AS (SELECT list(x ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
 SQL: dict[str, str] = {
     "op1_chat_formatting": r"""
         WITH turns AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL
         ), sized AS (
             SELECT *, 15 + length(role) + length(text)
                 + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<:]', '', 'g')) - 1 AS chars
@@ -102,7 +108,39 @@ SQL: dict[str, str] = {
             CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS LAST, role, text), '')) AS loss_sha256,
             CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites_history
-        FROM sized GROUP BY conv_id
+        FROM sized GROUP BY conv_id, alone
+    """,
+    "op2_histogram_sort": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        docs AS (
+            SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, coalesce(hex(encode(text)), '') AS h,
+                coalesce(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT), 0) AS a, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS b
+            FROM documents
+        ), summed AS (
+            SELECT *, CAST(sum(size) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total, greatest(50000, count(*) OVER () // 1000000) AS per FROM docs
+        ), cut AS (
+            SELECT *, CAST(len(list_filter([total * i // 8 for i in range(1, 8)], lambda x: upto - size >= x OR (upto > x AND x - (upto - size) <= upto - x))) AS INTEGER) AS shard,
+                a // (1152921504606846976 // (greatest(1, (SELECT count(*) FROM docs) // per) * 16) + 1) AS p
+            FROM summed
+        ), parted AS (
+            SELECT *, b // (1152921504606846976 // (CASE WHEN count(*) OVER (PARTITION BY shard, p) > per THEN count(*) OVER (PARTITION BY shard, p) // per + 1 ELSE 1 END) + 1) AS q FROM cut
+        )
+        SELECT doc_id, size, CAST({CRC.format(h="h")} AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+            CAST(row_number() OVER (PARTITION BY shard ORDER BY p, q, a, b) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM parted, crc_table
+    """,
+    "op3_hilbert_neighbours": r"""
+        WITH cleaned AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), rows AS (
+            SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda x, y: x + y)) AS norm FROM (SELECT DISTINCT vec_id, v FROM cleaned)
+        ), scored AS (
+            SELECT q.vec_id AS query_id, r.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i]), lambda x, y: x + y) / (q.norm * r.norm) AS score
+            FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND NOT (q.vec_id = r.vec_id AND q.v = r.v)
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
     """,
     "op7_water_filling_mix": r"""
         WITH docs AS (
@@ -139,7 +177,7 @@ SQL: dict[str, str] = {
             SELECT source, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM documents
         ), boiler AS (
             SELECT line FROM lines WHERE length(line) >= 16
-            GROUP BY line HAVING count(DISTINCT source) >= 8 AND count(DISTINCT text) >= 8
+            GROUP BY line HAVING count(DISTINCT source) >= 8 AND count(DISTINCT text) > 1
         ), gone AS (SELECT coalesce(list(line), []) AS lines FROM boiler),
         kept AS (
             SELECT doc_id, text, string_split(text, chr(10)) AS own, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(g.lines, trim(x, ' '))) AS rest

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import pytest
@@ -51,3 +52,32 @@ def test_odd_inputs(spark):
 def test_more_shards_than_rows(spark):
     found = shards(spark.createDataFrame([(1, "a", None, None), (2, "bb", None, None)], SCHEMA), shards=8)
     assert len(found) == 2 and all(0 <= r["shard"] < 8 for r in found)
+
+
+def brute(rows, shards):
+    """doc_id to shard, by sorting all rows and cutting at the nearest row to each even part of the bytes."""
+    h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    own = sorted((0 if t is None else h(t), h("" if i is None else str(i)), len((t or "").encode()) + 1, str(i)) for i, t, *_ in rows)
+    total, upto, out = sum(r[2] for r in own), 0, []
+    for *_, size, i in own:
+        cuts = [total * k // shards for k in range(1, shards)]
+        out.append((i, sum(upto >= c or (upto + size > c and c - upto <= upto + size - c) for c in cuts)))
+        upto += size
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shards_", [2, 5, 8])
+def test_against_brute_force(spark, shards_):
+    rows = [(i, f"text {i} " * (i % 13), None, None) for i in range(700)] + [(1000 + i, "a copy", None, None) for i in range(400)] + [(None, None, None, None)] * 3 + [(7, "x" * 30_000, None, None)] * 2
+    found = shards(spark.createDataFrame(rows, SCHEMA), shards=shards_, rows_per_range=40)
+    assert sorted((str(r["doc_id"]), r["shard"]) for r in found) == brute(rows, shards_)
+    for k in range(shards_):
+        assert sorted(r["slot"] for r in found if r["shard"] == k) == list(range(sum(r["shard"] == k for r in found)))
+
+
+def test_parts_grow_with_a_group_of_copies(spark):
+    """Copies of one text fill a range; it is cut into as many parts as they need, and slots stay gapless."""
+    rows = [(i, "the same text", None, None) for i in range(3000)]
+    found = shards(spark.createDataFrame(rows, SCHEMA), shards=2, rows_per_range=100)
+    assert sorted((str(r["doc_id"]), r["shard"]) for r in found) == brute(rows, 2)
+    assert all(sorted(r["slot"] for r in found if r["shard"] == k) == list(range(1500)) for k in (0, 1))
