@@ -54,6 +54,41 @@ def neg_log10(p: Column) -> Column:
     return F.when(p > 0, -F.log10(p))
 
 
+#: Wichura's rational approximations of the normal quantile (AS 241, 1988): for the middle, the
+#: shoulders and the tails, numerator and denominator from the highest power down.
+NORMAL_QUANTILE = {
+    "middle": (
+        (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+        (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867, 5394.1960214247511077, 687.18700749205790830, 42.313330701600911252, 1.0),
+    ),
+    "shoulder": (
+        (7.7454501427834140764e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258, 3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+        (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0),
+    ),
+    "tail": (
+        (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580, 5.46378491116411436990, 6.65790464350110377720),
+        (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+    ),
+}
+
+
+def normal_quantile(p: Column) -> Column:
+    """The quantile of the standard normal distribution, to 16 digits; null outside (0, 1)."""
+    def ratio(part: str, r: Column) -> Column:
+        ends = []
+        for powers in NORMAL_QUANTILE[part]:
+            total = F.lit(powers[0])
+            for c in powers[1:]:
+                total = total * r + F.lit(c)
+            ends.append(total)
+        return ends[0] / ends[1]
+
+    q = p - 0.5
+    far = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    outer = F.signum(q) * F.when(far <= 5, ratio("shoulder", far - 1.6)).otherwise(ratio("tail", far - 5))
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * ratio("middle", 0.180625 - q * q)).otherwise(outer))
+
+
 def distance_decay(distance: Column, scale: float = 2000.0) -> Column:
     return F.exp(-F.abs(distance) / F.lit(scale))
 
@@ -214,6 +249,11 @@ def hash_draw(seed: str, bound: Column, *counters: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") % bound
 
 
+def derived_seed(base: int, label: Column) -> Column:
+    """A 32-bit seed from a base seed and a label: the first 64 bits of a SHA-256, modulo 2**32."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(base)), label.cast("string")), 256), 9, 8), 16, 10).cast("long")
+
+
 def cache_key(sequence: Column, spec: Mapping[str, object]) -> Column:
     return F.sha2(F.concat(sequence, F.lit(json.dumps(dict(spec), sort_keys=True))), 256)
 
@@ -317,6 +357,19 @@ def log_ratio(log_p: Column, ref: Column, alt: Column) -> Column:
     return F.get(log_p, at(alt)) - F.get(log_p, at(ref))
 
 
+def distribution_faults(log_p: Column, logits: Column, ref: Column, alt: Column) -> Column:
+    """What is wrong with the log probabilities of a site, or null: they must add up to 1 to a millionth, and the
+    log ratio of alt to ref must be the difference of their logits to a hundred-thousandth."""
+    total = F.aggregate(F.transform(log_p, F.exp), F.lit(0.0), lambda a, x: a + x)
+    gap = F.abs(log_ratio(log_p, ref, alt) - log_ratio(logits, ref, alt))
+    return F.when(~F.coalesce(F.abs(total - 1) <= 1e-6, F.lit(False)), "probabilities do not add up to 1").when(~F.coalesce(gap < 1e-5, F.lit(False)), "log ratio is not the difference of logits")
+
+
+def harmonised(score: Column) -> Column:
+    """A score of ref against alt as one of alt against ref; null unless it is finite."""
+    return -finite(score)
+
+
 def strand_summary(forward: Column, reverse: Column, flipped: Column) -> Column:
     """Struct: mean of the strands, its magnitude, its value as minor against major, strand difference."""
     mean = (forward + reverse) / 2
@@ -355,6 +408,12 @@ def gene_name(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+def transcript_fields(text: Column) -> Column:
+    """Struct of a transcript's id and the gene it belongs to, from the attribute column of its row."""
+    part = lambda key: F.nullif(F.regexp_extract(text, f"(?:^|;){key}=([^;]+)", 1), F.lit(""))
+    return F.struct(part("ID").alias("id"), part("Parent").alias("parent"))
+
+
 def reasons(*named: tuple[Column, str]) -> Column:
     """The names of all conditions that hold, joined by semicolons."""
     return F.concat_ws(";", *[F.when(c, name) for c, name in named])

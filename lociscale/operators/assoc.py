@@ -120,41 +120,69 @@ def minimize_bounded(f: Callable[[float], float], low: float, high: float, toler
     return (a + b) / 2
 
 
-def mixed_model(y: np.ndarray, genotypes: np.ndarray, kin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """beta, se, p for each row of genotypes and the ratio delta: y by normal scores, the ratio by REML under
-    the null, an intercept, n - 2 degrees of freedom; missing genotypes are the row's mean."""
-    n = len(y)
-    values, vectors = np.linalg.eigh(kin)
-    values = np.clip(values, 0, None)
-    turn = vectors.T
-    target, ones = turn @ normal_scores(y), turn @ np.ones(n)
-    g = np.where(np.isfinite(genotypes), genotypes, np.nanmean(genotypes, axis=1, keepdims=True))
-
-    def criterion(log_delta: float) -> float:
-        spread = values + math.exp(log_delta)
-        info = (ones * ones / spread).sum()
-        rest = target - ones * ((ones * target / spread).sum() / info)
-        return float(np.log(spread).sum() + math.log(info) + (n - 1) * math.log((rest * rest / spread).sum() / (n - 1)))
-
-    delta = math.exp(minimize_bounded(criterion, -8, 8))
-    root = 1 / np.sqrt(values + delta)
-    base = ones * root
-    project = lambda m: m - np.outer(base, base @ m / (base @ base))
-    yy = project((target * root)[:, None])[:, 0]
-    gg = project((turn @ g.T) * root[:, None])
-    xx, xy = (gg * gg).sum(axis=0), gg.T @ yy
-    with np.errstate(divide="ignore", invalid="ignore"):
-        beta = np.where(xx > 1e-12, xy / xx, np.nan)
-        se = np.sqrt(np.maximum(yy @ yy - beta * xy, 0) / (n - 2) / xx)
-        p = np.array([student_tail(t, n - 2) for t in np.abs(beta / se)])
-    return beta, se, p, delta
-
-
-def association_scan(genotypes: DataFrame, phenotypes: DataFrame, kin: DataFrame, *, locus: str = "gene", variant: str = "variant_id", vector: str = "dosages", samples_most: int = 3_000) -> DataFrame:
+#: Fixed value: between which logarithms the ratio of residual to genetic variance is sought.
+LOG_RATIO = (-8.0, 8.0)
+
+
+class NullModel:
+    """A mixed model without genotypes: contrasts that the covariates can't reach, turned so that they are
+    independent under it.
+
+    The contrasts are a basis of what is orthogonal to the intercept and the covariates. In that basis fixed
+    effects have gone, so the likelihood of the contrasts is the restricted likelihood of the data, and a
+    genotype's effect is a weighted regression through the origin. All loci share the basis.
+    """
+
+    def __init__(self, kin: np.ndarray, covariates: np.ndarray | None = None):
+        """covariates: samples by covariates; columns that others explain don't count."""
+        n = len(kin)
+        fixed = np.ones((n, 1)) if covariates is None else np.column_stack([np.ones(n), covariates])
+        basis, sizes, _ = np.linalg.svd(fixed, full_matrices=True)
+        contrasts = basis[:, int((sizes > sizes[0] * 1e-10).sum()) :]
+        spectrum, axes = np.linalg.eigh(contrasts.T @ kin @ contrasts)
+        self.onto, self.spectrum = contrasts @ axes, np.maximum(spectrum, 0)
+
+    def ratio(self, z: np.ndarray) -> float:
+        """Of residual to genetic variance, of the greatest likelihood for contrasts ``z``."""
+        def deviance(log_ratio: float) -> float:
+            variance = self.spectrum + math.exp(log_ratio)
+            return float(np.log(variance).sum() + len(z) * math.log((z * z / variance).sum()))
+
+        return math.exp(minimize_bounded(deviance, *LOG_RATIO))
+
+    def scan(self, y: np.ndarray, genotypes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """beta, se, p for each row of genotypes, and the ratio, found once without them; y enters by its normal
+        scores, missing genotypes by their row's mean. A row of one value has no estimate."""
+        z = self.onto.T @ normal_scores(y)
+        ratio = self.ratio(z)
+        weight, free = 1 / (self.spectrum + ratio), len(z) - 1
+        called = np.isfinite(genotypes)
+        n = called.sum(axis=1, keepdims=True)
+        mean = np.where(called, genotypes, 0).sum(axis=1, keepdims=True) / np.maximum(n, 1)
+        moved = np.where(called, genotypes - mean, 0) @ self.onto
+        own, shared, total = (moved * moved) @ weight, (moved * z) @ weight, (z * z) @ weight
+        varies = np.where(called, genotypes, -np.inf).max(axis=1) > np.where(called, genotypes, np.inf).min(axis=1)
+        varies &= own > 1e-9 * weight.max()
+        out = np.full((3, len(genotypes)), np.nan)
+        beta = shared[varies] / own[varies]
+        se = np.sqrt(np.maximum(total - beta * shared[varies], 0) / (free * own[varies]))
+        with np.errstate(divide="ignore"):
+            out[:, varies] = beta, se, [student_tail(t, free) for t in np.abs(beta / se)]
+        return *out, ratio
+
+
+def mixed_model(y: np.ndarray, genotypes: np.ndarray, kin: np.ndarray, covariates: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """beta, se and p for each row of genotypes, and the variance ratio."""
+    return NullModel(kin, covariates).scan(y, genotypes)
+
+
+def association_scan(genotypes: DataFrame, phenotypes: DataFrame, kin: DataFrame, *, covariates: np.ndarray | None = None, locus: str = "gene", variant: str = "variant_id", vector: str = "dosages", samples_most: int = 3_000) -> DataFrame:
     """locus, variant, beta, se, p, delta: a scan of each locus's variants against its phenotype vector
-    (``phenotypes``: locus, values), given kinship entries (i, j, k) over the same samples.
+    (``phenotypes``: locus, values), given kinship entries (i, j, k) over the same samples and, if any,
+    covariates (samples by covariates) that are regressed out of both sides.
 
-    The kinship matrix goes to every task: it is samples by samples, and more than ``samples_most`` raise.
+    The basis of the null model goes to every task: it is samples by samples, and more than ``samples_most``
+    raise. It is found once, on the driver.
     """
     n = kin.agg(F.max("i")).first()[0]
     if n is None or n >= samples_most:
@@ -162,14 +190,14 @@ def association_scan(genotypes: DataFrame, phenotypes: DataFrame, kin: DataFrame
     matrix = np.zeros((n + 1, n + 1))
     entries = kin.select("i", "j", "k").toPandas()
     matrix[entries["i"], entries["j"]] = entries["k"]
-    shared = genotypes.sparkSession.sparkContext.broadcast(matrix)
+    shared = genotypes.sparkSession.sparkContext.broadcast(NullModel(matrix, covariates))
 
     def scan(key: tuple, g: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(g) or not len(y):
             return pd.DataFrame(columns=[locus, variant, "beta", "se", "p", "delta"])
         g = g.sort_values(variant)
-        beta, se, p, delta = mixed_model(np.asarray(y["values"].iloc[0], float), np.stack(g[vector].to_numpy()).astype(float), shared.value)
-        return pd.DataFrame({locus: key[0], variant: g[variant].to_numpy(), "beta": beta, "se": se, "p": p, "delta": delta})
+        beta, se, p, ratio = shared.value.scan(np.asarray(y["values"].iloc[0], float), np.stack(g[vector].to_numpy()).astype(float))
+        return pd.DataFrame({locus: key[0], variant: g[variant].to_numpy(), "beta": beta, "se": se, "p": p, "delta": ratio})
 
     kinds = dict(genotypes.dtypes)
     schema = f"{locus} {kinds[locus]}, {variant} {kinds[variant]}, beta double, se double, p double, delta double"
@@ -272,6 +300,20 @@ def procrustes(a: np.ndarray, b: np.ndarray) -> float:
     return float(1 - np.linalg.svd(y.T @ x, compute_uv=False).sum() ** 2)
 
 
+def procrustes_table(df: DataFrame, one: str, two: str, k: int) -> float:
+    """The same for two configurations that stand row by row in two array columns of ``k`` coordinates: one
+    aggregation gives the moments, whose size doesn't depend on the rows."""
+    x, y = ([F.get(F.col(c).cast("array<double>"), F.lit(i)) for i in range(k)] for c in (one, two))
+    n, *sums = df.agg(F.count("*"), *map(F.sum, x), *map(F.sum, y)).first()
+    if not n:
+        return math.nan
+    centre = [v / n for v in sums]
+    x, y = ([c - F.lit(m) for c, m in zip(cs, ms, strict=True)] for cs, ms in ((x, centre[:k]), (y, centre[k:])))
+    moments = df.agg(*[F.sum(a * a) for a in x], *[F.sum(b * b) for b in y], *[F.sum(b * a) for b in y for a in x]).first()
+    cross = np.array(moments[2 * k :], float).reshape(k, k) / math.sqrt(sum(moments[:k]) * sum(moments[k : 2 * k]))
+    return float(1 - np.linalg.svd(cross, compute_uv=False).sum() ** 2)
+
+
 def sample_quality(df: DataFrame, vector: str) -> DataFrame:
     """sample_index, call_rate, primary_include (>= 0.8), strict_include (>= 0.9) over variant rows."""
     long = df.select(F.posexplode(vector).alias("sample_index", "g"))

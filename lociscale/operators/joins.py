@@ -40,6 +40,15 @@ def membership(left: DataFrame, right: DataFrame, key: list[str], names: tuple[s
     return counts.withColumn("status", status)
 
 
+def lookup(left: DataFrame, right: DataFrame, key: list[str], value: str, default: Column | None = None) -> DataFrame:
+    """``left`` with ``value`` of the row of its key in ``right``, or ``default`` (NaN) where there is none; a key
+    that ``right`` has twice raises."""
+    if n := duplicate_keys(right, key).count():
+        raise ContractError("lookup", {"duplicate keys": n})
+    found = left.join(right.select(*key, F.col(value).alias("__v"), F.lit(True).alias("__found")), key, "left")
+    return found.withColumn(value, F.when(F.col("__found"), F.col("__v")).otherwise(F.lit(float("nan")) if default is None else default)).drop("__v", "__found")
+
+
 def inner_chain(first: DataFrame, *others: DataFrame, key: list[str]) -> DataFrame:
     """Tables joined on one key, one after the other; they share the first one's partitioning."""
     out = first
@@ -110,6 +119,13 @@ def compare_tables(ours: DataFrame, theirs: DataFrame, key: list[str], columns:
     return long.groupBy("column").agg(F.count("*").alias("rows"), F.max("d").alias("max_difference"), F.count_if("bad").alias("failing"))
 
 
+def failing_rows(ours: DataFrame, theirs: DataFrame, key: list[str], columns: list[str], *, atol: float = 1e-6, rtol: float = 1e-6) -> DataFrame:
+    """key, column, difference: the rows that ``compare_tables`` counts as failing."""
+    joined = ours.alias("a").join(theirs.alias("b"), key)
+    items = [F.struct(F.lit(c).alias("column"), F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).alias("difference"), (F.lit(atol) + rtol * F.abs(F.col(f"b.{c}"))).alias("__most")) for c in columns]
+    return joined.select(*key, F.explode(F.array(*items)).alias("x")).select(*key, "x.*").where("difference > __most").drop("__most")
+
+
 def spaced_exclusion(sites: DataFrame, *, group: str, pos: str, order: str, apart: int) -> DataFrame:
     """``sites`` with ``kept``: in the order given, a site is kept if none kept before it in its group is
     within ``apart``. A fold over the group's ordered sites (loci, not variants)."""

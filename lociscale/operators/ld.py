@@ -13,29 +13,48 @@ from lociscale.plans.lineage import cut
 _R2 = T.StructType([T.StructField("n_complete", T.IntegerType()), T.StructField("r2", T.DoubleType()), T.StructField("status", T.StringType())])
 
 
-def r2_of(a: np.ndarray, b: np.ndarray, least: int, lowest: float = -np.inf) -> tuple[int, float | None, str]:
-    """Of complete pairs (NaN and what is below ``lowest`` are missing, so 0 for dosages coded -1 where
-    they are missing); undefined results are named, not raised."""
+def r2_batch(a: np.ndarray, b: np.ndarray, least: int, lowest: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n_complete, r2 and status of each row of two matrices, over complete pairs (NaN and what is below
+    ``lowest`` are missing, so 0 for dosages coded -1 where they are missing); undefined results are NaN and
+    named, not raised."""
     ok = np.isfinite(a) & np.isfinite(b) & (a >= lowest) & (b >= lowest)
-    x, y = a[ok], b[ok]
-    if len(x) < least:
-        return len(x), None, "insufficient_complete_samples"
-    x, y = x - x.mean(), y - y.mean()
-    vx, vy = x @ x, y @ y
-    if vx <= 0 or vy <= 0 or np.ptp(x) == 0 or np.ptp(y) == 0:
-        return len(x), None, "pairwise_nonvariable"
-    r2 = float((x @ y) ** 2 / (vx * vy))
-    if not -1e-9 <= r2 <= 1 + 1e-9:
-        raise ValueError(f"r2 out of range: {r2}")
-    return len(x), min(1.0, max(0.0, r2)), "ok"
+    n = ok.sum(axis=1)
+    sums, still = [], []
+    for m in (a, b):
+        low, high = np.where(ok, m, np.inf).min(axis=1, initial=np.inf), np.where(ok, m, -np.inf).max(axis=1, initial=-np.inf)
+        still.append(~(low < high))
+        mean = np.where(ok, m, 0.0).sum(axis=1) / np.maximum(n, 1)
+        sums.append(np.where(ok, m - mean[:, None], 0.0))
+    x, y = sums
+    vx, vy, xy = (np.einsum("ij,ij->i", p, q) for p, q in ((x, x), (y, y), (x, y)))
+    flat = still[0] | still[1] | (vx <= 0) | (vy <= 0)
+    status = np.where(n < least, "insufficient_complete_samples", np.where(flat, "pairwise_nonvariable", "ok")).astype(object)
+    fine = status == "ok"
+    r2 = np.full(len(n), np.nan)
+    r2[fine] = xy[fine] ** 2 / (vx[fine] * vy[fine])
+    if (r2[fine] > 1 + 1e-9).any():
+        raise ValueError(f"r2 out of range: {np.nanmax(r2)}")
+    return n, np.minimum(r2, 1.0), status
+
+
+def r2_of(a: np.ndarray, b: np.ndarray, least: int, lowest: float = -np.inf) -> tuple[int, float | None, str]:
+    """The same for one pair, with None where r2 is undefined."""
+    n, r2, status = r2_batch(a[None], b[None], least, lowest)
+    return int(n[0]), float(r2[0]) if status[0] == "ok" else None, str(status[0])
 
 
 def r2_column(left: Column, right: Column, least: int = 200, lowest: float = float("-inf")) -> Column:
-    """Struct of n_complete, r2, status for two array columns, in Arrow batches."""
+    """Struct of n_complete, r2, status for two array columns: rows of one length are stacked and come out of a
+    few matrix operations."""
 
     @F.pandas_udf(_R2)
     def kernel(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([r2_of(np.asarray(x, float), np.asarray(y, float), least, lowest) for x, y in zip(a, b, strict=True)], columns=["n_complete", "r2", "status"])
+        sizes = a.map(len).to_numpy()
+        n, r2, status = np.zeros(len(a), dtype=int), np.full(len(a), np.nan), np.empty(len(a), dtype=object)
+        for size in np.unique(sizes):
+            for at in np.array_split(own := np.flatnonzero(sizes == size), max(1, len(own) * int(size) // (1 << 20))):
+                n[at], r2[at], status[at] = r2_batch(*(np.stack(c.iloc[at].to_numpy()).astype(float) for c in (a, b)), least, lowest)
+        return pd.DataFrame({"n_complete": n, "r2": pd.Series(r2).astype(object).where(~np.isnan(r2), None), "status": status})
 
     return kernel(left.cast("array<double>"), right.cast("array<double>"))
 
@@ -83,6 +102,16 @@ def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[st
     return out.select(*by, F.col("k").alias(key), F.col("kept").alias("retained"), *[F.when(gone, F.col(f"m.{c}")).alias(name) for c, name in (("left_key", "removed_by"), ("distance", "removal_distance"), ("r2", "removal_r2"))])
 
 
+def thinning_profiles(nodes: DataFrame, links: DataFrame, profiles: dict[str, tuple[int, float]], *, key: str, by: list[str] | None = None) -> DataFrame:
+    """``greedy_thinning`` under several profiles (name: window, least r2) at once: profile, window, threshold
+    and its columns. Every profile is a group of its own in one fixpoint."""
+    items = F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(w).alias("window"), F.lit(t).alias("threshold")) for n, (w, t) in profiles.items()])
+    each = lambda df: df.withColumn("__p", F.explode(items)).select("*", "__p.*").drop("__p")
+    own = each(links).where((F.col("distance") <= F.col("window")) & (F.col("r2") >= F.col("threshold")))
+    groups = ["profile", "window", "threshold", *(by or [])]
+    return greedy_thinning(each(nodes), own, key=key, by=groups)
+
+
 def _folded(state: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """``state`` with the open nodes of each group decided one after the other."""
     left = state.select(*by, F.col("k").alias("left_key"), F.col("kept").alias("left_kept"))

@@ -13,24 +13,33 @@ from lociscale.functions.columns import distance_decay, filled
 from lociscale.operators.ranks import percentile_rank
 
 
-#: Weights of a ranking's parts, the scale of distances, and the least group that is ranked.
+#: Weights of a ranking's parts, the scale of distances, and the least group that is ranked; the
+#: weights that a family of rules gives the model.
 ASSOCIATION, LINKAGE = 0.9, 0.1
 BASELINE, DISTANCE, CONSERVATION, NONCODING = 0.8, 0.1, 0.05, 0.05
 MODEL, SCALE, LEAST_GROUP, TOP = 0.2, 2000.0, 6, 5
+FAMILY_WEIGHTS = (0.1, 0.2, 0.4)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """How model scores enter a ranking: their weight, and whether by magnitude, sign or its reverse."""
+    """How model scores enter a ranking: their weight, and whether by magnitude, sign or its reverse. Several
+    scores (of a variant in contexts of several lengths) enter as the mean of these."""
 
     weight: float = MODEL
     form: str = "magnitude"
 
-    def term(self, score: Column) -> Column:
-        return {"magnitude": F.abs(score), "signed": score, "negative": -score}[self.form]
+    def term(self, *scores: Column) -> Column:
+        own = [{"magnitude": F.abs, "signed": lambda x: x, "negative": lambda x: -x}[self.form](x) for x in scores]
+        return sum(own[1:], own[0]) / len(own)
 
 
-def rank_candidates(df: DataFrame, score: str | None = None, *, by: list[str] | None = None, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+def rule_family() -> dict[str, Rule]:
+    """All forms at all weights, by name."""
+    return {f"{form}_{weight:g}": Rule(weight, form) for form in ("magnitude", "signed", "negative") for weight in FAMILY_WEIGHTS}
+
+
+def rank_candidates(df: DataFrame, score: str | list[str] | None = None, *, by: list[str] | None = None, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """``df`` with association, baseline, annotated, priority, rank (priority down, then variant_id) and
     baseline_rank (the same without the model).
 
@@ -46,7 +55,7 @@ def rank_candidates(df: DataFrame, score: str | None = None, *, by: list[str] |
     if score is None:
         out = out.withColumn("priority", F.col("annotated"))
     else:
-        out = out.withColumn("priority", (1 - rule.weight) * F.col("annotated") + rule.weight * p(rule.term(F.col(score))))
+        out = out.withColumn("priority", (1 - rule.weight) * F.col("annotated") + rule.weight * p(rule.term(*map(F.col, [score] if isinstance(score, str) else score))))
     place = lambda c: F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.round(c, 12)), "variant_id"))
     return out.withColumns({"rank": place("priority"), "baseline_rank": place("annotated")})
 

@@ -12,14 +12,19 @@ from lociscale.functions.columns import hash_rank
 def value_ranks(df: DataFrame, value: str, by: list[str], slices: int = 4096) -> DataFrame:
     """``by``, value, n, rank: the tie-averaged rank of each distinct value in its group.
 
-    Rows are summed to distinct values first. These are ordered in slices (ranges of the value between
-    the group's least and greatest), and a running sum over at most ``slices`` counts a group gives each
-    slice its start, so that no task orders a whole group.
+    Rows are summed to distinct values first. These are ordered in slices, and a running sum over at most
+    ``slices`` counts a group gives each slice its start. Slices are of one width between the group's least and
+    greatest value on a scale that is linear up to its least magnitude and logarithmic beyond, so heavy tails
+    spread as well as even values; a slice is ordered by one task, and only values that are all alike to a
+    ``slices``-th of the magnitudes there are share one.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ends = counts.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    at = F.coalesce(F.least(F.lit(slices - 1), F.floor(F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low")) * slices)), F.lit(0)).cast("int")
-    cells = (counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))).withColumn("__cell", at).drop("__low", "__high")
+    size = F.abs(F.col(value).cast("double"))
+    ends = counts.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.min(F.when((size > 0) & (size < float("inf")), size)).alias("__unit"))
+    scale = lambda c: F.signum(F.col(c).cast("double")) * F.log1p(F.abs(F.col(c).cast("double")) / F.coalesce("__unit", F.lit(1.0)))
+    share = F.try_divide(scale(value) - scale("__low"), scale("__high") - scale("__low"))
+    at = F.coalesce(F.least(F.lit(slices - 1), F.greatest(F.lit(0), F.floor(share * slices))), F.lit(0)).cast("int")
+    cells = (counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))).withColumn("__cell", at).drop("__low", "__high", "__unit")
     sums = cells.groupBy(*by, "__cell").agg(F.sum("n").alias("__n"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     sums = sums.withColumn("__start", F.coalesce(F.sum("__n").over(group.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -52,7 +57,11 @@ def group_average_rank(value: Column, by: list[Column | str]) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
 
 
-def percentile_rank(value: Column, by: list[Column | str]) -> Column:
+def percentile_rank(value: Column, by: list[Column | str], *, strict: bool = False) -> Column:
+    """(rank - 1/2) / n inside a group; with ``strict`` a value that isn't finite raises."""
+    if strict:
+        x = value.cast("double")
+        value = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), value).otherwise(F.raise_error(F.lit("a value to rank is not finite")).cast("double"))
     return (group_average_rank(value, by) - 0.5) / F.count("*").over(W.partitionBy(*by))
 
 
@@ -113,4 +122,6 @@ def spaced(df: DataFrame, *, group: str, pos: str, apart: int) -> DataFrame:
 
 
 def genome_order(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("chrom").try_cast("int").asc_nulls_last(), "chrom", "pos", "ref", "alt")
+    from lociscale.operators.contracts import genome_keys
+
+    return df.orderBy(*genome_keys())

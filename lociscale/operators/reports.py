@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociscale.functions.columns import normal_quantile
+from lociscale.operators.contracts import ContractError
 from lociscale.operators.ranks import average_ranks
+from lociscale.plans.lineage import numbered
 from lociscale.operators.stats import correlations
 
 
@@ -92,16 +92,54 @@ def capped_selection(loci: DataFrame, *, group: str, pos: str, order: str, apart
 def normal_scores(df: DataFrame, value: str, by: list[str] | None = None, out: str = "normal_score") -> DataFrame:
     """``df`` with the normal quantile of (rank - 1/2) / n, ranks averaged over ties."""
     by = by or []
-
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        inverse = NormalDist().inv_cdf
-        return p.map(lambda x: None if pd.isna(x) else inverse(x))
-
     ranked = average_ranks(df, value, by, "__rank")
     n = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__n"))
     joined = ranked.join(n, by, "left") if by else ranked.crossJoin(F.broadcast(n))  # one row
-    return joined.withColumn(out, quantile((F.col("__rank") - 0.5) / F.col("__n"))).drop("__rank", "__n")
+    return joined.withColumn(out, normal_quantile((F.col("__rank") - 0.5) / F.col("__n"))).drop("__rank", "__n")
+
+
+def first_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row of each key: the first in ``order`` (then by the other columns, so that reruns agree)."""
+    rest = [c for c in df.columns if c not in key]
+    ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *rest)
+    return df.groupBy(*key).agg(F.min(ranked).alias("__m")).select(*key, *[F.col(f"__m.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
+def reindexed(df: DataFrame, column: str, categories: list[str], fill: dict) -> DataFrame:
+    """``ordinal``, ``column`` and the rest: a row for each of ``categories`` in their order, with ``fill`` where
+    ``df`` has none; rows of other categories are left out, as they have no place."""
+    fixed = df.sparkSession.createDataFrame(list(enumerate(categories)), f"ordinal int, `{column}` string")
+    rest = [c for c in df.columns if c != column]
+    return F.broadcast(fixed).join(df, column, "left").select("ordinal", column, *rest).fillna(fill)
+
+
+def ordered_join(left: DataFrame, right: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Left join whose rows carry the place of the left row in ``order`` in ``ordinal``, whatever the join does
+    to their order; sort by it at the end."""
+    return numbered(left, "ordinal", *order).join(right, key, "left")
+
+
+def canonical(df: DataFrame, columns: list[str], table: str = "table") -> DataFrame:
+    """``df`` with ``columns`` alone, in this order; a missing one, or one that is there twice whatever its case,
+    raises."""
+    seen = [c.lower() for c in df.columns]
+    bad = {f"column {c} is there {n} times": 0 for c in columns if (n := seen.count(c.lower())) != 1}
+    if bad:
+        raise ContractError(table, bad)
+    return df.select(*[f"`{c}`" for c in columns])
+
+
+def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, column, n, missing, mean, sd, min, the quartiles and max of numeric columns, NaN counting as missing."""
+    by = by or []
+    clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    items = F.array(*[F.struct(F.lit(c).alias("column"), clean(c).alias("x")) for c in columns])
+    long = df.select(*by, F.explode(items).alias("i")).select(*by, "i.*")
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return long.groupBy(*by, "column").agg(
+        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).alias("sd"), F.min("x").alias("min"),
+        *[F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))], F.max("x").alias("max"),
+    )
 
 
 def worked_locus(rankings: DataFrame, k: int = 5) -> DataFrame:

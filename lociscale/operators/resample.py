@@ -8,10 +8,7 @@ multiply it; the row count is replicates times clusters, not replicates times ro
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +16,7 @@ from pyspark.sql import functions as F
 from lociscale.functions.columns import hash_draw
 from lociscale.operators.ranks import rank_pairs
 from lociscale.operators.stats import complete, moment_corr, safe_corr
+from lociscale.plans.lineage import cut, numbered
 
 
 def derived_seed(base: int, label: str) -> int:
@@ -93,27 +91,24 @@ def median_bootstrap(df: DataFrame, value: str, key: str, *, replicates: int, se
     return drawn.join(indexed.select("i", "v"), "i").groupBy("replicate").agg(F.percentile("v", F.lit(0.5)).alias("estimate"))
 
 
-def pairwise_bootstrap(df: DataFrame, value: str, label: str, a: object, b: object, *, replicates: int, seed: int, most: int = 2_000_000) -> DataFrame:
-    """replicate, median_difference, rank_biserial: two groups drawn independently by a seeded generator.
+def pairwise_bootstrap(df: DataFrame, value: str, label: str, a: object, b: object, *, key: str, replicates: int, seed: str) -> DataFrame:
+    """replicate, median_difference, rank_biserial: two groups drawn independently, each as often as it has rows.
 
-    The values (at most ``most``, else ValueError) go to every task; replicates are spread over tasks.
+    Draws are hashes of counters over the rows in order of ``key``, which has to tell rows apart. Replicates times
+    rows are made and spread over the tasks; each replicate is reduced to counts of its distinct values before
+    these are ranked.
     """
-    spark = df.sparkSession
-    rows = df.where(F.col(label).isin(a, b) & F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), (F.col(label) == a).alias("first"))
-    if (n := rows.count()) > most:
-        raise ValueError(f"{n} values; the kernel holds {most}: use sums of clusters instead")
-    frame = rows.orderBy("v").toPandas()
-    shared = spark.sparkContext.broadcast((frame.v[frame["first"]].to_numpy(), frame.v[~frame["first"]].to_numpy()))
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = shared.value
-        for batch in batches:
-            out = []
-            for r in batch["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                x, y = rng.choice(one, len(one)), np.sort(rng.choice(two, len(two)))
-                above, below = np.searchsorted(y, x, "left").sum(), (len(y) - np.searchsorted(y, x, "right")).sum()
-                out.append((int(r), float(np.median(x) - np.median(y)), float((above - below) / (len(x) * len(y)))))
-            yield pd.DataFrame(out, columns=["replicate", "median_difference", "rank_biserial"])
-
-    return spark.range(replicates).mapInPandas(kernel, "replicate long, median_difference double, rank_biserial double")
+    rows = df.where(F.col(label).isin(a, b) & F.col(value).isNotNull()).select((F.col(label) == a).alias("g"), F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
+    placed = numbered(rows, "p", "g", "k")
+    starts = placed.groupBy("g").agg(F.min("p").alias("s"), F.count("*").alias("m"))  # two rows
+    indexed = cut(placed.join(F.broadcast(starts), "g").select("g", "v", "m", (F.col("p") - F.col("s")).alias("i")))
+    draws = indexed.select("g", "m", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = draws.select("g", "replicate", hash_draw(seed, F.col("m"), F.col("g"), F.col("replicate"), F.col("d")).alias("i"))
+    counts = drawn.groupBy("g", "replicate", "i").agg(F.count("*").alias("n")).join(indexed.select("g", "i", "v"), ["g", "i"])
+    both = counts.groupBy("replicate", "v").agg(F.sum(F.when(F.col("g"), F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(F.col("g"), 0).otherwise(F.col("n"))).alias("nb"))
+    below = W.partitionBy("replicate").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = both.withColumn("before", F.coalesce(F.sum("nb").over(below), F.lit(0)))
+    sums = ranked.groupBy("replicate").agg(
+        F.percentile("v", F.lit(0.5), F.col("na")).alias("ma"), F.percentile("v", F.lit(0.5), F.col("nb")).alias("mb"), F.sum(F.col("na") * (2 * F.col("before") + F.col("nb"))).alias("u"), (F.sum("na") * F.sum("nb")).alias("pairs"),
+    )
+    return sums.select("replicate", (F.col("ma") - F.col("mb")).alias("median_difference"), (F.try_divide("u", "pairs") - 1).alias("rank_biserial"))

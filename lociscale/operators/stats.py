@@ -17,6 +17,12 @@ def group_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*summary_columns(F.col(value)))
 
 
+def score_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``group_summary`` and the share of negative values."""
+    negative = F.avg(F.when(F.col(value).isNotNull(), (F.col(value) < 0).cast("double")))
+    return df.groupBy(*by).agg(*summary_columns(F.col(value)), negative.alias("proportion_negative"))
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson over complete pairs; null for fewer than two, or where either is constant (where the
     built-in divides by zero)."""
@@ -65,6 +71,13 @@ def sensitivity(df: DataFrame, x: str, y: str, subsets: dict[str, Column]) -> Da
     return correlations(df.withColumn("subset", F.explode(flags)), x, y, ["subset"])
 
 
+def subset_medians(df: DataFrame, x: str, y: str, subsets: dict[str, Column]) -> DataFrame:
+    """subset, n, median_x, median_y over the complete rows of overlapping subsets."""
+    flags = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in subsets.items()]), lambda v: v.isNotNull())
+    rows = complete(df, x, y).withColumn("subset", F.explode(flags))
+    return rows.groupBy("subset").agg(F.count("*").alias("n"), F.percentile(x, F.lit(0.5)).alias("median_x"), F.percentile(y, F.lit(0.5)).alias("median_y"))
+
+
 def rank_biserial(df: DataFrame, value: str, label: str, a: object, b: object) -> DataFrame:
     """n_a, n_b, rank_biserial: (pairs with a above b - below) / all pairs, from pooled ranks."""
     rows = df.where(F.col(label).isin(a, b) & F.col(value).isNotNull()).withColumn("__a", (F.col(label) == a).cast("int"))

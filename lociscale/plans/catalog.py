@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociscale.functions import columns as C
 from lociscale.operators import assoc, contracts, joins, ld, prioritize, ranks, reports, resample, stats
+from lociscale.plans import integrity
+from lociscale.plans.registry import QUERIES, SQL, query, rounded
 from lociscale.plans.standins import CANDIDATES_SQL, VARIANTS_SQL, candidates, table, variants
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "integrity"]
 
 V = f"variants AS ({VARIANTS_SQL})"
 K = f"candidates AS ({CANDIDATES_SQL})"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 # --- contracts -----------------------------------------------------------------------------------
 
 
@@ -203,11 +187,11 @@ def physical_bins(spark: SparkSession, sf: str) -> DataFrame:
 @query("scalar_transforms", """
     SELECT s_suppkey, round(exp(-abs(s_acctbal) / 2000.0), 9) AS decay, round(-log10((s_suppkey % 100 + 1) / 101.0::DOUBLE), 9) AS neg_log10, sign(s_acctbal) = sign(5000 - s_acctbal) AS same_sign,
         round(least(1, greatest(0, s_acctbal / 9000)), 9) AS clamped, s_suppkey % 2 = 0 AS flag, round(s_acctbal * 1.0498368135592189, 6) AS rescaled,
-        CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal END AS parsed, (s_suppkey % 5) * 1000 - (s_suppkey % 3) * 700 AS signed_distance FROM supplier""")
+        CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal END AS parsed, CASE WHEN s_suppkey % 7 < 4 THEN (s_suppkey % 5) * 1000 - (s_suppkey % 3) * 700 ELSE (s_suppkey % 11) * 50 - (s_suppkey % 5) * 1000 END AS signed_distance FROM supplier""")
 def scalar_transforms(spark: SparkSession, sf: str) -> DataFrame:
     s, k, bal = table(spark, sf, "supplier"), F.col("s_suppkey"), F.col("s_acctbal")
-    strand = F.when(k % 7 < 10, "+")
-    return s.select("s_suppkey", F.round(C.distance_decay(bal), 9).alias("decay"), F.round(C.neg_log10((k % 100 + 1) / 101), 9).alias("neg_log10"), C.same_sign(bal, 5000 - bal).alias("same_sign"), F.round(C.clamp_unit(bal / 9000), 9).alias("clamped"), C.parse_bool(F.when(k % 2 == 0, "Yes").otherwise("no")).alias("flag"), F.round(C.affine(bal, 1.0498368135592189), 6).alias("rescaled"), C.finite(F.when(k % 3 == 0, bal.cast("string")).when(k % 3 == 1, "NaN").otherwise("")).alias("parsed"), C.tss_distance((k % 5) * 1000, C.tss((k % 3) * 700, k * 0, strand), strand).alias("signed_distance"))
+    strand = F.when(k % 7 < 4, "+").otherwise("-")
+    return s.select("s_suppkey", F.round(C.distance_decay(bal), 9).alias("decay"), F.round(C.neg_log10((k % 100 + 1) / 101), 9).alias("neg_log10"), C.same_sign(bal, 5000 - bal).alias("same_sign"), F.round(C.clamp_unit(bal / 9000), 9).alias("clamped"), C.parse_bool(F.when(k % 2 == 0, "Yes").otherwise("no")).alias("flag"), F.round(C.affine(bal, 1.0498368135592189), 6).alias("rescaled"), C.finite(F.when(k % 3 == 0, bal.cast("string")).when(k % 3 == 1, "NaN").otherwise("")).alias("parsed"), C.tss_distance((k % 5) * 1000, C.tss((k % 3) * 700, (k % 11) * 50, strand), strand).alias("signed_distance"))
 
 
 # --- joins ---------------------------------------------------------------------------------------
@@ -222,7 +206,7 @@ def one_to_one_integrate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MEMBERSHIP = """k AS (SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS l, coalesce(b.n, 0) AS r FROM (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1) a
-    FULL JOIN (SELECT o_custkey + 100 AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) b ON a.k = b.k)"""
+    FULL JOIN (SELECT o_custkey + 100 AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k)"""
 
 
 @query("crosswalk_status", f"""
@@ -230,31 +214,12 @@ MEMBERSHIP = """k AS (SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS l, c
         CAST(l AS BIGINT) AS left_rows, CAST(r AS BIGINT) AS right_rows FROM k""")
 def crosswalk_status(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return joins.membership(c, table(spark, sf, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") + 100).alias("key")), ["key"])
+    return joins.membership(c, table(spark, sf, "orders").select((F.col("o_custkey") + 100).alias("key")), ["key"])
 
 
 @query("key_set_difference", f"""
     WITH {MEMBERSHIP} SELECT CASE WHEN l > 1 OR r > 1 THEN 'duplicate' WHEN r = 0 THEN 'left_only' WHEN l = 0 THEN 'right_only' ELSE 'matched' END AS status, CAST(count(*) AS BIGINT) AS keys FROM k GROUP BY 1""")
 def key_set_difference(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return joins.key_differences(c, table(spark, sf, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") + 100).alias("key")), ["key"])
-
-
-MEMBERSHIP_WHOLE = """k AS (SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS l, coalesce(b.n, 0) AS r FROM (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1) a
-    FULL JOIN (SELECT o_custkey + 100 AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k)"""
-
-
-@query("crosswalk_status_whole", f"""
-    WITH {MEMBERSHIP_WHOLE} SELECT key, CASE WHEN l > 1 OR r > 1 THEN 'duplicate' WHEN r = 0 THEN 'left_only' WHEN l = 0 THEN 'right_only' ELSE 'matched' END AS status,
-        CAST(l AS BIGINT) AS left_rows, CAST(r AS BIGINT) AS right_rows FROM k""")
-def crosswalk_status_whole(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return joins.membership(c, table(spark, sf, "orders").select((F.col("o_custkey") + 100).alias("key")), ["key"])
-
-
-@query("key_set_difference_whole", f"""
-    WITH {MEMBERSHIP_WHOLE} SELECT CASE WHEN l > 1 OR r > 1 THEN 'duplicate' WHEN r = 0 THEN 'left_only' WHEN l = 0 THEN 'right_only' ELSE 'matched' END AS status, CAST(count(*) AS BIGINT) AS keys FROM k GROUP BY 1""")
-def key_set_difference_whole(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
     return joins.key_differences(c, table(spark, sf, "orders").select((F.col("o_custkey") + 100).alias("key")), ["key"])
 
@@ -386,7 +351,7 @@ def _corr_sql(source: str, by: str, x: str, y: str) -> str:
     part = f"PARTITION BY {by}" if by else ""
     group = f"GROUP BY {by}" if by else ""
     avg = lambda c: f"rank() OVER ({part} ORDER BY {c}) + (count(*) OVER (PARTITION BY {cols}{c}) - 1) / 2.0::DOUBLE"
-    guard = lambda a, b: f"CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN round(corr({a}, {b}), 6) END"
+    guard = lambda a, b: f"CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN round(corr({a}, {b}), 6) + 0.0::DOUBLE END"
     return f"""r AS (SELECT {cols}{x} AS x, {y} AS y, {avg(x)} AS rx, {avg(y)} AS ry FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
         c AS (SELECT {cols}CAST(count(*) AS BIGINT) AS n, {guard('x', 'y')} AS pearson, {guard('rx', 'ry')} AS spearman FROM r {group})
         SELECT {cols}n, 'pearson' AS method, pearson AS estimate FROM c UNION ALL SELECT {cols}n, 'spearman', spearman FROM c"""
@@ -505,9 +470,18 @@ def median_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.interval(resample.median_bootstrap(table(spark, sf, "supplier"), "s_acctbal", "s_suppkey", replicates=30, seed="med"), "estimate"))
 
 
-@query("pairwise_bootstrap")
+@query("pairwise_bootstrap", f"""
+    WITH r AS (SELECT o_orderstatus = 'F' AS g, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS m FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    d AS (SELECT g, rep, {DRAW.format("'pb|' || CASE WHEN g THEN 'true' ELSE 'false' END || '|' || rep || '|' || i")} % m AS i FROM r, range(0, 50) t(rep)),
+    s AS (SELECT rep, g, v FROM d JOIN r USING (g, i)),
+    m AS (SELECT rep, quantile_cont(v, 0.5) FILTER (WHERE g) - quantile_cont(v, 0.5) FILTER (WHERE NOT g) AS md FROM s GROUP BY 1),
+    c AS (SELECT rep, v, count(*) FILTER (WHERE g) AS na, count(*) FILTER (WHERE NOT g) AS nb FROM s GROUP BY 1, 2),
+    b AS (SELECT rep, na, nb, coalesce(sum(nb) OVER (PARTITION BY rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+    u AS (SELECT rep, sum(na * (2 * below + nb)) / (sum(na) * sum(nb))::DOUBLE - 1 AS rb FROM b GROUP BY 1)
+    SELECT CAST(rep AS INTEGER) AS replicate, round(md, 6) AS median_difference, round(rb, 9) AS rank_biserial FROM m JOIN u USING (rep)""")
 def pairwise_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.pairwise_bootstrap(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", replicates=50, seed=20260912)
+    out = resample.pairwise_bootstrap(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", key="o_orderkey", replicates=50, seed="pb")
+    return out.select("replicate", F.round("median_difference", 6).alias("median_difference"), F.round("rank_biserial", 9).alias("rank_biserial"))
 
 
 # --- linkage and matrices ------------------------------------------------------------------------
@@ -557,55 +531,28 @@ def spacing_thinning(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("kinship", """
-    WITH e AS (SELECT vec_id, list_transform(embedding[1:12], lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_avg(v) AS mu FROM e), s AS (SELECT vec_id, v, mu, sqrt(list_avg(list_transform(v, lambda x: (x - mu) * (x - mu)))) AS sd FROM m),
-    z AS (SELECT vec_id, unnest(range(0, 12)) AS i, unnest(list_transform(v, lambda x: (x - mu) / sd)) AS x FROM s)
-    SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x * b.x), 6) AS k FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2""")
-def kinship(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("v"))
-    return rounded(assoc.kinship(assoc.imputed(e, "v"), "standardized").select("i", "j", "k"))
-
-
-@query("kinship_leave_one_out", """
-    WITH z AS (SELECT label, vec_id, unnest(range(0, 8)) AS i, unnest(list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE))) AS x FROM embeddings), g AS (SELECT DISTINCT label FROM embeddings)
-    SELECT g.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x * b.x), 6) AS k FROM z a JOIN z b USING (vec_id) JOIN g ON g.label <> a.label GROUP BY 1, 2, 3""")
-def kinship_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
-    return rounded(assoc.leave_one_group_out(assoc.kinship(e, "v", ["label"]), "label"))
-
-
-@query("kinship_whole", """
     WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_avg(v) AS mu FROM e), s AS (SELECT vec_id, v, mu, sqrt(list_avg(list_transform(v, lambda x: (x - mu) * (x - mu)))) AS sd FROM m),
     z AS (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(list_transform(v, lambda x: (x - mu) / sd)) AS x FROM s)
     SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x * b.x), 6) AS k FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2""")
-def kinship_whole(spark: SparkSession, sf: str) -> DataFrame:
+def kinship(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return rounded(assoc.kinship(assoc.imputed(e, "v"), "standardized").select("i", "j", "k"))
 
 
-@query("kinship_leave_one_out_whole", """
+@query("kinship_leave_one_out", """
     WITH z AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS i, unnest(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS x FROM embeddings), g AS (SELECT DISTINCT label FROM embeddings)
     SELECT g.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x * b.x), 6) + 0.0 AS k FROM z a JOIN z b USING (vec_id) JOIN g ON g.label <> a.label GROUP BY 1, 2, 3""")
-def kinship_leave_one_out_whole(spark: SparkSession, sf: str) -> DataFrame:
+def kinship_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     return rounded(assoc.leave_one_group_out(assoc.kinship(e, "v", ["label"]), "label"))
 
 
 @query("neighbour_jaccard", """
-    WITH e AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS a, list_transform(embedding[17:32], lambda v: CAST(v AS DOUBLE)) AS b FROM embeddings WHERE vec_id % 5 = 0),
-    d AS (SELECT x.vec_id AS key, y.vec_id AS o, list_sum(list_transform(range(1, 17), lambda i: (x.a[i] - y.a[i]) * (x.a[i] - y.a[i]))) AS da, list_sum(list_transform(range(1, 17), lambda i: (x.b[i] - y.b[i]) * (x.b[i] - y.b[i]))) AS db FROM e x JOIN e y ON x.vec_id <> y.vec_id),
-    r AS (SELECT key, o, row_number() OVER (PARTITION BY key ORDER BY da, o) <= 15 AS na, row_number() OVER (PARTITION BY key ORDER BY db, o) <= 15 AS nb FROM d)
-    SELECT key, round(count(*) FILTER (WHERE na AND nb) / count(*) FILTER (WHERE na OR nb)::DOUBLE, 9) AS jaccard FROM r GROUP BY key""")
-def neighbour_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").where("vec_id % 5 = 0").select("vec_id", F.slice("embedding", 1, 16).alias("a"), F.slice("embedding", 17, 16).alias("b"))
-    return rounded(assoc.neighbour_agreement(e, "a", "b", "vec_id"), 9)
-
-
-@query("neighbour_jaccard_whole", """
     WITH e AS (SELECT vec_id, list_transform(embedding[1:32], lambda v: CAST(v AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda v: CAST(v AS DOUBLE)) AS b FROM embeddings),
     d AS (SELECT x.vec_id AS key, y.vec_id AS o, list_sum(list_transform(range(1, 33), lambda i: (x.a[i] - y.a[i]) * (x.a[i] - y.a[i]))) AS da, list_sum(list_transform(range(1, 33), lambda i: (x.b[i] - y.b[i]) * (x.b[i] - y.b[i]))) AS db FROM e x JOIN e y ON x.vec_id <> y.vec_id),
     r AS (SELECT key, o, row_number() OVER (PARTITION BY key ORDER BY da, o) <= 15 AS na, row_number() OVER (PARTITION BY key ORDER BY db, o) <= 15 AS nb FROM d)
     SELECT key, round(count(*) FILTER (WHERE na AND nb) / count(*) FILTER (WHERE na OR nb)::DOUBLE, 9) AS jaccard FROM r GROUP BY key""")
-def neighbour_jaccard_whole(spark: SparkSession, sf: str) -> DataFrame:
+def neighbour_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
     return rounded(assoc.neighbour_agreement(e, "a", "b", "vec_id"), 9)
 
@@ -622,6 +569,15 @@ def principal_components(spark: SparkSession, sf: str) -> DataFrame:
     return assoc.principal_components(table(spark, sf, "embeddings"), "embedding", "vec_id", 8)
 
 
+@query("component_norms", """
+    WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, x - avg(x) OVER (PARTITION BY i) AS x FROM e)
+    SELECT vec_id, round(sum(x * x), 6) AS norm FROM c GROUP BY 1""")
+def component_norms(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all its components a row has the length that it has from the mean."""
+    p = assoc.principal_components(table(spark, sf, "embeddings"), "embedding", "vec_id", 64)
+    return p.groupBy("vec_id").agg(F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"))
+
+
 @query("association_scan")
 def association_scan(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("L"), F.col("label")).alias("gene"), F.col("vec_id").alias("variant_id"), F.col("embedding").cast("array<double>").alias("dosages"))
@@ -787,28 +743,16 @@ def direction_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return prioritize.direction_agreement(candidates(spark, sf), "model_a", "model_b")
 
 
-def _reference_report(spark: SparkSession, sf: str, sites: DataFrame) -> DataFrame:
-    bases = F.array(*[F.lit(b) for b in "ACGT"])
-    text = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACGT]", "N")
-    s = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), text.alias("seq"))
-    v = sites.select((F.col("l_suppkey") % 60).cast("string").alias("chrom"), (F.col("l_linenumber") * 40 - 40).alias("pos"), F.get(bases, (F.col("l_partkey") % 4).cast("int")).alias("ref"))
-    return contracts.reference_report(v, s).withColumn("examples", F.array_join("examples", ";"))
-
-
 @query("reference_report", f"""
-    WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {SEQ} AS seq FROM benchmark), v AS (SELECT CAST(l_suppkey % 60 AS VARCHAR) AS chrom, l_linenumber * 40 - 40 AS pos, substr('ACGT', CAST(l_partkey % 4 AS INTEGER) + 1, 1) AS ref FROM lineitem WHERE l_orderkey % 50 = 0),
-    o AS (SELECT v.chrom || ':' || pos || ':' || ref AS site, CASE WHEN seq IS NULL THEN 'mapping' WHEN pos < 1 OR pos > length(seq) THEN 'out_of_bounds' WHEN substr(seq, pos, 1) = ref THEN 'match' ELSE 'mismatch' END AS outcome FROM v LEFT JOIN s USING (chrom))
-    SELECT outcome, CAST(count(*) AS BIGINT) AS rows, array_to_string(list_sort(list(site))[1:20], ';') AS examples FROM o GROUP BY 1""")
-def reference_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _reference_report(spark, sf, table(spark, sf, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-@query("reference_report_whole", f"""
     WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {SEQ} AS seq FROM benchmark), v AS (SELECT CAST(l_suppkey % 60 AS VARCHAR) AS chrom, l_linenumber * 40 - 40 AS pos, substr('ACGT', CAST(l_partkey % 4 AS INTEGER) + 1, 1) AS ref FROM lineitem),
     o AS (SELECT v.chrom || ':' || pos || ':' || ref AS site, CASE WHEN seq IS NULL THEN 'mapping' WHEN pos < 1 OR pos > length(seq) THEN 'out_of_bounds' WHEN substr(seq, pos, 1) = ref THEN 'match' ELSE 'mismatch' END AS outcome FROM v LEFT JOIN s USING (chrom))
     SELECT outcome, CAST(count(*) AS BIGINT) AS rows, array_to_string(list_sort(list(site))[1:20], ';') AS examples FROM o GROUP BY 1""")
-def reference_report_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _reference_report(spark, sf, table(spark, sf, "lineitem"))
+def reference_report(spark: SparkSession, sf: str) -> DataFrame:
+    bases = F.array(*[F.lit(b) for b in "ACGT"])
+    text = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACGT]", "N")
+    s = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), text.alias("seq"))
+    v = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 60).cast("string").alias("chrom"), (F.col("l_linenumber") * 40 - 40).alias("pos"), F.get(bases, (F.col("l_partkey") % 4).cast("int")).alias("ref"))
+    return contracts.reference_report(v, s).withColumn("examples", F.array_join("examples", ";"))
 
 
 @query("locus_screen", """
@@ -834,6 +778,42 @@ def worked_locus(spark: SparkSession, sf: str) -> DataFrame:
     return reports.worked_locus(prioritize.rank_candidates(candidates(spark, sf).where("model_b IS NOT NULL"), "model_b")).select("gene", "variant_id", "rank")
 
 
-@query("normal_scores")
+def _horner(part: str, r: str) -> str:
+    def poly(c: tuple[float, ...]) -> str:
+        out = f"{c[0]!r}::DOUBLE"
+        for x in c[1:]:
+            out = f"({out} * {r} + {x!r}::DOUBLE)"
+        return out
+
+    return "({} / {})".format(*map(poly, C.NORMAL_QUANTILE[part]))
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile of a column in SQL."""
+    far = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_horner('middle', f'(0.180625::DOUBLE - ({p} - 0.5) * ({p} - 0.5))')} ELSE sign({p} - 0.5) * CASE WHEN {far} <= 5 THEN {_horner('shoulder', f'({far} - 1.6::DOUBLE)')} ELSE {_horner('tail', f'({far} - 5)')} END END"
+
+
+@query("normal_scores", f"""
+    WITH r AS (SELECT s_suppkey, s_nationkey, s_acctbal, (rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_nationkey, s_acctbal) - 1) / 2.0::DOUBLE - 0.5) / count(*) OVER (PARTITION BY s_nationkey) AS p FROM supplier)
+    SELECT s_suppkey, s_nationkey, s_acctbal, round({_quantile_sql('p')}, 9) AS normal_score FROM r""")
 def normal_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.normal_scores(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_acctbal", ["s_nationkey"])
+    out = reports.normal_scores(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_acctbal", ["s_nationkey"])
+    return out.withColumn("normal_score", F.round("normal_score", 9))
+
+
+@query("association_unrelated", f"""
+    WITH e AS (SELECT 'L' || label AS gene, vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+    y AS (SELECT gene, unnest(range(0, 64)) AS i, unnest(min_by(v, vec_id)) AS y FROM e GROUP BY gene),
+    r AS (SELECT gene, i, (rank() OVER (PARTITION BY gene ORDER BY y) + (count(*) OVER (PARTITION BY gene, y) - 1) / 2.0::DOUBLE - 0.5) / 64 AS p FROM y),
+    q AS (SELECT gene, i, {_quantile_sql('p')} AS y FROM r),
+    g AS (SELECT gene, vec_id, unnest(range(0, 64)) AS i, unnest(v) AS x FROM e),
+    s AS (SELECT gene, vec_id, covar_pop(x, y) * 64 AS xy, var_pop(x) * 64 AS xx, var_pop(y) * 64 AS yy FROM g JOIN q USING (gene, i) GROUP BY 1, 2)
+    SELECT gene, vec_id AS variant_id, round(xy / xx, 6) AS beta, round(sqrt((yy - xy * xy / xx) / 62 / xx), 6) AS se FROM s""")
+def association_unrelated(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples without kinship: the mixed model is a plain regression then, which SQL has."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("L"), F.col("label")).alias("gene"), F.col("vec_id").alias("variant_id"), F.col("embedding").cast("array<double>").alias("dosages"))
+    i = F.sequence(F.lit(0), F.lit(63))
+    own = spark.range(1).select(F.explode(i).alias("i"), F.lit(1.0).alias("k")).withColumn("j", F.col("i"))
+    y = e.groupBy("gene").agg(F.min_by("dosages", "variant_id").alias("values"))
+    return rounded(assoc.association_scan(e, y, own).select("gene", "variant_id", "beta", "se"))

@@ -8,16 +8,18 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociscale.functions.columns import attributes, finite, gene_name
 from lociscale.operators.contracts import ContractError, require_columns, require_header
+from lociscale.operators.ranks import quota_fill
+from lociscale.plans.lineage import numbered
 
 TAB = {"sep": "\t", "header": True}
 
@@ -44,19 +46,27 @@ def metadata_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFram
     return df.withColumns({c: finite(missing(c)) if c in numbers else missing(c) for c in df.columns})
 
 
-def bedgraph(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
-    """chrom, start, end, score of half-open intervals; blank, track and comment lines are skipped.
+def bedgraph(spark: SparkSession, path: str, names: dict[str, str] | None = None, *, excluded: list[str] | None = None) -> DataFrame:
+    """chrom, start, end, score of half-open intervals, and ``line``, which ascends in the order of the file;
+    blank, track and comment lines are skipped, and so are those of contigs in ``excluded`` (names of the file).
 
     A line without four fields raises. A gzipped track is one split: convert it to Parquet once.
     """
-    lines = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(value, 'track') AND NOT startswith(value, '#')")
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("trim(value) <> '' AND NOT startswith(value, 'track') AND NOT startswith(value, '#')")
+    if excluded:
+        lines = lines.where(~F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).isin(excluded))
     f = F.split(F.trim("value"), r"\s+")
     chrom = F.get(f, F.lit(0))
     if names:
         chrom = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), chrom)
     bad = F.raise_error(F.concat(F.lit("bedGraph line without four fields: "), F.col("value")))
     cell = lambda i: F.when(F.size(f) == 4, F.get(f, F.lit(i))).otherwise(bad.cast("string"))
-    return lines.select(chrom.alias("chrom"), cell(1).cast("long").alias("start"), cell(2).cast("long").alias("end"), finite(cell(3)).alias("score"))
+    return lines.select(chrom.alias("chrom"), cell(1).cast("long").alias("start"), cell(2).cast("long").alias("end"), finite(cell(3)).alias("score"), "line")
+
+
+def track_counts(intervals: DataFrame) -> DataFrame:
+    """chrom, intervals, covered: how many intervals and bases a track has on each contig."""
+    return intervals.groupBy("chrom").agg(F.count("*").alias("intervals"), F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
 def gff3(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +83,7 @@ def gff3_pragmas(spark: SparkSession, path: str) -> DataFrame:
     """pragma, values: genome build, accession and sequence regions of a GFF3 file."""
     lines = spark.read.text(path).where("startswith(value, '#!') OR startswith(value, '##')")
     f = F.split(F.trim("value"), r"\s+")
-    return lines.select(F.regexp_replace(F.get(f, F.lit(0)), "^#[#!]", "").alias("pragma"), F.slice(f, 2, 100).alias("values"))
+    return lines.select(F.regexp_replace(F.get(f, F.lit(0)), "^#[#!]", "").alias("pragma"), F.slice(f, F.lit(2), F.size(f)).alias("values"))
 
 
 def fasta(spark: SparkSession, path: str, wanted: list[str] | None = None, chunk: int = 1 << 20) -> DataFrame:
@@ -145,6 +155,45 @@ def vcf_genotypes(spark: SparkSession, path: str, keys: DataFrame | None = None)
     return long.select("chrom", "pos", "ref", "alt", F.col("c.sample").alias("sample"), F.col("c.gt").alias("gt"))
 
 
+def first_readable(*ways: Callable[[], DataFrame]) -> DataFrame:
+    """The table of the first of several ways to get it that can be read (a store, then a release, then an
+    embedded copy). What the others failed with is raised if none can."""
+    failures = []
+    for way in ways:
+        try:
+            df = way()
+            df.limit(1).collect()
+        except Exception as e:  # noqa: BLE001  whatever a source fails with, the next one is tried
+            failures.append(e)
+        else:
+            return df
+    raise ExceptionGroup("no source can be read", failures)
+
+
+def vcf_quota(spark: SparkSession, path: str, classes: list[tuple[str, Column, int]]) -> DataFrame:
+    """The first passing sites of each class in the order of the file, up to its quota, with selection_class and
+    ``ordinal``. The order of a folder of files is that of their names. Nothing is stopped early: each class is a
+    top-k over the scan, so tasks keep a quota's rows at most."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    f = F.split("value", "\t")
+    rows = lines.where("NOT startswith(value, '#') AND value <> ''").select("__file", "__at", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"), F.get(f, F.lit(6)).alias("filter"), F.get(f, F.lit(7)).alias("info"))
+    passing = rows.where((F.col("filter") == "PASS") & F.upper("ref").rlike("^[ACGTN]$") & F.upper("alt").rlike("^[ACGTN]$"))
+    placed = numbered(passing, "ordinal", "__file", "__at").drop("__file", "__at")
+    return quota_fill(placed, classes, ["ordinal"])
+
+
+def indexed_sites(spark: SparkSession, path: str, regions: DataFrame, *, width: int = 1 << 20) -> DataFrame:
+    """The sites of a table that ``write_indexed_sites`` wrote which lie in any of ``regions`` (chrom, start, end,
+    1-based, inclusive), each once. Contigs and bins are folders: a region's are joined as keys, so that Spark prunes
+    all others from the scan when it runs."""
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    wanted = regions.select(F.col("chrom").alias("chrom"), bins.alias("bin"), "start", "end")
+    sites = spark.read.parquet(path)
+    hit = F.broadcast(wanted) if wanted.count() <= 100_000 else wanted
+    met = sites.alias("s").join(hit.alias("r"), (F.col("s.chrom") == F.col("r.chrom")) & (F.col("s.bin") == F.col("r.bin")) & F.col("s.pos").between(F.col("r.start"), F.col("r.end")), "left_semi")
+    return met.drop("bin")
+
+
 def embedded(spark: SparkSession, payload: str) -> DataFrame:
     """A small table from a base64 text of gzipped tab-separated lines, for where no file can be read."""
     lines = gzip.decompress(base64.b64decode(payload)).decode().splitlines()
@@ -189,22 +238,59 @@ def zip_names(spark: SparkSession, path: str) -> DataFrame:
 SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def _tag(name: str) -> str:
+    return f"{SHEET_NS}{name}"
+
+
 def sheet_rows(content: bytes, number: int) -> list[dict[str, str]]:
-    """The non-empty rows of a sheet as maps from column letters to text."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.itertext()) for t in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET_NS}si")]
-        tree = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{number}.xml"))
-    out = []
-    for row in tree.iter(f"{SHEET_NS}row"):
-        cells = {}
-        for c in row.iter(f"{SHEET_NS}c"):
-            value = c.find(f"{SHEET_NS}v")
-            if value is not None and value.text is not None:
-                cells[c.get("r", "").rstrip("0123456789")] = shared[int(value.text)] if c.get("t") == "s" else value.text
-        if cells:
-            out.append(cells)
+    """The non-empty rows of a sheet as maps from column letters to text.
+
+    The sheet is read as a stream of elements, each row let go when it ends. A cell is shared (type ``s``: its
+    value numbers an entry of the workbook's strings), inline (``inlineStr``: its text runs), or has its value
+    as it stands; a cell without a reference follows the one before it.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        strings: list[str] = []
+        if (part := "xl/sharedStrings.xml") in book.namelist():
+            with book.open(part) as f:
+                strings = ["".join(t.text or "" for t in entry.iter(_tag("t"))) for _, entry in ElementTree.iterparse(f) if entry.tag == _tag("si")]
+        out = []
+        with book.open(f"xl/worksheets/sheet{number}.xml") as f:
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != _tag("row"):
+                    continue
+                if own := dict(_cells(row, strings)):
+                    out.append(own)
+                row.clear()
+    return out
+
+
+def _cells(row: ElementTree.Element, strings: list[str]) -> Iterator[tuple[str, str]]:
+    place = 0
+    for cell in row.iterfind(_tag("c")):
+        letters = re.match("[A-Z]*", cell.get("r", "")).group()
+        place = _column_number(letters) if letters else place + 1
+        kind, value = cell.get("t", "n"), cell.findtext(_tag("v"))
+        if kind == "inlineStr":
+            value = "".join(t.text or "" for t in cell.iter(_tag("t")))
+        elif kind == "s" and value:
+            value = strings[int(value)]
+        if value is not None and value != "":
+            yield _column_letters(place), value
+
+
+def _column_number(letters: str) -> int:
+    out = 0
+    for x in letters:
+        out = out * 26 + ord(x) - 64
+    return out
+
+
+def _column_letters(number: int) -> str:
+    out = ""
+    while number:
+        number, rest = divmod(number - 1, 26)
+        out = chr(65 + rest) + out
     return out
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociscale.operators.contracts import ContractError
+from lociscale.plans.lineage import numbered
 
 
 def table_digest(df: DataFrame) -> dict:
@@ -32,8 +33,19 @@ def write_table(df: DataFrame, path: str, *, digits: int = 17, partition_by: lis
     return table_digest(df)
 
 
-def write_checked(df: DataFrame, path: str) -> DataFrame:
-    """Parquet, read again and held against what was written."""
+def write_checked(df: DataFrame, path: str, order: list[str] | None = None) -> DataFrame:
+    """Parquet, read again and held against what was written; with ``order`` (columns that tell all rows
+    apart) it is sorted by them, with each row's place in ``ordinal``, and the order is held too."""
+    if order is not None:
+        placed = numbered(df, "ordinal", *order)
+        placed.orderBy("ordinal").write.mode("errorifexists").parquet(path)
+        again = df.sparkSession.read.parquet(path)
+        if table_digest(df) != table_digest(again.drop("ordinal")):
+            raise ContractError(path, {"the table read back differs": 1})
+        ends = again.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.countDistinct("ordinal").alias("places"))
+        if bad := ends.where((F.col("high") - F.col("low") + 1 != F.col("n")) | (F.col("places") != F.col("n"))).count():
+            raise ContractError(path, {"files out of order": bad})
+        return again
     df.write.mode("errorifexists").parquet(path)
     again = df.sparkSession.read.parquet(path)
     if table_digest(df) != table_digest(again):
@@ -42,20 +54,41 @@ def write_checked(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_vcf(df: DataFrame, path: str, header: list[str]) -> None:
-    """One folder of text: site rows in genome order below their header lines."""
+    """One folder of text: site rows in genome order (numbered contigs by number, then the others by name)
+    below their header lines."""
     fields = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
-    rows = df.select(F.col("chrom").cast("string").alias("c"), F.col("pos").alias("p"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) if c in df.columns else F.lit(".") for c in fields]).alias("value"))
+    rows = df.select(F.lit(1).alias("part"), F.col("chrom").cast("string").alias("c"), F.col("pos").cast("long").alias("p"), F.col("ref").alias("r"), F.col("alt").alias("a"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) if c in df.columns else F.lit(".") for c in fields]).alias("value"))
     spark = df.sparkSession
     top = [*header, "#" + "\t".join(x.upper() for x in fields)]
-    lead = spark.createDataFrame([(i, x) for i, x in enumerate(top)], "p long, value string").select(F.lit(None).cast("string").alias("c"), "p", "value")
-    lead.unionByName(rows).orderBy(F.col("c").asc_nulls_first(), F.col("c").try_cast("int"), "p").select("value").write.mode("errorifexists").text(path)
+    lead = spark.createDataFrame([(0, i, x) for i, x in enumerate(top)], "part int, p long, value string")
+    both = lead.unionByName(rows, allowMissingColumns=True)
+    both.orderBy("part", F.col("c").try_cast("int").asc_nulls_last(), "c", "p", "r", "a").select("value").write.mode("errorifexists").text(path)
 
 
-def write_json(value: dict, path: str) -> None:
-    """Sorted keys; NaN and infinities raise; an existing file is not overwritten."""
-    with Path(path).open("x") as f:
-        json.dump(value, f, indent=2, sort_keys=True, allow_nan=False)
-        f.write("\n")
+def write_indexed_sites(df: DataFrame, path: str, *, width: int = 1 << 20) -> None:
+    """Sites (chrom, pos, ...) as Parquet in folders by contig and bin of positions, sorted inside them: the
+    partitions that ``indexed_sites`` fetches."""
+    binned = df.withColumn("bin", F.floor(F.col("pos") / width))
+    binned.repartition("chrom", "bin").sortWithinPartitions("chrom", "bin", "pos").write.mode("errorifexists").partitionBy("chrom", "bin").parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and the path in its form: any store that Spark reads and writes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One file with sorted keys. NaN and infinities raise; an existing file is not overwritten."""
+    text = json.dumps(value, sort_keys=True, indent=1, allow_nan=False)
+    fs, p = _file_system(spark, path)
+    if fs.exists(p):
+        raise FileExistsError(path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def fingerprint(config: dict) -> str:
@@ -73,9 +106,8 @@ class ResumableTable:
         self.spark, self.path, self.fingerprint = spark, path.rstrip("/"), fingerprint(config)
 
     def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = _file_system(self.spark, path)
+        return fs.exists(p)
 
     def done(self, part: str) -> bool:
         data, mark = self._exists(f"{self.path}/{part}/data/_SUCCESS"), self._exists(f"{self.path}/{part}/marker/_SUCCESS")
@@ -91,6 +123,17 @@ class ResumableTable:
     def read(self, part: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{part}/data")
 
+    def whole(self, parts: list[str]) -> DataFrame:
+        """All of ``parts``, in order of their names, with the part of each row in ``shard``; each is held
+        against its marker first, and one that isn't done raises."""
+        if missing := [p for p in sorted(parts) if not self.done(p)]:
+            raise ContractError(self.path, {f"part {p} is missing": 1 for p in missing})
+        out = None
+        for part in sorted(parts):
+            own = self.read(part).withColumn("shard", F.lit(part))
+            out = own if out is None else out.unionByName(own)
+        return out
+
     def write(self, part: str, df: DataFrame) -> DataFrame:
         """The part's table: what is there, or ``df`` after writing it."""
         if not self.done(part):
@@ -100,38 +143,53 @@ class ResumableTable:
         return self.read(part)
 
 
-def manifest(folder: str) -> dict:
-    """sha256 and bytes of every file under ``folder``."""
-    root = Path(folder)
-    files = {}
-    for p in sorted(x for x in root.rglob("*") if x.is_file() and x.name != "manifest.json"):
-        digest = hashlib.sha256()
-        with p.open("rb") as f:
-            while block := f.read(1 << 20):
-                digest.update(block)
-        files[p.relative_to(root).as_posix()] = {"sha256": digest.hexdigest(), "bytes": p.stat().st_size}
-    return {"files": files}
-
-
-def verify_manifest(folder: str, expected: dict) -> None:
-    root = Path(folder).resolve()
-    found = manifest(folder)["files"]
-    bad = {}
-    for name, entry in expected["files"].items():
-        if root not in (root / name).resolve().parents:
-            bad[f"unsafe path {name}"] = 1
-        elif found.get(name, {}).get("sha256") != entry["sha256"]:
-            bad[f"checksum of {name}"] = 1
-    if bad:
-        raise ContractError(folder, bad)
+MANIFEST = "manifest.json"
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """name, bytes, sha256 of the files under ``folder`` but its manifest. The digests are taken where the
+    files are read, one task a file; Spark leaves out hidden files (names with a leading dot or underscore)."""
+    root = _qualified(spark, folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.substr(F.col("path"), F.length(F.lit(root)) + 2)
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(F.col("name") != MANIFEST)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    fs, p = _file_system(spark, folder.rstrip("/"))
+    return fs.makeQualified(p).toString()
+
+
+def write_manifest(spark: SparkSession, folder: str) -> None:
+    """The manifest of what ``folder`` holds, in it."""
+    listed = {r["name"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in manifest(spark, folder).collect()}  # one row a file
+    write_json(spark, {"files": listed}, f"{folder.rstrip('/')}/{MANIFEST}")
+
+
+def manifest_differences(spark: SparkSession, folder: str, expected: dict) -> DataFrame:
+    """name, problem: listed files that are missing, changed or named outside the folder. Files that aren't
+    listed are no fault."""
+    outside = lambda n: n.startswith("/") or ":" in n or ".." in n.split("/")
+    entries = [(n, e["sha256"], outside(n)) for n, e in expected["files"].items()]
+    listed = spark.createDataFrame(entries, "name string, wanted string, outside boolean")
+    both = listed.join(manifest(spark, folder), "name", "left")
+    problem = F.when(F.col("outside"), "unsafe path").when(F.col("sha256").isNull(), "missing file").when(F.col("sha256") != F.col("wanted"), "checksum")
+    return both.select("name", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def verify_manifest(spark: SparkSession, folder: str, expected: dict) -> None:
+    if found := manifest_differences(spark, folder, expected).collect():
+        raise ContractError(folder, {f"{r['problem']} {r['name']}": 1 for r in found})
 
 
 def load_verified(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a folder by name, once its manifest holds."""
-    from lociscale.sources.readers import tsv
+    """The tab-separated tables directly under data/ by name, once the folder's manifest holds."""
+    from lociscale.sources.readers import json_document, tsv
 
-    verify_manifest(folder, json.loads((Path(folder) / "manifest.json").read_text()))
-    return {p.stem: tsv(spark, str(p)) for p in sorted((Path(folder) / "data").glob("*.tsv"))}
+    expected = json_document(spark, f"{folder}/{MANIFEST}")
+    verify_manifest(spark, folder, expected)
+    tables = sorted(n for n in expected["files"] if n.startswith("data/") and n.endswith(".tsv") and n.count("/") == 1)
+    return {n[len("data/") : -len(".tsv")]: tsv(spark, f"{folder}/{n}") for n in tables}
 
 
 def withheld(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict]:
@@ -150,7 +208,9 @@ def write_zip(folder: str, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A table of at most ``most`` rows as text."""
-    rows = df.limit(most).collect()
+    """A table as text. It is for reports: more than ``most`` rows raise, none are left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ContractError("report", {f"more than {most} rows": len(rows)})
     text = lambda v: "" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(map(text, r)) + " |" for r in rows]])

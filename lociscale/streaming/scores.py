@@ -32,17 +32,23 @@ def reason_totals(stream: DataFrame, ladder: list) -> DataFrame:
 
 
 def keep_bottom_k(stream: DataFrame, k: int, namespace: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the k rows of least hash over all that has come, in ``path``/batch=N, the last one complete.
+    """Keeps the k keys of least hash over all that has come, in ``path``/batch=N, the last one complete.
 
-    Each batch merges its own k least with the k kept before, so the work of a batch doesn't grow.
+    Each batch merges its own k least keys with the k kept before, so the work of a batch doesn't grow. A key
+    that comes again is one row; of rows that differ in other columns that of the least values stays.
     """
     key = ["chrom", "pos", "ref", "alt"]
 
+    def least(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (*key, "selection_hash")]
+        once = rows.groupBy(*key, "selection_hash").agg(F.min(F.struct(*rest)).alias("rest"))  # copies of a key go before rows are cut
+        return once.orderBy("selection_hash").limit(k).select(*key, "rest.*", "selection_hash")
+
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        own = batch.withColumn("selection_hash", hash_rank(namespace, *[F.col(c) for c in key])).orderBy("selection_hash").limit(k)
+        own = least(batch.withColumn("selection_hash", hash_rank(namespace, *[F.col(c) for c in key])))
         if number:
-            own = own.unionByName(spark.read.parquet(f"{path}/batch={number - 1}"))
-        own.dropDuplicates(key).orderBy("selection_hash").limit(k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            own = least(own.unionByName(spark.read.parquet(f"{path}/batch={number - 1}")))
+        own.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

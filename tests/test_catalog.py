@@ -45,26 +45,26 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_neighbour_jaccard_whole_has_every_row(spark):
-    found = catalog.QUERIES["neighbour_jaccard_whole"](spark, SMALL)
+def test_neighbour_jaccard_has_every_row(spark):
+    found = catalog.QUERIES["neighbour_jaccard"](spark, SMALL)
     assert {r.key for r in found.collect()} == {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
 
 
-def test_reference_report_whole_checks_every_line(spark):
-    found = catalog.QUERIES["reference_report_whole"](spark, SMALL)
+def test_reference_report_checks_every_line(spark):
+    found = catalog.QUERIES["reference_report"](spark, SMALL)
     assert sum(r.rows for r in found.collect()) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
 
 
-def test_membership_whole_counts_every_order(spark):
+def test_membership_counts_every_order(spark):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
-    found = catalog.QUERIES["crosswalk_status_whole"](spark, SMALL).collect()
+    found = catalog.QUERIES["crosswalk_status"](spark, SMALL).collect()
     assert sum(r.right_rows for r in found) == orders.count()
-    assert {r.status: r["keys"] for r in catalog.QUERIES["key_set_difference_whole"](spark, SMALL).collect()} == Counter(r.status for r in found)
+    assert {r.status: r["keys"] for r in catalog.QUERIES["key_set_difference"](spark, SMALL).collect()} == Counter(r.status for r in found)
 
 
-def test_kinship_whole_has_every_component(spark):
+def test_kinship_has_every_component(spark):
     size = {(i, j) for i in range(64) for j in range(64)}
-    assert {(r.i, r.j) for r in catalog.QUERIES["kinship_whole"](spark, SMALL).collect()} == size
-    out = catalog.QUERIES["kinship_leave_one_out_whole"](spark, SMALL).collect()
+    assert {(r.i, r.j) for r in catalog.QUERIES["kinship"](spark, SMALL).collect()} == size
+    out = catalog.QUERIES["kinship_leave_one_out"](spark, SMALL).collect()
     labels = {r.label for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
     assert {(r.label, r.i, r.j) for r in out} == {(g, *x) for g in labels for x in size}

@@ -1,6 +1,6 @@
 import gzip
+import hashlib
 import io
-import json
 import zipfile
 
 import pytest
@@ -32,7 +32,9 @@ def test_tracks_and_annotations(spark, tmp_path):
     with gzip.open(tmp_path / "t.bg.gz", "wt") as f:
         f.write("track type=bedGraph\n#c\n\nChr1 0 10 -1.5\nChr1\t10\t20\t2\n")
     got = readers.bedgraph(spark, str(tmp_path / "t.bg.gz"), {"Chr1": "1"}).collect()
-    assert [tuple(r) for r in got] == [("1", 0, 10, -1.5), ("1", 10, 20, 2.0)]
+    assert [tuple(r)[:4] for r in got] == [("1", 0, 10, -1.5), ("1", 10, 20, 2.0)] and got[0].line < got[1].line
+    assert readers.bedgraph(spark, str(tmp_path / "t.bg.gz"), excluded=["Chr1"]).count() == 0
+    assert [tuple(r) for r in readers.track_counts(readers.bedgraph(spark, str(tmp_path / "t.bg.gz"))).collect()] == [("Chr1", 2, 20)]
     (tmp_path / "bad.bg").write_text("Chr1 0 10\n")
     with pytest.raises(Exception, match="four fields"):
         readers.bedgraph(spark, str(tmp_path / "bad.bg")).collect()
@@ -70,13 +72,13 @@ def workbook():
     ns = readers.SHEET_NS.strip("{}")
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2.5</v></c></row><row/><row><c r="AB3" t="s"><v>1</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2.5</v></c></row><row/><row><c r="AB3" t="s"><v>1</v></c><c t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>')
     return out.getvalue()
 
 
 def test_workbooks_and_archives(spark, tmp_path):
     (tmp_path / "w.xlsx").write_bytes(workbook())
-    assert [r.cells for r in readers.xlsx(spark, str(tmp_path / "w.xlsx"), 1).orderBy("row_number").collect()] == [{"A": "name", "C": "2.5"}, {"AB": "ab"}]
+    assert [r.cells for r in readers.xlsx(spark, str(tmp_path / "w.xlsx"), 1).orderBy("row_number").collect()] == [{"A": "name", "C": "2.5"}, {"AB": "ab", "AC": "in"}]
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("d/1_two_x.txt", "l1\nl2\n")
         z.writestr("d/2_one.txt", "m1")
@@ -92,13 +94,20 @@ def test_writers_refuse_and_verify(spark, tmp_path):
         writers.write_table(df, str(tmp_path / "t"))
     assert readers.tsv(spark, str(tmp_path / "t")).orderBy("k").first().v == "0.1"
     assert writers.write_checked(df, str(tmp_path / "p")).count() == 2
-    writers.write_json({"b": 1, "a": None}, str(tmp_path / "j.json"))
+    writers.write_json(spark, {"b": 1, "a": None}, str(tmp_path / "j.json"))
     assert readers.json_document(spark, str(tmp_path / "j.json")) == {"a": None, "b": 1}
+    with pytest.raises(FileExistsError):
+        writers.write_json(spark, {}, str(tmp_path / "j.json"))
     with pytest.raises(ValueError):
-        writers.write_json({"a": float("nan")}, str(tmp_path / "k.json"))
+        writers.write_json(spark, {"a": float("nan")}, str(tmp_path / "k.json"))
     kept, digest = writers.withheld(df, ["v"])
     assert "v" not in kept.columns and digest["rows"] == 2
     assert writers.markdown(df.select("k", "v")).splitlines()[2] == "| 1 | 0.1 |"
+    with pytest.raises(ContractError, match="more than 200 rows"):
+        writers.markdown(spark.range(201))
+    assert len(writers.markdown(spark.range(200)).splitlines()) == 202
+    ordered = writers.write_checked(spark.range(1000).repartition(7), str(tmp_path / "o"), ["id"])
+    assert ordered.where("id <> ordinal").count() == 0 and ordered.count() == 1000
 
 
 def test_resuming(spark, tmp_path):
@@ -117,19 +126,51 @@ def test_resuming(spark, tmp_path):
 def test_manifests(spark, tmp_path):
     (tmp_path / "data").mkdir()
     (tmp_path / "data/a.tsv").write_text("k\n1\n")
-    (tmp_path / "manifest.json").write_text(json.dumps(writers.manifest(str(tmp_path))))
-    assert writers.load_verified(spark, str(tmp_path))["a"].count() == 1
+    (tmp_path / "data/b.txt").write_text("notes")
+    writers.write_manifest(spark, str(tmp_path))
+    listed = readers.json_document(spark, str(tmp_path / "manifest.json"))["files"]
+    assert {n: (e["bytes"], e["sha256"]) for n, e in listed.items()} == {f"data/{n}": (len(t), hashlib.sha256(t.encode()).hexdigest()) for n, t in (("a.tsv", "k\n1\n"), ("b.txt", "notes"))}
+    tables = writers.load_verified(spark, str(tmp_path))
+    assert list(tables) == ["a"] and tables["a"].count() == 1
     (tmp_path / "data/a.tsv").write_text("k\n2\n")
-    with pytest.raises(ContractError, match="checksum"):
+    with pytest.raises(ContractError, match="checksum data/a.tsv"):
         writers.load_verified(spark, str(tmp_path))
-    with pytest.raises(ContractError, match="unsafe"):
-        writers.verify_manifest(str(tmp_path), {"files": {"../x": {"sha256": "0"}}})
+    (tmp_path / "data/a.tsv").unlink()
+    with pytest.raises(ContractError, match="missing file data/a.tsv"):
+        writers.load_verified(spark, str(tmp_path))
+    for name in ("../x", "/etc/x", "file:x", "data/../../x"):
+        with pytest.raises(ContractError, match="unsafe path"):
+            writers.verify_manifest(spark, str(tmp_path), {"files": {name: {"sha256": "0"}}})
+
 
+def test_written_vcf_is_in_genome_order(spark, tmp_path):
+    rows = [("10", 3, "A", "C"), ("2", 7, "G", "T"), ("2", 7, "A", "T"), ("2", 7, "A", "C"), ("Mt", 1, "A", "C"), ("1", 900, "G", "T"), ("1", 30, "G", "T"), ("2", 70, "A", "C"), ("2", 8, "A", "C")]
+    df = spark.createDataFrame([(*r, "PASS") for r in rows], "chrom string, pos long, ref string, alt string, filter string")
+    writers.write_vcf(df.repartition(5), str(tmp_path / "o"), ["##fileformat=VCFv4.2", "##second"])
+    lines = [x for f in sorted((tmp_path / "o").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[:2] == ["##fileformat=VCFv4.2", "##second"] and lines[2].startswith("#CHROM\tPOS")
+    assert [(c[0], int(c[1]), c[3], c[4]) for c in (x.split("\t") for x in lines[3:])] == sorted(rows, key=lambda r: (not r[0].isdigit(), int(r[0]) if r[0].isdigit() else 0, r))
+    assert readers.vcf_sites(spark, str(tmp_path / "o")).count() == 9
 
-def test_written_vcf_can_be_read(spark, tmp_path):
-    df = spark.createDataFrame([("2", 7, "A", "C", "PASS"), ("1", 9, "G", "T", "PASS")], "chrom string, pos long, ref string, alt string, filter string")
-    writers.write_vcf(df, str(tmp_path / "o"), ["##fileformat=VCFv4.2"])
-    assert sorted((r.chrom, r.pos) for r in readers.vcf_sites(spark, str(tmp_path / "o")).collect()) == [("1", 9), ("2", 7)]
+
+def test_markers_are_held_before_parts_are_joined(spark, tmp_path):
+    t = writers.ResumableTable(spark, str(tmp_path / "r"), {"model": 1})
+    t.write("b", spark.range(3))
+    t.write("a", spark.range(2))
+    assert sorted((r.id, r.shard) for r in t.whole(["b", "a"]).collect()) == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "b")]
+    with pytest.raises(ContractError, match="part c is missing"):
+        t.whole(["a", "c"])
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "r/a/data"))
+    with pytest.raises(ContractError, match="changed since"):
+        t.whole(["a", "b"])
+
+
+def test_fallback_chain(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("k\n1\n")
+    gone, there = (lambda: readers.tsv(spark, str(tmp_path / "gone.tsv"))), (lambda: readers.tsv(spark, str(tmp_path / "a.tsv")))
+    assert readers.first_readable(gone, there).count() == 1
+    with pytest.raises(ExceptionGroup):
+        readers.first_readable(gone, gone)
 
 
 def test_streams(spark, tmp_path):
@@ -150,6 +191,23 @@ def test_streams(spark, tmp_path):
     assert {r.selection_hash for r in spark.read.parquet(str(tmp_path / "k/batch=1")).collect()} == expected
 
 
+def test_repeated_keys_of_a_stream_take_one_place(spark, tmp_path):
+    from lociscale.operators.ranks import bottom_k
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    head = "chrom\tpos\tref\talt\taf_alt\tscore\n"
+    rows = [f"1\t{i}\tA\tC\t0.2\t1.5\n" for i in range(20)]
+    (folder / "a.tsv").write_text(head + "".join(rows))
+    keys = spark.read.schema(scores.SCHEMA).options(sep="\t", header=True).csv(str(folder))
+    expected = {r.pos for r in bottom_k(keys, 5, "ns", "chrom", "pos", "ref", "alt").collect()}
+    least = min(expected, key=lambda p: next(r.selection_hash for r in bottom_k(keys, 20, "ns", "chrom", "pos", "ref", "alt").collect() if r.pos == p))
+    (folder / "a.tsv").write_text(head + "".join(rows) + rows[least] * 5)
+    stream = scores.score_files(spark, str(folder))
+    scores.keep_bottom_k(stream, 5, "ns", str(tmp_path / "k"), str(tmp_path / "c")).awaitTermination(120)
+    assert sorted(r.pos for r in spark.read.parquet(str(tmp_path / "k/batch=0")).collect()) == sorted(expected)
+
+
 def test_embedded_tables_and_stable_archives(spark, tmp_path):
     import base64
 
