@@ -1,4 +1,4 @@
-"""The queries of this subpackage and, where SQL can express them, their SQL."""
+"""The queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lociscale.llm import chat, curves, forest, langid, linespread, mixing, packing, sharding, tiff, toxicity
 from lociscale.llm.common import table
+from lociscale.llm.sql import SQL as OPERATORS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,12 +65,10 @@ def op9_ngram_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return langid.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.language_id(docs).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -86,129 +86,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
-#: CRC-32 in SQL: its table of 256 entries from the polynomial, and the checksum of a hexadecimal string.
-CRC_TABLE = """crc_steps(i, k, x) AS (
-            SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM crc_steps WHERE k < 8
-        ), crc_table AS (SELECT list(x ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
-CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
-
-SQL: dict[str, str] = {
-    "op1_chat_formatting": r"""
-        WITH turns AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL
-            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL
-        ), sized AS (
-            SELECT *, 15 + length(role) + length(text)
-                + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<:]', '', 'g')) - 1 AS chars
-            FROM turns
-        )
-        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
-            CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS LAST, role, text), '')) AS loss_sha256,
-            CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites_history
-        FROM sized GROUP BY conv_id, alone
-    """,
-    "op2_histogram_sort": f"""
-        WITH RECURSIVE {CRC_TABLE},
-        docs AS (
-            SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, coalesce(hex(encode(text)), '') AS h,
-                coalesce(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT), 0) AS a, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS b
-            FROM documents
-        ), summed AS (
-            SELECT *, CAST(sum(size) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total, greatest(50000, count(*) OVER () // 1000000) AS per FROM docs
-        ), cut AS (
-            SELECT *, CAST(len(list_filter([total * i // 8 for i in range(1, 8)], lambda x: upto - size >= x OR (upto > x AND x - (upto - size) <= upto - x))) AS INTEGER) AS shard,
-                a // (1152921504606846976 // (greatest(1, (SELECT count(*) FROM docs) // per) * 16) + 1) AS p
-            FROM summed
-        ), parted AS (
-            SELECT *, b // (1152921504606846976 // (CASE WHEN count(*) OVER (PARTITION BY shard, p) > per THEN count(*) OVER (PARTITION BY shard, p) // per + 1 ELSE 1 END) + 1) AS q FROM cut
-        )
-        SELECT doc_id, size, CAST({CRC.format(h="h")} AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
-            CAST(row_number() OVER (PARTITION BY shard ORDER BY p, q, a, b) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-        FROM parted, crc_table
-    """,
-    "op3_hilbert_neighbours": r"""
-        WITH cleaned AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)
-                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-        ), rows AS (
-            SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda x, y: x + y)) AS norm FROM (SELECT DISTINCT vec_id, v FROM cleaned)
-        ), scored AS (
-            SELECT q.vec_id AS query_id, r.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i]), lambda x, y: x + y) / (q.norm * r.norm) AS score
-            FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND NOT (q.vec_id = r.vec_id AND q.v = r.v)
-        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
-        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
-    """,
-    "op7_water_filling_mix": r"""
-        WITH docs AS (
-            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u
-            FROM documents
-        ), sources AS (
-            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
-        ), weighed AS (
-            SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sources
-        ), ordered AS (
-            SELECT *, CAST(sum(cap) OVER w - cap AS BIGINT) AS held, CAST(sum(weight) OVER () - (sum(weight) OVER w - weight) AS BIGINT) AS rest,
-                CAST(sum(source_size) OVER () AS BIGINT) AS total
-            FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
-        ), leveled AS (
-            SELECT min_by(CAST(total - held AS DOUBLE) / CAST(rest AS DOUBLE), held) AS level
-            FROM ordered WHERE cap >= CAST(total - held AS DOUBLE) / CAST(rest AS DOUBLE) * weight
-        ), targets AS (
-            SELECT source, source_size, CASE WHEN cap < level * weight THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM weighed, leveled
-        ), parts AS (
-            SELECT *, CAST(floor(target + 0.5) AS BIGINT) // greatest(source_size, 1) AS whole, CAST(floor(target + 0.5) AS BIGINT) % greatest(source_size, 1) AS extra FROM targets
-        ), summed AS (
-            SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.extra,
-                CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.size RANGE UNBOUNDED PRECEDING) AS BIGINT) AS upto,
-                CAST(count(*) OVER (PARTITION BY d.source, d.u, d.size) AS BIGINT) AS tied
-            FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
-        )
-        SELECT doc_id, size, source_size, target,
-            size * whole + CASE WHEN upto <= extra THEN size WHEN upto - size * tied >= extra THEN 0 ELSE (extra - upto + size * tied) // tied END AS taken
-        FROM summed
-    """,
-    "op8_line_spread": r"""
-        WITH lines AS (
-            SELECT source, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM documents
-        ), boiler AS (
-            SELECT line FROM lines WHERE length(line) >= 16
-            GROUP BY line HAVING count(DISTINCT source) >= 8 AND count(DISTINCT text) > 1
-        ), gone AS (SELECT coalesce(list(line), []) AS lines FROM boiler),
-        kept AS (
-            SELECT doc_id, text, string_split(text, chr(10)) AS own, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(g.lines, trim(x, ' '))) AS rest
-            FROM documents, gone g
-        ), decided AS (
-            SELECT *, len(list_filter(rest, lambda x: length(trim(x, ' ')) > 0)) = 0 OR len(rest) = len(own) AS whole FROM kept
-        )
-        SELECT doc_id, CASE WHEN whole THEN text ELSE array_to_string(rest, chr(10)) END AS text,
-            CAST(coalesce(len(own), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN whole THEN 0 ELSE coalesce(len(own) - len(rest), 0) END AS BIGINT) AS n_removed
-        FROM decided
-    """,
-    "op9_ngram_forest": r"""
-        WITH RECURSIVE split AS (
-            SELECT doc_id, text IS NULL AS without, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
-        ), shingled AS (
-            SELECT doc_id, without, list_sort(list_distinct(CASE WHEN len(w) = 0 OR without THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM split
-        ), keyed AS (
-            SELECT doc_id, without, s, CASE WHEN without THEN 'null ' || doc_id ELSE md5(array_to_string(s, chr(10))) || len(s) END AS k FROM shingled
-        ), sets AS (
-            SELECT k, min(doc_id) AS id, count(*) AS copies, any_value(s) AS s, any_value(len(s)) AS n FROM keyed GROUP BY k
-        ), items AS (SELECT id, n, unnest(s) AS x FROM sets),
-        met AS (
-            SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
-            FROM items a JOIN items b ON a.x = b.x AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2
-        ), half AS (SELECT a, b FROM met WHERE CAST(common AS DOUBLE) / CAST(na + nb - common AS DOUBLE) >= CAST(0.8 AS DOUBLE)),
-        links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
-        reach AS (SELECT id, id AS r FROM sets UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a),
-        classes AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id),
-        linked AS (SELECT a AS id, sum(copies) AS n_links, count(*) AS n_texts FROM links JOIN sets ON links.b = sets.id GROUP BY a)
-        SELECT keyed.doc_id, class_id, CAST(copies - 1 + coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_texts, 0) AS BIGINT) AS n_texts
-        FROM keyed JOIN sets USING (k) JOIN classes USING (id) LEFT JOIN linked USING (id)
-    """,
-}
+SQL: dict[str, str] = OPERATORS | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

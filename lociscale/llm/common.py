@@ -55,6 +55,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A written table that nothing reads any more goes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch of whole texts holds; long texts make the default too large."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
@@ -90,6 +96,11 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     return sorted_.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__place")).drop("__range", "__place", "__start")
 
 
+def hash60(value: Column) -> Column:
+    """The first 60 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def uniform(*columns: Column, seed: int = 0) -> Column:
     """A number in [0, 2**40) from a hash of ``columns``, the same on every run."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40))

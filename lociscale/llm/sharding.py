@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut, stored
+from lociscale.llm.common import cut, hash60, stored
 
 LEVELS = ("__h", "__t", "__m")
 #: The keys of a level go from 0 to this.
@@ -66,11 +66,6 @@ def bucket_of(level: Column, low: int, step: int) -> Column:
     return F.call_function("div", level - F.lit(low), F.lit(step))
 
 
-def hash60(value: Column) -> Column:
-    """The first 60 bits of a text's MD5."""
-    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def find_splitters(rows: DataFrame, shards: int, tolerance: float, probes: int) -> list[tuple[int, ...]]:
     """Lexicographic lower bounds of shards 1 to ``shards`` - 1 over the key levels of ``rows``."""
     total = rows.agg(F.sum("__size")).first()[0] or 0

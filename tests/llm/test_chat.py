@@ -60,6 +60,15 @@ def test_empty_table_and_extra_columns(spark):
     assert chat.format_conversations(empty).count() == 0
 
 
+def test_rows_without_a_conversation_are_formatted_alone(spark):
+    rows = [(None, i, "assistant", f"t{i % 2}", "old", 3) for i in range(6)] + [(1, 0, "assistant", "x" * 500_000 + "#", "old", 3), (1, 1, "user", "<" * 3, None, None)]
+    found = chat.format_conversations(spark.createDataFrame(rows, SCHEMA + ", formatted string, n_turns int")).collect()
+    alone = [r for r in found if r.conv_id is None]
+    assert len(alone) == 6 and {r.n_turns for r in alone} == {1} and {r.loss_chars for r in alone} == {2}
+    (long,) = [r for r in found if r.conv_id == 1]
+    assert long.loss_chars == 500_001 and long.loss_sha256 == hashlib.sha256(b"x" * 500_000 + b"#").hexdigest() and long.formatted != "old"
+
+
 def test_a_long_conversation(spark):
     rows = [(3, i, "assistant", f"t{i}#") for i in range(600)]
     (r,) = chat.format_conversations(spark.createDataFrame(rows, SCHEMA), with_output=False).collect()

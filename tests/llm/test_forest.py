@@ -179,3 +179,15 @@ def test_one_row_of_each_class_stays(spark):
     for i, (doc, _) in enumerate(texts):
         least.setdefault(find(i), []).append(doc)
     assert sorted((r[0] for r in found if r[1] is not None), key=str) == sorted((min((d for d in v if d is not None), default=None) for v in least.values()), key=str)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60_000)]
+    near = list(base)
+    for at in rng.sample(range(60_000), 500):
+        near[at] = "other"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base[:30_000])), (4, "short one"), (5, None)]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, id int, sid int, signature string")
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_texts) for r in forest.similarity_classes(df).collect()) == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 0, 0), (4, 4, 0, 0), (5, 5, 0, 0)]
+    assert forest.one_of_each(df).columns == df.columns and sorted(r.doc_id for r in forest.one_of_each(df).collect()) == [1, 3, 4, 5]

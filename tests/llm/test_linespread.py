@@ -59,5 +59,24 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert linespread.boilerplate(spark.createDataFrame(rows, SCHEMA), min_sites=20).count() == 20
 
 
+def test_spread_is_of_sites_and_needs_two_texts(spark):
+    """A line on many sites in few texts goes; one on few sites in many texts, or in one text alone, stays."""
+    rows = [(i, f"On ten sites, in two texts only.\nown {i % 2}", f"s{i}", None, None) for i in range(10)]
+    rows += [(100 + i, f"On seven sites, in many texts here.\nown {i}", f"s{i % 7}", None, None) for i in range(40)]
+    rows += [(200 + i, "On all of the sites, in one text.\nand so is this one", f"s{i}", None, None) for i in range(20)]
+    rows += [(300, "On ten sites, in two texts only.\n" + "a long line of words \n" * 30_000, "s1", None, None)]
+    found = {r.doc_id: r for r in linespread.remove_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[i].text == f"own {i % 2}" and found[i].n_removed == 1 for i in range(10))
+    assert not any(found[i].n_removed for i in [*range(100, 140), *range(200, 220)])
+    assert found[300].n_removed == 1 and found[300].n_lines == 30_002
+
+
+@pytest.mark.parametrize("inline", [5000, 0])
+def test_hot_texts_and_nulls(spark, inline):
+    rows = [(i, f"All over the place, this line.\nown {i % 3}", f"s{i % 12}", None, None) for i in range(600)] + [(1000 + i, None, "s1", None, None) for i in range(300)]
+    found = linespread.remove_boilerplate(spark.createDataFrame(rows, SCHEMA), inline=inline).collect()
+    assert len(found) == 900 and sum(r.n_removed for r in found) == 600 and sum(r.text is None for r in found) == 300
+
+
 def test_empty_table(spark):
     assert linespread.remove_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0

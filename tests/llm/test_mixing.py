@@ -61,3 +61,15 @@ def test_documents_are_repeated(spark):
     assert out.columns == df.columns
     n = {r.source: r.n for r in out.groupBy("source").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     assert n == {"big": 40, "small": 60}
+
+
+def test_a_very_long_document_and_many_sources(spark):
+    rows = [(i, "w " * (i % 5 + 1), f"s{i % 700:03d}", None, None) for i in range(2100)] + [(9999, "long " * 200_000, "s000", None, None)]
+    found = [r.asDict() for r in mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()]
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in found:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    expected = fill(sizes)
+    assert len(found) == 2101 and all(target[s] == pytest.approx(expected[s], rel=1e-9) and abs(taken[s] - expected[s]) <= 1 for s in sizes)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -26,7 +27,7 @@ def test_against_brute_force():
     for _ in range(60):
         items = [(rng.randint(1, 20), rng.choice(["a", "b", None]), rng.choice([1, 2, 3, 10 + i])) for i in range(60)]
         items.sort(key=lambda x: -x[0])
-        placed, filled = packing.best_fit(items, 20, 2)
+        placed, filled = packing.best_fit([(n, {src: 1}, frozenset((c,))) for n, src, c in items], 20, 2)
         assert placed == slow_best_fit(items, 20, 2)
         assert all(sum(s for (s, _, _), (b, _) in zip(items, placed) if b == k) == n for k, n in enumerate(filled))
 
@@ -53,6 +54,43 @@ def test_packs_hold_everything_within_limits(spark):
             at += r["n_words"]
 
 
+def test_bundles_against_brute_force():
+    """Items that hold several documents meet the same limits as these would one by one."""
+    rng = random.Random(6)
+    for _ in range(60):
+        items = []
+        for i in range(50):
+            own = [(rng.choice("abc"), rng.choice([1, 2, 3, 100 + 9 * i + j])) for j in range(rng.randint(1, 4))]
+            count = Counter(x for x, _ in own)
+            if max(count.values()) <= 2 and len({c for _, c in own}) == len(own):
+                items.append((rng.randint(1, 20), own))
+        items.sort(key=lambda x: -x[0])
+        bins, expected = [], []
+        for size, own in items:
+            fits = []
+            for k, held in enumerate(bins):
+                docs = [d for _, ds in held for d in ds]
+                room = 20 - sum(n for n, _ in held)
+                if size <= room and not {c for _, c in docs} & {c for _, c in own} and max(Counter(x for x, _ in docs + own).values()) <= 2:
+                    fits.append((room, k))
+            k = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append([])
+            expected.append((k, sum(n for n, _ in bins[k])))
+            bins[k].append((size, own))
+        assert packing.best_fit([(n, dict(Counter(x for x, _ in own)), frozenset(c for _, c in own)) for n, own in items], 20, 2)[0] == expected
+
+
+def test_blocks_exchange_their_open_bins(spark):
+    """Small blocks end with open bins; exchanged, they need hardly more bins than one block does."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.choice([3, 30, 55, 61, 70])) + f" {i}", f"s{rng.randrange(40)}", "x") for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    bins = lambda **o: len({(r.block, r.bin) for r in packing.pack(df, capacity=100, **o).collect()})
+    one, apart, met = bins(block_items=1200), bins(block_items=40, full=0.0), bins(block_items=40)
+    assert one <= met < apart and met - one <= (apart - one) // 2
+
+
 def test_copies_never_share_a_bin_and_parts_are_bounded(spark):
     rows = [(1, "a b c", "s", "")] * 100
     found = packing.pack(spark.createDataFrame(rows, SCHEMA), capacity=10, block_items=10).collect()
