@@ -83,34 +83,38 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def _code_widths(places: np.ndarray) -> np.ndarray:
+    """Bits of the codes at these places behind a clear code: each width changes one code early."""
+    return 9 + np.searchsorted((512, 1024, 2048), places + FIRST, side="right")
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Variable-width codes, high bit first, each width changing one code early."""
-    codes = [CLEAR]
-    known = {bytes((i,)): i for i in range(256)}
-    upto, start = FIRST, 0
-    widths, plan = [9], 9
-    for end in range(1, len(data) + 1):
-        if data[start:end] in known:
-            continue
-        codes.append(known[data[start : end - 1]])
-        widths.append(plan)
-        known[data[start:end]] = upto
-        upto += 1
-        start = end - 1
-        if upto == 4094:
-            codes.append(CLEAR)
-            widths.append(12)
-            known = {bytes((i,)): i for i in range(256)}
-            upto = FIRST
-        plan = 9 if upto < 512 else 10 if upto < 1024 else 11 if upto < 2048 else 12
-    if start < len(data):
-        codes.append(known[data[start:]])
-        widths.append(plan)
-        upto += 1
-        plan = 9 if upto < 512 else 10 if upto < 1024 else 11 if upto < 2048 else 12
+    """Variable-width codes, high bit first. The table is of pairs of a string's code and the byte behind it."""
+    codes, table, upto = [CLEAR], {}, FIRST
+    if data:
+        code, find, add = data[0], table.get, codes.append
+        for byte in memoryview(data)[1:]:
+            pair = code << 8 | byte
+            longer = find(pair)
+            if longer is not None:
+                code = longer
+                continue
+            add(code)
+            table[pair] = upto
+            upto += 1
+            code = byte
+            if upto == 4094:
+                add(CLEAR)
+                table.clear()
+                upto = FIRST
+        add(code)
     codes.append(END)
-    widths.append(plan)
-    return _pack(np.array(codes, dtype=np.int64), np.array(widths, dtype=np.int64))
+    own = np.array(codes, dtype=np.int64)
+    cleared = np.flatnonzero(own == CLEAR)
+    since = np.arange(len(own)) - np.repeat(cleared, np.diff(np.append(cleared, len(own)))) - 1
+    since[cleared[1:]] = since[cleared[1:] - 1] + 1  # a clear code is the last of its run
+    since[0] = 0
+    return _pack(own, _code_widths(since))
 
 
 def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
@@ -122,43 +126,50 @@ def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+#: Codes behind a clear code that are cut out of the bits at a time, where each begins, and its bits.
+RUN = 4096
+_WIDTHS = _code_widths(np.arange(RUN))
+_BEGIN = np.concatenate([[0], np.cumsum(_WIDTHS)])
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
+    """The codes up to the next clear code are cut out at once, since their widths follow from their places."""
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int64)
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
     parts: list[bytes] = []
-    table = list(base)
-    width, held, bits, before, made = 9, 0, 0, b"", 0
-    for byte in data:
-        held = (held << 8) | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == END:
-            break
-        if code == CLEAR:
-            table = list(base)
-            width, before = 9, b""
-            continue
-        if before:
-            if code < len(table):
-                own = table[code]
-            elif code == len(table):
-                own = before + before[:1]
+    table, before, made, at, bits = list(base), b"", 0, 0, 8 * len(data)
+    place = 0  # behind the last clear code; past RUN all codes have 12 bits
+    while at + 9 <= bits and made < size:
+        begin, widths = (_BEGIN, _WIDTHS) if place == 0 else (np.arange(RUN + 1) * 12, np.full(RUN, 12))
+        n = int(np.searchsorted(begin, bits - at, side="right")) - 1
+        from_ = at + begin[:n]
+        byte, wide = from_ >> 3, widths[:n]
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (from_ & 7) - wide) & ((1 << wide) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        upto = int(stops[0]) if len(stops) else n
+        for code in codes[:upto].tolist():
+            if not before:
+                own = table[code] if code < 256 else b""
             else:
-                raise ValueError("LZW code beyond the table")
-            table.append(before + own[:1])
-            n = len(table)
-            if n >= 511 and n in (511, 1023, 2047):
-                width += 1
-        else:
-            own = table[code] if code < 256 else b""
-        parts.append(own)
-        made += len(own)
-        if made >= size:
+                if code < len(table):
+                    own = table[code]
+                elif code == len(table):
+                    own = before + before[:1]
+                else:
+                    raise ValueError("LZW code beyond the table")
+                if len(table) < RUN:
+                    table.append(before + own[:1])
+            parts.append(own)
+            made += len(own)
+            before = own
+        if upto == n:  # neither a clear nor an end code
+            if n < RUN:
+                break
+            at, place = at + int(begin[n]), place + n
+        elif codes[upto] == END:
             break
-        before = own
+        else:
+            at, place, table, before = at + int(begin[upto + 1]), 0, list(base), b""
     return b"".join(parts)
 
 
@@ -316,8 +327,8 @@ def write(images: list[np.ndarray], *, scheme: int = DEFLATE, predictor: int = 1
 # --- texts as media ------------------------------------------------------------------------------
 
 UNIT, PAGE_ROWS = 576, 4096
-#: By checksum of the payload, in equal shares: all that the reader knows.
-FORMS = list(product((NONE, PACKBITS, LZW, DEFLATE, OLD_DEFLATE), (1, 2), (None, (64, 64)), "<>"))
+#: By checksum of the payload, in equal shares: all that the reader knows. Tiles are a third of a row wide.
+FORMS = list(product((NONE, PACKBITS, LZW, DEFLATE, OLD_DEFLATE), (1, 2), (None, (16, UNIT // 3)), "<>"))
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
