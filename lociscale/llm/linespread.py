@@ -24,6 +24,8 @@ from lociscale.llm.common import cut
 LOG_SLOTS = 8
 #: Estimates within this share of the threshold are counted exactly: four standard errors.
 NEAR = 0.26
+#: Lines near the threshold up to which these are broadcast (8 bytes each).
+BROADCAST_LINES = 500_000
 #: Into how many parts the documents of one text are dealt where many hashes are joined.
 SALTS = 32
 
@@ -46,7 +48,9 @@ def boilerplate(docs: DataFrame, *, min_sites: int = 8, min_chars: int = 16, tex
     estimates = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_SLOTS)).alias("sites"), several.alias("several"))
     spread = F.col("sites")
     candidates = cut(estimates.where(F.col("several") & (spread >= min_sites * (1 - NEAR))).select("line", (spread > min_sites * (1 + NEAR)).alias("sure")))
-    near = seen.join(candidates.where("NOT sure").select("line"), "line", "left_semi")
+    unsure = candidates.where("NOT sure").select("line")
+    # few lines are sent to where the others are; many meet them once each line and site is one row
+    near = seen.join(F.broadcast(unsure), "line", "left_semi") if unsure.count() <= BROADCAST_LINES else seen.select("line", "site").distinct().join(unsure, "line", "left_semi")
     exact = near.groupBy("line").agg(F.countDistinct("site").alias("sites"))
     return cut(candidates.where("sure").select("line").unionByName(exact.where(F.col("sites") >= min_sites).select("line")))
 
