@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociscale.plans.lineage import cut, numbered, shared_folder
+
+__all__ = ["cut", "delete", "hash60", "numbered", "replaced", "shared_folder", "small_batches", "spread", "stored", "streamed_groups", "table", "uniform", "words"]
+
 #: Words are runs of anything but space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in spark.checkpoint.dir. A session in local
-    mode without one (tests, a laptop) gets a temporary folder; on a cluster that would lose data, and raises."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _local_folder()
-
-
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="lociscale-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and end its lineage there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: for wide rows of which later passes read few
     columns. It stays until the folder is cleaned."""
@@ -86,16 +60,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """``df`` with the place of each row in ``order``, from 0: ranges are sorted side by side, and the rows
-    of the ranges before are added. No task sees all rows."""
-    sorted_ = cut(df.orderBy(*order).select("*", F.spark_partition_id().alias("__range"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).alias("__place")))
-    counts = sorted_.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return sorted_.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__place")).drop("__range", "__place", "__start")
-
-
 def hash60(value: Column) -> Column:
     """The first 60 bits of a text's MD5."""
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")

@@ -198,9 +198,12 @@ def walk(sets: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999999)
         if stopped is not None:
             rows, walks = rows.join(stopped.select("id", F.lit(True).alias("__stopped")), "id", "left"), F.col("__stopped").isNull()
         rows = rows.withColumn("walks", walks)
-        tallied = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.max("walks").alias("any"), (F.min("longer") != F.max("longer")).alias("parts"))
+        members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 40))).alias("s")]
+        tallied = rows.groupBy("node").agg(*members, F.min("tree").alias("tree"), F.sum("size").alias("shingles"), F.max("walks").alias("any"), (F.min("longer") != F.max("longer")).alias("parts"))
         # below the full length only where two longer prefixes come together; there nobody met before
         nodes = tallied.where("n > 1 AND any" + " AND parts" * (length < DEPTH))
+        # of nodes with the same members only that of the first tree, where all their pairs meet
+        nodes = nodes.groupBy("n", "x", "s").agg(F.min(F.struct("tree", "node", "shingles")).alias("m")).select("n", "m.node", "m.shingles")
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         own = rows.join(nodes.select("node", blocks.alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
