@@ -85,9 +85,10 @@ def median_bootstrap(df: DataFrame, value: str, key: str, *, replicates: int, se
     """replicate, estimate: medians of as many values as there are, drawn with replacement (for samples of
     bounded size: replicates times rows are made)."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
-    indexed = rows.withColumn("i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("k")) - 1).withColumn("m", F.count("*").over(W.partitionBy(F.lit(0))))
+    placed = numbered(rows, "i", "k")
+    indexed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("m"))))  # one row
     draws = indexed.select("m", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = draws.select("replicate", hash_draw(seed, F.col("m"), F.col("replicate"), F.col("d")).cast("int").alias("i"))
+    drawn = draws.select("replicate", hash_draw(seed, F.col("m"), F.col("replicate"), F.col("d")).alias("i"))
     return drawn.join(indexed.select("i", "v"), "i").groupBy("replicate").agg(F.percentile("v", F.lit(0.5)).alias("estimate"))
 
 

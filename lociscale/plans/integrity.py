@@ -509,3 +509,33 @@ def procrustes(spark: SparkSession, sf: str) -> DataFrame:
 
     e = table(spark, sf, "embeddings").select(F.slice("embedding", 1, 2).alias("a"), F.slice("embedding", 3, 2).alias("b"))
     return rounded(spark.createDataFrame([(procrustes_table(e, "a", "b", 2),)], "disparity double"), 9)
+
+
+@query("metadata_scan", "SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS name, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS latitude FROM supplier")
+def metadata_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Dashes and NA for what is missing."""
+    out, k = f"{folder(spark)}/t", F.col("s_suppkey")
+    text = table(spark, sf, "supplier").select(k.alias("id"), F.when(k % 4 == 0, "—").otherwise(F.col("s_name")).alias("name"), F.when(k % 5 == 0, "NA").otherwise(F.col("s_acctbal").cast("string")).alias("latitude"))
+    text.write.options(header=True, encoding="UTF-8").csv(out)
+    return readers.metadata_csv(spark, out, ["latitude"])
+
+
+@query("archive_scan", """
+    SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'even_nations' ELSE 'odd_nations' END AS member, n_nationkey || ' ' || n_name AS line FROM nation""")
+def archive_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Two folders of text in one archive, read by the line."""
+    out = folder(spark)
+    n = table(spark, sf, "nation").select((F.col("n_nationkey") % 2).alias("odd"), F.concat_ws(" ", "n_nationkey", "n_name").alias("value"))
+    for odd, name in enumerate(("even_nations", "odd_nations")):
+        n.where(F.col("odd") == odd).select("value").write.text(f"{out}/files/{name}")
+    writers.write_zip(spark, f"{out}/files", f"{out}/all.zip")
+    lines = readers.zip_members(spark, f"{out}/all.zip", r"(even|odd)_nations/.*\.txt")
+    return lines.select(F.substring_index("member", "/", 1).alias("member"), "line")
+
+
+@query("report_table", """
+    SELECT CAST(0 AS INTEGER) AS place, '| r_regionkey | r_name |' AS line UNION ALL SELECT 1, '| --- | --- |'
+    UNION ALL SELECT CAST(1 + row_number() OVER (ORDER BY r_regionkey) AS INTEGER), '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region""")
+def report_table(spark: SparkSession, sf: str) -> DataFrame:
+    text = writers.markdown(table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "place int, line string")

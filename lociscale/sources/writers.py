@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import math
 import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,14 +197,38 @@ def withheld(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict]:
     return df.drop(*columns), {"columns": columns, **table_digest(df.select(*columns))}
 
 
-def write_zip(folder: str, path: str) -> None:
-    """An archive that depends on names and contents alone: sorted, with one fixed date."""
-    root = Path(folder)
-    with zipfile.ZipFile(path, "x", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(x for x in root.rglob("*") if x.is_file()):
-            entry = zipfile.ZipInfo(p.relative_to(root).as_posix(), (1980, 1, 1, 0, 0, 0))
-            entry.compress_type = zipfile.ZIP_DEFLATED
-            z.writestr(entry, p.read_bytes())
+class _Stream(io.RawIOBase):
+    """A Hadoop output stream as a file that can only be written forwards."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        return len(data)
+
+
+def write_zip(spark: SparkSession, folder: str, path: str) -> None:
+    """An archive that depends on names and contents alone: sorted, with one fixed date. Files pass through the
+    driver one after the other, none is held but the one being packed; an existing archive is not overwritten."""
+    root = _qualified(spark, folder)
+    fs, p = _file_system(spark, path)
+    if fs.exists(p):
+        raise FileExistsError(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    rows = files.select(F.substr(F.col("path"), F.length(F.lit(root)) + 2).alias("name"), "content").orderBy("name")
+    stream = fs.create(p, False)
+    try:
+        with zipfile.ZipFile(_Stream(stream), "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in rows.toLocalIterator():
+                entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                entry.compress_type = zipfile.ZIP_DEFLATED
+                z.writestr(entry, bytes(content))
+    finally:
+        stream.close()
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:

@@ -215,7 +215,13 @@ def test_embedded_tables_and_stable_archives(spark, tmp_path):
     assert [tuple(r) for r in readers.embedded(spark, payload).collect()] == [("1", "5"), ("2", None)]
     (tmp_path / "d").mkdir()
     (tmp_path / "d/b").write_text("x")
-    writers.write_zip(str(tmp_path / "d"), str(tmp_path / "1.zip"))
+    (tmp_path / "d/e").mkdir()
+    (tmp_path / "d/e/a").write_text("y" * 100_000)
+    writers.write_zip(spark, str(tmp_path / "d"), str(tmp_path / "1.zip"))
     (tmp_path / "d/b").touch()
-    writers.write_zip(str(tmp_path / "d"), str(tmp_path / "2.zip"))
+    writers.write_zip(spark, str(tmp_path / "d"), str(tmp_path / "2.zip"))
     assert (tmp_path / "1.zip").read_bytes() == (tmp_path / "2.zip").read_bytes()
+    with zipfile.ZipFile(tmp_path / "1.zip") as z:
+        assert z.namelist() == ["b", "e/a"] and z.read("e/a") == b"y" * 100_000 and z.read("b") == b"x"
+    with pytest.raises(FileExistsError):
+        writers.write_zip(spark, str(tmp_path / "d"), str(tmp_path / "1.zip"))
