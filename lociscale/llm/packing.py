@@ -151,5 +151,7 @@ def pack(docs: DataFrame, *, capacity: int = 4096, max_per_source: int = 4, bloc
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    if blocks == 1:  # no two of its bins fit together: the first document of the later one didn't fit into the earlier
+        return dealt.mapInArrow(packed, SCHEMA)
     first = cut(dealt.mapInArrow(packed, SCHEMA))
     return exchanged(first, capacity=capacity, max_per_source=max_per_source, block_items=block_items, full=full)
