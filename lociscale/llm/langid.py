@@ -6,7 +6,8 @@ on down to single characters; the word then adds the mean log frequency of the k
 order. The language with the largest sum wins.
 
 The model is sparse: a word or n-gram has an entry for each language that it was seen in, so its size is that
-of the sample's vocabulary, whatever the number of languages. Nothing of the sample's vocabulary is left out.
+of the sample's vocabulary, whatever the number of languages. Nothing of the sample's vocabulary is left out;
+words, of which there are many, are held by 64-bit hashes.
 
 Defined cases: a null text, a text without a letter and any text when nothing was learned (an empty table,
 or no row with text, lang and doc_id) get ``und`` and score 0. A letter that no language knows adds nothing; a
@@ -26,6 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,9 @@ ORDERS = (5, 4, 3, 2, 1)
 TOKEN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Numbers (one a language) that a task remembers of the scores of unseen words.
-MEMO = 1 << 21
+MEMO = 1 << 19
+#: Words whose rows a task remembers.
+WORDS = 1 << 16
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -44,24 +48,33 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
+def word_key(word: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
+
+
 class LogTable:
     """Log frequencies of the words, or n-grams of one order, by language: one entry for each that a language
     has, above what the language gives to all that it lacks."""
 
-    def __init__(self, grams: list[str], rows: np.ndarray, langs: np.ndarray, seen: np.ndarray, languages: int):
-        """Entries by row (the place in ``grams``), language and how often it was seen there; rows ascend."""
-        self.index = {g: i for i, g in enumerate(grams)}
-        self.starts = np.searchsorted(rows, np.arange(len(grams) + 1))
-        self.langs = langs
+    def __init__(self, rows: np.ndarray, langs: np.ndarray, seen: np.ndarray, languages: int):
+        """Entries by row (of a word or n-gram; they ascend), language and how often it was seen there."""
+        n = int(rows[-1]) + 1 if len(rows) else 0
+        self.starts = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+        self.langs = langs.astype(np.int32)
         self.above = np.log(seen + 0.5) - np.log(0.5)
-        self.lacking = np.log(0.5) - np.log(np.bincount(langs, weights=seen, minlength=languages) + 0.5 * (len(grams) + 1))
+        self.lacking = np.log(0.5) - np.log(np.bincount(langs, weights=seen, minlength=languages) + 0.5 * (n + 1))
 
-    def total(self, rows: np.ndarray) -> np.ndarray:
-        """The sums over ``rows``, which may repeat."""
-        first = self.starts[rows]
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the entries of ``rows``, one after the other, and how many each row has."""
+        first = self.starts[rows].astype(np.int64)
         sizes = self.starts[rows + 1] - first
         ends = np.cumsum(sizes)
-        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """The sums over ``rows``, which may repeat."""
+        at, _ = self.entries(rows)
         return len(rows) * self.lacking + np.bincount(self.langs[at], weights=self.above[at], minlength=len(self.lacking))
 
 
@@ -69,15 +82,23 @@ class BackoffModel:
     """Per-language log frequencies of words and of character n-grams."""
 
     def __init__(self, seen: pa.Table, prior: dict[str, int]):
-        """seen: (n, gram, lang, seen), n being 0 for words; prior: labelled rows by language."""
+        """seen: (n, gram, key, lang, seen), n being 0 for words, which come by key, n-grams by gram; prior: labelled
+        rows by language."""
         self.langs = sorted(prior, key=lambda x: (-prior[x], x))
         place = pa.array(self.langs, pa.string())
         self.tables: dict[int, LogTable] = {}
+        self.grams: dict[int, dict[str, int]] = {}
         for order in (0, *ORDERS):
-            own = seen.filter(pc.equal(seen["n"], order)).sort_by([("gram", "ascending"), ("lang", "ascending")])
-            grams = pc.unique(own["gram"])
-            rows, langs = (pc.index_in(own[c], value_set=v).to_numpy().astype(np.int64) for c, v in (("gram", grams), ("lang", place)))
-            self.tables[order] = LogTable(grams.to_pylist(), rows, langs, own["seen"].to_numpy().astype(float), len(self.langs))
+            own = seen.filter(pc.equal(seen["n"], order))
+            langs = pc.index_in(own["lang"], value_set=place).to_numpy().astype(np.int64)
+            if order:
+                coded = own["gram"].combine_chunks().dictionary_encode()
+                self.grams[order], rows = {g: i for i, g in enumerate(coded.dictionary.to_pylist())}, coded.indices.to_numpy().astype(np.int64)
+            else:
+                self.words, rows = np.unique(own["key"].to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
+            by = np.argsort(rows, kind="stable")
+            self.tables[order] = LogTable(rows[by], langs[by], own["seen"].to_numpy().astype(float)[by], len(self.langs))
+        self._known: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -85,31 +106,59 @@ class BackoffModel:
         self._rows: dict[str, int] = {}
         self._scores = np.zeros((64, len(self.langs)))
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word that is not known: of its longest n-grams that are."""
+    def _word_rows(self, tokens: list[str]) -> np.ndarray:
+        """The rows of words in their table, -1 where they aren't known; those of the latest are remembered."""
+        at = np.fromiter(map(self._known.get, tokens, repeat(-2)), dtype=np.int64, count=len(tokens))
+        new = np.flatnonzero(at == -2)
+        if len(new):
+            words = [tokens[i] for i in new]
+            if len(self.words):
+                own = np.fromiter(map(word_key, words), dtype=np.uint64, count=len(words))
+                place = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
+                at[new] = np.where(self.words[place] == own, place, -1)
+            else:
+                at[new] = -1
+            if len(self._known) > WORDS:
+                self._known.clear()
+            self._known.update(zip(words, at[new].tolist(), strict=True))
+        return at
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words that are not known, one row each: of the longest n-grams of each that are."""
+        out, size = np.zeros((len(words), len(self.langs))), len(self.langs)
+        left = list(range(len(words)))
         for n in ORDERS:
-            table = self.tables[n]
-            if rows := [i for g in grams(word, n) if (i := table.index.get(g)) is not None]:
-                return table.total(np.array(rows)) / len(rows)
-        return np.zeros(len(self.langs))
+            find, table = self.grams[n].get, self.tables[n]
+            found = [(i, r) for i in left for g in grams(words[i], n) if (r := find(g)) is not None]
+            if not found:
+                continue
+            own, rows = np.array(found).T
+            count = np.bincount(own, minlength=len(words))
+            at, sizes = table.entries(rows)
+            above = np.bincount(np.repeat(own, sizes) * size + table.langs[at], weights=table.above[at], minlength=out.size).reshape(out.shape)
+            hit = np.flatnonzero(count)
+            out[hit] = above[hit] / count[hit, None] + table.lacking
+            left = [i for i in left if not count[i]]
+            if not left:
+                break
+        return out
 
     def _unseen_total(self, words: list[str]) -> np.ndarray:
         if len(self._rows) * len(self.langs) > MEMO:  # a word that is gone is scored anew
             self._forget()
-        for word in words:
-            if word not in self._rows:
-                at = len(self._rows)
-                if at == len(self._scores):
-                    self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-                self._scores[at] = self.unseen(word)
-                self._rows[word] = at
+        if new := list(dict.fromkeys(w for w in words if w not in self._rows)):
+            at = len(self._rows)
+            while at + len(new) > len(self._scores):
+                self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+            self._scores[at : at + len(new)] = self.unseen(new)
+            self._rows.update(zip(new, range(at, at + len(new)), strict=True))
         return self._scores[[self._rows[w] for w in words]].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         tokens = TOKEN.findall(text.lower()) if text else []
         if not self.langs or not (any(map(str.isalpha, tokens)) or any(c.isalpha() for t in tokens for c in t)):
             return UNKNOWN, 0.0
-        at = np.fromiter(map(self.tables[0].index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+        at = self._word_rows(tokens)
         known = at >= 0
         score = self.tables[0].total(at[known])
         if not known.all():
@@ -140,7 +189,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for word, count in own.items():
                         for g in grams(word, n):
                             into[g] += count
-        if sum(map(len, found.values())) > 500_000:
+        if sum(map(len, found.values())) > 150_000:
             yield out()
     yield out()
 
@@ -159,12 +208,13 @@ def train(docs: DataFrame, *, docs_per_lang: int = 2_000, sample: int = 100_000,
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     prior = {r["lang"]: r["n"] for r in sizes.collect()}
     if not prior:
-        return BackoffModel(pa.table({"n": pa.array([], pa.int32()), "gram": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "seen": pa.array([], pa.int64())}), {})
+        return BackoffModel(pa.table({c: pa.array([], k) for c, k in (("n", pa.int32()), ("gram", pa.string()), ("key", pa.int64()), ("lang", pa.string()), ("seen", pa.int64()))}), {})
     most = max(1, min(docs_per_lang, sample // len(prior)))
     limits = spark.createDataFrame([(k, int(min(1.0, most / n) * (1 << 40))) for k, n in prior.items()], "lang string, upto long")
-    drawn = rows.join(F.broadcast(limits), "lang").where(uniform(F.col("key"), F.col("text"), seed=10) < F.col("upto")).select("lang", "text")  # a row for each language
-    seen = spread(drawn).mapInArrow(_counts, "lang string, n int, gram string, seen long").groupBy("n", "gram", "lang").agg(F.sum("seen").alias("seen"))
-    return BackoffModel(seen.toArrow(), prior)  # bounded by the vocabulary of the sample
+    drawn = spread(rows).join(F.broadcast(limits), "lang").where(uniform(F.col("key"), F.col("text"), seed=10) < F.col("upto")).select("lang", "text")  # a row for each language
+    seen = drawn.mapInArrow(_counts, "lang string, n int, gram string, seen long").groupBy("n", "gram", "lang").agg(F.sum("seen").alias("seen"))
+    slim = seen.select("n", F.when(F.col("n") > 0, F.col("gram")).alias("gram"), F.when(F.col("n") == 0, F.xxhash64("gram")).alias("key"), "lang", "seen")
+    return BackoffModel(slim.toArrow(), prior)  # bounded by the vocabulary of the sample
 
 
 def identify(docs: DataFrame, model: BackoffModel, *, text: str = "text") -> DataFrame:

@@ -33,8 +33,14 @@ def test_language_id_holds_out_and_predicts(spark):
 
 
 def seen_table(counts):
-    rows = [(n, g, lang, k) for n, by in counts.items() for lang, own in by.items() for g, k in own.items()]
-    return pa.table(dict(zip(("n", "gram", "lang", "seen"), (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int64()))))))
+    rows = [(n, g if n else None, None if n else np.uint64(langid.word_key(g)).astype(np.int64), lang, k) for n, by in counts.items() for lang, own in by.items() for g, k in own.items()]
+    return pa.table(dict(zip(("n", "gram", "key", "lang", "seen"), (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()))))))
+
+
+def test_keys_are_those_of_spark(spark):
+    own = ["a", "^ab", "é$", "ж" * 40, ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in own], "x string").selectExpr("xxhash64(x)").collect()]
+    assert [np.uint64(langid.word_key(x)).astype(np.int64) for x in own] == got
 
 
 def test_unseen_words_fall_back_to_shorter_ngrams():
