@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lociscale.llm import chat, curves, forest, langid, linespread, mixing, packing, sharding, tiff, toxicity
+from lociscale.llm import anchors, chat, curves, divergence, forest, langid, linespread, mixing, packing, sharding, tiff, toxicity
 from lociscale.llm.common import table
 from lociscale.llm.sql import SQL as OPERATORS
 
@@ -68,6 +68,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(docs).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = anchors.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -83,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_spread": op8_line_spread,
     "op9_ngram_forest": op9_ngram_forest,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_anchor_dedup": op12_anchor_dedup,
     "pipeline": pipeline,
 }
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lociscale.plans.lineage import cut, numbered, shared_folder
 
-__all__ = ["cut", "delete", "hash60", "numbered", "replaced", "shared_folder", "small_batches", "spread", "stored", "streamed_groups", "table", "uniform", "words"]
+__all__ = ["cut", "delete", "fresh", "hash60", "numbered", "replaced", "shared_folder", "small_batches", "spread", "stored", "streamed_groups", "table", "uniform", "words"]
 
 #: Words are runs of anything but space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,12 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for c in (f"__{'_' * i}{name}" for i in range(len(taken) + 1)) if c.lower() not in taken) for name in names]
+
+
 def words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

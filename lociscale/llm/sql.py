@@ -200,6 +200,34 @@ SQL: dict[str, str] = {
         best AS (SELECT doc_id, min_by(lang, ROW(-round(s, 9), -rows, lang)) AS lang_pred, round(max(chance) / sum(chance), 6) AS score FROM chances GROUP BY 1)
         SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(score, 0) AS score FROM docs LEFT JOIN best USING (doc_id)
     """,
+    "op11_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        found AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term, CAST(count(*) AS BIGINT) AS lang_count FROM found GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+        counts AS (SELECT lang, source, term, CAST(count(*) AS BIGINT) AS count FROM found SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        groups AS (SELECT lang, source, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN (SELECT lang, source, sum(count) AS n FROM counts GROUP BY 1, 2) USING (lang, source) GROUP BY 1, 2),
+        langs AS (SELECT lang, CAST(count(term) AS BIGINT) AS v, CAST(coalesce(sum(lang_count), 0) AS BIGINT) AS lang_n FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY 1),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.count, 0) AS count, 1 + 1000000000 * (coalesce(c.count, 0) + 1) // (n + v) AS p, 1 + 1000000000 * (lang_count + 1) // (lang_n + v) AS q
+            FROM groups g JOIN langs USING (lang) JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+        ), valued AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE count > 0 AND p > q
+        ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM valued)
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
+    "op12_anchor_dedup": r"""
+        WITH split AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        windows AS (SELECT row, p, array_to_string(w[p : p + 34], ' ') AS x FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS p FROM split)),
+        twice AS (SELECT x FROM windows GROUP BY 1 HAVING count(*) > 1),
+        gone AS (SELECT row, list(DISTINCT p + i) AS out FROM windows SEMI JOIN twice USING (x), range(35) r(i) GROUP BY 1),
+        judged AS (SELECT doc_id, w, coalesce(out, []) AS out FROM split LEFT JOIN gone USING (row))
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(out) AS BIGINT) AS n_removed,
+            sha256(array_to_string(CASE WHEN len(out) = 0 THEN w WHEN len(out) = len(w) THEN [] ELSE list_filter(w, lambda x, i: NOT list_contains(out, i)) END, ' ')) AS kept_sha256
+        FROM judged
+    """,
 }
 
 
