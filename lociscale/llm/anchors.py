@@ -174,11 +174,13 @@ def _windows(window: int, block: int):
                 parts.append((rolling(h, window)[at], rolling(h, window, 2)[at] >> np.uint64(33), np.full(len(at), k1, np.int64), (np.int64(k2) << 32) + at))
             w1, w2, k1, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((w2, w1))
-            w1, w2, k1, at = w1[order].view(np.int64), w2[order].astype(np.int32), k1[order], at[order]
             same = np.zeros(len(w1) + 1, bool)
-            same[1:-1] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-            n = np.where(same[1:] | same[:-1], 2, 1).astype(np.int32)
-            apart = np.where(same[:-1], np.arange(1, len(w1) + 1), 0).astype(np.int32)
+            same[1:-1] = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
+            # rows stay in the order of documents, whose hashes then shrink well where they are exchanged
+            n, apart = np.empty(len(w1), np.int32), np.empty(len(w1), np.int32)
+            n[order] = np.where(same[1:] | same[:-1], 2, 1)
+            apart[order] = np.where(same[:-1], np.arange(1, len(w1) + 1), 0)
+            w1, w2 = w1.view(np.int64), w2.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, apart, k1, at, n)], names=["w1", "w2", "apart", "k1", "at", "n"])
 
     return run
