@@ -1,7 +1,7 @@
 """Audit of how far the sources of a language diverge, by sorted runs of terms.
 
 Tasks count the terms of their documents in spans; (lang, term, source, span) is what is repartitioned and
-sorted. A scan of runs then adds up document frequencies and counts: a run of (lang, term, source) becomes one
+sorted, with lang and term in one binary key, so that the sort's prefix tells terms apart. A scan of runs then adds up document frequencies and counts: a run of (lang, term, source) becomes one
 row, and a term's runs are let through once its language has it in ``min_docs`` documents. Nothing else is sorted
 or counted again: the runs give the totals of groups, partial sums for pairs of sources, and the terms.
 
@@ -38,7 +38,7 @@ ONE = 1_000_000_000
 #: What a term is made of stays, A to Z become small letters, and all other bytes part terms.
 LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 #: Different (source, term) pairs that a task holds before it passes a span of documents on.
-HELD = 400_000
+HELD = 700_000
 #: Tables of groups up to this many rows are broadcast (some 60 bytes each).
 BROADCAST_GROUPS = 100_000
 #: Rows of runs in one part of a pair of blocks.
@@ -46,24 +46,24 @@ PART_ROWS = 200_000
 #: Shares that are held at once while pairs are added up.
 CELLS = 2_000_000
 
-SPANS = "lang binary, term binary, source binary, span long, docs long, count long"
+SPANS = "run binary, source binary, span long, docs long, count long"
 RUNS = "lang binary, term binary, source binary, docs long, count long, lang_docs long, lang_count long, first boolean"
 PAIRS = "lang binary, source binary, other binary, value long, terms long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequency and count of each term of each group, in spans of documents."""
-    docs: dict[tuple[bytes, bytes], Counter] = {}
     counts: dict[tuple[bytes, bytes], Counter] = {}
+    again: dict[tuple[bytes, bytes], dict] = {}  # how many of a term's occurrences aren't its document's first
     held, span = 0, None
 
     def out() -> Iterator[pa.RecordBatch]:
         for key, own in counts.items():
-            terms = list(own)
-            n = len(terms)
-            frequencies = docs[key]
-            columns = [pa.array([key[0]] * n, pa.binary()), pa.array(terms, pa.binary()), pa.array([key[1]] * n, pa.binary()), pa.array(np.full(n, span)), pa.array([frequencies[t] for t in terms], pa.int64()), pa.array(list(own.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "span", "docs", "count"])
+            lead, more, n = key[0] + b"\0", again[key].get, len(own)
+            count = np.fromiter(own.values(), np.int64, n)
+            docs = count - np.fromiter((more(t, 0) for t in own), np.int64, n)
+            columns = [pa.array([lead + t for t in own], pa.binary()), pa.array([key[1]] * n, pa.binary()), pa.array(np.full(n, span)), pa.array(docs), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, names=["run", "source", "span", "docs", "count"])
 
     for batch in batches:
         names = [batch.column(i) for i in range(3)]
@@ -72,14 +72,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not terms:
                 continue
             span = row if span is None else span
-            own = counts.setdefault((lang, source), Counter())
+            key = lang, source
+            own, more = counts.setdefault(key, Counter()), again.setdefault(key, {})
             before = len(own)
             own.update(terms)
-            docs.setdefault((lang, source), Counter()).update(set(terms))
+            for term, n in Counter(terms).items():
+                if n > 1:
+                    more[term] = more.get(term, 0) + n - 1
             held += len(own) - before
             if held >= HELD:
                 yield from out()
-                docs, counts, held, span = {}, {}, 0, None
+                counts, again, held, span = {}, {}, 0, None
     yield from out()
 
 
@@ -96,8 +99,8 @@ def _starts(table: pa.Table, names: list[str]) -> np.ndarray:
 
 def _summed(table: pa.Table) -> pa.Table:
     """Sorted rows, one for each run of (lang, term, source)."""
-    at = _starts(table, ["lang", "term", "source"])
-    kept = table.select(["lang", "term", "source"]).take(pa.array(at))
+    at = _starts(table, ["run", "source"])
+    kept = table.select(["run", "source"]).take(pa.array(at))
     for name in ("docs", "count"):
         kept = kept.append_column(name, pa.array(np.add.reduceat(table.column(name).to_numpy(), at)))
     return kept
@@ -107,14 +110,17 @@ def _scanned(min_docs: int):
     """Runs of sorted spans, with what their term's run of runs adds up to; those of rare terms go."""
 
     def whole(runs: pa.Table) -> pa.Table:
-        at = _starts(runs, ["lang", "term"])
+        at = _starts(runs, ["run"])
         long = np.diff(np.append(at, runs.num_rows))
         first = np.zeros(runs.num_rows, bool)
         first[at] = True
         for name in ("docs", "count"):
             runs = runs.append_column(f"lang_{name}", pa.array(np.repeat(np.add.reduceat(runs.column(name).to_numpy(), at), long)))
         runs = runs.append_column("first", pa.array(first))
-        return runs.filter(pc.greater_equal(runs.column("lang_docs"), min_docs))
+        runs = runs.filter(pc.greater_equal(runs.column("lang_docs"), min_docs))
+        names = [r.rpartition(b"\0") for r in runs.column("run").to_pylist()]  # a term has no byte 0
+        lang, term = (pa.array([x[i] for x in names], pa.binary()) for i in (0, 2))
+        return runs.drop_columns(["run"]).add_column(0, "lang", lang).add_column(1, "term", term)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: pa.Table | None = None  # the runs of the last term, a row for each source
@@ -123,7 +129,7 @@ def _scanned(min_docs: int):
                 continue
             rows = pa.Table.from_batches([batch]).drop_columns(["span"])
             runs = _summed(rows if open_ is None else pa.concat_tables([open_, rows]).combine_chunks())
-            last = int(_starts(runs, ["lang", "term"])[-1])
+            last = int(_starts(runs, ["run"])[-1])
             open_ = runs.slice(last)
             if last:
                 yield from whole(runs.slice(0, last)).to_batches()
@@ -215,7 +221,7 @@ def runs_of_terms(docs: DataFrame, *, min_docs: int = 3, text: str = "text", lan
     partitions by (lang, term, source); ``first`` marks the first row of a term."""
     slim = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text)], F.monotonically_increasing_id()).toDF("lang", "source", "text", "row")
     spans = slim.mapInArrow(_counted, SPANS)
-    return spans.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "span").mapInArrow(_scanned(min_docs), RUNS)
+    return spans.repartition("run").sortWithinPartitions("run", "source", "span").mapInArrow(_scanned(min_docs), RUNS)
 
 
 def audit(docs: DataFrame, *, min_docs: int = 3, top: int = 200, block: int = 1_024, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
