@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from lociscale.llm.common import cut, fresh, replaced
 
 #: Words after which a task passes on what it has met.
-SPAN = 1_000_000
+SPAN = 600_000
 #: Bytes of text for one bucket of fingerprints.
 BUCKET_BYTES = 16 << 20
 #: Bytes up to which hits and spans are broadcast; beyond it, they are joined by exchange.
 BROADCAST_BYTES = 32 << 20
 #: Words whose hashes a task remembers.
-WORDS = 500_000
+WORDS = 300_000
 
 ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 
@@ -80,8 +80,9 @@ def _read(batches: Iterator[pa.RecordBatch], window: int, extra: int = 0) -> Ite
     for batch in batches:
         k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         more = batch.column(3).to_pylist() if extra else [None] * batch.num_rows
-        for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-            key = (k1[i], k2[i])
+        texts = batch.column(2).cast(pa.binary())
+        for i in range(batch.num_rows):
+            text, key = texts[i].as_py(), (k1[i], k2[i])
             if key in seen:
                 if (own := seen[key]) is None:
                     continue

@@ -1,7 +1,7 @@
 """Audit of how far the sources of a language diverge, by sorted runs of terms.
 
 Tasks count the terms of their documents in spans; (lang, term, source, span) is what is repartitioned and
-sorted, with lang and term in one binary key, so that the sort's prefix tells terms apart. A scan of runs then adds up document frequencies and counts: a run of (lang, term, source) becomes one
+sorted, with term and lang in one binary key, so that the sort's prefix tells terms apart. A scan of runs then adds up document frequencies and counts: a run of (lang, term, source) becomes one
 row, and a term's runs are let through once its language has it in ``min_docs`` documents. Nothing else is sorted
 or counted again: the runs give the totals of groups, partial sums for pairs of sources, and the terms.
 
@@ -59,10 +59,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         for key, own in counts.items():
-            lead, more, n = key[0] + b"\0", again[key].get, len(own)
+            tail, more, n = b"\0" + key[0], again[key].get, len(own)
             count = np.fromiter(own.values(), np.int64, n)
             docs = count - np.fromiter((more(t, 0) for t in own), np.int64, n)
-            columns = [pa.array([lead + t for t in own], pa.binary()), pa.array([key[1]] * n, pa.binary()), pa.array(np.full(n, span)), pa.array(docs), pa.array(count)]
+            columns = [pa.array([t + tail for t in own], pa.binary()), pa.array([key[1]] * n, pa.binary()), pa.array(np.full(n, span)), pa.array(docs), pa.array(count)]
             yield pa.RecordBatch.from_arrays(columns, names=["run", "source", "span", "docs", "count"])
 
     for batch in batches:
@@ -118,8 +118,8 @@ def _scanned(min_docs: int):
             runs = runs.append_column(f"lang_{name}", pa.array(np.repeat(np.add.reduceat(runs.column(name).to_numpy(), at), long)))
         runs = runs.append_column("first", pa.array(first))
         runs = runs.filter(pc.greater_equal(runs.column("lang_docs"), min_docs))
-        names = [r.rpartition(b"\0") for r in runs.column("run").to_pylist()]  # a term has no byte 0
-        lang, term = (pa.array([x[i] for x in names], pa.binary()) for i in (0, 2))
+        names = [r.partition(b"\0") for r in runs.column("run").to_pylist()]  # a term has no byte 0
+        lang, term = (pa.array([x[i] for x in names], pa.binary()) for i in (2, 0))
         return runs.drop_columns(["run"]).add_column(0, "lang", lang).add_column(1, "term", term)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
