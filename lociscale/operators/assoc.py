@@ -15,6 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociscale.plans.lineage import cut
+
+#: Bytes of fitted phenotypes up to which these are broadcast to where the variants are.
+BROADCAST_BYTES = 64 << 20
+
 
 def imputed(df: DataFrame, vector: str, out: str = "standardized") -> DataFrame:
     """``df`` with each row's vector mean-imputed and standardised (divisor n); rows whose called values
@@ -150,11 +155,14 @@ class NullModel:
 
         return math.exp(minimize_bounded(deviance, *LOG_RATIO))
 
-    def scan(self, y: np.ndarray, genotypes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """beta, se, p for each row of genotypes, and the ratio, found once without them; y enters by its normal
-        scores, missing genotypes by their row's mean. A row of one value has no estimate."""
+    def fit(self, y: np.ndarray) -> tuple[np.ndarray, float]:
+        """Contrasts of the normal scores of y, and their ratio, found once for all genotypes."""
         z = self.onto.T @ normal_scores(y)
-        ratio = self.ratio(z)
+        return z, self.ratio(z)
+
+    def effects(self, z: np.ndarray, ratio: float, genotypes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """beta, se, p for each row of genotypes; missing ones are their row's mean. A row of one value has no
+        estimate."""
         weight, free = 1 / (self.spectrum + ratio), len(z) - 1
         called = np.isfinite(genotypes)
         n = called.sum(axis=1, keepdims=True)
@@ -168,7 +176,12 @@ class NullModel:
         se = np.sqrt(np.maximum(total - beta * shared[varies], 0) / (free * own[varies]))
         with np.errstate(divide="ignore"):
             out[:, varies] = beta, se, [student_tail(t, free) for t in np.abs(beta / se)]
-        return *out, ratio
+        return out[0], out[1], out[2]
+
+    def scan(self, y: np.ndarray, genotypes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """beta, se, p for each row of genotypes, and the ratio."""
+        z, ratio = self.fit(y)
+        return *self.effects(z, ratio, genotypes), ratio
 
 
 def mixed_model(y: np.ndarray, genotypes: np.ndarray, kin: np.ndarray, covariates: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -192,16 +205,25 @@ def association_scan(genotypes: DataFrame, phenotypes: DataFrame, kin: DataFrame
     matrix[entries["i"], entries["j"]] = entries["k"]
     shared = genotypes.sparkSession.sparkContext.broadcast(NullModel(matrix, covariates))
 
-    def scan(key: tuple, g: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(g) or not len(y):
-            return pd.DataFrame(columns=[locus, variant, "beta", "se", "p", "delta"])
-        g = g.sort_values(variant)
-        beta, se, p, ratio = shared.value.scan(np.asarray(y["values"].iloc[0], float), np.stack(g[vector].to_numpy()).astype(float))
-        return pd.DataFrame({locus: key[0], variant: g[variant].to_numpy(), "beta": beta, "se": se, "p": p, "delta": ratio})
-
     kinds = dict(genotypes.dtypes)
-    schema = f"{locus} {kinds[locus]}, {variant} {kinds[variant]}, beta double, se double, p double, delta double"
-    return genotypes.groupBy(locus).cogroup(phenotypes.groupBy(locus)).applyInPandas(scan, schema)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            fits = [shared.value.fit(np.asarray(y, float)) for y in own["values"]]
+            yield pd.DataFrame({locus: own[locus], "z": [z.tolist() for z, _ in fits], "delta": [d for _, d in fits]})
+
+    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for _, g in rows.groupby(locus, sort=False, dropna=False):
+                ratio = float(g["delta"].iloc[0])
+                beta, se, p = shared.value.effects(np.asarray(g["z"].iloc[0], float), ratio, np.stack(g[vector].to_numpy()).astype(float))
+                yield pd.DataFrame({locus: g[locus], variant: g[variant], "beta": beta, "se": se, "p": p, "delta": ratio})
+
+    # a locus's phenotype is fitted once, and its variants are scanned wherever they are
+    models = cut(phenotypes.select(locus, "values").mapInPandas(fitted, f"{locus} {kinds[locus]}, z array<double>, delta double"))
+    side = F.broadcast(models) if models.count() * n * 8 <= BROADCAST_BYTES else models
+    rows = genotypes.select(locus, variant, vector).join(side, locus)
+    return rows.mapInPandas(scanned, f"{locus} {kinds[locus]}, {variant} {kinds[variant]}, beta double, se double, p double, delta double")
 
 
 def principal_components(df: DataFrame, vector: str, key: str, k: int) -> DataFrame:

@@ -45,9 +45,8 @@ def require_header(df: DataFrame, names: list[str], table: str) -> DataFrame:
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """rule, rows: how many rows break each rule (a rule that is null counts as broken)."""
-    counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"c{i}") for i, ok in enumerate(rules.values())])
-    pairs = ", ".join(f"'{name}', c{i}" for i, name in enumerate(rules))
-    return counts.select(F.expr(f"stack({len(rules)}, {pairs}) AS (rule, rows)"))
+    counts = [F.struct(F.lit(name).alias("rule"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("rows")) for name, ok in rules.items()]
+    return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -280,12 +279,17 @@ def variable_rows(dosages: DataFrame, value: str = "dosages") -> DataFrame:
     return dosages.withColumn("variable", (F.size(called) >= 2) & (F.array_min(called) < F.array_max(called)))
 
 
-def reference_report(variants: DataFrame, sequences: DataFrame) -> DataFrame:
-    """outcome, rows, examples: reference alleles against contig sequences (``chrom``, ``seq``)."""
+def reference_report(variants: DataFrame, sequences: DataFrame, *, width: int = 1 << 16) -> DataFrame:
+    """outcome, rows, examples: reference alleles against contig sequences (``chrom``, ``seq``), or against a store of
+    chunks of ``width`` (``chrom``, ``chunk``, ``start``, ``seq``). Rows meet the chunk of their position alone."""
+    from lociscale.sources.sequences import beside, few, lengths, sequence_store
+
+    store = sequences if "chunk" in sequences.columns else sequence_store(sequences, width=width, halo=0)
     at = F.col("pos").try_cast("long")
-    seen = F.upper(F.substring("seq", F.greatest(F.lit(1), F.least(at, F.length("seq"))).cast("int"), F.lit(1)))
-    outcome = F.when(F.col("seq").isNull(), "mapping").when((at < 1) | (at > F.length("seq")), "out_of_bounds").when(seen == F.upper("ref"), "match").otherwise("mismatch")
-    rows = variants.join(sequences, "chrom", "left").select(outcome.alias("outcome"), F.concat_ws(":", "chrom", "pos", "ref").alias("site"))
+    met = beside(variants.select("chrom", "pos", "ref"), store, width=width).join(few(lengths(store)), "chrom", "left")
+    seen = F.upper(F.substring("chunk_seq", (at - F.col("chunk_start")).cast("int"), F.lit(1)))
+    outcome = F.when(F.col("length").isNull(), "mapping").when(at.isNull() | ~at.between(1, F.col("length")), "out_of_bounds").when(seen == F.upper("ref"), "match").otherwise("mismatch")
+    rows = met.select(outcome.alias("outcome"), F.concat_ws(":", "chrom", "pos", "ref").alias("site"))
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("outcome").orderBy("site"))).where("n <= 20").groupBy("outcome").agg(F.array_sort(F.collect_list("site")).alias("examples"))
     return rows.groupBy("outcome").agg(F.count("*").alias("rows")).join(first, "outcome")
 

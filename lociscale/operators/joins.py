@@ -107,23 +107,40 @@ def band_pairs(points: DataFrame, *, group: str, pos: str, key: str, reach: int)
     return pairs.select(F.col("g").alias(group), "left_key", "right_key", "left_pos", "right_pos", (F.col("right_pos") - F.col("left_pos")).alias("distance"))
 
 
-def compare_tables(ours: DataFrame, theirs: DataFrame, key: list[str], columns: list[str], ok: Column | None = None, *, atol: float = 1e-6, rtol: float = 1e-6) -> DataFrame:
-    """column, rows, max_difference, failing: two tables of one key, column by column."""
-    a, b = ours.alias("a"), theirs.alias("b")
-    joined = a.join(b, key)
+def _compared(ours: DataFrame, theirs: DataFrame, key: list[str], columns: list[str], atol: float, rtol: float) -> DataFrame:
+    """key, column, d, why: every key of either table, column by column; ``why`` is null where both agree.
+
+    Keys meet null-safely. A key that is on one side only, a value that is missing (null or NaN) on one side
+    only, and one that is further away than ``atol + rtol * abs(theirs)`` don't agree. Values that are missing on both
+    sides, or equal infinities, do. Of a key that stands several times each row meets each.
+    """
+    a = ours.select(*[F.col(k).alias(f"a{i}") for i, k in enumerate(key)], F.struct(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).alias("a"))
+    b = theirs.select(*[F.col(k).alias(f"b{i}") for i, k in enumerate(key)], F.struct(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).alias("b"))
+    met = F.lit(True)
+    for i in range(len(key)):
+        met = F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) & met
     items = []
-    for c in columns:
-        d = F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
-        items.append(F.struct(F.lit(c).alias("column"), d.alias("d"), (d > atol + rtol * F.abs(F.col(f"b.{c}"))).alias("bad")))
-    long = joined.select(F.explode(F.array(*items)).alias("x")).select("x.*")
-    return long.groupBy("column").agg(F.count("*").alias("rows"), F.max("d").alias("max_difference"), F.count_if("bad").alias("failing"))
+    for i, c in enumerate(columns):
+        x, y = (F.nanvl(F.col(f"{t}.v{i}"), F.lit(None).cast("double")) for t in "ab")
+        d = F.when(x == y, 0.0).otherwise(F.abs(x - y))
+        why = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing_key").when(x.isNull() & y.isNull(), None).when(d.isNull(), "missing_value").when(d > atol + rtol * F.when(F.abs(y) < float("inf"), F.abs(y)).otherwise(0.0), "difference")
+        items.append(F.struct(F.lit(c).alias("column"), d.alias("d"), why.alias("why")))
+    keys = [F.when(F.col("a").isNull(), F.col(f"b{i}")).otherwise(F.col(f"a{i}")).alias(k) for i, k in enumerate(key)]
+    return a.join(b, met, "full").select(*keys, F.explode(F.array(*items)).alias("x")).select(*key, "x.*")
+
+
+def compare_tables(ours: DataFrame, theirs: DataFrame, key: list[str], columns: list[str], *, atol: float = 1e-6, rtol: float = 1e-6) -> DataFrame:
+    """column, rows, unmatched, missing, max_difference, failing: two tables of one key, column by column. ``failing``
+    counts unmatched keys, values that are missing on one side, and differences beyond the tolerance."""
+    long = _compared(ours, theirs, key, columns, atol, rtol)
+    count = lambda why: F.count_if(F.col("why") == why)
+    return long.groupBy("column").agg(F.count("*").alias("rows"), count("missing_key").alias("unmatched"), count("missing_value").alias("missing"), F.max("d").alias("max_difference"), F.count("why").alias("failing"))
 
 
 def failing_rows(ours: DataFrame, theirs: DataFrame, key: list[str], columns: list[str], *, atol: float = 1e-6, rtol: float = 1e-6) -> DataFrame:
-    """key, column, difference: the rows that ``compare_tables`` counts as failing."""
-    joined = ours.alias("a").join(theirs.alias("b"), key)
-    items = [F.struct(F.lit(c).alias("column"), F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).alias("difference"), (F.lit(atol) + rtol * F.abs(F.col(f"b.{c}"))).alias("__most")) for c in columns]
-    return joined.select(*key, F.explode(F.array(*items)).alias("x")).select(*key, "x.*").where("difference > __most").drop("__most")
+    """key, column, difference, why: the rows that ``compare_tables`` counts as failing, with difference,
+    missing_value or missing_key."""
+    return _compared(ours, theirs, key, columns, atol, rtol).where("why IS NOT NULL").withColumnRenamed("d", "difference")
 
 
 def spaced_exclusion(sites: DataFrame, *, group: str, pos: str, order: str, apart: int) -> DataFrame:

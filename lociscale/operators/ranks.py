@@ -9,29 +9,36 @@ from pyspark.sql import functions as F
 from lociscale.functions.columns import hash_rank
 
 
-def value_ranks(df: DataFrame, value: str, by: list[str], slices: int = 4096) -> DataFrame:
-    """``by``, value, n, rank: the tie-averaged rank of each distinct value in its group.
-
-    Rows are summed to distinct values first. These are ordered in slices, and a running sum over at most
-    ``slices`` counts a group gives each slice its start. Slices are of one width between the group's least and
-    greatest value on a scale that is linear up to its least magnitude and logarithmic beyond, so heavy tails
-    spread as well as even values; a slice is ordered by one task, and only values that are all alike to a
-    ``slices``-th of the magnitudes there are share one.
-    """
+#: Cells that the distinct values of a group are cut into: ``CELLS`` by the first splitters, each by as many more.
+CELLS = 16
+
+
+def value_cells(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``counts`` with ``__cell``, from 0, ascending with ``value`` in each group. The splitters are quantiles of a group's
+    distinct values, so cells hold about equally many of these wherever on the scale they lie, and values that are
+    equal as doubles share one. A hot value is one row here; it can't fill a cell."""
+    x, n = F.col(value).cast("double"), CELLS * CELLS
+    marks = F.percentile_approx(x, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n))
+    splitters = counts.groupBy(*by).agg(marks.alias("__marks"))
+    joined = counts.join(splitters, by) if by else counts.crossJoin(F.broadcast(splitters))  # without groups, one row
+    below = lambda marks: F.size(F.filter(marks, lambda m: m < x))
+    first = below(F.transform(F.sequence(F.lit(CELLS), F.lit(n - CELLS), F.lit(CELLS)), lambda i: F.get("__marks", (i - 1).cast("int"))))
+    coarse = joined.withColumn("__coarse", first)
+    return coarse.withColumn("__cell", F.col("__coarse") * CELLS + below(F.slice("__marks", F.col("__coarse") * CELLS + 1, CELLS - 1))).drop("__marks", "__coarse")
+
+
+def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by``, value, n, rank: the tie-averaged rank of each distinct value in its group, at any size and any
+    distribution. Rows are summed to distinct values first; these are ordered cell by cell, and a running sum over a
+    group's cells gives each cell its start."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    size = F.abs(F.col(value).cast("double"))
-    ends = counts.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.min(F.when((size > 0) & (size < float("inf")), size)).alias("__unit"))
-    scale = lambda c: F.signum(F.col(c).cast("double")) * F.log1p(F.abs(F.col(c).cast("double")) / F.coalesce("__unit", F.lit(1.0)))
-    share = F.try_divide(scale(value) - scale("__low"), scale("__high") - scale("__low"))
-    at = F.coalesce(F.least(F.lit(slices - 1), F.greatest(F.lit(0), F.floor(share * slices))), F.lit(0)).cast("int")
-    cells = (counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))).withColumn("__cell", at).drop("__low", "__high", "__unit")
+    cells = value_cells(counts, value, by)
     sums = cells.groupBy(*by, "__cell").agg(F.sum("n").alias("__n"))
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # at most CELLS squared rows a group
     sums = sums.withColumn("__start", F.coalesce(F.sum("__n").over(group.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     own = W.partitionBy(*by, "__cell").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    placed = cells.join(sums, [*by, "__cell"])
     before = F.col("__start") + F.coalesce(F.sum("n").over(own), F.lit(0))
-    return placed.withColumn("rank", before + (F.col("n") + 1) / 2).drop("__start", "__cell")
+    return cells.join(sums, [*by, "__cell"]).withColumn("rank", before + (F.col("n") + 1) / 2).drop("__start", "__cell")
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
@@ -52,6 +59,17 @@ def rank_pairs(df: DataFrame, x: str, y: str, by: list[str] | None = None, out:
     return ranked
 
 
+def medians(df: DataFrame, value: str, by: list[str], out: str = "median") -> DataFrame:
+    """``by``, out: exact medians of groups of any size, from the ranks of their distinct values."""
+    ranks = value_ranks(df, value, by)
+    total = ranks.groupBy(*by).agg(F.sum("n").alias("__total"))
+    before = F.col("rank") - (F.col("n") + 1) / 2
+    low, high = F.floor((F.col("__total") + 1) / 2), F.ceil((F.col("__total") + 1) / 2)
+    has = lambda place: (before < place) & (place <= before + F.col("n"))
+    middle = ranks.join(total, by).groupBy(*by).agg(F.max(F.when(has(low), F.col(value))).alias("__low"), F.max(F.when(has(high), F.col(value))).alias("__high"))
+    return middle.select(*by, ((F.col("__low") + F.col("__high")) / 2).alias(out))
+
+
 def group_average_rank(value: Column, by: list[Column | str]) -> Column:
     """The same as a window expression, for groups that fit in one task (candidates of a locus)."""
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
@@ -89,14 +107,29 @@ def bottom_k_eligible(df: DataFrame, candidates: int, target: int, eligible: Col
 
 
 def quota_fill(df: DataFrame, classes: list[tuple[str, Column, int]], order: list[str | Column]) -> DataFrame:
-    """The first rows of each class up to its quota; a row that meets several conditions counts for the
-    first in ``classes`` with room (exact where only neighbouring classes overlap)."""
-    out, left = None, df
-    for name, condition, quota in classes:
-        own = left.where(condition).orderBy(*order).limit(quota).withColumn("selection_class", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-        left = left.join(own.select(*df.columns), df.columns, "left_anti")
-    return out
+    """The first rows of each class up to its quota, with selection_class; a row that meets several conditions
+    counts for the first in ``classes`` that takes it. Repeated rows are rows, and nulls may be in any column; a
+    condition that is null doesn't hold. Ties of ``order`` go by the rows' places in the table.
+
+    A class can lose no more rows to the classes before it than their quotas, so its first rows up to the
+    sum of quotas so far decide; each task keeps these, and one task goes through what is left (quotas, not rows).
+    """
+    place = [F.col(c) if isinstance(c, str) else c for c in order]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    met = F.filter(F.array(*[F.when(c, F.lit(i)) for i, (_, c, _) in enumerate(classes)]), lambda i: i.isNotNull())
+    placed = df.select(row.alias("row"), *[p.alias(f"o{i}") for i, p in enumerate(place)], met.alias("met"), F.monotonically_increasing_id().alias("id"))
+    base = placed.select("*", F.explode("met").alias("class")).drop("met")  # a step of its own: a row's copies share its id
+    by = [*[f"o{i}" for i in range(len(place))], "id"]
+    upto = F.element_at(F.array(*[F.lit(sum(q for _, _, q in classes[: i + 1])) for i in range(len(classes))]), F.col("class") + 1)
+    most = sum(q for _, _, q in classes)
+    first = base.withColumn("n", F.row_number().over(W.partitionBy("class").orderBy(*by))).where(F.col("n") <= most).where(F.col("n") <= upto)
+    ids = first.groupBy("id").agg(F.any_value("row").alias("row"), *[F.any_value(c).alias(c) for c in by[:-1]], F.collect_set("class").alias("classes"), F.lit(None).cast("int").alias("taken"))
+    for i, (_, _, quota) in enumerate(classes):
+        free = F.col("taken").isNull() & F.array_contains("classes", i)
+        n = F.sum(F.when(free, 1)).over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+        ids = ids.withColumn("taken", F.when(free & (n <= quota), i).otherwise(F.col("taken")))
+    names = F.element_at(F.array(*[F.lit(name) for name, _, _ in classes]), F.col("taken") + 1)
+    return ids.where("taken IS NOT NULL").select("row.*", names.alias("selection_class"))
 
 
 def per_group_bottom_k(df: DataFrame, k: int, by: list[str], namespace: str, *key: str, first: Column | None = None) -> DataFrame:

@@ -8,13 +8,16 @@ multiply it; the row count is replicates times clusters, not replicates times ro
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociscale.functions.columns import hash_draw
-from lociscale.operators.ranks import rank_pairs
+from lociscale.operators.ranks import rank_pairs, value_cells
 from lociscale.operators.stats import complete, moment_corr, safe_corr
 from lociscale.plans.lineage import cut, numbered
 
@@ -63,24 +66,95 @@ def paired_recovery(outcomes: DataFrame, *, replicates: int, seed: str, by: list
     return out.withColumn("status", F.when(F.coalesce(F.col("loci"), F.lit(0)) == 0, "not_estimable").otherwise("descriptive_block_bootstrap"))
 
 
+#: Rounds of the network that permutes places.
+ROUNDS = 6
+#: Values of all strata up to which one side of a permutation test is sent to the tasks (8 bytes each).
+GATHERED = 2_000_000
+
+
+def permuted(i: np.ndarray, n: int, seed: str, replicate: int, stratum: str) -> np.ndarray:
+    """Where each of the places ``i`` of 0 to n - 1 goes: a balanced network of two halves of bits, whose rounds add
+    a keyed multiply-shift hash of one half to the other. It permutes the least power of four that holds n; a place
+    that it sends to n or beyond is sent on until it is below, so that it permutes 0 to n - 1 too."""
+    half = 1
+    while 1 << (2 * half) < n:
+        half += 1
+    low = np.int64((1 << half) - 1)
+    keys = [hashlib.sha256(f"{seed}|{replicate}|{stratum}|{k}".encode()).hexdigest() for k in range(ROUNDS)]
+    keys = [(np.int64(int(k[:8], 16) % (1 << 30) * 2 + 1), np.int64(int(k[8:16], 16) % (1 << 31))) for k in keys]
+    out, todo = i.astype(np.int64), np.arange(len(i))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & low
+        for a, b in keys:
+            left, right = right, left ^ (((right * a + b) & 0x7FFFFFFF) >> (31 - half))
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out
+
+
+def _strata(ranked: DataFrame) -> DataFrame:
+    """Rows (s, k, rx, ry) with their place in the order of k in their stratum (i, from 0) and its size (n)."""
+    placed = numbered(ranked, "p", "s", "k")
+    starts = placed.groupBy("s").agg(F.min("p").alias("first"), F.count("*").alias("n"))
+    return placed.join(starts, "s").select("s", (F.col("p") - F.col("first")).alias("i"), "n", "rx", "ry")
+
+
 def stratified_permutation(df: DataFrame, x: str, y: str, *, stratum: str, key: str, replicates: int, seed: str) -> DataFrame:
     """observed, replicates, extreme, p: Spearman against permutations of y's ranks inside strata.
 
-    p = (extreme + 1) / (replicates + 1), two-sided; values that are equal to 12 digits count as extreme.
+    A replicate's partner of a row comes by arithmetic (``permuted``) from its place in the order of ``key``, so nothing is
+    sorted or dealt for a replicate: tasks look the partners up and pass on one sum of products a replicate, since
+    the other moments stay what they are. Beyond ``GATHERED`` values the partners are joined by their places
+    instead, with the same result. p = (extreme + 1) / (replicates + 1), two-sided; values that are equal to 12 digits
+    count as extreme.
     """
     rows = complete(df, x, y)
-    ranked = rank_pairs(rows, x, y).select(F.col(stratum).alias("s"), F.col(key).alias("k"), "rx", "ry")
-    observed = ranked.agg(safe_corr(F.col("rx"), F.col("ry")).alias("observed"))
-    many = ranked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    left = many.select("replicate", "s", "rx", F.row_number().over(W.partitionBy("replicate", "s").orderBy("k")).alias("i"))
-    shuffled = F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("k").cast("string")), 256)
-    right = many.select("replicate", "s", "ry", F.row_number().over(W.partitionBy("replicate", "s").orderBy(shuffled, "k")).alias("i"))
-    each = left.join(right, ["replicate", "s", "i"]).groupBy("replicate").agg(safe_corr(F.col("rx"), F.col("ry")).alias("rho"))
-    both = each.crossJoin(F.broadcast(observed))  # one row
+    ranked = rank_pairs(rows, x, y).select(F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("s"), F.col(key).alias("k"), "rx", "ry")
+    placed = cut(_strata(ranked))
+    whole = placed.agg(F.count("*").alias("m"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"), F.sum(F.col("rx") * F.col("ry")).alias("observed"))
+    left = placed.select("s", "i", "n", "rx")
+    if (placed.count()) <= GATHERED:
+        table = placed.select("s", "i", "ry").toArrow()  # the size was checked
+        strata = table.column("s").combine_chunks().dictionary_encode()
+        code, place, value = strata.indices.to_numpy(), table.column("i").to_numpy(), table.column("ry").to_numpy()
+        values = {}
+        for c, name in enumerate(strata.dictionary.to_pylist()):
+            own = code == c
+            values[name] = np.empty(own.sum())
+            values[name][place[own]] = value[own]
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(replicates)
+            for s, i, n, rx in _by_stratum(batches):
+                for r in range(replicates):
+                    sums[r] += rx @ values[s][permuted(i, n, seed, r, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(sums)], names=["replicate", "sxy"])
+
+        each = left.mapInArrow(summed, "replicate int, sxy double").groupBy("replicate").agg(F.sum("sxy").alias("sxy"))
+    else:
+
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, i, n, rx in _by_stratum(batches):
+                for r in range(replicates):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r, np.int32)), pa.array([s] * len(i)), pa.array(permuted(i, n, seed, r, s)), pa.array(rx)], names=["replicate", "s", "i", "rx"])
+
+        each = left.mapInArrow(sent, "replicate int, s string, i long, rx double").join(placed.select("s", "i", "ry"), ["s", "i"]).groupBy("replicate").agg(F.sum(F.col("rx") * F.col("ry")).alias("sxy"))
+    rho = lambda sxy: moment_corr(F.col("m"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col(sxy))
+    both = each.crossJoin(F.broadcast(whole)).select(rho("sxy").alias("rho"), rho("observed").alias("observed"))  # one row
     extreme = F.count_if(F.round(F.abs("rho"), 12) >= F.round(F.abs("observed"), 12))
     return both.groupBy("observed").agg(F.count("*").alias("replicates"), extreme.alias("extreme")).withColumn("p", (F.col("extreme") + 1) / (F.col("replicates") + 1))
 
 
+def _by_stratum(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, int, np.ndarray]]:
+    """stratum, places, size of the stratum, ranks of the rows of a batch that are in it."""
+    for batch in batches:
+        strata = batch.column(0).dictionary_encode()
+        code = strata.indices.to_numpy()
+        for c, name in enumerate(strata.dictionary.to_pylist()):
+            own = np.flatnonzero(code == c)
+            yield name, batch.column(1).to_numpy()[own], int(batch.column(2)[int(own[0])].as_py()), batch.column(3).to_numpy()[own]
+
+
 def median_bootstrap(df: DataFrame, value: str, key: str, *, replicates: int, seed: str) -> DataFrame:
     """replicate, estimate: medians of as many values as there are, drawn with replacement (for samples of
     bounded size: replicates times rows are made)."""
@@ -92,6 +166,65 @@ def median_bootstrap(df: DataFrame, value: str, key: str, *, replicates: int, se
     return drawn.join(indexed.select("i", "v"), "i").groupBy("replicate").agg(F.percentile("v", F.lit(0.5)).alias("estimate"))
 
 
+def _split(draws: int, left: int, whole: int, *node: object) -> int:
+    """How many of ``draws`` that fall into a node of ``whole`` rows fall into its left part of ``left``: a binomial
+    draw that depends on the node's name alone."""
+    if draws == 0 or left == 0:
+        return 0
+    if left == whole:
+        return draws
+    name = hashlib.sha256("|".join(map(str, node)).encode()).digest()
+    return int(np.random.Generator(np.random.Philox(key=int.from_bytes(name[:16], "big"))).binomial(draws, left / whole))
+
+
+def _descend(upto: np.ndarray, draws: int, place: int, *tree: object) -> tuple[int, int, int]:
+    """The leaf that holds the draw at ``place`` (from 0, in order) of ``draws`` over leaves with cumulative counts
+    ``upto``, with how many draws it has and the place among them."""
+    low, high = 0, len(upto)
+    while high - low > 1:
+        middle = (low + high) // 2
+        before = int(upto[low - 1]) if low else 0
+        left = _split(draws, int(upto[middle - 1]) - before, int(upto[high - 1]) - before, *tree, low, high)
+        if place < left:
+            high, draws = middle, left
+        else:
+            low, draws, place = middle, draws - left, place - left
+    return low, draws, place
+
+
+def order_bootstrap(df: DataFrame, value: str, *, replicates: int, seed: str) -> DataFrame:
+    """replicate, estimate: medians of as many values as there are, drawn with replacement, without drawing them.
+
+    How many of the draws fall below a value is binomial, and so on inside either part; so a replicate goes down a tree of
+    the counts of distinct values, one binomial draw a level, to where the middle of its draws lies. The upper levels
+    are the sums of cells of values, a fixed number; a cell's values are one group of which each has about
+    equally many. The work is replicates times levels, beside one count of the rows. Draws are named by seed, replicate
+    and node, so results are the same on every run.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    cells = cut(value_cells(counts, "v", []))
+    sums = cells.groupBy("__cell").agg(F.sum("n").alias("n")).orderBy("__cell").collect()  # at most CELLS squared
+    if not sums:
+        return df.sparkSession.createDataFrame([], "replicate int, estimate double")
+    names, upto = [r["__cell"] for r in sums], np.cumsum([r["n"] for r in sums])
+    m = int(upto[-1])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r, names[leaf], draws, place) for r in batch.column(0).to_pylist() for at in ((m - 1) // 2, m // 2) for leaf, draws, place in [_descend(upto, m, at, seed, r)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["replicate", "__cell", "draws", "place"])
+
+    def inside(cell: pa.Table, wanted: pa.Table) -> pa.Table:
+        own = cell.sort_by("v")
+        v, upto = own.column("v").to_numpy(), np.cumsum(own.column("n").to_numpy())
+        rows = [(r, float(v[_descend(upto, draws, place, seed, r, c)[0]])) for r, c, draws, place in zip(*[wanted.column(i).to_pylist() for i in range(4)], strict=True)]
+        return pa.table([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.float64())], names=["replicate", "v"])
+
+    wanted = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).mapInArrow(placed, "replicate int, __cell int, draws long, place long")
+    ends = cells.groupBy("__cell").cogroup(wanted.groupBy("__cell")).applyInArrow(inside, "replicate int, v double")
+    return ends.groupBy("replicate").agg(F.avg("v").alias("estimate"))
+
+
 def pairwise_bootstrap(df: DataFrame, value: str, label: str, a: object, b: object, *, key: str, replicates: int, seed: str) -> DataFrame:
     """replicate, median_difference, rank_biserial: two groups drawn independently, each as often as it has rows.
 

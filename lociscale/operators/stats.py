@@ -104,9 +104,8 @@ def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
     met, items = F.lit(True), []
     for i, (name, c) in enumerate(steps.items()):
         met = met & F.coalesce(c, F.lit(False))
-        items.append((i + 1, name, F.count_if(met).alias(f"c{i}")))
-    pairs = ", ".join(f"{i}, '{name}', c{i - 1}" for i, name, _ in items)
-    return df.agg(*[c for _, _, c in items]).select(F.expr(f"stack({len(items)}, {pairs}) AS (step, name, rows)"))
+        items.append(F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), F.count_if(met).alias("rows")))
+    return df.agg(F.array(*items).alias("steps")).select(F.inline("steps"))
 
 
 def genotype_summary(calls: DataFrame, by: list[str], genotype: str = "gt") -> DataFrame:

@@ -9,7 +9,8 @@ from lociscale.functions import columns as C
 from lociscale.operators import assoc, contracts, joins, ld, prioritize, ranks, reports, resample, stats
 from lociscale.plans import integrity
 from lociscale.plans.registry import QUERIES, SQL, query, rounded
-from lociscale.plans.standins import CANDIDATES_SQL, VARIANTS_SQL, candidates, table, variants
+from lociscale.sources.sequences import beside, sequence_store
+from lociscale.plans.standins import CANDIDATES_SQL, COMPARED_SQL, VARIANTS_SQL, candidates, compared, table, variants
 
 __all__ = ["QUERIES", "SQL", "integrity"]
 
@@ -268,14 +269,11 @@ def band_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return joins.band_pairs(p, group="c_nationkey", pos="pos", key="c_custkey", reach=250)
 
 
-@query("table_comparison", """
-    WITH a AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_tax) AS t FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_tax) AS t FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
-    SELECT 'q' AS "column", CAST(count(*) AS BIGINT) AS rows, round(max(abs(a.q - b.q)), 9) AS max_difference, CAST(count(*) FILTER (WHERE abs(a.q - b.q) > 0.2 + 1e-6 * abs(b.q)) AS BIGINT) AS failing FROM a JOIN b USING (l_suppkey)
-    UNION ALL SELECT 't', CAST(count(*) AS BIGINT), round(max(abs(a.t - b.t)), 9), CAST(count(*) FILTER (WHERE abs(a.t - b.t) > 0.2 + 1e-6 * abs(b.t)) AS BIGINT) FROM a JOIN b USING (l_suppkey)""")
+@query("table_comparison", f"""
+    WITH {COMPARED_SQL} SELECT "column", CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE why = 'missing_key') AS BIGINT) AS unmatched, CAST(count(*) FILTER (WHERE why = 'missing_value') AS BIGINT) AS missing,
+        round(max(difference), 9) AS max_difference, CAST(count(why) AS BIGINT) AS failing FROM judged GROUP BY 1""")
 def table_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    own = lambda d: d.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"))
-    return rounded(joins.compare_tables(own(li), own(li.where("l_linenumber > 1")), ["l_suppkey"], ["q", "t"], atol=0.2, rtol=1e-6), 9)
+    return rounded(joins.compare_tables(*compared(spark, sf), ["k"], ["q", "t"], atol=0.2, rtol=1e-6), 9)
 
 
 # --- samples -------------------------------------------------------------------------------------
@@ -296,12 +294,18 @@ def bottom_k_eligible(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("quota_fill", """
-    WITH a AS (SELECT p_partkey FROM part WHERE p_size < 5 ORDER BY p_partkey LIMIT 20), b AS (SELECT p_partkey FROM part WHERE p_retailprice > 950 AND p_partkey NOT IN (SELECT p_partkey FROM a) ORDER BY p_partkey LIMIT 20),
-    c AS (SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM a UNION ALL SELECT p_partkey FROM b) ORDER BY p_partkey LIMIT 20)
-    SELECT p_partkey, 'rare' AS selection_class FROM a UNION ALL SELECT p_partkey, 'alt_major' FROM b UNION ALL SELECT p_partkey, 'common' FROM c""")
+    WITH p AS (
+        SELECT nullif(p_brand, 'Brand#13') AS brand, CASE WHEN p_size % 3 <> 0 THEN p_size END AS size, CASE WHEN p_size % 4 <> 0 THEN p_retailprice END AS price, unnest([1, 2]) AS time, p_partkey FROM part
+    ), a AS (SELECT *, 'rare' AS c FROM p WHERE size < 5 ORDER BY p_partkey, time LIMIT 25),
+    b AS (SELECT *, 'alt_major' AS c FROM p WHERE price > 950 AND (p_partkey, time) NOT IN (SELECT (p_partkey, time) FROM a) ORDER BY p_partkey, time LIMIT 25),
+    d AS (SELECT *, 'common' AS c FROM p WHERE (p_partkey, time) NOT IN (SELECT (p_partkey, time) FROM a UNION ALL SELECT (p_partkey, time) FROM b) ORDER BY p_partkey, time LIMIT 25)
+    SELECT brand, size, price, p_partkey, c AS selection_class FROM a UNION ALL SELECT brand, size, price, p_partkey, c FROM b UNION ALL SELECT brand, size, price, p_partkey, c FROM d""")
 def quota_fill(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
-    return ranks.quota_fill(p, [("rare", F.col("p_size") < 5, 20), ("alt_major", F.col("p_retailprice") > 950, 20), ("common", F.lit(True), 20)], ["p_partkey"]).select("p_partkey", "selection_class")
+    """Parts with missing values, each row twice."""
+    n = F.col("p_size")
+    p = table(spark, sf, "part").select(F.nullif("p_brand", F.lit("Brand#13")).alias("brand"), F.when(n % 3 != 0, n).alias("size"), F.when(n % 4 != 0, F.col("p_retailprice")).alias("price"), "p_partkey")
+    twice = p.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("time")).drop("time")
+    return ranks.quota_fill(twice, [("rare", F.col("size") < 5, 25), ("alt_major", F.col("price") > 950, 25), ("common", F.lit(True), 25)], ["p_partkey"])
 
 
 @query("per_group_bottom_k", """
@@ -450,12 +454,19 @@ def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stratified_permutation", f"""
-    WITH o AS (SELECT s_nationkey % 4 AS s, s_suppkey AS k, s_suppkey % 17 AS a, s_acctbal AS b FROM supplier),
-    r AS (SELECT s, k, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS ry FROM o),
+    WITH RECURSIVE o AS (SELECT CAST(s_nationkey % 4 AS VARCHAR) AS s, s_suppkey AS k, s_suppkey % 17 AS a, s_acctbal AS b FROM supplier),
+    r AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY s) AS n, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS ry FROM o),
     obs AS (SELECT corr(rx, ry) AS observed FROM r),
-    a AS (SELECT rep, s, rx, row_number() OVER (PARTITION BY rep, s ORDER BY k) AS i FROM r, range(0, 40) t(rep)),
-    b AS (SELECT rep, s, ry, row_number() OVER (PARTITION BY rep, s ORDER BY sha256('perm|' || rep || '|' || k), k) AS i FROM r, range(0, 40) t(rep)),
-    e AS (SELECT rep, corr(rx, ry) AS rho FROM a JOIN b USING (rep, s, i) GROUP BY 1)
+    halves AS (SELECT s, n, (SELECT min(h) FROM range(1, 32) t(h) WHERE (1::BIGINT << (2 * h)) >= n) AS half FROM r GROUP BY 1, 2),
+    keys AS (SELECT s, rep, {", ".join(f"CAST('0x' || substr(sha256('perm|' || rep || '|' || s || '|{k}'), 1, 8) AS BIGINT) % 1073741824 * 2 + 1 AS a{k}, CAST('0x' || substr(sha256('perm|' || rep || '|' || s || '|{k}'), 9, 8) AS BIGINT) % 2147483648 AS b{k}" for k in range(6))} FROM halves, range(0, 40) t(rep)),
+    walk AS (
+        SELECT rep, s, i, n, half, 0 AS k, i >> half AS l, i & ((1::BIGINT << half) - 1) AS r FROM r JOIN halves USING (s, n), range(0, 40) t(rep)
+        UNION ALL
+        SELECT rep, s, i, n, half, k % 6 + 1, r, xor(l, ((r * CASE k % 6 {" ".join(f"WHEN {k} THEN a{k}" for k in range(6))} END + CASE k % 6 {" ".join(f"WHEN {k} THEN b{k}" for k in range(6))} END) & 2147483647) >> (31 - half))
+        FROM walk JOIN keys USING (s, rep) WHERE k < 6 OR (l << half) + r >= n
+    ),
+    b AS (SELECT rep, s, i, (l << half) + r AS j FROM walk WHERE k = 6 AND (l << half) + r < n),
+    e AS (SELECT rep, corr(x.rx, y.ry) AS rho FROM b JOIN r x ON x.s = b.s AND x.i = b.i JOIN r y ON y.s = b.s AND y.i = b.j GROUP BY 1)
     SELECT round(observed, 6) AS observed, CAST(count(*) AS BIGINT) AS replicates, CAST(count(*) FILTER (WHERE round(abs(rho), 12) >= round(abs(observed), 12)) AS BIGINT) AS extreme, round((count(*) FILTER (WHERE round(abs(rho), 12) >= round(abs(observed), 12)) + 1) / 41.0::DOUBLE, 6) AS p FROM e, obs GROUP BY observed""")
 def stratified_permutation(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select((F.col("s_nationkey") % 4).alias("s"), "s_suppkey", (F.col("s_suppkey") % 17).alias("a"), F.col("s_acctbal").alias("b"))
@@ -470,6 +481,12 @@ def median_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.interval(resample.median_bootstrap(table(spark, sf, "supplier"), "s_acctbal", "s_suppkey", replicates=30, seed="med"), "estimate"))
 
 
+@query("order_bootstrap")
+def order_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians of every line's price, by draws down a tree of counts (which SQL doesn't have; held against direct draws in tests)."""
+    return rounded(resample.interval(resample.order_bootstrap(table(spark, sf, "lineitem"), "l_extendedprice", replicates=200, seed="tree"), "estimate"))
+
+
 @query("pairwise_bootstrap", f"""
     WITH r AS (SELECT o_orderstatus = 'F' AS g, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS m FROM orders WHERE o_orderstatus IN ('F', 'O')),
     d AS (SELECT g, rep, {DRAW.format("'pb|' || CASE WHEN g THEN 'true' ELSE 'false' END || '|' || rep || '|' || i")} % m AS i FROM r, range(0, 50) t(rep)),
@@ -755,6 +772,23 @@ def reference_report(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.reference_report(v, s).withColumn("examples", F.array_join("examples", ";"))
 
 
+@query("chunked_context", f"""
+    WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {SEQ} AS seq FROM benchmark), p AS (SELECT chrom, seq, repeat('N', 16) || seq || repeat('N', 32) AS padded FROM s WHERE seq <> ''),
+    v AS (SELECT CAST(l_suppkey % 60 AS VARCHAR) AS chrom, CAST(l_orderkey % 600 + 1 AS BIGINT) AS pos, count(*) AS n FROM lineitem GROUP BY 1, 2)
+    SELECT chrom, pos, CAST(n AS BIGINT) AS n, CASE WHEN pos <= length(seq) THEN substr(padded, pos, 33) END AS padded, CASE WHEN pos > 16 AND pos + 16 <= length(seq) THEN substr(seq, pos - 16, 33) END AS inner_window,
+        CASE WHEN pos <= length(seq) THEN substr(substr(padded, pos, 33), 1, 16) || 'T' || substr(substr(padded, pos, 33), 18) END AS alternative
+    FROM v LEFT JOIN p USING (chrom)""")
+def chunked_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows cut from a store of chunks that are little wider than the windows."""
+    text = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACGT]", "N")
+    store = sequence_store(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), text.alias("seq")), width=40, halo=33)
+    v = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 60).cast("string").alias("chrom"), (F.col("l_orderkey") % 600 + 1).alias("pos")).agg(F.count("*").alias("n"))
+    seq, at = F.col("chunk_seq"), (F.col("pos") - F.col("chunk_start")).cast("int")
+    inside = at <= F.length(seq)
+    padded = F.when(inside, C.padded_context(seq, at, 33, 16))
+    return beside(v, store, width=40).select("chrom", "pos", "n", padded.alias("padded"), F.when(inside, C.inner_context(seq, at, 33, 16)).alias("inner_window"), C.substituted(padded, F.lit(16), F.lit("T")).alias("alternative"))
+
+
 @query("locus_screen", """
     WITH n AS (SELECT c_nationkey AS k, count(*) AS c, min(c_acctbal) AS lo, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS m FROM customer GROUP BY 1)
     SELECT k, CASE WHEN k % 7 = 0 THEN 'overlapping_window' WHEN c % 12 < 6 THEN 'too_few_common_snps' WHEN k % 5 = 1 THEN 'expression_nonfinite' WHEN lo IS NULL THEN 'invalid_association' WHEN m % 3 = 0 THEN 'no_discovery_cis_signal' WHEN m < 6 THEN 'fewer_than_six_linked' ELSE 'selected' END AS status FROM n""")
@@ -817,3 +851,24 @@ def association_unrelated(spark: SparkSession, sf: str) -> DataFrame:
     own = spark.range(1).select(F.explode(i).alias("i"), F.lit(1.0).alias("k")).withColumn("j", F.col("i"))
     y = e.groupBy("gene").agg(F.min_by("dosages", "variant_id").alias("values"))
     return rounded(assoc.association_scan(e, y, own).select("gene", "variant_id", "beta", "se"))
+
+
+@query("association_covariates", f"""
+    WITH e AS (SELECT 'L' || label AS gene, vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+    y AS (SELECT gene, unnest(range(0, 64)) AS i, unnest(min_by(v, vec_id)) AS y FROM e GROUP BY gene),
+    r AS (SELECT gene, i, (rank() OVER (PARTITION BY gene ORDER BY y) + (count(*) OVER (PARTITION BY gene, y) - 1) / 2.0::DOUBLE - 0.5) / 64 AS p FROM y),
+    q AS (SELECT gene, i, {_quantile_sql('p')} AS y, CAST(i * 37 % 64 AS DOUBLE) AS c FROM r),
+    g AS (SELECT gene, vec_id, unnest(range(0, 64)) AS i, unnest(v) AS x FROM e),
+    s AS (
+        SELECT gene, vec_id, covar_pop(x, y) * 64 AS xy, covar_pop(x, c) * 64 AS xc, covar_pop(y, c) * 64 AS yc, var_pop(x) * 64 AS xx, var_pop(y) * 64 AS yy, var_pop(c) * 64 AS cc FROM g JOIN q USING (gene, i) GROUP BY 1, 2
+    ), f AS (SELECT gene, vec_id, xy - xc * yc / cc AS xy, xx - xc * xc / cc AS xx, yy - yc * yc / cc AS yy FROM s)
+    SELECT gene, vec_id AS variant_id, round(xy / xx, 6) AS beta, round(sqrt((yy - xy * xy / xx) / 61 / xx), 6) AS se FROM f""")
+def association_covariates(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a covariate, which is regressed out of both sides (one of two, which tells nothing new, doesn't count)."""
+    import numpy as np
+
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("L"), F.col("label")).alias("gene"), F.col("vec_id").alias("variant_id"), F.col("embedding").cast("array<double>").alias("dosages"))
+    own = spark.range(64).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(1.0).alias("k"))
+    c = np.arange(64) * 37 % 64
+    y = e.groupBy("gene").agg(F.min_by("dosages", "variant_id").alias("values"))
+    return rounded(assoc.association_scan(e, y, own, covariates=np.column_stack([c, 2.0 * c + 1])).select("gene", "variant_id", "beta", "se"))

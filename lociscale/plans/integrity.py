@@ -12,7 +12,7 @@ from lociscale.functions import columns as C
 from lociscale.operators import contracts, joins, ld, prioritize, ranks, reports, stats
 from lociscale.plans.lineage import shared_folder
 from lociscale.plans.registry import query, rounded
-from lociscale.plans.standins import CANDIDATES_SQL, VARIANTS_SQL, candidates, table, variants
+from lociscale.plans.standins import CANDIDATES_SQL, COMPARED_SQL, VARIANTS_SQL, candidates, compared, table, variants
 from lociscale.sources import readers, writers
 
 V = f"variants AS ({VARIANTS_SQL})"
@@ -251,13 +251,9 @@ def describe_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.describe(li, ["l_quantity", "l_tax"], ["l_returnflag"]))
 
 
-@query("failing_rows", """
-    WITH a AS (SELECT l_suppkey, avg(l_quantity) AS q FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey, avg(l_quantity) AS q FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
-    SELECT l_suppkey, 'q' AS "column", round(abs(a.q - b.q), 9) AS difference FROM a JOIN b USING (l_suppkey) WHERE abs(a.q - b.q) > 0.2 + 1e-6 * abs(b.q)""")
+@query("failing_rows", f"WITH {COMPARED_SQL} SELECT k, \"column\", round(difference, 9) AS difference, why FROM judged WHERE why IS NOT NULL")
 def failing_rows(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    own = lambda d: d.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"))
-    return rounded(joins.failing_rows(own(li), own(li.where("l_linenumber > 1")), ["l_suppkey"], ["q"], atol=0.2, rtol=1e-6), 9)
+    return rounded(joins.failing_rows(*compared(spark, sf), ["k"], ["q", "t"], atol=0.2, rtol=1e-6), 9)
 
 
 @query("score_summary", f"""
@@ -438,25 +434,117 @@ def shard_scan(spark: SparkSession, sf: str) -> DataFrame:
     return parts.whole(names).groupBy("shard").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("manifest_check", """SELECT * FROM (VALUES ('data/gone.tsv', 'missing file'), ('../outside', 'unsafe path')) v(name, problem)""")
+@query("manifest_check", """
+    SELECT CAST(r_regionkey AS BIGINT) AS region, CASE WHEN r_regionkey = (SELECT max(r_regionkey) FROM region) THEN 'missing file' ELSE 'checksum' END AS problem FROM region WHERE r_regionkey % 2 = 1 OR r_regionkey = (SELECT max(r_regionkey) FROM region)
+    UNION ALL SELECT NULL, 'unsafe path'""")
 def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
-    """A folder against its own manifest, to which two entries were added."""
-    out = folder(spark)
-    writers.write_table(table(spark, sf, "nation").select("n_nationkey", "n_name"), f"{out}/data/nation.tsv")
+    """Nations in a file a region, against the folder's manifest: the files of some regions were written again with
+    other rows since, the last one's went, and an entry names a file outside."""
+    out, n = folder(spark), table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    last = n.agg(F.max("n_regionkey")).first()[0]
+    for key in range(last + 1):
+        single_file(n.where(F.col("n_regionkey") == key).orderBy("n_nationkey"), f"{out}/data/region{key}.tsv")
     writers.write_manifest(spark, out)
+    for key in range(1, last + 1, 2):
+        single_file(n.where(F.col("n_regionkey") == key).orderBy(F.desc("n_nationkey")), f"{out}/data/region{key}.tsv")
+    fs, p = writers._file_system(spark, f"{out}/data/region{last}.tsv")
+    fs.delete(p, False)
     expected = readers.json_document(spark, f"{out}/{writers.MANIFEST}")
-    expected["files"] |= {"data/gone.tsv": {"sha256": "0"}, "../outside": {"sha256": "0"}}
-    return writers.manifest_differences(spark, out, expected)
+    expected["files"] |= {"../outside": {"sha256": "0"}}
+    found = writers.manifest_differences(spark, out, expected)
+    return found.select(F.regexp_extract("name", "region([0-9]+)", 1).try_cast("bigint").alias("region"), "problem")
 
 
-@query("fallback_scan", "SELECT * FROM (VALUES ('1', '5'), ('2', '7')) v(chrom, pos)")
-def fallback_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A store that can't be read, then an embedded copy."""
-    import base64
-    import gzip
+def single_file(df: DataFrame, path: str) -> None:
+    """A small table as one tab-separated file, in place of any that is there."""
+    spark, part = df.sparkSession, f"{path}.part"
+    df.coalesce(1).write.mode("overwrite").options(sep="\t", header=True).csv(part)
+    fs, target = writers._file_system(spark, path)
+    (own,) = [f.getPath() for f in fs.globStatus(writers._file_system(spark, f"{part}/part-*")[1])]
+    fs.delete(target, False)
+    fs.rename(own, target)
+    fs.delete(writers._file_system(spark, part)[1], True)
+
 
-    copy = base64.b64encode(gzip.compress(b"chrom\tpos\n1\t5\n2\t7\n")).decode()
-    return readers.first_readable(lambda: readers.tsv(spark, f"{folder(spark)}/nowhere.tsv"), lambda: readers.embedded(spark, copy))
+@query("verified_folder", "SELECT CAST(n_nationkey AS VARCHAR) AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def verified_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables of a folder whose manifest holds, by name."""
+    out = folder(spark)
+    for name in ("nation", "region"):
+        single_file(table(spark, sf, name), f"{out}/data/{name}.tsv")
+    writers.write_manifest(spark, out)
+    tables = writers.load_verified(spark, out)
+    return tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"), F.col("r_name").alias("region"))
+
+
+@query("pinned_inputs", """
+    SELECT o_orderpriority || CASE WHEN o_orderpriority = (SELECT min(o_orderpriority) FROM orders) THEN ' is pinned and missing' ELSE ' is not what was pinned' END AS problem FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = (SELECT min(o_orderpriority) FROM orders) GROUP BY o_orderpriority
+    UNION ALL SELECT 'late is not pinned'""")
+def pinned_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by priority as inputs, pinned with all of their rows, then offered without those of one status, without
+    one priority, and with an input more."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    h = F.conv(F.substring(F.sha2(F.to_json(F.struct("o_orderkey", "o_orderstatus")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    digests = lambda df: {r[0]: str(r[1]) for r in df.groupBy("o_orderpriority").agg(F.sum(h)).collect()}  # noqa: E731  one row a priority
+    pins, found = digests(o), digests(o.where("o_orderstatus <> 'P'"))
+    found.pop(min(pins))
+    try:
+        contracts.pinned(found | {"late": "0"}, pins)
+        faults = []
+    except contracts.ContractError as e:
+        faults = sorted(e.violations)
+    return spark.createDataFrame([(f,) for f in faults], "problem string")
+
+
+@query("score_contract", """
+    WITH s AS (
+        SELECT CASE WHEN l_linenumber = 7 THEN ' ' WHEN l_orderkey % 11 <> 0 THEN l_returnflag END AS chrom, CASE l_linenumber WHEN 1 THEN '0' WHEN 2 THEN '2.5' WHEN 3 THEN 'x' ELSE CAST(l_orderkey AS VARCHAR) END AS pos,
+            CASE WHEN l_partkey % 9 <> 0 THEN substr('ACGTNa', CAST(l_partkey % 6 + 1 AS INTEGER), 1) END AS ref, substr('ACGT', CAST(l_suppkey % 4 + 1 AS INTEGER), 1) AS alt, CASE WHEN l_quantity < 10 THEN 'NaN' WHEN l_quantity < 20 THEN NULL ELSE CAST(l_quantity AS VARCHAR) END AS score FROM lineitem
+    ), broken AS (
+        SELECT chrom IS NULL OR trim(chrom) = '' AS a, coalesce(try_cast(pos AS BIGINT), 0) <= 0 OR pos = '2.5' AS b, ref IS NULL OR ref NOT IN ('A', 'C', 'G', 'T') AS c, false AS d, ref IS NULL OR ref = alt AS e, score IS NULL OR score = 'NaN' AS f FROM s
+    ), counts AS (SELECT unnest(['chrom is missing', 'pos is not a positive integer', 'ref is not one canonical base', 'alt is not one canonical base', 'ref equals alt', 'score is not finite', 'typed rows']) AS rule,
+        unnest([count(*) FILTER (WHERE a), count(*) FILTER (WHERE b), count(*) FILTER (WHERE c), count(*) FILTER (WHERE d), count(*) FILTER (WHERE e), count(*) FILTER (WHERE f), (SELECT count(*) FROM (SELECT DISTINCT l_linenumber, l_orderkey FROM lineitem))]) AS rows FROM broken)
+    SELECT rule, CAST(rows AS BIGINT) AS rows FROM counts""")
+def score_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """The contract of score tables: its rules over a table with faults of every kind, and over one without any, as
+    which the same rows come out typed."""
+    k, q = F.col("l_orderkey"), F.col("l_quantity")
+    li, pick = table(spark, sf, "lineitem"), lambda text, n: F.get(F.array(*map(F.lit, text)), n.cast("int"))
+    faulty = li.select(
+        F.when(F.col("l_linenumber") == 7, " ").when(k % 11 != 0, F.col("l_returnflag")).alias("chrom"), F.when(F.col("l_linenumber") == 1, "0").when(F.col("l_linenumber") == 2, "2.5").when(F.col("l_linenumber") == 3, "x").otherwise(k.cast("string")).alias("pos"),
+        F.when(F.col("l_partkey") % 9 != 0, pick("ACGTNa", F.col("l_partkey") % 6)).alias("ref"), pick("ACGT", F.col("l_suppkey") % 4).alias("alt"), F.when(q < 10, "NaN").when(q >= 20, q.cast("string")).alias("score"),
+    )
+    sound = li.select(F.col("l_linenumber").cast("string").alias("chrom"), (k + 1).cast("string").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), (k % 7 / 10).cast("string").alias("score")).distinct()
+    typed = contracts.score_table(sound).agg(F.count(F.col("pos") + F.col("score")).alias("rows")).select(F.lit("typed rows").alias("rule"), "rows")
+    return contracts.violations(faulty, contracts.variant_rules()).unionByName(typed)
+
+
+@query("population_integration", """
+    WITH p AS (
+        SELECT CAST(p_partkey % 5 + 1 AS VARCHAR) AS chrom, p_partkey + 1 AS pos, substr('ACGT', CAST(p_size % 4 + 1 AS INTEGER), 1) AS ref, substr('ACGT', CAST((p_size + 1) % 4 + 1 AS INTEGER), 1) AS alt, (p_size % 11) / 10.0::DOUBLE AS af_alt, round(p_retailprice - 1400, 6) AS score_ref_alt FROM part
+    )
+    SELECT chrom, pos, ref, alt, af_alt, 'contig_' || chrom AS fasta_chrom, score_ref_alt, least(af_alt, 1 - af_alt) AS maf,
+        CASE WHEN af_alt < 0.5 THEN alt WHEN af_alt > 0.5 THEN ref END AS minor_allele, CASE WHEN af_alt < 0.5 THEN ref WHEN af_alt > 0.5 THEN alt END AS major_allele,
+        CASE WHEN af_alt < 0.5 THEN 'alt_minor' WHEN af_alt > 0.5 THEN 'ref_minor' ELSE 'frequency_tie' END AS orientation, af_alt > 0.5 AS flipped, CASE WHEN af_alt > 0.5 THEN -score_ref_alt ELSE score_ref_alt END AS score_paper_oriented,
+        CASE WHEN af_alt < 0.5 THEN score_ref_alt WHEN af_alt > 0.5 THEN -score_ref_alt END AS score_minor_vs_major, pos <= 256 AS edge_padded FROM p""")
+def population_integration(spark: SparkSession, sf: str) -> DataFrame:
+    """A population table and a model's scores, whose contigs have names of their own."""
+    from lociscale.operators.integrate import integrate_population_scores
+
+    p, pick = table(spark, sf, "part"), lambda n: F.get(F.array(*map(F.lit, "ACGT")), (n % 4).cast("int"))
+    key = [(F.col("p_partkey") + 1).alias("pos"), pick(F.col("p_size")).alias("ref"), pick(F.col("p_size") + 1).alias("alt")]
+    chrom = (F.col("p_partkey") % 5 + 1).cast("string")
+    population = p.select(chrom.alias("chrom"), *key, (F.col("p_size") % 11 / 10).alias("af_alt"))
+    scores = p.select(F.concat(F.lit("contig_"), chrom).alias("chrom"), *key, F.round(F.col("p_retailprice") - 1400, 6).alias("score"))
+    return integrate_population_scores(population, scores, {f"contig_{i}": str(i) for i in range(1, 6)})
+
+
+@query("fallback_scan", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
+def fallback_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A store that can't be read, one that holds another table, then the one that can."""
+    out = f"{folder(spark)}/t"
+    writers.write_table(table(spark, sf, "supplier").select("s_suppkey", "s_name"), out)
+    return readers.first_readable(lambda: readers.tsv(spark, f"{folder(spark)}/nowhere.tsv"), lambda: readers.tsv(spark, out, required=["s_phone_of_another_table"]), lambda: readers.tsv(spark, out, required=["s_name"]))
 
 
 @query("withheld_columns", "SELECT n_nationkey, n_name, (SELECT CAST(count(*) AS BIGINT) FROM nation) AS held FROM nation")

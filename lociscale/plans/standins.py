@@ -52,3 +52,20 @@ CANDIDATES_SQL = """
         CASE WHEN s_suppkey % 13 <> 0 THEN s_acctbal / 100 - quantity * 2 END AS model_b
     FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, round(avg(l_extendedprice), 4) AS price, round(avg(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1) USING (s_suppkey)
 """
+
+
+def compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables of suppliers: values missing in either, keys of one only, and a null key."""
+    li, s = table(spark, sf, "lineitem"), F.col("l_suppkey")
+    own = lambda d, n: d.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t")).select(F.nullif(s, F.lit(4)).alias("k"), F.when(s % n != 0, F.col("q")).alias("q"), "t")
+    return own(li.where(s % 11 != 0), 7), own(li.where((F.col("l_linenumber") > 1) & (s % 13 != 0)), 5)
+
+
+COMPARED_SQL = """
+    a AS (SELECT nullif(l_suppkey, 4) AS k, CASE WHEN l_suppkey % 7 <> 0 THEN avg(l_quantity) END AS q, avg(l_tax) AS t FROM lineitem WHERE l_suppkey % 11 <> 0 GROUP BY l_suppkey),
+    b AS (SELECT nullif(l_suppkey, 4) AS k, CASE WHEN l_suppkey % 5 <> 0 THEN avg(l_quantity) END AS q, avg(l_tax) AS t FROM lineitem WHERE l_linenumber > 1 AND l_suppkey % 13 <> 0 GROUP BY l_suppkey),
+    long AS (
+        SELECT coalesce(a.k, b.k) AS k, unnest(['q', 't']) AS "column", unnest([a.q, a.t]) AS x, unnest([b.q, b.t]) AS y, a.t IS NULL OR b.t IS NULL AS alone FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k
+    ), judged AS (
+        SELECT k, "column", abs(x - y) AS difference, CASE WHEN alone THEN 'missing_key' WHEN x IS NULL AND y IS NULL THEN NULL WHEN x IS NULL OR y IS NULL THEN 'missing_value' WHEN abs(x - y) > 0.2 + 1e-6 * abs(y) THEN 'difference' END AS why FROM long
+    )"""

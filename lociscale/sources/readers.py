@@ -20,6 +20,7 @@ from lociscale.functions.columns import attributes, finite, gene_name
 from lociscale.operators.contracts import ContractError, require_columns, require_header
 from lociscale.operators.ranks import quota_fill
 from lociscale.plans.lineage import numbered
+from lociscale.sources.sequences import fasta as fasta
 
 TAB = {"sep": "\t", "header": True}
 
@@ -33,11 +34,6 @@ def tsv(spark: SparkSession, path: str | list[str], schema: str | T.StructType |
     return require_columns(df, required or [], str(path))
 
 
-def shards(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
-    """Tables of one header, in order of their names, with the file of each row in ``shard``."""
-    return tsv(spark, sorted(paths), schema).withColumn("shard", F.input_file_name())
-
-
 def metadata_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     """A CSV with or without a byte order mark; dashes, NA and text in ``numbers`` are null."""
     df = spark.read.options(header=True, encoding="UTF-8").csv(path)
@@ -86,38 +82,6 @@ def gff3_pragmas(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_replace(F.get(f, F.lit(0)), "^#[#!]", "").alias("pragma"), F.slice(f, F.lit(2), F.size(f)).alias("values"))
 
 
-def fasta(spark: SparkSession, path: str, wanted: list[str] | None = None, chunk: int = 1 << 20) -> DataFrame:
-    """contig, chunk, seq: upper-case sequence in chunks of ``chunk`` bases (chunk from 0).
-
-    A record is named by its first word. One task reads a file, in order.
-    """
-    keep = set(wanted) if wanted else None
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(name: str, n: int, seq: str) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([seq])], names=["contig", "chunk", "seq"])
-
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                name, n, held = None, 0, ""
-                for line in io.StringIO(content.decode()):
-                    if line.startswith(">"):
-                        if name is not None and held:
-                            yield row(name, n, held)
-                        name, n, held = (line[1:].split() or [""])[0], 0, ""
-                        if keep is not None and name not in keep:
-                            name = None
-                    elif name is not None:
-                        held += line.strip().upper()
-                        while len(held) >= chunk:
-                            yield row(name, n, held[:chunk])
-                            n, held = n + 1, held[chunk:]
-                if name is not None and held:
-                    yield row(name, n, held)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, "contig string, chunk long, seq string")
-
-
 def contig_lengths(sequence: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
     """contig, length; raises where ``expected`` says otherwise."""
     out = sequence.groupBy("contig").agg(F.sum(F.length("seq")).alias("length"))
