@@ -7,7 +7,7 @@ order. The language with the largest sum wins.
 
 The model is sparse: a word or n-gram has an entry for each language that it was seen in, so its size is that
 of the sample's vocabulary, whatever the number of languages. Nothing of the sample's vocabulary is left out;
-words, of which there are many, are held by 64-bit hashes.
+words, of which there are many, are held by 60 bits of their MD5.
 
 Defined cases: a null text, a text without a letter and any text when nothing was learned (an empty table,
 or no row with text, lang and doc_id) get ``und`` and score 0. A letter that no language knows adds nothing; a
@@ -19,6 +19,7 @@ columns pass through, but for those with the names of the results, which these r
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,11 +28,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import replaced, small_batches, spread, uniform
+from lociscale.llm.common import hash60, replaced, small_batches, spread, uniform
 
 ORDERS = (5, 4, 3, 2, 1)
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -49,8 +49,8 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def word_key(word: str) -> int:
-    """What Spark's xxhash64 gives for a string."""
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
+    """What ``hash60`` gives in the plan."""
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
 
 
 class LogTable:
@@ -213,7 +213,7 @@ def train(docs: DataFrame, *, docs_per_lang: int = 2_000, sample: int = 100_000,
     limits = spark.createDataFrame([(k, int(min(1.0, most / n) * (1 << 40))) for k, n in prior.items()], "lang string, upto long")
     drawn = spread(rows).join(F.broadcast(limits), "lang").where(uniform(F.col("key"), F.col("text"), seed=10) < F.col("upto")).select("lang", "text")  # a row for each language
     seen = drawn.mapInArrow(_counts, "lang string, n int, gram string, seen long").groupBy("n", "gram", "lang").agg(F.sum("seen").alias("seen"))
-    slim = seen.select("n", F.when(F.col("n") > 0, F.col("gram")).alias("gram"), F.when(F.col("n") == 0, F.xxhash64("gram")).alias("key"), "lang", "seen")
+    slim = seen.select("n", F.when(F.col("n") > 0, F.col("gram")).alias("gram"), F.when(F.col("n") == 0, hash60(F.col("gram"))).alias("key"), "lang", "seen")
     return BackoffModel(slim.toArrow(), prior)  # bounded by the vocabulary of the sample
 
 

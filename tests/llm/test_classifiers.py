@@ -6,9 +6,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("lociscale.llm")
 from lociscale.llm import langid, toxicity  # noqa: E402
+from lociscale.llm.common import hash60  # noqa: E402
 
 WORDS = {"en": "the and house with water through light over again never", "de": "und der haus mit wasser durch licht über wieder niemals", "fr": "et la maison avec eau travers lumière dessus encore jamais"}
 
@@ -39,8 +41,8 @@ def seen_table(counts):
 
 def test_keys_are_those_of_spark(spark):
     own = ["a", "^ab", "é$", "ж" * 40, ""]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in own], "x string").selectExpr("xxhash64(x)").collect()]
-    assert [np.uint64(langid.word_key(x)).astype(np.int64) for x in own] == got
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in own], "x string").select(hash60(F.col("x"))).collect()]
+    assert [langid.word_key(x) for x in own] == got
 
 
 def test_unseen_words_fall_back_to_shorter_ngrams():
