@@ -38,7 +38,7 @@ ONE = 1_000_000_000
 #: What a term is made of stays, A to Z become small letters, and all other bytes part terms.
 LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 #: Different (source, term) pairs that a task holds before it passes a span of documents on.
-HELD = 700_000
+HELD = 600_000
 #: Tables of groups up to this many rows are broadcast (some 60 bytes each).
 BROADCAST_GROUPS = 100_000
 #: Rows of runs in one part of a pair of blocks.

@@ -4,7 +4,8 @@ Texts are compared by their sets of five-word shingles (words are lower-cased ru
 text of fewer words is one shingle). Equal sets are one class from the start, so copies cost one row each.
 
 A signature holds ``TREES`` labels of ``DEPTH`` MinHash values. The labels of a tree in sorted order are its
-prefix trie: sets that share a prefix are a run of neighbours, a node. All sets start at the full length,
+prefix trie: sets that share a prefix are a run of neighbours, a node. One sweep over the sorted labels gives each
+the longest prefix that it shares with a neighbour, and so the nodes that it is in. All sets start at the full length,
 where they meet the sets of their nodes. Whoever hasn't reached the target recall shortens its prefixes by
 one value and meets the larger nodes, and so on. The recall of a set is estimated from what it has met: a
 partner of similarity s is met at length d with the chance 1 - (1 - s**d)**TREES, so each one stands for
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,30 +172,91 @@ def _met(threshold: float, length: int, weighed: list[int]):
     return met
 
 
+def shared_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values rows of labels (tree, then DEPTH values of two bytes) share from the first on; of different
+    trees none."""
+    same = (a[:, 1:] == b[:, 1:]).reshape(-1, DEPTH, 2).all(axis=2)
+    return np.where(a[:, 0] == b[:, 0], np.logical_and.accumulate(same, axis=1).sum(axis=1), 0).astype(np.int32)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last label of a part."""
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first, last = first or batch.column(0)[0].as_py(), batch.column(0)[batch.num_rows - 1].as_py()
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first]), pa.array([last])], names=["part", "first", "last"])
+
+
+def _swept(ends: dict[int, tuple[bytes, bytes]], least: int):
+    """Sorted labels with the longest prefix that each shares with a neighbour; what stands alone goes. The labels
+    before and after a part are the ends of the parts beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        before = max((p for p in ends if p < part), default=None)
+        after = min((p for p in ends if p > part), default=None)
+        as_rows = lambda labels: np.frombuffer(b"".join(labels), np.uint8).reshape(-1, 1 + 2 * DEPTH)
+        nothing = np.full((1, 1 + 2 * DEPTH), 255, np.uint8)
+        last = nothing if before is None else as_rows([ends[before][1]])
+        held: pa.Table | None = None  # the last row so far, which the next one is still to meet
+        known = np.zeros(0, np.int32)  # what it shares with the one before it
+
+        def out(rows: pa.Table, longest: np.ndarray) -> pa.RecordBatch:
+            keep = longest >= least
+            labels = as_rows(rows.column("label").to_pylist())[keep]
+            own = rows.filter(pa.array(keep)).combine_chunks()
+            kept = [pa.array(labels[:, 0].astype(np.int32)), pa.array([x.tobytes() for x in labels[:, 1:]], pa.binary()), *[pa.array(own.column(c).to_numpy(), t) for c, t in (("id", pa.int64()), ("size", pa.int32()))], pa.array(longest[keep])]
+            return pa.RecordBatch.from_arrays(kept, names=["tree", "label", "id", "size", "longest"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            labels = as_rows(rows.column("label").to_pylist())
+            up = shared_values(labels[1:], labels[:-1])
+            first = shared_values(labels[:1], last) if held is None else known
+            up = np.concatenate([first, up])
+            if len(labels) > 1:
+                yield out(rows.slice(0, len(labels) - 1), np.maximum(up[:-1], up[1:]))
+            held, known = rows.slice(len(labels) - 1), up[-1:]
+        if held is not None:
+            following = nothing if after is None else as_rows([ends[after][0]])
+            yield out(held, np.maximum(known, shared_values(as_rows(held.column("label").to_pylist()), following)))
+
+    return run
+
+
+def tries(sets: DataFrame, least: int) -> DataFrame:
+    """tree, label, id, size, longest: all trees' labels of ``sets`` in sorted order, in which the sets of a prefix are
+    neighbours. One sweep tells each label the longest prefix that it shares with another (its neighbour has it);
+    labels that share less than ``least`` values are in no node."""
+    tree = F.sequence(F.lit(0), F.lit(TREES - 1))
+    label = lambda t: F.concat(F.substring(F.lit(bytes(range(TREES))), t + 1, F.lit(1)), F.substring(F.col("signature"), t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)))
+    labels = sets.select(F.explode(F.transform(tree, label)).alias("label"), "id", "size")
+    trie = cut(labels.repartitionByRange("label", "id").sortWithinPartitions("label", "id"))
+    ends = {r["part"]: (bytes(r["first"]), bytes(r["last"])) for r in trie.select("label").mapInArrow(_ends, "part int, first binary, last binary").collect()}  # a row for each part
+    return cut(trie.mapInArrow(_swept(ends, least), "tree int, label binary, id long, size int, longest int"))
+
+
 def walk(sets: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999999) -> tuple[list[DataFrame], DataFrame]:
     """Walks the forest of ``sets`` (id, signature, size) from full prefixes to shorter ones.
 
     Gives, for each length, the members of pairs of blocks in which candidates were met there (node, one,
     two, tree, block, id, walks), and (id, length) of the sets that reached the target recall before the
-    shortest length. Only sets that share the shortest prefix with another in some tree are in the tries.
+    shortest length. At a length only the labels are read that share as much with a neighbour.
     """
     lengths = prefix_lengths(threshold, recall)
-    label = lambda t: F.substring(F.col("signature"), t * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
-    # by hash of tree and shortest prefix, with the tree's number in place of the last digit
-    root = lambda t: F.floor(F.xxhash64(t, F.substring(label(t), 1, 2 * lengths[-1])) / (2 * TREES)).cast("long") * TREES + t
-    roots = sets.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), root)).alias("root"))
-    shared = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    members = roots.join(shared, "root").select("id", F.pmod("root", F.lit(TREES)).cast("int").alias("tree"))
-    labels = cut(members.join(sets, "id").select("tree", label(F.col("tree")).alias("label"), "id", "size"))
-    order = ["tree", "label", "id"]
-    trie = cut(labels.repartitionByRange(*order).sortWithinPartitions(*order))
+    trie = tries(sets, lengths[-1])
     group = ["node", "one", "two"]
     found: list[DataFrame] = []
     stopped: DataFrame | None = None
     for place, length in enumerate(lengths):
         weighed = lengths[place:-1]
         prefix = F.substring("label", 1, 2 * length)
-        rows = trie.select("tree", F.xxhash64("tree", prefix).alias("node"), F.substring("label", 1, 2 * length + 2).alias("longer"), "label", "id", "size")
+        rows = trie.where(F.col("longest") >= length).select("tree", F.xxhash64("tree", prefix).alias("node"), F.substring("label", 1, 2 * length + 2).alias("longer"), "label", "id", "size")
         walks = F.lit(True)
         if stopped is not None:
             rows, walks = rows.join(stopped.select("id", F.lit(True).alias("__stopped")), "id", "left"), F.col("__stopped").isNull()

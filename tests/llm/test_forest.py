@@ -191,3 +191,28 @@ def test_very_long_texts_and_clashing_columns(spark):
     df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, id int, sid int, signature string")
     assert sorted((r.doc_id, r.class_id, r.n_links, r.n_texts) for r in forest.similarity_classes(df).collect()) == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 0, 0), (4, 4, 0, 0), (5, 5, 0, 0)]
     assert forest.one_of_each(df).columns == df.columns and sorted(r.doc_id for r in forest.one_of_each(df).collect()) == [1, 3, 4, 5]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_sweep_finds_the_longest_shared_prefixes(spark, parts):
+    """Over any number of parts, of which some are empty, each label's longest prefix that another label of its tree has."""
+    rng = np.random.RandomState(parts)
+    base = rng.randint(0, 3, (5, forest.TREES * forest.DEPTH)).astype(np.uint16)
+    sig = np.concatenate([base, base[:2], rng.randint(0, 3, (20, forest.TREES * forest.DEPTH)).astype(np.uint16), rng.randint(0, 60_000, (4, forest.TREES * forest.DEPTH)).astype(np.uint16)])
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes()), i + 1) for i, s in enumerate(sig)], "id long, signature binary, size int")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = {(r.tree, r.id): (r.longest, bytes(r.label), r["size"]) for r in forest.tries(sets, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    want = {}
+    labels = sig.reshape(len(sig), forest.TREES, forest.DEPTH)
+    for t in range(forest.TREES):
+        for i in range(len(sig)):
+            same = np.logical_and.accumulate(np.delete(labels[:, t], i, axis=0) == labels[i, t], axis=1).sum(axis=1).max()
+            if same >= 2:
+                want[t, i] = (int(same), labels[i, t].tobytes(), i + 1)
+    assert found == want
