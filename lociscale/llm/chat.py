@@ -94,11 +94,11 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
-def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int | None = None) -> tuple[str, list[Span]]:
+def locate(render: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str, list[Span]]:
     """The formatted conversation, and a span for each turn, from the outputs of all prefixes.
 
     Every prefix is rendered whole at every length, so that no rewriting of history goes unseen; this
-    costs the square of a conversation's length. ``window`` is taken from earlier callers and has no effect.
+    costs the square of a conversation's length.
     """
     before = render([])
     spans = []
@@ -117,7 +117,8 @@ def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int |
 
 def format_conversations(turns: DataFrame, template: MarkedTemplate | None = None, *, loss_role: str = "assistant", with_output: bool = True) -> DataFrame:
     """One row a conversation: conv_id, formatted, spans, rewrites_history and figures read back from
-    the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256 (null where history was rewritten),
+    formatted_chars."""
     own = template or MarkedTemplate()
     spark = turns.sparkSession
     small_batches(spark, 2000)
@@ -159,7 +160,8 @@ def format_conversations(turns: DataFrame, template: MarkedTemplate | None = Non
                 if role == loss_role:
                     masked.update(said.encode())
                     chars += len(said)
-            row = (conv, len(spans), every.hexdigest(), chars, masked.hexdigest(), len(output), rewrites)
+            read = (None, None, None) if rewrites else (every.hexdigest(), chars, masked.hexdigest())  # spans of such an output say nothing
+            row = (conv, len(spans), *read, len(output), rewrites)
             out.append((*row, output, [{"start": s.start, "end": s.end, "text_start": s.text_start, "text_end": s.text_end} for s in spans]) if with_output else row)
             size += len(output) + 200
             if size > 1 << 22:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lociscale.plans.lineage import cut, numbered, shared_folder
 
-__all__ = ["cut", "delete", "fresh", "hash60", "numbered", "replaced", "shared_folder", "small_batches", "spread", "stored", "streamed_groups", "table", "uniform", "words"]
+__all__ = ["aside", "cut", "delete", "fresh", "hash60", "numbered", "replaced", "shared_folder", "small_batches", "spread", "stored", "streamed_groups", "table", "uniform", "words"]
 
 #: Words are runs of anything but space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +61,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(c for c in (f"__{'_' * i}{name}" for i in range(len(taken) + 1)) if c.lower() not in taken) for name in names]
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns that begin with two underscores, which operators take for their own, under other names; what
+    ``names`` are called there; and what gives a result the old names again."""
+    taken, own = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("__"):
+            own[c] = next(x for x in (f"own{'_' * i}{c}" for i in range(len(taken) + 1)) if x.lower() not in taken)
+            taken.add(own[c].lower())
+    lower = {k.lower(): v for k, v in own.items()}
+    back = {v: k for k, v in own.items()}
+    return df.withColumnsRenamed(own), [lower.get(n.lower(), n) for n in names], lambda out: out.withColumnsRenamed(back)
+
+
 def words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

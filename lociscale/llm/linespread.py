@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut
+from lociscale.llm.common import aside, cut
 
 #: log2 of a sketch's slots; the relative standard error is 1.04 / sqrt(2**8), 6.5 %.
 LOG_SLOTS = 8
@@ -62,8 +62,9 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, min_chars: int =
     hashes are joined to the documents' lines and come back as one array for each distinct text; the
     documents of a text, and those without one, are dealt to that join in parts. The results are the same.
     """
+    docs, (text, site), back = aside(docs, text, site)
     found = boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text=text, site=site)
-    body = F.col(text)
+    body = F.col(f"`{text}`")
     lines = F.split(body, "\n", -1)
     rows = [r[0] for r in found.limit(inline + 1).collect()]
     if len(rows) <= inline:
@@ -85,4 +86,4 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, min_chars: int =
     marked = marked.withColumn("__out", F.when(whole, F.col("__lines")).otherwise(F.col("__kept")))
     n = F.coalesce(F.size("__lines"), F.lit(0))
     columns = [F.when(F.size("__out") == F.size("__lines"), body).otherwise(F.array_join("__out", "\n")).alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    return marked.select(*columns, F.when(body.isNull(), 0).otherwise(n).alias("n_lines"), F.when(body.isNull(), 0).otherwise(n - F.size("__out")).alias("n_removed"))
+    return back(marked.select(*columns, F.when(body.isNull(), 0).otherwise(n).alias("n_lines"), F.when(body.isNull(), 0).otherwise(n - F.size("__out")).alias("n_removed")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut, numbered, replaced, words
+from lociscale.llm.common import aside, cut, fresh, numbered, replaced, words
 
 #: Beyond so many sources, joins with the table of sources no longer broadcast it.
 BROADCAST_SOURCES = 50_000
@@ -79,6 +79,7 @@ def plan_mix(docs: DataFrame, *, weights: Column | None = None, max_epochs: int
 
 def mix_sources(docs: DataFrame, *, weights: Column | None = None, max_epochs: int = 3, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` with size, source_size, target, whole (repetitions), extra_words and taken (words)."""
+    docs, (text, source, key), back = aside(docs, text, source, key)
     plan = plan_mix(docs, weights=weights, max_epochs=max_epochs, seed=seed, text=text, source=source, key=key)
     side = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
     if side.count() <= BROADCAST_SOURCES:
@@ -89,14 +90,15 @@ def mix_sources(docs: DataFrame, *, weights: Column | None = None, max_epochs: i
     before = (F.col("__u") < F.col("__cut_u")) | ((F.col("__u") == F.col("__cut_u")) & (F.col("__size") < F.col("__cut_size")))
     extra = F.when(here, F.col("__cut_words")).when(before, F.col("__size")).otherwise(0)
     out = replaced(joined, size=F.col("__size"), source_size=F.col("__source_size"), target=F.col("__target"), whole=F.col("__whole"), extra_words=extra, taken=F.col("__size") * F.col("__whole") + extra)
-    return out.drop(*[c for c in joined.columns if c.startswith("__")])
+    return back(out.drop(*[c for c in joined.columns if c.startswith("__")]))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: whole repetitions, and one more where at
     least half of a document's words are left to take. Documents without words stay once."""
     mixed = mix_sources(docs, **options)
+    (time,) = fresh(mixed, "time")
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.when(F.col("extra_words") * 2 >= F.col("size"), 1).otherwise(0))
     names = [f"`{c}`" for c in docs.columns]
-    repeated = mixed.select("*", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array())).alias("__time"))
+    repeated = mixed.select("*", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array())).alias(time))
     return repeated.select(*names)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociscale.llm.common import cut, hash60, stored
+from lociscale.llm.common import aside, cut, hash60, stored
 
 LEVELS = ("__h", "__t", "__m")
 #: The keys of a level go from 0 to this.
@@ -120,6 +120,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, tolerance: float = 0.0,
     Shards hold near equal bytes, to ``tolerance`` of a shard or to the nearest row.
     """
     names = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    docs, (text, key, *named), back = aside(docs, text, key, *(keep or []))
+    keep = None if keep is None else named
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     body = F.col(text).cast("binary")
     levels = (F.coalesce(hash60(F.col(text)), F.lit(0)), hash60(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.monotonically_increasing_id())
@@ -146,7 +148,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, tolerance: float = 0.0,
     starts = counts.select(*own, F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
     ranked = put.withColumn("__rank", F.row_number().over(W.partitionBy(*own).orderBy(*LEVELS)) - 1)
     placed = ranked.join(starts, own)
-    return placed.select(
+    return back(placed.select(
         *[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"),
         F.col("__shard").alias("shard"), (F.col("__start") + F.col("__rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    ))

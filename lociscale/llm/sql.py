@@ -8,6 +8,57 @@ CRC_TABLE = """crc_steps(i, k, x) AS (
         ), crc_table AS (SELECT list(x ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
 CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
 
+#: Packing in blocks of BLOCK_ITEMS documents, whose open bins are packed with each other in parts of as many.
+PACKING = r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n, source, coalesce(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT), -1) AS cluster, row_number() OVER (PARTITION BY doc_id, text, source) AS copy FROM documents
+        ), dealt AS (
+            SELECT *, CAST('0x' || substr(md5(doc_id || '|' || cluster), 1, 15) AS BIGINT) % greatest(1, (count(*) OVER () + BLOCK_ITEMS - 1) // BLOCK_ITEMS) AS block FROM docs
+        ), pieces AS (
+            SELECT doc_id, source, cluster, copy, block, n, p AS piece, least(4096, n - 4096 * p) AS size FROM (SELECT *, unnest(range(0, greatest(1, (n + 4095) // 4096))) AS p FROM dealt)
+        ), items AS (
+            SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, doc_id, cluster, source, copy, piece) AS i FROM pieces WHERE size > 0
+        ), walk AS (
+            SELECT block, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(room BIGINT, s VARCHAR[], c BIGINT[])[]) AS bins, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS at FROM (SELECT DISTINCT block FROM items)
+            UNION ALL
+            SELECT block, i, CASE WHEN b > len(bins) THEN list_append(bins, {'room': 4096 - size, 's': [src], 'c': [cluster]})
+                ELSE list_concat(list_append(bins[: b - 1], {'room': bins[b].room - size, 's': list_append(bins[b].s, src), 'c': list_append(bins[b].c, cluster)}), bins[b + 1 :]) END, b, CASE WHEN b > len(bins) THEN 0 ELSE 4096 - bins[b].room END
+            FROM (
+                SELECT t.block, t.i, t.size, coalesce(t.source, chr(1)) AS src, t.cluster, w.bins, coalesce(list_min(list_transform(
+                    list_filter(range(1, len(w.bins) + 1), lambda k: w.bins[k].room >= t.size AND NOT list_contains(w.bins[k].c, t.cluster) AND len(list_filter(w.bins[k].s, lambda x: x = coalesce(t.source, chr(1)))) < 4),
+                    lambda k: w.bins[k].room * 1000000 + k)) % 1000000, len(w.bins) + 1) AS b
+                FROM walk w JOIN items t ON t.block = w.block AND t.i = w.i + 1
+            )
+        ), placed AS (
+            SELECT t.doc_id, t.piece, t.size, t.source, t.cluster, t.block, w.b - 1 AS bin, w.at FROM walk w JOIN items t ON t.block = w.block AND t.i = w.i
+        ), filled AS (
+            SELECT block, bin, CAST(sum(size) AS BIGINT) AS words, list(coalesce(source, chr(1))) AS s, list(cluster) AS c FROM placed GROUP BY 1, 2
+        ), dealt_bins AS (
+            SELECT *, CAST('0x' || substr(md5(block || '|' || bin), 1, 15) AS BIGINT) % greatest(1, (count(*) OVER () + BLOCK_ITEMS - 1) // BLOCK_ITEMS) AS part FROM filled WHERE words < 3891
+        ), open AS (
+            SELECT *, row_number() OVER (PARTITION BY part ORDER BY words DESC, block, bin) AS i FROM dealt_bins
+        ), again AS (
+            SELECT part, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(room BIGINT, s VARCHAR[], c BIGINT[])[]) AS bins, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS at FROM (SELECT DISTINCT part FROM dealt_bins)
+            UNION ALL
+            SELECT part, i, CASE WHEN b > len(bins) THEN list_append(bins, {'room': 4096 - words, 's': s, 'c': c})
+                ELSE list_concat(list_append(bins[: b - 1], {'room': bins[b].room - words, 's': list_concat(bins[b].s, s), 'c': list_concat(bins[b].c, c)}), bins[b + 1 :]) END, b, CASE WHEN b > len(bins) THEN 0 ELSE 4096 - bins[b].room END
+            FROM (
+                SELECT o.part, o.i, o.words, o.s, o.c, w.bins, coalesce(list_min(list_transform(
+                    list_filter(range(1, len(w.bins) + 1), lambda k: w.bins[k].room >= o.words AND NOT list_has_any(w.bins[k].c, o.c)
+                        AND list_max(list_transform(o.s, lambda y: len(list_filter(list_concat(w.bins[k].s, o.s), lambda x: x = y)))) <= 4),
+                    lambda k: w.bins[k].room * 1000000 + k)) % 1000000, len(w.bins) + 1) AS b
+                FROM again w JOIN open o ON o.part = w.part AND o.i = w.i + 1
+            )
+        ), moved AS (
+            SELECT o.block, o.bin, first_value(o.block) OVER n AS new_block, first_value(o.bin) OVER n AS new_bin, a.at AS shift, sum(o.words) OVER (PARTITION BY a.part, a.b) AS new_words
+            FROM again a JOIN open o USING (part, i) WINDOW n AS (PARTITION BY a.part, a.b ORDER BY a.i)
+        )
+        SELECT p.doc_id, CAST(p.piece AS INTEGER) AS piece, CAST(p.size AS BIGINT) AS n_words, p.source, p.cluster, CAST(coalesce(m.new_block, p.block) AS BIGINT) AS block, CAST(coalesce(m.new_bin, p.bin) AS BIGINT) AS bin,
+            CAST(p.at + coalesce(m.shift, 0) AS BIGINT) AS bin_offset, CAST(coalesce(m.new_words, f.words) AS BIGINT) AS bin_words
+        FROM placed p JOIN filled f USING (block, bin) LEFT JOIN moved m ON m.block = p.block AND m.bin = p.bin
+        UNION ALL SELECT doc_id, 0, 0, source, cluster, CAST(block AS BIGINT), NULL, NULL, NULL FROM pieces WHERE size <= 0
+    """
+
 SQL: dict[str, str] = {
     "op1_chat_formatting": r"""
         WITH turns AS (
@@ -58,53 +109,7 @@ SQL: dict[str, str] = {
         ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
     """,
-    "op4_best_fit_packing": r"""
-        WITH RECURSIVE docs AS (
-            SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n, source, coalesce(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT), -1) AS cluster, row_number() OVER (PARTITION BY doc_id, text, source) AS copy FROM documents
-        ), dealt AS (
-            SELECT *, CAST('0x' || substr(md5(doc_id || '|' || cluster), 1, 15) AS BIGINT) % greatest(1, (count(*) OVER () + 4095) // 4096) AS block FROM docs
-        ), pieces AS (
-            SELECT doc_id, source, cluster, copy, block, n, p AS piece, least(4096, n - 4096 * p) AS size FROM (SELECT *, unnest(range(0, greatest(1, (n + 4095) // 4096))) AS p FROM dealt)
-        ), items AS (
-            SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, doc_id, cluster, source, copy, piece) AS i FROM pieces WHERE size > 0
-        ), walk AS (
-            SELECT block, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(room BIGINT, s VARCHAR[], c BIGINT[])[]) AS bins, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS at FROM (SELECT DISTINCT block FROM items)
-            UNION ALL
-            SELECT block, i, CASE WHEN b > len(bins) THEN list_append(bins, {'room': 4096 - size, 's': [src], 'c': [cluster]})
-                ELSE list_concat(list_append(bins[: b - 1], {'room': bins[b].room - size, 's': list_append(bins[b].s, src), 'c': list_append(bins[b].c, cluster)}), bins[b + 1 :]) END, b, CASE WHEN b > len(bins) THEN 0 ELSE 4096 - bins[b].room END
-            FROM (
-                SELECT t.block, t.i, t.size, coalesce(t.source, chr(1)) AS src, t.cluster, w.bins, coalesce(list_min(list_transform(
-                    list_filter(range(1, len(w.bins) + 1), lambda k: w.bins[k].room >= t.size AND NOT list_contains(w.bins[k].c, t.cluster) AND len(list_filter(w.bins[k].s, lambda x: x = coalesce(t.source, chr(1)))) < 4),
-                    lambda k: w.bins[k].room * 1000000 + k)) % 1000000, len(w.bins) + 1) AS b
-                FROM walk w JOIN items t ON t.block = w.block AND t.i = w.i + 1
-            )
-        ), placed AS (
-            SELECT t.doc_id, t.piece, t.size, t.source, t.cluster, t.block, w.b - 1 AS bin, w.at FROM walk w JOIN items t ON t.block = w.block AND t.i = w.i
-        ), filled AS (
-            SELECT block, bin, CAST(sum(size) AS BIGINT) AS words, list(coalesce(source, chr(1))) AS s, list(cluster) AS c FROM placed GROUP BY 1, 2
-        ), open AS (
-            SELECT *, row_number() OVER (ORDER BY words DESC, block, bin) AS i FROM filled WHERE words < 3891
-        ), again AS (
-            SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(room BIGINT, s VARCHAR[], c BIGINT[])[]) AS bins, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS at
-            UNION ALL
-            SELECT i, CASE WHEN b > len(bins) THEN list_append(bins, {'room': 4096 - words, 's': s, 'c': c})
-                ELSE list_concat(list_append(bins[: b - 1], {'room': bins[b].room - words, 's': list_concat(bins[b].s, s), 'c': list_concat(bins[b].c, c)}), bins[b + 1 :]) END, b, CASE WHEN b > len(bins) THEN 0 ELSE 4096 - bins[b].room END
-            FROM (
-                SELECT o.i, o.words, o.s, o.c, w.bins, coalesce(list_min(list_transform(
-                    list_filter(range(1, len(w.bins) + 1), lambda k: w.bins[k].room >= o.words AND NOT list_has_any(w.bins[k].c, o.c)
-                        AND list_max(list_transform(o.s, lambda y: len(list_filter(list_concat(w.bins[k].s, o.s), lambda x: x = y)))) <= 4),
-                    lambda k: w.bins[k].room * 1000000 + k)) % 1000000, len(w.bins) + 1) AS b
-                FROM again w JOIN open o ON o.i = w.i + 1
-            )
-        ), moved AS (
-            SELECT o.block, o.bin, first_value(o.block) OVER n AS new_block, first_value(o.bin) OVER n AS new_bin, a.at AS shift, sum(o.words) OVER (PARTITION BY a.b) AS new_words
-            FROM again a JOIN open o USING (i) WINDOW n AS (PARTITION BY a.b ORDER BY a.i)
-        )
-        SELECT p.doc_id, CAST(p.piece AS INTEGER) AS piece, CAST(p.size AS BIGINT) AS n_words, p.source, p.cluster, CAST(coalesce(m.new_block, p.block) AS BIGINT) AS block, CAST(coalesce(m.new_bin, p.bin) AS BIGINT) AS bin,
-            CAST(p.at + coalesce(m.shift, 0) AS BIGINT) AS bin_offset, CAST(coalesce(m.new_words, f.words) AS BIGINT) AS bin_words
-        FROM placed p JOIN filled f USING (block, bin) LEFT JOIN moved m ON m.block = p.block AND m.bin = p.bin
-        UNION ALL SELECT doc_id, 0, 0, source, cluster, CAST(block AS BIGINT), NULL, NULL, NULL FROM pieces WHERE size <= 0
-    """,
+    "op4_best_fit_packing": PACKING.replace("BLOCK_ITEMS", "4096"),
     "op7_water_filling_mix": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -27,20 +27,23 @@ def test_every_turn_is_read_back():
     assert spans[-1].end == len(out) and not any(s.rewrites for s in spans)
 
 
-@pytest.mark.parametrize("window", [2, 3, 128])
-def test_blocks_agree_with_whole_prefixes(window):
-    own = chat.MarkedTemplate()
-    turns = [("user" if i % 2 else "assistant", f"turn {i} <" * (i % 4)) for i in range(17)]
-    assert chat.locate(own.render, turns, window) == chat.locate(own.render, turns, 1000)
-
-
 def last_only(turns):
     return "".join(f"[{r}:{t if i == len(turns) - 1 else t[:1]}]" for i, (r, t) in enumerate(turns))
 
 
-@pytest.mark.parametrize("window", [2, 128])
-def test_a_template_that_rewrites_history_is_found(window):
-    _, spans = chat.locate(last_only, [("u", "abc"), ("a", "def"), ("u", "ghi"), ("a", "j")], window)
+class LastOnly(chat.MarkedTemplate):
+    def render(self, turns):
+        return last_only(turns)
+
+
+def test_figures_of_a_rewritten_history_are_null(spark):
+    rows = [(1, 0, "user", "abc"), (1, 1, "assistant", "def"), (1, 2, "user", "ghi")]
+    (r,) = chat.format_conversations(spark.createDataFrame(rows, SCHEMA), LastOnly()).collect()
+    assert r.rewrites_history and r.n_turns == 3 and (r.turns_sha256, r.loss_chars, r.loss_sha256) == (None, None, None) and r.formatted == last_only([x[2:] for x in rows])
+
+
+def test_a_template_that_rewrites_history_is_found():
+    _, spans = chat.locate(last_only, [("u", "abc"), ("a", "def"), ("u", "ghi"), ("a", "j")])
     assert [s.rewrites for s in spans] == [False, True, True, True]
 
 

@@ -5,6 +5,7 @@ import pytest
 
 pytest.importorskip("lociscale.llm")
 from lociscale.llm import packing  # noqa: E402
+from tests.conftest import SMALL  # noqa: E402
 
 SCHEMA = "doc_id long, text string, source string, bin string"
 
@@ -99,3 +100,21 @@ def test_copies_never_share_a_bin_and_parts_are_bounded(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("size", [8, 20, 64])
+def test_blocks_and_parts_against_sql(spark, size):
+    """Many blocks, and more open bins than one part takes: the query's SQL with blocks of ``size``."""
+    import duckdb
+
+    from lociscale.llm.sql import PACKING
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    rel = con.execute(PACKING.replace("BLOCK_ITEMS", str(size)))
+    names = [d[0] for d in rel.description]
+    want = Counter(rel.fetchall())
+    found = packing.pack(spark.read.parquet(f"{SMALL}/documents.parquet"), block_items=size)
+    assert Counter(tuple(r[c] for c in names) for r in found.collect()) == want
+    moved = {(r.block, r.bin) for r in found.where("bin_offset > 0 AND bin IS NOT NULL").collect()}
+    assert len({r.block for r in found.collect()}) > 2 and moved
