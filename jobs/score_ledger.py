@@ -23,6 +23,7 @@ from operator import add
 from jobs.common import columns, configuration, read, session
 from lociscale.functions.columns import cache_key, discovery_side
 from lociscale.operators.contracts import eligibility
+from lociscale.streaming.scores import table_files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +60,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
 def earlier(spark: SparkSession, out: str, batch: int) -> DataFrame:
     """The scores of batches before ``batch``."""
     if not exists(spark, f"{out}/scores"):
@@ -94,10 +90,7 @@ def take(out: str, config: dict):
 
 def run(spark: SparkSession, sequences: str, out: str, checkpoint: str, config: dict) -> dict[str, int]:
     """Takes the files of ``sequences`` that no run before took; rows and batches of this run."""
-    schema = spark.read.parquet(sequences).schema
-    if not is_folder(spark, sequences):  # a stream takes one file only by a pattern
-        sequences = f"{sequences[:-1]}[{sequences[-1]}]"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(sequences)
+    stream = table_files(spark, sequences, files_per_trigger=config["files_per_batch"])
     query = stream.writeStream.foreachBatch(take(out, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     batches = sorted({p["batchId"] for p in query.recentProgress if p["numInputRows"]})

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lociscale.plans.lineage import cut
 
+#: Rows that stand for cells of a neighbour search.
+MOST_PIVOTS = 2_048
 #: Bytes of fitted phenotypes up to which these are broadcast to where the variants are.
 BROADCAST_BYTES = 64 << 20
 
@@ -237,27 +239,170 @@ def principal_components(df: DataFrame, vector: str, key: str, k: int) -> DataFr
     return out.select(key, F.posexplode(vector_to_array("p")).alias("component", "value")).withColumn("component", F.col("component") + 1)
 
 
+def _qr(blocks: list[np.ndarray], width: int) -> np.ndarray:
+    """The upper factor of the stacked blocks, ``width`` square."""
+    out = np.zeros((width, width))
+    r = np.linalg.qr(np.vstack(blocks), mode="r") if blocks else out
+    out[: len(r)] = r
+    return out
+
+
+def _factor(rows: DataFrame, product: Callable[[np.ndarray], np.ndarray], width: int, fan: int = 16) -> np.ndarray:
+    """The upper factor of a tall matrix of ``width`` columns whose rows are spread over tasks: a tree of small
+    ones, ``fan`` to a task and level."""
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for x in _vectors(batches):
+            r = _qr([*([] if r is None else [r]), product(x)], width)
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], names=["r"])
+
+    def joint(own: pa.Table) -> pa.Table:
+        r = _qr([np.array(x).reshape(width, width) for x in own.column("r").to_pylist()], width)
+        return pa.table({"r": pa.array([r.ravel().tolist()], pa.list_(pa.float64()))})
+
+    level = cut(rows.mapInArrow(leaf, "r array<double>"))
+    while (n := level.count()) > fan:
+        level = cut(level.repartition(-(-n // fan)).groupBy(F.spark_partition_id()).applyInArrow(joint, "r array<double>"))
+    return _qr([np.array(r[0]).reshape(width, width) for r in level.collect()], width)  # at most ``fan`` small factors
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The last column's arrays of a batch as a matrix."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of a matrix of ``shape`` over the rows: one a task, then by rows of the matrix."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for x in _vectors(batches):
+            total += part(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape[0])), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
+
+    each = rows.mapInArrow(partial, "i long, v array<double>")
+    width = shape[1]
+    found = each.groupBy("i").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(width)]).alias("v")).toArrow()
+    out = np.zeros(shape)
+    out[found.column("i").to_numpy()] = np.array(found.column("v").to_pylist()).reshape(-1, width)
+    return out
+
+
+def randomised_components(df: DataFrame, vector: str, key: str, k: int = 50, *, more: int = 10, passes: int = 2, seed: int = 0) -> DataFrame:
+    """key, component from 1, value: of the centred vectors, from a random range instead of a covariance matrix.
+
+    ``k`` + ``more`` random directions are sent through the rows and back ``passes`` times, which turns them towards
+    the leading components; a tree of QR factors keeps them apart in between. What the driver holds is as wide as
+    the directions: their factors, and the directions themselves (vector length times ``k`` + ``more``). A component's
+    greatest weight is positive. Rows with a missing vector are left out; vectors have one length.
+    """
+    rows = cut(df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v")))
+    size = rows.select(F.size("v")).first()
+    if size is None:
+        return df.sparkSession.createDataFrame([], f"{key} {dict(df.dtypes)[key]}, component int, value double")
+    d, width = size[0], min(size[0], k + more)
+    only = rows.select("v")
+    mean = _summed(only, lambda x: x.sum(0, keepdims=True), (1, d)) / rows.count()
+    w = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
+    for _ in range(passes):
+        r = _factor(only, lambda x, w=w: (x - mean) @ w, width)
+        inverse = np.linalg.pinv(r)
+        w = np.linalg.qr(_summed(only, lambda x, w=w, i=inverse: (x - mean).T @ ((x - mean) @ w @ i), (d, width)))[0]
+    _, _, turn = np.linalg.svd(_factor(only, lambda x, w=w: (x - mean) @ w, width))
+    axes = (w @ turn.T)[:, :k]
+    axes *= np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list((x - mean) @ axes), pa.list_(pa.float64()))], names=[key, "values"])
+
+    out = rows.mapInArrow(scored, f"{key} {dict(df.dtypes)[key]}, values array<double>")
+    return out.select(key, F.posexplode("values").alias("component", "value")).withColumn("component", F.col("component") + 1)
+
+
+def near_blocks(df: DataFrame, vector: str, key: str, k: int, block: int) -> DataFrame:
+    """block, key, x, targets: rows in blocks of about ``block``, keys and vectors side by side, and the blocks that may have
+    one of their nearest ``k`` in it.
+
+    Rows go to the nearest of up to ``MOST_PIVOTS`` rows, drawn by hash; large cells are cut by hash. A block finds its
+    rows' nearest in itself first: the farthest of these bounds how far away anything of use to it can be. By the
+    triangle inequality a block whose pivot is further off than this and both radii holds nothing.
+    """
+    rows = cut(df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")))
+    n = rows.count()
+    if not n:
+        return df.sparkSession.createDataFrame([], "block long, key array<long>, x array<double>, targets array<long>")
+    cells = min(MOST_PIVOTS, max(1, -(-n // block)))
+    drawn = rows.orderBy(F.xxhash64("key"), "key", "v").limit(cells).select("v").toArrow()  # at most MOST_PIVOTS rows
+    pivots = np.array(drawn.column("v").to_pylist(), float).reshape(drawn.num_rows, -1)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                cell = ((pivots * pivots).sum(1) - 2 * (x @ pivots.T)).argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=["key", "v", "cell"])
+
+    placed = cut(rows.mapInArrow(assigned, "key long, v array<double>, cell long"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    own = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("key"), F.col("parts")))  # at most MOST_PIVOTS rows
+    packed = cut(own.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("r")).select("block", "r.key", F.flatten("r.v").alias("x")))
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = batch.column(0)[i].as_py()
+                keys, x = _block(batch, i)
+                near = _Nearest(keys, x, k)
+                near.meet(keys, x)
+                radius = np.sqrt(((x - pivots[name >> 32]) ** 2).sum(1).max())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([float(radius)]), pa.array([float(np.sqrt(near.near[:, -1].max()))])], names=["block", "radius", "reach"])
+
+    known = packed.mapInArrow(bounds, "block long, radius double, reach double").toArrow()  # a row for each block
+    names, radius, reach = (known.column(c).to_numpy() for c in ("block", "radius", "reach"))
+
+    def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets = []
+            for name in batch.column(0).to_pylist():
+                away = np.sqrt(((pivots[names >> 32] - pivots[name >> 32]) ** 2).sum(1))
+                slack = 1e-9 * (1 + away + radius)  # of the roundings of all these distances
+                targets.append(names[(away - radius - radius[names == name] <= reach + slack) | (names == name)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(targets, pa.list_(pa.int64()))], names=["block", "key", "x", "targets"])
+
+    return packed.mapInArrow(aimed, "block long, key array<long>, x array<double>, targets array<long>")
+
+
+def _block(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a packed block."""
+    keys = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+    return keys, batch.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+
+
 def neighbour_sets(df: DataFrame, vector: str, key: str, k: int = 15, block: int = 2048) -> DataFrame:
     """key, neighbours: the k nearest other rows by Euclidean distance, ties to the smaller key.
 
-    Every pair of rows is compared. Rows are packed into blocks of about ``block``; each block is held by one
-    task and meets all blocks one by one, so no task or driver holds all vectors. The work and what is
-    exchanged grow with the square of the rows. Matrix products only rule pairs out (with a margin for their
-    rounding); the order is that of the plain sums of squares.
+    Each block of ``near_blocks`` is held by one task and meets, one by one, the blocks that may matter to it; no
+    task or driver holds all vectors. Where the rows have clusters most blocks are ruled out before they are sent;
+    where they have none, all meet all, and the work grows with the square of the rows. Matrix products only rule pairs
+    out (with a margin for their rounding); the order is that of the plain sums of squares. Rows without a vector take
+    no part.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    packed = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("r")).select("block", "r.key", F.flatten("r.v").alias("x"))
-    dealt = packed.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("other", F.col("target") != F.col("block"))
+    packed = near_blocks(df, vector, key, k, block)
+    dealt = packed.withColumn("target", F.explode("targets")).withColumn("other", F.col("target") != F.col("block"))
     dealt = dealt.repartition("target").sortWithinPartitions("target", "other", "block").select("target", "key", "x")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, held = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                keys = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
-                x = batch.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+                keys, x = _block(batch, i)
                 if batch.column(0)[i].as_py() != target:  # a block comes first among those it meets
                     if held:
                         yield held.result()

@@ -55,9 +55,13 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 def enforce(df: DataFrame, rules: Mapping[str, Column], table: str, *, unique: list[str] | None = None) -> DataFrame:
     """``df`` itself, or ContractError with all counts."""
-    found = {r["rule"]: r["rows"] for r in violations(df, rules).collect() if r["rows"]}
-    if unique and (n := duplicate_keys(df, unique).count()):
-        found[f"duplicate {','.join(unique)}"] = n
+    if unique:  # keys and rules in one pass: what each key breaks, then the sums
+        broken = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"c{i}") for i, ok in enumerate(rules.values())]
+        keyed = df.groupBy(*unique).agg(F.count("*").alias("rows"), *broken)
+        row = keyed.agg(F.count_if(F.col("rows") > 1), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(len(rules))]).first()
+        found = {name: n for name, n in zip([*rules, f"duplicate {','.join(c.lstrip('_') for c in unique)}"], [*row[1:], row[0]], strict=True) if n}
+    else:
+        found = {r["rule"]: r["rows"] for r in violations(df, rules).collect() if r["rows"]}
     if found:
         raise ContractError(table, found)
     return df

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lociscale.functions.columns import finite, left_edge_padded, map_chromosome, orient
 from lociscale.operators.contracts import VARIANT, ContractError, enforce, require_columns, variant_rules
-from lociscale.operators.joins import one_to_one
 
 
 def integrate_population_scores(population: DataFrame, scores: DataFrame, contigs: Mapping[str, str], *, window: int = 512) -> DataFrame:
@@ -24,8 +23,10 @@ def integrate_population_scores(population: DataFrame, scores: DataFrame, contig
     require_columns(population, [*VARIANT, "af_alt"], "population")
     require_columns(scores, [*VARIANT, "score"], "scores")
     named = scores.withColumn("fasta_chrom", F.col("chrom").cast("string")).withColumn("chrom", map_chromosome(F.col("chrom"), contigs))
-    try:
-        enforce(named, {"unknown contig": F.col("chrom").isNotNull(), "score is not finite": finite(F.col("score")).isNotNull()}, "scores")
+    typed = lambda df: df.withColumns({"__chrom": F.col("chrom").cast("string"), "__pos": F.col("pos").try_cast("long")})
+    key = ["__chrom", "__pos", "ref", "alt"]
+    try:  # of each table, rules and keys in one pass
+        enforce(typed(named), {"unknown contig": F.col("chrom").isNotNull(), "score is not finite": finite(F.col("score")).isNotNull()}, "scores", unique=key)
     except ContractError as e:
         if "unknown contig" not in e.violations:
             raise
@@ -35,11 +36,11 @@ def integrate_population_scores(population: DataFrame, scores: DataFrame, contig
     rules = {k: v for k, v in variant_rules("af_alt").items() if not k.startswith("score")} | {"af_alt is not in [0, 1]": af.between(0, 1)}
     if "maf" in population.columns:
         rules["maf disagrees with af_alt"] = F.abs(finite(F.col("maf")) - F.least(af, 1 - af)) <= 1e-12
-    enforce(population, rules, "population")
+    enforce(typed(population), rules, "population", unique=key)
     keyed = lambda df: df.withColumns({"chrom": F.col("chrom").cast("string"), "pos": F.col("pos").cast("long")})
     carried = "fasta_chrom" in population.columns
     side = keyed(named).select(*VARIANT, finite(F.col("score")).alias("score_ref_alt"), F.col("fasta_chrom").alias("__contig"))
-    joined = one_to_one(keyed(population), side, VARIANT, table="scores", complete=False)
+    joined = keyed(population).join(side.withColumn("matched", F.lit(True)), VARIANT, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
     same = F.col("fasta_chrom").cast("string") == F.col("__contig") if carried else F.lit(True)
     enforce(joined, {"unmatched rows": F.col("matched"), "contig mapping disagrees": ~F.col("matched") | same}, "scores")  # one pass over the join
     joined = joined.drop("matched")

@@ -145,10 +145,11 @@ def failing_rows(ours: DataFrame, theirs: DataFrame, key: list[str], columns: li
 
 def spaced_exclusion(sites: DataFrame, *, group: str, pos: str, order: str, apart: int) -> DataFrame:
     """``sites`` with ``kept``: in the order given, a site is kept if none kept before it in its group is
-    within ``apart``. A fold over the group's ordered sites (loci, not variants)."""
-    item = F.struct(F.col(order).alias("o"), F.col(pos).cast("long").alias("p"))
-    ordered = sites.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    empty = F.array().cast("array<struct<o:string,p:bigint>>")
-    kept = F.aggregate("__items", empty, lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(y["p"] - x["p"]) < apart), acc).otherwise(F.concat(acc, F.array(F.struct(x["o"].cast("string").alias("o"), x["p"].alias("p"))))))
-    own = F.struct(F.col(order).cast("string").alias("o"), F.col(pos).cast("long").alias("p"))
-    return sites.join(ordered.select(group, kept.alias("__kept")), group).withColumn("kept", F.array_contains("__kept", own)).drop("__kept")
+    within ``apart``. Of copies of a site (equal in order and position) all have what the first has."""
+    from lociscale.operators.ld import exclusion
+
+    own = sites.select(F.col(group).alias("g"), F.col(pos).alias("p"), F.col(order).alias("o")).distinct()
+    told = exclusion(own, group="g", pos="p", order="o", apart=apart)
+    a, b = sites.alias("a"), told.alias("b")
+    met = F.col(f"a.{group}").eqNullSafe(F.col("b.g")) & F.col(f"a.{pos}").eqNullSafe(F.col("b.p")) & F.col(f"a.{order}").eqNullSafe(F.col("b.o"))
+    return a.join(b, met).select("a.*", "b.kept")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociscale.plans.lineage import cut
+from lociscale.plans.lineage import cut, numbered
 
 _R2 = T.StructType([T.StructField("n_complete", T.IntegerType()), T.StructField("r2", T.DoubleType()), T.StructField("status", T.StringType())])
 
@@ -67,24 +69,160 @@ def pairwise_r2(pairs: DataFrame, vectors: DataFrame, *, key: str, vector: str,
     return out.select(*[F.col(c) for c in pairs.columns], "__r.*")
 
 
+def planes(dosages: Column) -> Column:
+    """Dosages as three bit planes of 64 samples a word: called, one copy, two copies. Anything but 0, 1 and 2 is missing."""
+    words = F.sequence(F.lit(0), F.call_function("div", F.size(dosages) - 1, F.lit(64)).cast("int"))
+    bits = lambda ok: F.transform(words, lambda w: F.aggregate(F.transform(F.slice(dosages, w * 64 + 1, F.lit(64)), lambda x, i: F.when(ok(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    return F.when(F.size(dosages) > 0, F.struct(bits(lambda x: x.isin(0, 1, 2)).alias("called"), bits(lambda x: x == 1).alias("one"), bits(lambda x: x == 2).alias("two")))
+
+
+def plane_sums(a: Column, b: Column) -> Column:
+    """Struct of n, and of the sums of x, y, xx, yy and xy, over the samples that are called in both, from ``planes``."""
+    both = F.arrays_zip(a["called"].alias("ca"), a["one"].alias("a1"), a["two"].alias("a2"), b["called"].alias("cb"), b["one"].alias("b1"), b["two"].alias("b2"))
+    count = lambda *x: F.bit_count(x[0].bitwiseAND(x[1])).cast("long")
+    names = ("n", "x", "y", "xx", "yy", "xy")
+
+    def add(acc: Column, w: Column) -> Column:
+        # an allele is called where it is, so its plane need only meet the other's calls
+        x1, x2, y1, y2 = count(w["a1"], w["cb"]), count(w["a2"], w["cb"]), count(w["b1"], w["ca"]), count(w["b2"], w["ca"])
+        xy = count(w["a1"], w["b1"]) + 2 * (count(w["a1"], w["b2"]) + count(w["a2"], w["b1"])) + 4 * count(w["a2"], w["b2"])
+        more = (count(w["ca"], w["cb"]), x1 + 2 * x2, y1 + 2 * y2, x1 + 4 * x2, y1 + 4 * y2, xy)
+        return F.struct(*[(acc[k] + v).alias(k) for k, v in zip(names, more, strict=True)])
+
+    return F.aggregate(both, F.struct(*[F.lit(0).cast("long").alias(k) for k in names]), add)
+
+
+def dosage_r2(loci: DataFrame, *, group: str, pos: str, key: str, vector: str, reach: int, least: int = 200) -> DataFrame:
+    """group, left_key, right_key, left_pos, right_pos, distance, n_complete, r2, status: of all pairs of a group within
+    ``reach``, each once (by position, then key), from dosages 0, 1, 2 of vectors of one length.
+
+    A locus goes to the bin of its position and to the next as three bits a sample, and pairs are made where the
+    bits are: pairs are never exchanged, and nothing leaves the JVM. Sums are whole numbers, so r2 is exact to one rounding.
+    """
+    own = loci.select(F.col(group).alias("g"), F.col(pos).cast("long").alias("pos"), F.col(key).alias("key"), planes(F.col(vector)).alias("v"), F.floor(F.col(pos) / reach).alias("bin"))
+    left = own.select("g", F.col("pos").alias("left_pos"), F.col("key").alias("left_key"), F.col("v").alias("a"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    right = own.select("g", F.col("pos").alias("right_pos"), F.col("key").alias("right_key"), F.col("v").alias("b"), "bin")
+    after = (F.col("right_pos") > F.col("left_pos")) | ((F.col("right_pos") == F.col("left_pos")) & (F.col("right_key") > F.col("left_key")))
+    met = left.join(right, ["g", "bin"]).where(after & (F.col("right_pos") - F.col("left_pos") <= reach))
+    sums = met.withColumn("s", plane_sums(F.col("a"), F.col("b")))
+    n, x, y = F.coalesce("s.n", F.lit(0)), F.col("s.x"), F.col("s.y")
+    vx, vy, xy = n * F.col("s.xx") - x * x, n * F.col("s.yy") - y * y, n * F.col("s.xy") - x * y
+    status = F.when(n < least, "insufficient_complete_samples").when((vx == 0) | (vy == 0), "pairwise_nonvariable").otherwise("ok")
+    r2 = F.when(status == "ok", (xy.cast("double") / vx) * (xy.cast("double") / vy))
+    return sums.select(F.col("g").alias(group), "left_key", "right_key", "left_pos", "right_pos", (F.col("right_pos") - F.col("left_pos")).alias("distance"), n.cast("int").alias("n_complete"), r2.alias("r2"), status.alias("status"))
+
+
 def lead_r2(vectors: DataFrame, leads: DataFrame, *, by: str, key: str, vector: str) -> DataFrame:
     """by, key, r2 of each row's vector with that of its group's lead (by, lead vector in ``lead``)."""
     out = vectors.join(leads.select(by, F.col("lead").alias("__lead")), by)
     return out.withColumn("__r", r2_column(F.col(vector), F.col("__lead"), 3)).select(by, key, F.col("__r.r2").alias("r2"))
 
 
-def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[str] | None = None, most: int = 200) -> DataFrame:
+def segments(nodes: DataFrame, edges: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """``nodes`` (i, from 0 without gaps, ...) with ``segment``: the first node of the stretch that it is in. No edge (l < r)
+    leads from one stretch into another. A stretch begins at a node that no edge from before reaches; how far edges
+    reach is a running maximum, taken in bins of ``width`` nodes and carried over from bin to bin."""
+    reach = edges.groupBy(F.col("l").alias("i")).agg(F.max("r").alias("reach"))
+    rows = cut(nodes.join(reach, "i", "left").withColumn("bin", F.call_function("div", F.col("i"), F.lit(width))))
+    before = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # a row for each bin
+    far = rows.groupBy("bin").agg(F.max("reach").alias("far")).select("bin", F.max("far").over(before).alias("far"))
+    inside = W.partitionBy("bin").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    reached = F.greatest(F.col("far"), F.max("reach").over(inside))
+    starts = rows.join(far, "bin").withColumn("start", F.when(reached.isNull() | (reached < F.col("i")), F.col("i")))
+    last = starts.groupBy("bin").agg(F.max("start").alias("last")).select("bin", F.max("last").over(before).alias("last"))
+    upto = W.partitionBy("bin").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    return starts.join(last, "bin").withColumn("segment", F.coalesce(F.max("start").over(upto), "last")).drop("reach", "far", "start", "last")
+
+
+def _thinned(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+    """Nodes (i, turn) of some segments decided one after the other, in the order of their turns."""
+    own = nodes.sort_by("turn")
+    i = own.column("i").to_numpy()
+    places = np.argsort(i)
+    one, two = (places[np.searchsorted(i[places], edges.column(c).to_numpy())] for c in ("l", "r"))
+    first, second = np.minimum(one, two), np.maximum(one, two)
+    order = np.argsort(second, kind="stable")
+    first, ends = first[order], np.searchsorted(second[order], np.arange(len(i) + 1))
+    kept = np.ones(len(i), bool)
+    for at in np.flatnonzero(np.diff(ends)):
+        kept[at] = not kept[first[ends[at] : ends[at + 1]]].any()
+    return pa.table({"i": i, "kept": kept})
+
+
+def _by_segments(placed: DataFrame, edges: DataFrame, local: int) -> tuple[DataFrame, DataFrame]:
+    """``placed`` (i, turn, ...) with ``kept``, in all segments of up to ``local`` nodes, and the rows of larger ones. Edges
+    (l < r) join places; of two joined nodes the one of the earlier turn decides on the other."""
+    cut_up = cut(segments(placed, edges))
+    sizes = cut_up.groupBy("segment").agg(F.count("*").alias("n")).where("n > 1")
+    sized = cut(cut_up.join(sizes, "segment", "left"))  # alone: no link, retained
+    part = F.call_function("div", F.col("segment"), F.lit(max(1, local))).alias("part")  # neighbouring segments go together
+    linked = edges.join(sized.select(F.col("i").alias("r"), "segment", "n"), "r")
+    small, own = sized.where(F.col("n") <= local).select(part, "i", "turn"), linked.where(F.col("n") <= local).select(part, "l", "r")
+    decided = small.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(lambda a, b: _thinned(a, b), "i long, kept boolean")
+    whole = sized.join(decided, "i", "left").where(F.col("n").isNull() | (F.col("n") <= local)).withColumn("kept", F.coalesce("kept", F.lit(True)))
+    return whole.drop("segment", "n"), sized.where(F.col("n") > local).drop("segment", "n")
+
+
+def exclusion(sites: DataFrame, *, group: str, pos: str, order: str, apart: int, local: int = 50_000, most: int = 200) -> DataFrame:
+    """``sites`` with ``kept``: in the order given (ties by position, then copies one after the other), a site is kept if
+    none kept before it in its group is within ``apart``. A site without a position excludes none.
+
+    Sites closer than ``apart`` are linked, and stretches of the positions that no link crosses are decided at once, each in
+    its own order; only stretches of more than ``local`` sites take rounds.
+    """
+    names = sites.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    base = sites.select(row.alias("row"), F.col(group).alias("g"), F.col(pos).cast("long").alias("p"), F.col(order).alias("o"))
+    turns = numbered(base, "turn", "o", "p")  # copies get turns of their own
+    placed = cut(numbered(turns, "i", "g", "p", "turn"))
+    cell = F.floor(F.col("p") / max(1, apart))
+    a = placed.where("p IS NOT NULL").select("g", F.explode(F.array(cell, cell + 1)).alias("cell"), F.col("p").alias("lp"), F.col("i").alias("l"))
+    b = placed.where("p IS NOT NULL").select("g", cell.alias("cell"), F.col("p").alias("rp"), F.col("i").alias("r"))
+    near = (F.col("rp") - F.col("lp") < apart) & (F.col("l") < F.col("r"))
+    met = a.alias("a").join(b.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.cell") == F.col("b.cell"))).where(near)
+    edges = cut(met.select("l", "r"))
+    whole, large = _by_segments(placed, edges, local)
+    out = whole.select("row", "kept")
+    if large.limit(1).count():
+        turn = large.select("i", "turn")
+        ends = edges.join(turn.select(F.col("i").alias("l"), F.col("turn").alias("lt")), "l").join(turn.select(F.col("i").alias("r"), F.col("turn").alias("rt")), "r")
+        links = cut(ends.select(F.least("lt", "rt").alias("left_key"), F.greatest("lt", "rt").alias("right_key")))
+        state = _settled(cut(large.select(F.col("turn").alias("k"), F.lit(None).cast("boolean").alias("kept"))), links, [], most)
+        out = out.unionByName(large.join(state, F.col("turn") == F.col("k")).select("row", "kept"))
+    return out.select("row.*", "kept")
+
+
+def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[str] | None = None, most: int = 200, local: int = 50_000) -> DataFrame:
     """``nodes`` with retained and removed_by: in the order of keys, a retained node removes those after
     it that it is linked to (``links``: left_key < right_key in that order, distance, r2).
 
-    Solved as a fixpoint over all nodes at once: a node none of whose left neighbours can still be
-    retained is retained, and what a retained one is linked to is removed. Rounds are as many as the
-    longest chain of decisions, and each is materialised. What ``most`` rounds leave open is folded in the
-    order of keys, by one task for each group of ``by``.
+    Nodes are cut into segments that no link crosses, and every segment is decided by itself, all at once: a
+    task goes through some of them in the order of keys. Only segments of more than ``local`` nodes are solved over all
+    their nodes in rounds instead (``_settled``). Links whose ends aren't both nodes don't count.
     """
     by = by or []
     edges = cut(links.select(*by, "left_key", "right_key", "distance", "r2"))
-    state = cut(nodes.select(*by, F.col(key).alias("k")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    placed = cut(numbered(nodes.select(*by, F.col(key).alias("k")).distinct(), "i", *by, "k"))
+    end = lambda name, out: placed.select(*by, F.col("k").alias(name), F.col("i").alias(out))
+    indexed = cut(edges.join(end("left_key", "l"), [*by, "left_key"]).join(end("right_key", "r"), [*by, "right_key"]).select("l", "r"))
+    whole, rest = _by_segments(placed.withColumn("turn", F.col("i")), indexed, local)
+    large = cut(rest.select(*by, "k", F.lit(None).cast("boolean").alias("kept")))
+    state = whole.select(*by, "k", "kept")
+    if large.limit(1).count():
+        state = state.unionByName(_settled(large, edges, by, most))
+    state = cut(state)
+    kept = state.where("kept").select(*by, F.col("k").alias("left_key"))
+    remover = edges.join(kept, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.min(F.struct("left_key", "distance", "r2")).alias("m"))
+    out = state.join(remover, [*by, "k"], "left")
+    gone = ~F.col("kept")
+    return out.select(*by, F.col("k").alias(key), F.col("kept").alias("retained"), *[F.when(gone, F.col(f"m.{c}")).alias(name) for c, name in (("left_key", "removed_by"), ("distance", "removal_distance"), ("r2", "removal_r2"))])
+
+
+def _settled(state: DataFrame, edges: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``state`` (k, kept) solved as a fixpoint over all nodes at once: a node none of whose left neighbours can still
+    be retained is retained, and what a retained one is linked to is removed. Rounds are as many as the longest chain
+    of decisions, and each is materialised. What ``most`` rounds leave open is folded in the order of keys, by one task
+    for each group of ``by``."""
     for _ in range(most):
         left = state.select(*by, F.col("k").alias("left_key"), F.col("kept").alias("left_kept"))
         votes = edges.join(left, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.bool_or(F.coalesce("left_kept", F.lit(False))).alias("hit"), F.bool_or(F.col("left_kept").isNull()).alias("open"))
@@ -92,14 +230,8 @@ def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[st
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
         state = cut(joined.select(*by, "k", now.alias("kept")))
         if not state.where("kept IS NULL").count():
-            break
-    else:
-        state = cut(_folded(state, edges, by))
-    kept = state.where("kept").select(*by, F.col("k").alias("left_key"))
-    remover = edges.join(kept, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.min(F.struct("left_key", "distance", "r2")).alias("m"))
-    out = state.join(remover, [*by, "k"], "left")
-    gone = ~F.col("kept")
-    return out.select(*by, F.col("k").alias(key), F.col("kept").alias("retained"), *[F.when(gone, F.col(f"m.{c}")).alias(name) for c, name in (("left_key", "removed_by"), ("distance", "removal_distance"), ("r2", "removal_r2"))])
+            return state
+    return cut(_folded(state, edges, by))
 
 
 def thinning_profiles(nodes: DataFrame, links: DataFrame, profiles: dict[str, tuple[int, float]], *, key: str, by: list[str] | None = None) -> DataFrame:

@@ -60,6 +60,21 @@ def rank_candidates(df: DataFrame, score: str | list[str] | None = None, *, by:
     return out.withColumns({"rank": place("priority"), "baseline_rank": place("annotated")})
 
 
+def rank_family(df: DataFrame, score: str | list[str], *, by: list[str] | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """rule, then the columns of ``rank_candidates``, for each of ``rules`` (``rule_family`` by default): all of them
+    from one base. What doesn't depend on the rule is ranked once; its rows are then repeated by rule where they are, since
+    a locus's rows of every rule are together already."""
+    by, rules = by or ["gene"], rules or rule_family()
+    base = rank_candidates(df, by=by).drop("priority", "rank")
+    scores = [F.col(c) for c in ([score] if isinstance(score, str) else score)]
+    items = [F.struct(F.lit(name).alias("rule"), F.lit(r.weight).alias("weight"), r.term(*scores).alias("term")) for name, r in rules.items()]
+    each = base.withColumn("__r", F.explode(F.array(*items))).select(F.col("__r.rule").alias("rule"), *df.columns, "association", "baseline", "annotated", "baseline_rank", "__r.weight", "__r.term")
+    own = percentile_rank(F.col("term"), [*by, "rule"])
+    out = each.withColumn("priority", (1 - F.col("weight")) * F.col("annotated") + F.col("weight") * own)
+    place = F.row_number().over(W.partitionBy(*by, "rule").orderBy(F.desc(F.round("priority", 12)), "variant_id"))
+    return out.withColumn("rank", place).drop("weight", "term")
+
+
 def held_out_targets(df: DataFrame, threshold: float = 0.05) -> DataFrame:
     """gene, target, target_p, full_candidates, replicated: the least positive finite held-out p of the full
     group, ties to the smaller id; replicated below threshold / candidates."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,14 +146,61 @@ def hash_subset(df: DataFrame, key: str, k: int = 5, namespace: str = "alpha") -
     return df.withColumn("subset_hash", F.sha2(F.concat(F.lit(f"{namespace}:"), F.col(key).cast("string")), 256)).orderBy("subset_hash").limit(k)
 
 
-def spaced(df: DataFrame, *, group: str, pos: str, apart: int) -> DataFrame:
-    """group, pos of those kept: each at least ``apart`` beyond the one kept before it. The fold runs over
-    a group's distinct positions in order."""
-    ordered = df.groupBy(group).agg(F.array_sort(F.collect_set(F.col(pos).cast("long"))).alias("p"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    take = lambda acc, x: acc["last"].isNull() | (x - acc["last"] >= apart)
-    fold = F.aggregate("p", start, lambda acc, x: F.when(take(acc, x), F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc), lambda acc: acc["kept"])
-    return ordered.select(group, F.explode(fold).alias(pos))
+def _exits(p: np.ndarray, low: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a bin of sorted positions from ``low`` on does to the threshold that is let in: (upto, out), where a threshold
+    up to ``upto`` (the least such) leaves as ``out``. Which position follows a kept one is a map of places; composed
+    with itself until nothing moves, it leads from each place to the last one kept."""
+    after = np.searchsorted(p, p + apart)
+    last = np.where(after < len(p), after, np.arange(len(p)))
+    while (last != last[last]).any():
+        last = last[last]
+    first = int(np.searchsorted(p, low + apart)) + 1  # no threshold from before reaches further
+    upto, out = p[:first], p[last[:first]] + apart
+    ends = np.append(out[1:] != out[:-1], True)
+    return upto[ends], out[ends]
+
+
+def spaced(df: DataFrame, *, group: str, pos: str, apart: int, width: int = 1 << 20) -> DataFrame:
+    """group, pos of those kept: each at least ``apart`` beyond the one kept before it; the first of a group is.
+
+    Positions are cut into bins of ``width`` (or ``apart``, if that is more). What came before matters to a bin only as
+    the least position that it may keep, so a bin is a monotone map from one such threshold to the next, a few rows.
+    The maps of a group are composed in order; then each bin keeps its own positions from its threshold on. No row
+    or task holds a contig's positions.
+    """
+    width = max(width, apart)
+    kind = dict(df.dtypes)[group]
+    rows = df.where(F.col(pos).isNotNull()).select(F.col(group).alias("g"), F.col(pos).cast("long").alias("p")).distinct().withColumn("bin", F.floor(F.col("p") / width))
+
+    def mapped(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        upto, out = _exits(np.sort(own.column("p").to_numpy()), key[1].as_py() * width, apart)
+        n = len(upto)
+        return pa.table([pa.repeat(key[0], n), pa.repeat(key[1], n), pa.array(upto), pa.array(out)], names=["g", "bin", "upto", "out"])
+
+    def entered(key: tuple[pa.Scalar, ...], maps: pa.Table) -> pa.Table:
+        maps = maps.sort_by([("bin", "ascending"), ("upto", "ascending")])
+        bins, upto, out = (maps.column(c).to_numpy() for c in ("bin", "upto", "out"))
+        starts = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+        threshold, entries = np.iinfo(np.int64).min, []
+        for a, b in zip(starts, np.append(starts[1:], len(bins)), strict=True):
+            entries.append(threshold)
+            at = a + int(np.searchsorted(upto[a:b], threshold))
+            threshold = int(out[at]) if at < b else threshold
+        return pa.table([pa.repeat(key[0], len(starts)), pa.array(bins[starts]), pa.array(entries, pa.int64())], names=["g", "bin", "entry"])
+
+    def kept(key: tuple[pa.Scalar, ...], own: pa.Table, entry: pa.Table) -> pa.Table:
+        p = np.sort(own.column("p").to_numpy())
+        after = np.searchsorted(p, p + apart)
+        at, out = int(np.searchsorted(p, entry.column("entry")[0].as_py())), []
+        while at < len(p):
+            out.append(p[at])
+            at = after[at]
+        return pa.table([pa.repeat(key[0], len(out)), pa.array(out, pa.int64())], names=["g", "p"])
+
+    maps = rows.groupBy("g", "bin").applyInArrow(mapped, f"g {kind}, bin long, upto long, out long")
+    entries = maps.groupBy("g").applyInArrow(entered, f"g {kind}, bin long, entry long")
+    out = rows.groupBy("g", "bin").cogroup(entries.groupBy("g", "bin")).applyInArrow(kept, f"g {kind}, p long")
+    return out.select(F.col("g").alias(group), F.col("p").alias(pos))
 
 
 def genome_order(df: DataFrame) -> DataFrame:

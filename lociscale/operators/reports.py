@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociscale.functions.columns import normal_quantile
 from lociscale.operators.contracts import ContractError
 from lociscale.operators.ranks import average_ranks
-from lociscale.plans.lineage import numbered
 from lociscale.operators.stats import correlations
+from lociscale.plans.lineage import cut, numbered
 
 
 def lead_variant(df: DataFrame, by: list[str], p: str, key: str) -> DataFrame:
@@ -73,20 +74,19 @@ def panels(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def capped_selection(loci: DataFrame, *, group: str, pos: str, order: str, apart: int, cap: int) -> DataFrame:
-    """``loci`` with ``status``: selected, overlapping_window or block_full, in the order given within each
-    group: at most ``cap``, none within ``apart`` of one selected before. A fold over a group's loci."""
-    item = F.struct(F.col(order).alias("o"), F.col(pos).cast("long").alias("p"))
-    ordered = loci.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    state = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<string>").alias("said"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.exists(acc["kept"], lambda y: F.abs(y - x["p"]) < apart)
-        said = F.when(F.size(acc["kept"]) >= cap, "block_full").when(near, "overlapping_window").otherwise("selected")
-        kept = F.when(said == "selected", F.concat(acc["kept"], F.array(x["p"]))).otherwise(acc["kept"])
-        return F.struct(kept.alias("kept"), F.concat(acc["said"], F.array(said)).alias("said"))
-
-    folded = ordered.select(group, F.explode(F.arrays_zip("__items", F.aggregate("__items", state, step)["said"].alias("said"))).alias("x"))
-    return folded.select(group, F.col("x.__items.o").alias(order), F.col("x.__items.p").alias(pos), F.col("x.said").alias("status"))
+    """``loci`` (group, order, pos) with ``status``: selected, overlapping_window or block_full, in the order given within
+    each group: at most ``cap``, none within ``apart`` of one selected before. The cap only ends what ``exclusion``
+    keeps: all that come after the last one selected find the group full."""
+    from lociscale.operators.ld import exclusion
+
+    own = loci.select(group, order, F.col(pos).cast("long").alias(pos), F.monotonically_increasing_id().alias("__row"))
+    told = cut(exclusion(own, group=group, pos=pos, order=order, apart=apart))
+    turn = F.struct(order, pos, ~F.col("kept"), "__row")  # of copies the one that is kept came first
+    nth = told.where("kept").withColumn("n", F.row_number().over(W.partitionBy(group).orderBy(turn))).where(F.col("n") == cap)
+    last = nth.select(F.col(group).alias("__group"), turn.alias("__last"))
+    joined = told.join(last, F.col(group).eqNullSafe(F.col("__group")), "left")
+    status = F.when(F.lit(cap <= 0) | (turn > F.col("__last")), "block_full").when(F.col("kept"), "selected").otherwise("overlapping_window")
+    return joined.select(group, order, pos, status.alias("status"))
 
 
 def normal_scores(df: DataFrame, value: str, by: list[str] | None = None, out: str = "normal_score") -> DataFrame:

@@ -9,8 +9,8 @@ from lociscale.functions import columns as C
 from lociscale.operators import assoc, contracts, joins, ld, prioritize, ranks, reports, resample, stats
 from lociscale.plans import integrity
 from lociscale.plans.registry import QUERIES, SQL, query, rounded
-from lociscale.sources.sequences import beside, sequence_store
 from lociscale.plans.standins import CANDIDATES_SQL, COMPARED_SQL, VARIANTS_SQL, candidates, compared, table, variants
+from lociscale.sources.sequences import beside, sequence_store
 
 __all__ = ["QUERIES", "SQL", "integrity"]
 
@@ -519,6 +519,19 @@ def pairwise_r2(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_pairs(spark, sf, 60))
 
 
+@query("dosage_r2", """
+    WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda x: CASE WHEN x < -1 THEN NULL WHEN x < -0.2 THEN 0 WHEN x < 0.8 THEN 1 ELSE 2 END) AS v FROM embeddings),
+    pr AS (SELECT a.label, a.vec_id AS left_key, b.vec_id AS right_key, b.vec_id - a.vec_id AS distance, unnest(a.v) AS x, unnest(b.v) AS y FROM e a JOIN e b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 60),
+    s AS (SELECT label, left_key, right_key, distance, CAST(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS INTEGER) AS n_complete, corr(x, y) AS r, covar_pop(x, y) AS c FROM pr GROUP BY 1, 2, 3, 4)
+    SELECT label, left_key, right_key, distance, n_complete, CASE WHEN n_complete >= 40 AND c IS NOT NULL AND NOT isnan(r) THEN round(r * r, 9) END AS r2, CASE WHEN n_complete < 40 THEN 'insufficient_complete_samples' WHEN r IS NULL OR isnan(r) THEN 'pairwise_nonvariable' ELSE 'ok' END AS status FROM s""")
+def dosage_r2(spark: SparkSession, sf: str) -> DataFrame:
+    """Linkage of dosages on bit planes; components below -1 stand for calls that are missing."""
+    coded = F.transform("embedding", lambda x: F.when(x < -1, -1).when(x < -0.2, 0).when(x < 0.8, 1).otherwise(2))
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("vec_id").alias("pos"), coded.alias("dosages"))
+    out = ld.dosage_r2(e, group="label", pos="pos", key="vec_id", vector="dosages", reach=60, least=40)
+    return rounded(out.drop("left_pos", "right_pos"), 9)
+
+
 @query("r2_threshold_counts", f"""WITH {R2.format(60)}, w AS (SELECT unnest([20, 40, 60]) AS "window") SELECT "window", CAST(count(*) AS BIGINT) AS pairs, CAST(count(r2) AS BIGINT) AS valid, CAST(count(*) FILTER (WHERE r2 >= 0.02) AS BIGINT) AS r2_ge_002, CAST(count(*) FILTER (WHERE r2 >= 0.05) AS BIGINT) AS r2_ge_005 FROM r2, w WHERE distance <= "window" GROUP BY 1""")
 def r2_threshold_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ld.threshold_counts(_pairs(spark, sf, 60), [20, 40, 60], [0.02, 0.05])
@@ -595,6 +608,15 @@ def component_norms(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("vec_id").agg(F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"))
 
 
+@query("randomised_component_norms", """
+    WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, x - avg(x) OVER (PARTITION BY i) AS x FROM e)
+    SELECT vec_id, round(sum(x * x), 6) AS norm FROM c GROUP BY 1""")
+def randomised_component_norms(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lengths from a random range, which as wide as the vectors loses nothing."""
+    p = assoc.randomised_components(table(spark, sf, "embeddings"), "embedding", "vec_id", 64, more=0)
+    return p.groupBy("vec_id").agg(F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"))
+
+
 @query("association_scan")
 def association_scan(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("L"), F.col("label")).alias("gene"), F.col("vec_id").alias("variant_id"), F.col("embedding").cast("array<double>").alias("dosages"))

@@ -14,6 +14,7 @@ from lociscale.plans.lineage import shared_folder
 from lociscale.plans.registry import query, rounded
 from lociscale.plans.standins import CANDIDATES_SQL, COMPARED_SQL, VARIANTS_SQL, candidates, compared, table, variants
 from lociscale.sources import readers, writers
+from lociscale.streaming import scores
 
 V = f"variants AS ({VARIANTS_SQL})"
 K = f"candidates AS ({CANDIDATES_SQL})"
@@ -283,11 +284,7 @@ _FORMS = {"magnitude": "(abs(model_a) + abs(model_b)) / 2", "signed": "(model_a
 def rule_family(spark: SparkSession, sf: str) -> DataFrame:
     """Every form at every weight, of the mean of two contexts."""
     k = candidates(spark, sf).where("model_a IS NOT NULL AND model_b IS NOT NULL")
-    out = None
-    for name, rule in prioritize.rule_family().items():
-        own = prioritize.rank_candidates(k, ["model_a", "model_b"], rule=rule).select(F.lit(name).alias("rule"), "gene", "variant_id", "rank")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return prioritize.rank_family(k, ["model_a", "model_b"]).select("rule", "gene", "variant_id", "rank")
 
 
 @query("strict_percentile", f"WITH {K} SELECT gene, variant_id, round({_pct('discovery_neglogp')}, 9) AS percentile FROM candidates")
@@ -415,6 +412,23 @@ def genotype_file(spark: SparkSession, sf: str) -> DataFrame:
     return readers.vcf_genotypes(spark, out, keys)
 
 
+@query("indexed_genotype_fetch", """
+    WITH v AS (SELECT DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN '01' ELSE CAST(l_suppkey % 3 AS VARCHAR) END AS chrom, l_partkey * 100 + l_linenumber AS pos FROM lineitem),
+    k AS (SELECT chrom, pos FROM v WHERE pos % 7 = 0 AND chrom <> '2'), t AS (SELECT * FROM (VALUES ('s1', '0|0'), ('s2', '0|1')) v(sample, gt))
+    SELECT chrom, CAST(pos AS BIGINT) AS pos, 'A' AS ref, 'C' AS alt, sample, gt FROM k CROSS JOIN t""")
+def indexed_genotype_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of a list of keys from the table of a VCF's sites; keys of another allele find nothing."""
+    out = folder(spark)
+    chrom = F.when(F.col("l_suppkey") % 3 == 0, "01").otherwise((F.col("l_suppkey") % 3).cast("string"))
+    v = table(spark, sf, "lineitem").select(chrom.alias("chrom"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("pos")).distinct()
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "s1", "s2"])
+    lines = v.select(F.concat_ws("\t", "chrom", "pos", F.lit("."), F.lit("A"), F.lit("C"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.lit("0|0"), F.lit("0|1")).alias("value"))
+    spark.createDataFrame([("##fileformat=VCFv4.2",), (head,)], "value string").unionByName(lines).write.text(f"{out}/vcf")
+    writers.index_vcf(spark, f"{out}/vcf", f"{out}/index", width=1 << 14)
+    keys = v.where("pos % 7 = 0 AND chrom <> '2'").select("chrom", "pos", F.lit("A").alias("ref"), F.explode(F.array(F.lit("C"), F.lit("G"))).alias("alt"))
+    return readers.indexed_genotypes(spark, f"{out}/index", keys)
+
+
 @query("dosage_file", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN x < -1 THEN -1 WHEN x < 0 THEN 0 WHEN x < 1 THEN 1 ELSE 2 END)) AS BIGINT) AS total FROM embeddings")
 def dosage_file(spark: SparkSession, sf: str) -> DataFrame:
     out = f"{folder(spark)}/t"
@@ -547,6 +561,17 @@ def fallback_scan(spark: SparkSession, sf: str) -> DataFrame:
     return readers.first_readable(lambda: readers.tsv(spark, f"{folder(spark)}/nowhere.tsv"), lambda: readers.tsv(spark, out, required=["s_phone_of_another_table"]), lambda: readers.tsv(spark, out, required=["s_name"]))
 
 
+@query("stream_reason_totals", """
+    SELECT CASE WHEN l_discount < 0.02 THEN 'no_frequency' WHEN l_quantity < 5 THEN 'few' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'open' ELSE 'eligible' END AS reason, CAST(count(*) AS BIGINT) AS rows FROM lineitem GROUP BY 1""")
+def stream_reason_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasons of every line as a stream has counted them, run twice over the same files (the second takes none)."""
+    out, ladder = folder(spark), [(F.col("l_discount") < 0.02, "no_frequency"), (F.col("l_quantity") < 5, "few"), ((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "open")]
+    for _ in range(2):
+        totals = scores.reason_totals(scores.table_files(spark, f"{sf}/lineitem.parquet"), ladder)
+        scores.keep_totals(totals, f"{out}/totals", f"{out}/mark").awaitTermination()
+    return spark.read.parquet(f"{out}/totals")
+
+
 @query("withheld_columns", "SELECT n_nationkey, n_name, (SELECT CAST(count(*) AS BIGINT) FROM nation) AS held FROM nation")
 def withheld_columns(spark: SparkSession, sf: str) -> DataFrame:
     kept, told = writers.withheld(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_regionkey"])

@@ -22,6 +22,10 @@ from lociscale.operators.ranks import quota_fill
 from lociscale.plans.lineage import numbered
 from lociscale.sources.sequences import fasta as fasta
 
+#: Folders (contig and bin) up to which a fetch names them to the scan; of more than these all are read.
+NAMED_FOLDERS = 10_000
+#: Keys or bins of regions up to which they are broadcast.
+BROADCAST_KEYS = 100_000
 TAB = {"sep": "\t", "header": True}
 
 
@@ -104,21 +108,53 @@ def vcf_sites(spark: SparkSession, path: str, *, passing: bool = True) -> DataFr
     return out.select("chrom", "pos", "id", "ref", "alt", "filter", "info", "calls")
 
 
-def vcf_genotypes(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """chrom, pos, ref, alt, sample, gt: one row a call, of the variants in ``keys`` if given (a semi-join
-    before calls are exploded)."""
+def vcf_samples(spark: SparkSession, path: str) -> list[str]:
     header = spark.read.text(path).where("startswith(value, '#CHROM')").first()
     if header is None:
         raise ContractError(path, {"no header line": 1})
-    samples = header[0].split("\t")[9:]
-    sites = vcf_sites(spark, path)
-    if keys is not None:
-        sites = sites.join(keys.select("chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"], "left_semi")
+    return header[0].split("\t")[9:]
+
+
+def _calls(sites: DataFrame, samples: list[str]) -> DataFrame:
+    """chrom, pos, ref, alt, sample, gt: one row a call."""
     names = F.array(*map(F.lit, samples)) if samples else F.array().cast("array<string>")
     long = sites.select("chrom", "pos", "ref", "alt", F.explode(F.arrays_zip(names.alias("sample"), F.col("calls").alias("gt"))).alias("c"))
     return long.select("chrom", "pos", "ref", "alt", F.col("c.sample").alias("sample"), F.col("c.gt").alias("gt"))
 
 
+def vcf_genotypes(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """chrom, pos, ref, alt, sample, gt: one row a call, of the variants in ``keys`` if given (a semi-join
+    before calls are exploded)."""
+    sites = vcf_sites(spark, path)
+    if keys is not None:
+        sites = sites.join(keys.select("chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"], "left_semi")
+    return _calls(sites, vcf_samples(spark, path))
+
+
+def _pruned(sites: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sites`` (in folders by chrom and bin) of the folders that ``wanted`` (chrom, bin) names, as a filter of the scan."""
+    named = wanted.select("chrom", "bin").where("chrom IS NOT NULL AND bin IS NOT NULL").distinct().limit(NAMED_FOLDERS + 1).collect()
+    if len(named) > NAMED_FOLDERS:
+        return sites
+    bins: dict[str, list[int]] = {}
+    for chrom, at in named:
+        bins.setdefault(chrom, []).append(at)
+    hit = F.lit(False)
+    for chrom, own in bins.items():
+        hit = hit | ((F.col("chrom") == chrom) & F.col("bin").isin(own))
+    return sites.where(hit)
+
+
+def indexed_genotypes(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The calls of the variants in ``keys`` (chrom, pos, ref, alt) from what ``index_vcf`` wrote: only the folders that a
+    key's position is in are read, and there the whole key has to be equal. Keys that aren't there give no rows."""
+    index = json_document(spark, f"{path}/index.json")
+    sites = spark.read.schema(T.StructType.fromJson(index["columns"])).parquet(f"{path}/sites")
+    wanted = keys.select(F.col("chrom").cast("string").alias("chrom"), F.col("pos").cast("long").alias("pos"), "ref", "alt", F.floor(F.col("pos") / index["width"]).alias("bin"))
+    hit = F.broadcast(wanted) if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else wanted
+    return _calls(_pruned(sites, wanted).join(hit, ["chrom", "bin", "pos", "ref", "alt"], "left_semi"), index["samples"])
+
+
 def first_readable(*ways: Callable[[], DataFrame]) -> DataFrame:
     """The table of the first of several ways to get it that can be read (a store, then a release, then an
     embedded copy). What the others failed with is raised if none can."""
@@ -148,12 +184,13 @@ def vcf_quota(spark: SparkSession, path: str, classes: list[tuple[str, Column, i
 
 def indexed_sites(spark: SparkSession, path: str, regions: DataFrame, *, width: int = 1 << 20) -> DataFrame:
     """The sites of a table that ``write_indexed_sites`` wrote which lie in any of ``regions`` (chrom, start, end,
-    1-based, inclusive), each once. Contigs and bins are folders: a region's are joined as keys, so that Spark prunes
-    all others from the scan when it runs."""
+    1-based, inclusive), each once. Contigs and bins are folders: the regions' are named to the scan, which reads no
+    others."""
     bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
-    wanted = regions.select(F.col("chrom").alias("chrom"), bins.alias("bin"), "start", "end")
-    sites = spark.read.parquet(path)
-    hit = F.broadcast(wanted) if wanted.count() <= 100_000 else wanted
+    wanted = regions.select(F.col("chrom").cast("string").alias("chrom"), bins.alias("bin"), "start", "end")
+    schema = T.StructType([T.StructField("chrom", T.StringType()) if f.name == "chrom" else f for f in spark.read.parquet(path).schema])
+    sites = _pruned(spark.read.schema(schema).parquet(path), wanted)  # names of contigs stay text, numbers too
+    hit = F.broadcast(wanted) if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else wanted
     met = sites.alias("s").join(hit.alias("r"), (F.col("s.chrom") == F.col("r.chrom")) & (F.col("s.bin") == F.col("r.bin")) & F.col("s.pos").between(F.col("r.start"), F.col("r.end")), "left_semi")
     return met.drop("bin")
 

@@ -37,10 +37,10 @@ def write_checked(df: DataFrame, path: str, order: list[str] | None = None) -> D
     """Parquet, read again and held against what was written; with ``order`` (columns that tell all rows
     apart) it is sorted by them, with each row's place in ``ordinal``, and the order is held too."""
     if order is not None:
-        placed = numbered(df, "ordinal", *order)
-        placed.orderBy("ordinal").write.mode("errorifexists").parquet(path)
+        placed = numbered(df, "ordinal", *order)  # materialised, its ranges in order
+        placed.write.mode("errorifexists").parquet(path)
         again = df.sparkSession.read.parquet(path)
-        if table_digest(df) != table_digest(again.drop("ordinal")):
+        if table_digest(placed.drop("ordinal")) != table_digest(again.drop("ordinal")):
             raise ContractError(path, {"the table read back differs": 1})
         ends = again.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.countDistinct("ordinal").alias("places"))
         if bad := ends.where((F.col("high") - F.col("low") + 1 != F.col("n")) | (F.col("places") != F.col("n"))).count():
@@ -72,6 +72,20 @@ def write_indexed_sites(df: DataFrame, path: str, *, width: int = 1 << 20) -> No
     binned.repartition("chrom", "bin").sortWithinPartitions("chrom", "bin", "pos").write.mode("errorifexists").partitionBy("chrom", "bin").parquet(path)
 
 
+INDEX = "index.json"
+
+
+def index_vcf(spark: SparkSession, path: str, out: str, *, width: int = 1 << 20, passing: bool = True) -> None:
+    """A table of a VCF's sites with their calls, in ``out``, from which ``indexed_genotypes`` and ``indexed_sites`` fetch
+    what they need without reading the rest: folders by contig and bin of ``width`` positions, sorted inside them. The
+    VCF is read once; what a fetch must know of it (samples, width, columns) is in one small file."""
+    from lociscale.sources.readers import vcf_samples, vcf_sites
+
+    sites = vcf_sites(spark, path, passing=passing)
+    write_indexed_sites(sites, f"{out}/sites", width=width)
+    write_json(spark, {"samples": vcf_samples(spark, path), "width": width, "columns": json.loads(sites.withColumn("bin", F.lit(0).cast("long")).schema.json())}, f"{out}/{INDEX}")
+
+
 def _file_system(spark: SparkSession, path: str):
     """Hadoop's file system of ``path`` and the path in its form: any store that Spark reads and writes."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

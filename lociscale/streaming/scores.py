@@ -20,6 +20,14 @@ def score_files(spark: SparkSession, folder: str, *, files_per_trigger: int = 10
     return spark.readStream.schema(SCHEMA).options(sep="\t", header=True, maxFilesPerTrigger=files_per_trigger).csv(folder)
 
 
+def table_files(spark: SparkSession, path: str, *, files_per_trigger: int = 1000) -> DataFrame:
+    """New Parquet files of a folder, as they come, or one file; the schema is that of what is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    given = path if folder else f"{path[:-1]}[{path[-1]}]"  # a stream takes one file only by a pattern
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(given)
+
+
 def oriented(stream: DataFrame) -> DataFrame:
     """Rows with their orientation and frequency class; stateless."""
     own = stream.withColumn("o", orient(F.col("ref"), F.col("alt"), F.col("af_alt"), F.col("score")))
@@ -52,3 +60,9 @@ def keep_bottom_k(stream: DataFrame, k: int, namespace: str, path: str, checkpoi
         own.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_totals(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps an aggregation over all that has come in ``path``, written anew by each batch."""
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -225,3 +225,28 @@ def test_embedded_tables_and_stable_archives(spark, tmp_path):
         assert z.namelist() == ["b", "e/a"] and z.read("e/a") == b"y" * 100_000 and z.read("b") == b"x"
     with pytest.raises(FileExistsError):
         writers.write_zip(spark, str(tmp_path / "d"), str(tmp_path / "1.zip"))
+
+
+def test_fetches_open_only_the_folders_of_their_keys(spark, tmp_path):
+    """All other files of the table are spoilt: reading any of them would fail."""
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
+    rows = [(c, p, r, a) for c in ("01", "1", "X") for p, r, a in ((5, "A", "C"), (5, "A", "G"), (1_500, "G", "T"), (9_999, "C", "T"))]
+    (tmp_path / "v.vcf").write_text(head + "".join(f"{c}\t{p}\t.\t{r}\t{a}\t.\tPASS\t.\tGT\t0|{i % 2}\t./.\n" for i, (c, p, r, a) in enumerate(rows)))
+    writers.index_vcf(spark, str(tmp_path / "v.vcf"), str(tmp_path / "i"), width=1_000)
+    keys = spark.createDataFrame([("01", 5, "A", "G"), ("01", 5, "A", "T"), ("X", 1_500, "G", "T"), ("Y", 5, "A", "C")], "chrom string, pos long, ref string, alt string")
+    for f in (tmp_path / "i" / "sites").glob("*/*/*.parquet"):
+        if f"{f.parent.parent.name}/{f.parent.name}" not in ("chrom=01/bin=0", "chrom=X/bin=1"):
+            f.write_bytes(b"no table")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    found = readers.indexed_genotypes(spark, str(tmp_path / "i"), keys)
+    want = [(c, p, r, a, s, g) for i, (c, p, r, a) in enumerate(rows) if (c, p, r, a) in (("01", 5, "A", "G"), ("X", 1_500, "G", "T")) for s, g in (("s1", f"0|{i % 2}"), ("s2", "./."))]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    with pytest.raises(Exception, match="(?i)parquet"):
+        readers.indexed_genotypes(spark, str(tmp_path / "i"), keys.unionByName(spark.createDataFrame([("1", 5, "A", "C")], keys.schema))).collect()
+
+
+def test_regions_keep_numbers_as_names(spark, tmp_path):
+    sites = spark.createDataFrame([("01", 5), ("1", 5), ("1", 2_500)], "chrom string, pos long")
+    writers.write_indexed_sites(sites, str(tmp_path / "t"), width=1_000)
+    regions = spark.createDataFrame([("1", 1, 3_000)], "chrom string, start long, end long")
+    assert sorted(map(tuple, readers.indexed_sites(spark, str(tmp_path / "t"), regions, width=1_000).select("chrom", "pos").collect())) == [("1", 5), ("1", 2_500)]
