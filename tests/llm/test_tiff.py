@@ -101,3 +101,59 @@ def test_a_deflate_bomb_is_not_unpacked():
     data = bytearray(tiff.write([np.zeros((4, 4, 1), np.uint8)]))
     assert len(tiff.decompress(bomb, tiff.DEFLATE, 16)) == 16
     assert list(tiff.pages(bytes(data)))[0].pixels.sum() == 0
+
+
+def plain_read(data):
+    """Samples of all pages by the format's own rules, with nothing of the module: strips or tiles, none or deflate or
+    PackBits, with or without differences along rows."""
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    magic, at = struct.unpack_from(order + "HI", data, 2)
+    assert magic == 42
+    out = []
+    while at:
+        (n,) = struct.unpack_from(order + "H", data, at)
+        tags = {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            size = {3: 2, 4: 4}[kind] * count
+            where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+            tags[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", data, where)
+        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+        (w,), (h,) = tags[256], tags[257]
+        tiled = 322 in tags
+        wide, high = (tags[322][0], tags[323][0]) if tiled else (w, tags[278][0])
+        offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+        image = np.zeros((-(-h // high) * high, -(-w // wide) * wide), np.uint8)
+        for k, (o, c) in enumerate(zip(offsets, counts, strict=True)):
+            part, scheme = data[o : o + c], tags[259][0]
+            if scheme in (8, 32946):
+                part = zlib.decompress(part)
+            elif scheme == 32773:
+                runs, i = bytearray(), 0
+                while i < len(part):
+                    head = part[i]
+                    runs += part[i + 1 : i + 2 + head] if head < 128 else part[i + 1 : i + 2] * (257 - head) if head > 128 else b""
+                    i += 2 + head if head < 128 else 2 if head > 128 else 1
+                part = bytes(runs)
+            else:
+                assert scheme == 1
+            own = np.frombuffer(part, np.uint8).reshape(-1, wide)
+            own = np.cumsum(own, axis=1, dtype=np.uint8) if tags[317][0] == 2 else own
+            top, left = divmod(k, -(-w // wide))
+            image[top * high : top * high + len(own), left * wide : (left + 1) * wide] = own
+        out.append(image[:h, :w].tobytes())
+    return b"".join(out)
+
+
+def test_stored_files_are_read_by_another_reader(spark):
+    texts = [f"document {i} " * (3 * i % 400) for i in range(120)] + ["", None, "line of text\n" * 200_000]
+    found = tiff.text_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    forms = set()
+    for r in found:
+        payload = tiff.payload_of(texts[r.doc_id])[1]
+        form = tiff.FORMS[zlib.crc32(payload) % len(tiff.FORMS)]
+        assert (r.media_bytes, r.media_sha256) == (len(r.content), hashlib.sha256(r.content).hexdigest())
+        if form[0] != tiff.LZW:
+            forms.add(form)
+            assert plain_read(bytes(r.content)) == payload
+    assert len(forms) > 24
