@@ -127,7 +127,7 @@ def _scanned(min_docs: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch]).drop_columns(["span"])
+            rows = pa.Table.from_batches([batch])
             runs = _summed(rows if open_ is None else pa.concat_tables([open_, rows]).combine_chunks())
             last = int(_starts(runs, ["run"])[-1])
             open_ = runs.slice(last)
@@ -221,7 +221,7 @@ def runs_of_terms(docs: DataFrame, *, min_docs: int = 3, text: str = "text", lan
     partitions by (lang, term, source); ``first`` marks the first row of a term."""
     slim = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text)], F.monotonically_increasing_id()).toDF("lang", "source", "text", "row")
     spans = slim.mapInArrow(_counted, SPANS)
-    return spans.repartition("run").sortWithinPartitions("run", "source", "span").mapInArrow(_scanned(min_docs), RUNS)
+    return spans.repartition("run").sortWithinPartitions("run", "source", "span").drop("span").mapInArrow(_scanned(min_docs), RUNS)
 
 
 def audit(docs: DataFrame, *, min_docs: int = 3, top: int = 200, block: int = 1_024, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
