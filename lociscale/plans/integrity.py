@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lociscale.functions import columns as C
 from lociscale.operators import contracts, joins, ld, prioritize, ranks, reports, stats
-from lociscale.plans.lineage import shared_folder
+from lociscale.plans.lineage import numbered, shared_folder
 from lociscale.plans.registry import query, rounded
 from lociscale.plans.standins import CANDIDATES_SQL, COMPARED_SQL, VARIANTS_SQL, candidates, compared, table, variants
 from lociscale.sources import readers, writers
@@ -469,10 +469,10 @@ def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.regexp_extract("name", "region([0-9]+)", 1).try_cast("bigint").alias("region"), "problem")
 
 
-def single_file(df: DataFrame, path: str) -> None:
-    """A small table as one tab-separated file, in place of any that is there."""
+def single_file(df: DataFrame, path: str, form: str = "csv") -> None:
+    """A small table as one tab-separated file, or its lines as one text, in place of any that is there."""
     spark, part = df.sparkSession, f"{path}.part"
-    df.coalesce(1).write.mode("overwrite").options(sep="\t", header=True).csv(part)
+    df.coalesce(1).write.mode("overwrite").format(form).options(**({"sep": "\t", "header": True} if form == "csv" else {})).save(part)
     fs, target = writers._file_system(spark, path)
     (own,) = [f.getPath() for f in fs.globStatus(writers._file_system(spark, f"{part}/part-*")[1])]
     fs.delete(target, False)
@@ -480,6 +480,31 @@ def single_file(df: DataFrame, path: str) -> None:
     fs.delete(writers._file_system(spark, part)[1], True)
 
 
+@query("sheet_scan", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS row_number, s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS balance, CAST(s_suppkey AS VARCHAR) AS key FROM supplier")
+def sheet_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A workbook of all suppliers: shared and inline strings, numbers, cells without a reference and missing ones."""
+    out, ns = folder(spark), readers.SHEET_NS.strip("{}")
+    s = ranks_of(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
+    tag = lambda text, *x: F.format_string(text, *x)
+    strings = s.select("n", tag("<si><r><t>%s</t></r><r><t>%s</t></r></si>", F.substring("s_name", 1, 4), F.expr("substring(s_name, 5)")).alias("value"))
+    name = tag('<c r="A%d" t="s"><v>%d</v></c>', "n", F.col("n") - 1)
+    balance = F.when(F.col("s_suppkey") % 4 != 0, tag("<c><v>%s</v></c>", F.col("s_acctbal").cast("string"))).otherwise("")
+    key = tag('<c r="AB%d" t="inlineStr"><is><t>%d</t></is></c>', "n", "s_suppkey")
+    rows = s.select("n", F.concat(tag('<row r="%d">', "n"), name, balance, key, F.lit("</row>")).alias("value"))
+    for lines, part, outer in ((strings, "sharedStrings.xml", "<sst xmlns='{}'>|</sst>"), (rows, "worksheets/sheet1.xml", "<worksheet xmlns='{}'><sheetData>|</sheetData></worksheet>")):
+        before, after = outer.format(ns).split("|")
+        ends = spark.createDataFrame([(0, before), (1 << 40, after)], "n long, value string")
+        single_file(ends.unionByName(lines).orderBy("n").select("value"), f"{out}/book/xl/{part}", "text")
+    writers.write_zip(spark, f"{out}/book", f"{out}/book.xlsx")
+    cell = lambda c: F.col("cells").getItem(c)
+    return readers.xlsx(spark, f"{out}/book.xlsx", 1).select("row_number", cell("A").alias("name"), cell("B").cast("double").alias("balance"), cell("AB").alias("key"))
+
+
+def ranks_of(s: DataFrame) -> DataFrame:
+    """Suppliers with their place, from 1."""
+    return numbered(s, "n", "s_suppkey").withColumn("n", F.col("n") + 1)
+
+
 @query("verified_folder", "SELECT CAST(n_nationkey AS VARCHAR) AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def verified_folder(spark: SparkSession, sf: str) -> DataFrame:
     """Two tables of a folder whose manifest holds, by name."""
