@@ -7,7 +7,10 @@ import io
 import json
 import math
 import zipfile
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,22 +228,37 @@ class _Stream(io.RawIOBase):
         return len(data)
 
 
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members as an archive holds them: name, checksum and size of the contents, and these deflated."""
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            packer = zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -15)
+            packed = packer.compress(content) + packer.flush()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([zlib.crc32(content)]), pa.array([len(content)]), pa.array([packed], pa.binary())], names=["name", "crc", "size", "packed"])
+
+
 def write_zip(spark: SparkSession, folder: str, path: str) -> None:
-    """An archive that depends on names and contents alone: sorted, with one fixed date. Files pass through the
-    driver one after the other, none is held but the one being packed; an existing archive is not overwritten."""
+    """An archive that depends on names and contents alone: sorted, with one fixed date. Members are deflated where they
+    are read; the driver puts the deflated ones into the file one after the other and holds none but that. An existing
+    archive is not overwritten."""
     root = _qualified(spark, folder)
     fs, p = _file_system(spark, path)
     if fs.exists(p):
         raise FileExistsError(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    rows = files.select(F.substr(F.col("path"), F.length(F.lit(root)) + 2).alias("name"), "content").orderBy("name")
+    named = files.select(F.substr(F.col("path"), F.length(F.lit(root)) + 2).alias("name"), "content")
+    rows = named.mapInArrow(_deflated, "name string, crc long, size long, packed binary").orderBy("name")
     stream = fs.create(p, False)
     try:
         with zipfile.ZipFile(_Stream(stream), "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in rows.toLocalIterator():
+            for name, crc, size, packed in rows.toLocalIterator():
                 entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-                entry.compress_type = zipfile.ZIP_DEFLATED
-                z.writestr(entry, bytes(content))
+                entry.compress_type, entry.CRC, entry.file_size, entry.compress_size = zipfile.ZIP_DEFLATED, crc, size, len(packed)
+                entry.external_attr, entry.header_offset = 0o600 << 16, z.fp.tell()
+                z.fp.write(entry.FileHeader())
+                z.fp.write(bytes(packed))
+                z.filelist.append(entry)
+                z.NameToInfo[name], z.start_dir, z._didModify = entry, z.fp.tell(), True
     finally:
         stream.close()
 

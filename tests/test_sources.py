@@ -250,3 +250,20 @@ def test_regions_keep_numbers_as_names(spark, tmp_path):
     writers.write_indexed_sites(sites, str(tmp_path / "t"), width=1_000)
     regions = spark.createDataFrame([("1", 1, 3_000)], "chrom string, start long, end long")
     assert sorted(map(tuple, readers.indexed_sites(spark, str(tmp_path / "t"), regions, width=1_000).select("chrom", "pos").collect())) == [("1", 5), ("1", 2_500)]
+
+
+def test_archive_is_what_the_plain_module_writes(spark, tmp_path):
+    members = {"a.txt": b"text\n" * 5_000, "b/empty": b"", "b/naïve.bin": bytes(range(256)) * 40, "c": b"x"}
+    for name, content in members.items():
+        (tmp_path / "d" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "d" / name).write_bytes(content)
+    writers.write_zip(spark, str(tmp_path / "d"), str(tmp_path / "out.zip"))
+    plain = io.BytesIO()
+    with zipfile.ZipFile(plain, "w") as z:
+        for name in sorted(members):
+            entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            entry.compress_type = zipfile.ZIP_DEFLATED
+            z.writestr(entry, members[name])
+    assert (tmp_path / "out.zip").read_bytes() == plain.getvalue()
+    with zipfile.ZipFile(tmp_path / "out.zip") as z:
+        assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == members
