@@ -239,8 +239,8 @@ def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_zip(spark: SparkSession, folder: str, path: str) -> None:
     """An archive that depends on names and contents alone: sorted, with one fixed date. Members are deflated where they
-    are read; the driver puts the deflated ones into the file one after the other and holds none but that. An existing
-    archive is not overwritten."""
+    are read; the driver puts the deflated ones into the file one after the other and holds none but that. Spark leaves
+    out empty files. An existing archive is not overwritten."""
     root = _qualified(spark, folder)
     fs, p = _file_system(spark, path)
     if fs.exists(p):
