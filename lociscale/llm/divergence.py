@@ -1,7 +1,8 @@
 """Audit of how far the sources of a language diverge, by sorted runs of terms.
 
 Tasks count the terms of their documents in spans; (lang, term, source, span) is what is repartitioned and
-sorted, with term and lang in one binary key, so that the sort's prefix tells terms apart. A scan of runs then adds up document frequencies and counts: a run of (lang, term, source) becomes one
+sorted, with term and lang in one binary key, so that the sort's prefix tells terms apart, and a number for each (lang,
+source). A scan of runs then adds up document frequencies and counts: a run of (lang, term, source) becomes one
 row, and a term's runs are let through once its language has it in ``min_docs`` documents. Nothing else is sorted
 or counted again: the runs give the totals of groups, partial sums for pairs of sources, and the terms.
 
@@ -46,15 +47,15 @@ PART_ROWS = 200_000
 #: Shares that are held at once while pairs are added up.
 CELLS = 2_000_000
 
-SPANS = "run binary, source binary, span long, docs long, count long"
-RUNS = "lang binary, term binary, source binary, docs long, count long, lang_docs long, lang_count long, first boolean"
-PAIRS = "lang binary, source binary, other binary, value long, terms long"
+SPANS = "run binary, g long, span long, docs long, count long"
+RUNS = "term binary, g long, docs long, count long, lang_docs long, lang_count long, first boolean"
+PAIRS = "g long, other long, value long, terms long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequency and count of each term of each group, in spans of documents."""
-    counts: dict[tuple[bytes, bytes], Counter] = {}
-    again: dict[tuple[bytes, bytes], dict] = {}  # how many of a term's occurrences aren't its document's first
+    counts: dict[tuple[bytes, int], Counter] = {}
+    again: dict[tuple[bytes, int], dict] = {}  # how many of a term's occurrences aren't its document's first
     held, span = 0, None
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -62,17 +63,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tail, more, n = b"\0" + key[0], again[key].get, len(own)
             count = np.fromiter(own.values(), np.int64, n)
             docs = count - np.fromiter((more(t, 0) for t in own), np.int64, n)
-            columns = [pa.array([t + tail for t in own], pa.binary()), pa.array([key[1]] * n, pa.binary()), pa.array(np.full(n, span)), pa.array(docs), pa.array(count)]
-            yield pa.RecordBatch.from_arrays(columns, names=["run", "source", "span", "docs", "count"])
+            columns = [pa.array([t + tail for t in own], pa.binary()), pa.array(np.full(n, key[1])), pa.array(np.full(n, span)), pa.array(docs), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, names=["run", "g", "span", "docs", "count"])
 
     for batch in batches:
-        names = [batch.column(i) for i in range(3)]
-        for lang, source, text, row in zip(*[c.cast(pa.binary()).to_pylist() for c in names], batch.column(3).to_pylist(), strict=True):
+        langs, texts = (batch.column(i).cast(pa.binary()).to_pylist() for i in (0, 2))
+        for lang, g, text, row in zip(langs, batch.column(1).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
             terms = text.translate(LETTERS).split()
             if not terms:
                 continue
             span = row if span is None else span
-            key = lang, source
+            key = lang, g
             own, more = counts.setdefault(key, Counter()), again.setdefault(key, {})
             before = len(own)
             own.update(terms)
@@ -99,8 +100,8 @@ def _starts(table: pa.Table, names: list[str]) -> np.ndarray:
 
 def _summed(table: pa.Table) -> pa.Table:
     """Sorted rows, one for each run of (lang, term, source)."""
-    at = _starts(table, ["run", "source"])
-    kept = table.select(["run", "source"]).take(pa.array(at))
+    at = _starts(table, ["run", "g"])
+    kept = table.select(["run", "g"]).take(pa.array(at))
     for name in ("docs", "count"):
         kept = kept.append_column(name, pa.array(np.add.reduceat(table.column(name).to_numpy(), at)))
     return kept
@@ -118,9 +119,8 @@ def _scanned(min_docs: int):
             runs = runs.append_column(f"lang_{name}", pa.array(np.repeat(np.add.reduceat(runs.column(name).to_numpy(), at), long)))
         runs = runs.append_column("first", pa.array(first))
         runs = runs.filter(pc.greater_equal(runs.column("lang_docs"), min_docs))
-        names = [r.partition(b"\0") for r in runs.column("run").to_pylist()]  # a term has no byte 0
-        lang, term = (pa.array([x[i] for x in names], pa.binary()) for i in (2, 0))
-        return runs.drop_columns(["run"]).add_column(0, "lang", lang).add_column(1, "term", term)
+        term = pa.array([r.partition(b"\0")[0] for r in runs.column("run").to_pylist()], pa.binary())  # a term has no byte 0
+        return runs.drop_columns(["run"]).add_column(0, "term", term)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: pa.Table | None = None  # the runs of the last term, a row for each source
@@ -167,8 +167,8 @@ def _partial_pairs(key: tuple, runs: pa.Table, groups: pa.Table) -> pa.Table:
     """Of one part of a pair of blocks: each pair of groups with its terms' gains, less what they would be
     if neither group had these terms, and the number of these terms."""
     left_block, right_block = key[1].as_py(), key[2].as_py()
-    source = groups.column("source").to_pylist()
-    place = {s: i for i, s in enumerate(source)}
+    groups = groups.sort_by("g")
+    g = groups.column("g").to_numpy()
     n, v = groups.column("n").to_numpy(), groups.column("v").to_numpy()
     block = groups.column("block").to_numpy()
     empty = share(0, n, v)
@@ -179,20 +179,18 @@ def _partial_pairs(key: tuple, runs: pa.Table, groups: pa.Table) -> pa.Table:
         coded = runs.column("term").combine_chunks().dictionary_encode()
         order = np.argsort(coded.indices.to_numpy(), kind="stable")
         term = coded.indices.to_numpy()[order]
-        who = np.array([place[s] for s in runs.column("source").to_pylist()])[order]
+        who = np.searchsorted(g, runs.column("g").to_numpy())[order]
         p = share(runs.column("count").to_numpy()[order], n[who], v[who])
-        step = max(1, CELLS // len(source))
+        step = max(1, CELLS // len(g))
         for low in range(0, len(coded.dictionary), step):  # so many terms at a time, each with all sources
             of = slice(*np.searchsorted(term, [low, low + step]))
             shares = np.tile(empty, (min(step, len(coded.dictionary) - low), 1))
             has = np.zeros(shares.shape, bool)
             shares[term[of] - low, who[of]], has[term[of] - low, who[of]] = p[of], True
             _add(value, terms, shares, has, rows, cols, empty)
-    names = groups.column("source").combine_chunks()
     i, j = (x.ravel() for x in np.meshgrid(rows, cols, indexing="ij"))
     other = i != j
-    lang = groups.column("lang").combine_chunks().take(pa.array(i[other]))
-    return pa.table({"lang": lang, "source": names.take(pa.array(i[other])), "other": names.take(pa.array(j[other])), "value": value.ravel()[other], "terms": terms.ravel()[other]})
+    return pa.table({"g": g[i[other]], "other": g[j[other]], "value": value.ravel()[other], "terms": terms.ravel()[other]})
 
 
 def _add(value: np.ndarray, terms: np.ndarray, shares: np.ndarray, has: np.ndarray, rows: np.ndarray, cols: np.ndarray, empty: np.ndarray) -> None:
@@ -216,47 +214,62 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def runs_of_terms(docs: DataFrame, *, min_docs: int = 3, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, term, source, docs, count, lang_docs, lang_count, first: a row for each kept term and source, sorted in
-    partitions by (lang, term, source); ``first`` marks the first row of a term."""
-    slim = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text)], F.monotonically_increasing_id()).toDF("lang", "source", "text", "row")
+def named_groups(docs: DataFrame, lang: str, source: str) -> tuple[DataFrame, int]:
+    """lang, source, g: every group of ``docs`` with a 64-bit hash as its number, and the seed by which no two
+    groups have one."""
+    names = cut(docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang, "lang"), (source, "source"))]).distinct())
+    n, seed = names.count(), 0
+    while names.select(_number(seed)).distinct().count() < n:
+        seed += 1
+    return names.select("lang", "source", _number(seed).alias("g")), seed
+
+
+def _number(seed: int, lang: str = "lang", source: str = "source") -> Column:
+    return F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source)])
+
+
+def runs_of_terms(docs: DataFrame, seed: int, *, min_docs: int = 3, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """term, g, docs, count, lang_docs, lang_count, first: a row for each kept term of a language and group, sorted in
+    partitions by (term, lang, group); ``first`` marks the first row of a term."""
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    slim = docs.select(whole(lang), _number(seed, lang, source), whole(text), F.monotonically_increasing_id()).toDF("lang", "g", "text", "row")
     spans = slim.mapInArrow(_counted, SPANS)
-    return spans.repartition("run").sortWithinPartitions("run", "source", "span").drop("span").mapInArrow(_scanned(min_docs), RUNS)
+    return spans.repartition("run").sortWithinPartitions("run", "g", "span").drop("span").mapInArrow(_scanned(min_docs), RUNS)
 
 
 def audit(docs: DataFrame, *, min_docs: int = 3, top: int = 200, block: int = 1_024, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, part, item, value, rank: for each group its divergence from every other source of its
     language (part ``pair``) and the ``top`` terms by which it exceeds its language (part ``term``)."""
-    runs = cut(runs_of_terms(docs, min_docs=min_docs, text=text, lang=lang, source=source))
-    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(k) for c, k in ((lang, "lang"), (source, "source"))])
-    sums = runs.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count_if("first").alias("firsts"), F.count("*").alias("runs"))
-    groups = cut(named.groupBy("lang", "source").count().join(sums, ["lang", "source"], "left").select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "firsts", "runs")]))
-    langs = groups.groupBy("lang").agg(
+    names, seed = named_groups(docs, lang, source)
+    runs = cut(runs_of_terms(docs, seed, min_docs=min_docs, text=text, lang=lang, source=source))
+    sums = runs.groupBy("g").agg(F.sum("count").alias("n"), F.count_if("first").alias("firsts"), F.count("*").alias("runs"))
+    groups = cut(names.join(sums, "g", "left").select("lang", "source", "g", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "firsts", "runs")]))
+    langs = groups.groupBy(F.col("lang").alias("of")).agg(
         F.sum("firsts").alias("v"), F.sum("n").alias("lang_n"),
         F.ceil(F.count("*") / block).cast("long").alias("blocks"), (F.call_function("div", F.sum("runs"), F.lit(PART_ROWS)) + 1).alias("parts"),
     )
-    groups = cut(groups.join(langs, "lang").select("lang", "source", "n", "v", "lang_n", "blocks", "parts", F.pmod(F.xxhash64("source"), F.col("blocks")).alias("block")))
+    groups = cut(groups.join(langs, F.col("lang") == F.col("of")).select("lang", "source", "g", "n", "v", "lang_n", "blocks", "parts", F.pmod("g", F.col("blocks")).alias("block")))
 
-    own = few(groups.select("lang", "source", "n", "v", "lang_n", "blocks", "parts", "block"), BROADCAST_GROUPS)
-    joined = runs.join(own, ["lang", "source"])
+    own = few(groups, BROADCAST_GROUPS)
+    joined = runs.join(own, "g")
     # a group of a block stands on the left of each pair of blocks that has it on the left, and so on the right
-    blocks = F.explode(_met())
-    sent = joined.select("lang", "source", "term", "count", F.pmod(F.xxhash64("term"), F.col("parts")).alias("part"), blocks.alias("at")).select("lang", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "part", "source", "term", "count")
-    heads = groups.select("lang", "source", "n", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), blocks.alias("at")).select("lang", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "part", "source", "n", "v", "block")
-    keys = ["lang", "a", "b", "part"]
-    partial = sent.groupBy(*keys).cogroup(heads.groupBy(*keys)).applyInArrow(_partial_pairs, PAIRS)
-    summed = partial.groupBy("lang", "source", "other").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
-    left, right = own.select("lang", "source", "n", "v"), own.select("lang", F.col("source").alias("other"), F.col("n").alias("other_n"))
-    met = summed.join(left, ["lang", "source"]).join(right, ["lang", "other"])
+    at, keys = F.explode(_met()).alias("at"), ["lang", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "part"]
+    sent = joined.select("lang", "g", "term", "count", F.pmod(F.xxhash64("term"), F.col("parts")).alias("part"), at).select(*keys, "g", "term", "count")
+    heads = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("*", at).select(*keys, "g", "n", "v", "block").withColumnRenamed("lang", "of")
+    partial = sent.groupBy("lang", "a", "b", "part").cogroup(heads.groupBy("of", "a", "b", "part")).applyInArrow(_partial_pairs, PAIRS)
+    summed = partial.groupBy("g", "other").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
+    others = few(groups.select(F.col("g").alias("other"), F.col("source").alias("item"), F.col("n").alias("other_n")), BROADCAST_GROUPS)
+    met = summed.join(own, "g").join(others, "other")
     p, q = share_column(F.lit(0), F.col("n"), F.col("v")), share_column(F.lit(0), F.col("other_n"), F.col("v"))
     rest = (F.col("v") - F.col("terms")) * F.call_function("div", (p - q) * (p - q), q)
-    pairs = met.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), F.when(F.col("v") > 0, F.col("value") + rest).otherwise(0).alias("value"))
+    pairs = met.select("lang", "source", "g", F.lit("pair").alias("part"), "item", F.when(F.col("v") > 0, F.col("value") + rest).otherwise(0).alias("value"))
 
     p, q = share_column(F.col("count"), F.col("n"), F.col("v")), share_column(F.col("lang_count"), F.col("lang_n"), F.col("v"))
-    terms = joined.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q").select("lang", "source", "part", "item", F.expr("(p - q) * (p - q) div q").alias("value"))
-    order = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    ranked = pairs.withColumn("rank", order).unionByName(terms.withColumn("rank", order).where(F.col("rank") <= top))
-    return ranked.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "part", "item")], "value", F.col("rank").cast("int").alias("rank"))
+    gained = joined.select("g", "term", p.alias("p"), q.alias("q")).where("p > q").select("g", "term", F.expr("(p - q) * (p - q) div q").alias("value"))
+    best = F.row_number().over(W.partitionBy("g").orderBy(F.desc("value"), "term"))
+    terms = gained.withColumn("rank", best).where(F.col("rank") <= top).join(own, "g").select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value", "rank")
+    order = F.row_number().over(W.partitionBy("g").orderBy(F.desc("value"), "item"))
+    return pairs.withColumn("rank", order).drop("g").unionByName(terms)
 
 
 def _met() -> Column:

@@ -69,12 +69,22 @@ def test_parts_of_any_size(spark, monkeypatch, name, value):
 def test_scan_over_batch_edges():
     import pyarrow as pa
 
-    rows = [(t + b"\0en", s, 1, 2) for t in (b"a", b"b", b"c") for s in (b"s", b"t") for _ in range(3 if t != b"b" else 1)]
-    names = ["run", "source", "docs", "count"]
+    rows = [(t + b"\0en", g, 1, 2) for t in (b"a", b"b", b"c") for g in (7, 8) for _ in range(3 if t != b"b" else 1)]
     for step in (1, 2, 5, 50):
-        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + step]]) for i in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(["run", "g", "docs", "count"], r, strict=True)) for r in rows[i : i + step]]) for i in range(0, len(rows), step)]
         out = [r for b in divergence._scanned(3)(iter(batches)) for r in b.to_pylist()]
-        assert [(r["term"], r["source"], r["docs"], r["count"], r["lang_docs"], r["lang_count"], r["first"]) for r in out] == [(t, s, 3, 6, 6, 12, s == b"s") for t in (b"a", b"c") for s in (b"s", b"t")]
+        assert [(r["term"], r["g"], r["docs"], r["count"], r["lang_docs"], r["lang_count"], r["first"]) for r in out] == [(t, g, 3, 6, 6, 12, g == 7) for t in (b"a", b"c") for g in (7, 8)]
+
+
+def test_numbers_of_groups_that_meet_are_dealt_anew(spark, monkeypatch):
+    """With a hash of few values the first seeds give two groups one number."""
+    plain = divergence._number
+    monkeypatch.setattr(divergence, "_number", lambda seed, *names: F.pmod(plain(seed, *names), F.lit(40)))
+    rows = documents(40)
+    names, seed = divergence.named_groups(frame(spark, rows), "lang", "source")
+    numbers = [r.g for r in names.collect()]
+    assert seed > 0 and len(set(numbers)) == len(numbers)
+    assert sorted(map(tuple, divergence.audit(frame(spark, rows)).collect())) == sorted(brute(rows))
 
 
 def test_shares_are_exact_in_numpy_and_in_the_plan(spark):
