@@ -334,10 +334,12 @@ def near_blocks(df: DataFrame, vector: str, key: str, k: int, block: int) -> Dat
     rows' nearest in itself first: the farthest of these bounds how far away anything of use to it can be. By the
     triangle inequality a block whose pivot is further off than this and both radii holds nothing.
     """
-    rows = cut(df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
     n = rows.count()
-    if not n:
-        return df.sparkSession.createDataFrame([], "block long, key array<long>, x array<double>, targets array<long>")
+    pack = lambda own: own.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("r")).select("block", "r.key", F.flatten("r.v").alias("x"))
+    if n <= block:  # one block, which meets itself
+        return pack(rows.withColumn("block", F.lit(0).cast("long"))).withColumn("targets", F.array("block"))
+    rows = cut(rows)
     cells = min(MOST_PIVOTS, max(1, -(-n // block)))
     drawn = rows.orderBy(F.xxhash64("key"), "key", "v").limit(cells).select("v").toArrow()  # at most MOST_PIVOTS rows
     pivots = np.array(drawn.column("v").to_pylist(), float).reshape(drawn.num_rows, -1)
@@ -352,7 +354,7 @@ def near_blocks(df: DataFrame, vector: str, key: str, k: int, block: int) -> Dat
     placed = cut(rows.mapInArrow(assigned, "key long, v array<double>, cell long"))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
     own = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("key"), F.col("parts")))  # at most MOST_PIVOTS rows
-    packed = cut(own.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("r")).select("block", "r.key", F.flatten("r.v").alias("x")))
+    packed = cut(pack(own))
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lociscale.functions.columns import hash_rank
 
 
-#: Cells that the distinct values of a group are cut into: ``CELLS`` by the first splitters, each by as many more.
-CELLS = 16
+#: Distinct values of a group are cut into CELLS parts, and each of these into as many cells.
+CELLS = 8
 
 
 def value_cells(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -20,13 +20,13 @@ def value_cells(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
     distinct values, so cells hold about equally many of these wherever on the scale they lie, and values that are
     equal as doubles share one. A hot value is one row here; it can't fill a cell."""
     x, n = F.col(value).cast("double"), CELLS * CELLS
-    marks = F.percentile_approx(x, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n))
-    splitters = counts.groupBy(*by).agg(marks.alias("__marks"))
-    joined = counts.join(splitters, by) if by else counts.crossJoin(F.broadcast(splitters))  # without groups, one row
+    marks = counts.groupBy(*by).agg(F.percentile_approx(x, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n)).alias("__marks"))
+    firsts = F.array(*[F.get("__marks", F.lit(i - 1)) for i in range(CELLS, n, CELLS)])
+    marks = marks.select(*by, "__marks", firsts.alias("__firsts"))
+    joined = counts.join(marks, by) if by else counts.crossJoin(F.broadcast(marks))  # without groups, one row
     below = lambda marks: F.size(F.filter(marks, lambda m: m < x))
-    first = below(F.transform(F.sequence(F.lit(CELLS), F.lit(n - CELLS), F.lit(CELLS)), lambda i: F.get("__marks", (i - 1).cast("int"))))
-    coarse = joined.withColumn("__coarse", first)
-    return coarse.withColumn("__cell", F.col("__coarse") * CELLS + below(F.slice("__marks", F.col("__coarse") * CELLS + 1, CELLS - 1))).drop("__marks", "__coarse")
+    part = joined.withColumn("__part", below(F.col("__firsts")) * CELLS)
+    return part.withColumn("__cell", F.col("__part") + below(F.slice("__marks", F.col("__part") + 1, CELLS - 1))).drop("__marks", "__firsts", "__part")
 
 
 def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -34,7 +34,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     distribution. Rows are summed to distinct values first; these are ordered cell by cell, and a running sum over a
     group's cells gives each cell its start."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    cells = value_cells(counts, value, by)
+    cells = value_cells(counts, value, by).repartition(*by, "__cell")  # the one exchange that sums and ranks share
     sums = cells.groupBy(*by, "__cell").agg(F.sum("n").alias("__n"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # at most CELLS squared rows a group
     sums = sums.withColumn("__start", F.coalesce(F.sum("__n").over(group.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
