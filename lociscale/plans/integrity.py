@@ -392,7 +392,8 @@ def variant_file(spark: SparkSession, sf: str) -> DataFrame:
     writers.write_vcf(v, out, ["##fileformat=VCFv4.2"])
     files = spark.read.text(out).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).where("NOT startswith(value, '#')")
     f = F.split("value", "\t")
-    placed = files.select("file", "at", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"))
+    passing = files.where(F.get(f, F.lit(6)) == "PASS")  # a site may stand there twice, as passing and as not
+    placed = passing.select("file", "at", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"))
     sites = readers.vcf_sites(spark, out).select("chrom", "pos", "ref", "alt")
     from lociscale.plans.lineage import numbered
 
