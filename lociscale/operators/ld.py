@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociscale.operators.joins import in_blocks
 from lociscale.plans.lineage import cut, numbered
 
 _R2 = T.StructType([T.StructField("n_complete", T.IntegerType()), T.StructField("r2", T.DoubleType()), T.StructField("status", T.StringType())])
@@ -103,7 +104,7 @@ def dosage_r2(loci: DataFrame, *, group: str, pos: str, key: str, vector: str, r
     left = own.select("g", F.col("pos").alias("left_pos"), F.col("key").alias("left_key"), F.col("v").alias("a"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
     right = own.select("g", F.col("pos").alias("right_pos"), F.col("key").alias("right_key"), F.col("v").alias("b"), "bin")
     after = (F.col("right_pos") > F.col("left_pos")) | ((F.col("right_pos") == F.col("left_pos")) & (F.col("right_key") > F.col("left_key")))
-    met = left.join(right, ["g", "bin"]).where(after & (F.col("right_pos") - F.col("left_pos") <= reach))
+    met = in_blocks(left, right, ["g", "bin"], "right_key").where(after & (F.col("right_pos") - F.col("left_pos") <= reach))
     sums = met.withColumn("s", plane_sums(F.col("a"), F.col("b")))
     n, x, y = F.coalesce("s.n", F.lit(0)), F.col("s.x"), F.col("s.y")
     vx, vy, xy = n * F.col("s.xx") - x * x, n * F.col("s.yy") - y * y, n * F.col("s.xy") - x * y
