@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from lociscale.operators.joins import in_blocks
 from lociscale.plans.lineage import cut, numbered
 
+#: Places or positions that one task goes through at most where a stretch is decided in rounds.
+WIDEST = 1 << 17
+
 _R2 = T.StructType([T.StructField("n_complete", T.IntegerType()), T.StructField("r2", T.DoubleType()), T.StructField("status", T.StringType())])
 
 
@@ -136,81 +139,131 @@ def segments(nodes: DataFrame, edges: DataFrame, width: int = 1 << 16) -> DataFr
 
 
 def _thinned(nodes: pa.Table, edges: pa.Table) -> pa.Table:
-    """Nodes (i, turn) of some segments decided one after the other, in the order of their turns."""
-    own = nodes.sort_by("turn")
-    i = own.column("i").to_numpy()
-    places = np.argsort(i)
-    one, two = (places[np.searchsorted(i[places], edges.column(c).to_numpy())] for c in ("l", "r"))
-    first, second = np.minimum(one, two), np.maximum(one, two)
+    """Nodes (i, hit, open) of some segments or of a part of one, decided one after the other: removed by a kept one on
+    their left, or by one outside (``hit``). What hangs on a node that is still open stays open (null)."""
+    own = nodes.sort_by("i")
+    i, hit, unsure = (own.column(c).to_numpy() for c in ("i", "hit", "open"))
+    first, second = (np.searchsorted(i, edges.column(c).to_numpy()) for c in ("l", "r"))
     order = np.argsort(second, kind="stable")
     first, ends = first[order], np.searchsorted(second[order], np.arange(len(i) + 1))
-    kept = np.ones(len(i), bool)
-    for at in np.flatnonzero(np.diff(ends)):
-        kept[at] = not kept[first[ends[at] : ends[at + 1]]].any()
-    return pa.table({"i": i, "kept": kept})
+    state = np.ones(len(i), np.int8)  # 0 removed, 1 kept, 2 open
+    for at in np.flatnonzero((np.diff(ends) > 0) | hit | unsure):
+        before = state[first[ends[at] : ends[at + 1]]]
+        state[at] = 0 if hit[at] or (before == 1).any() else 2 if unsure[at] or (before == 2).any() else 1
+    return pa.table({"i": i, "kept": pa.array(state == 1, mask=state == 2)})
 
 
-def _by_segments(placed: DataFrame, edges: DataFrame, local: int) -> tuple[DataFrame, DataFrame]:
-    """``placed`` (i, turn, ...) with ``kept``, in all segments of up to ``local`` nodes, and the rows of larger ones. Edges
-    (l < r) join places; of two joined nodes the one of the earlier turn decides on the other."""
+def _by_segments(placed: DataFrame, edges: DataFrame, local: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``placed`` (i, ...) with ``kept``, in all segments of up to ``local`` nodes, and the rows and the edges of larger ones.
+    Edges (l < r) join places; the left one decides on the right one."""
     cut_up = cut(segments(placed, edges))
     sizes = cut_up.groupBy("segment").agg(F.count("*").alias("n")).where("n > 1")
     sized = cut(cut_up.join(sizes, "segment", "left"))  # alone: no link, retained
     part = F.call_function("div", F.col("segment"), F.lit(max(1, local))).alias("part")  # neighbouring segments go together
     linked = edges.join(sized.select(F.col("i").alias("r"), "segment", "n"), "r")
-    small, own = sized.where(F.col("n") <= local).select(part, "i", "turn"), linked.where(F.col("n") <= local).select(part, "l", "r")
+    no = F.lit(False)
+    small, own = sized.where(F.col("n") <= local).select(part, "i", no.alias("hit"), no.alias("open")), linked.where(F.col("n") <= local).select(part, "l", "r")
     decided = small.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(lambda a, b: _thinned(a, b), "i long, kept boolean")
     whole = sized.join(decided, "i", "left").where(F.col("n").isNull() | (F.col("n") <= local)).withColumn("kept", F.coalesce("kept", F.lit(True)))
-    return whole.drop("segment", "n"), sized.where(F.col("n") > local).drop("segment", "n")
-
-
-def exclusion(sites: DataFrame, *, group: str, pos: str, order: str, apart: int, local: int = 50_000, most: int = 200) -> DataFrame:
+    return whole.drop("segment", "n"), sized.where(F.col("n") > local).drop("segment", "n"), linked.where(F.col("n") > local).select("l", "r")
+
+
+def _by_parts(nodes: DataFrame, edges: DataFrame, local: int, most: int) -> DataFrame:
+    """``nodes`` (i) with ``kept``, of segments of any size: a task goes through ``local`` places, and leaves open what hangs
+    on open nodes of the places before. Rounds are as many as the parts that a chain of decisions passes without a node
+    that is decided by itself, not as its decisions; only parts with open nodes take another. After ``most`` rounds
+    parts grow, up to ``WIDEST`` places."""
+    width, rounds = max(1, local), 0
+    links = cut(edges)
+    state = nodes.select("i", F.lit(None).cast("boolean").alias("kept"))
+    while True:
+        part = lambda c: F.call_function("div", F.col(c), F.lit(width))  # noqa: E731, B023
+        placed = state.withColumn("part", part("i"))
+        live = placed if not rounds else placed.join(placed.where("kept IS NULL").select("part").distinct(), "part", "left_semi")
+        ends = links.where(part("l") != part("r")).join(state.select(F.col("i").alias("l"), "kept"), "l")
+        votes = ends.groupBy(F.col("r").alias("i")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
+        told = live.select("part", "i").join(votes, "i", "left").select("part", "i", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("hit", "open")])
+        inside = links.where(part("l") == part("r")).select(part("l").alias("part"), "l", "r")
+        if rounds:
+            inside = inside.join(told.select("part").distinct(), "part", "left_semi")
+        now = told.groupBy("part").cogroup(inside.groupBy("part")).applyInArrow(lambda a, b: _thinned(a, b), "i long, kept boolean")
+        state = cut(state.join(now.withColumnRenamed("kept", "now"), "i", "left").select("i", F.coalesce("kept", "now").alias("kept")))
+        rounds += 1
+        if not state.where("kept IS NULL").limit(1).count():
+            return state
+        width = min(2 * width, max(width, WIDEST)) if rounds >= most else width
+
+
+def _spaced(rows: pa.Table, apart: int) -> pa.Table:
+    """What a bin's own sites come to (null: it hangs on a site outside that is open). Sites (p, turn, kept, own), of each
+    position one, are taken in turn."""
+    rows = rows.sort_by("p")
+    p, own, known = rows.column("p").to_numpy(), rows.column("own").to_numpy(), rows.column("kept").fill_null(False).to_numpy()
+    low, high = np.searchsorted(p, p - apart, "right"), np.searchsorted(p, p + apart)
+    out, unsure, state = np.zeros(len(p), bool), np.zeros(len(p), bool), np.full(len(p), 2, np.int8)
+    for at in np.argsort(rows.column("turn").to_numpy()):
+        if not known[at] and out[at]:
+            state[at] = 0
+        elif known[at] or own[at] and not unsure[at]:
+            state[at] = 1
+            out[low[at] : high[at]] = True
+        else:
+            unsure[low[at] : high[at]] = True
+    told = rows.select(["g", "p", "turn"]).append_column("kept", pa.array(state == 1, mask=state == 2))
+    return told.filter(pa.array(own & ~known))
+
+
+def exclusion(sites: DataFrame, *, group: str, pos: str, order: str, apart: int, local: int = 50_000, most: int = 4) -> DataFrame:
     """``sites`` with ``kept``: in the order given (ties by position, then copies one after the other), a site is kept if
     none kept before it in its group is within ``apart``. A site without a position excludes none.
 
-    Sites closer than ``apart`` are linked, and stretches of the positions that no link crosses are decided at once, each in
-    its own order; only stretches of more than ``local`` sites take rounds.
+    Of the sites of one position only the first can be kept. These are decided in bins of ``local`` positions (or twice
+    ``apart``), into which the sites within ``apart`` outside are copied: no pairs are made. What hangs on an open site of another
+    bin waits for the next round, for which only bins with open sites are read; after ``most`` rounds bins grow.
     """
     names = sites.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     base = sites.select(row.alias("row"), F.col(group).alias("g"), F.col(pos).cast("long").alias("p"), F.col(order).alias("o"))
+    if apart <= 0:
+        return base.select("row.*", F.lit(True).alias("kept"))
     turns = numbered(base, "turn", "o", "p")  # copies get turns of their own
-    placed = cut(numbered(turns, "i", "g", "p", "turn"))
-    cell = F.floor(F.col("p") / max(1, apart))
-    a = placed.where("p IS NOT NULL").select("g", F.explode(F.array(cell, cell + 1)).alias("cell"), F.col("p").alias("lp"), F.col("i").alias("l"))
-    b = placed.where("p IS NOT NULL").select("g", cell.alias("cell"), F.col("p").alias("rp"), F.col("i").alias("r"))
-    near = (F.col("rp") - F.col("lp") < apart) & (F.col("l") < F.col("r"))
-    met = a.alias("a").join(b.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.cell") == F.col("b.cell"))).where(near)
-    edges = cut(met.select("l", "r"))
-    whole, large = _by_segments(placed, edges, local)
-    out = whole.select("row", "kept")
-    if large.limit(1).count():
-        turn = large.select("i", "turn")
-        ends = edges.join(turn.select(F.col("i").alias("l"), F.col("turn").alias("lt")), "l").join(turn.select(F.col("i").alias("r"), F.col("turn").alias("rt")), "r")
-        links = cut(ends.select(F.least("lt", "rt").alias("left_key"), F.greatest("lt", "rt").alias("right_key")))
-        state = _settled(cut(large.select(F.col("turn").alias("k"), F.lit(None).cast("boolean").alias("kept"))), links, [], most)
-        out = out.unionByName(large.join(state, F.col("turn") == F.col("k")).select("row", "kept"))
-    return out.select("row.*", "kept")
-
-
-def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[str] | None = None, most: int = 200, local: int = 50_000) -> DataFrame:
+    left = cut(turns.where("p IS NOT NULL").groupBy("g", "p").agg(F.min("turn").alias("turn")).withColumn("kept", F.lit(None).cast("boolean")))
+    kept, width, rounds = left.where("false"), max(local, 2 * apart), 0
+    while True:
+        at = lambda x: F.floor(x / F.lit(width))  # noqa: E731, B023
+        own = at(F.col("p"))
+        bins = F.explode(F.array_distinct(F.array(at(F.col("p") - (apart - 1)), own, at(F.col("p") + (apart - 1)))))
+        dealt = left.unionByName(kept).select("*", bins.alias("bin")).withColumn("own", own == F.col("bin"))
+        if rounds:
+            live = left.select(F.col("g").alias("__g"), own.alias("__bin")).distinct()
+            dealt = dealt.join(live, F.col("g").eqNullSafe(F.col("__g")) & (F.col("bin") == F.col("__bin")), "left_semi")
+        told = cut(dealt.groupBy("g", "bin").applyInArrow(lambda rows: _spaced(rows, apart), left.schema))
+        left, kept = told.where("kept IS NULL"), cut(kept.unionByName(told.where("kept")))
+        rounds += 1
+        if not left.limit(1).count():
+            break
+        width = min(2 * width, max(width, WIDEST)) if rounds >= most else width
+    out = turns.join(kept.select("turn", "kept"), "turn", "left")
+    return out.select("row.*", (F.col("kept").isNotNull() | F.col("p").isNull()).alias("kept"))
+
+
+def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[str] | None = None, most: int = 4, local: int = 50_000) -> DataFrame:
     """``nodes`` with retained and removed_by: in the order of keys, a retained node removes those after
     it that it is linked to (``links``: left_key < right_key in that order, distance, r2).
 
     Nodes are cut into segments that no link crosses, and every segment is decided by itself, all at once: a
-    task goes through some of them in the order of keys. Only segments of more than ``local`` nodes are solved over all
-    their nodes in rounds instead (``_settled``). Links whose ends aren't both nodes don't count.
+    task goes through some of them in the order of keys. Only segments of more than ``local`` nodes are cut into parts, which
+    take rounds (``_by_parts``). Links whose ends aren't both nodes don't count.
     """
     by = by or []
     edges = cut(links.select(*by, "left_key", "right_key", "distance", "r2"))
     placed = cut(numbered(nodes.select(*by, F.col(key).alias("k")).distinct(), "i", *by, "k"))
     end = lambda name, out: placed.select(*by, F.col("k").alias(name), F.col("i").alias(out))
     indexed = cut(edges.join(end("left_key", "l"), [*by, "left_key"]).join(end("right_key", "r"), [*by, "right_key"]).select("l", "r"))
-    whole, rest = _by_segments(placed.withColumn("turn", F.col("i")), indexed, local)
-    large = cut(rest.select(*by, "k", F.lit(None).cast("boolean").alias("kept")))
+    whole, rest, links = _by_segments(placed, indexed, local)
     state = whole.select(*by, "k", "kept")
-    if large.limit(1).count():
-        state = state.unionByName(_settled(large, edges, by, most))
+    if rest.limit(1).count():
+        state = state.unionByName(rest.join(_by_parts(rest, links, local, most), "i").select(*by, "k", "kept"))
     state = cut(state)
     kept = state.where("kept").select(*by, F.col("k").alias("left_key"))
     remover = edges.join(kept, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.min(F.struct("left_key", "distance", "r2")).alias("m"))
@@ -219,25 +272,9 @@ def greedy_thinning(nodes: DataFrame, links: DataFrame, *, key: str, by: list[st
     return out.select(*by, F.col("k").alias(key), F.col("kept").alias("retained"), *[F.when(gone, F.col(f"m.{c}")).alias(name) for c, name in (("left_key", "removed_by"), ("distance", "removal_distance"), ("r2", "removal_r2"))])
 
 
-def _settled(state: DataFrame, edges: DataFrame, by: list[str], most: int) -> DataFrame:
-    """``state`` (k, kept) solved as a fixpoint over all nodes at once: a node none of whose left neighbours can still
-    be retained is retained, and what a retained one is linked to is removed. Rounds are as many as the longest chain
-    of decisions, and each is materialised. What ``most`` rounds leave open is folded in the order of keys, by one task
-    for each group of ``by``."""
-    for _ in range(most):
-        left = state.select(*by, F.col("k").alias("left_key"), F.col("kept").alias("left_kept"))
-        votes = edges.join(left, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.bool_or(F.coalesce("left_kept", F.lit(False))).alias("hit"), F.bool_or(F.col("left_kept").isNull()).alias("open"))
-        joined = state.join(votes, [*by, "k"], "left")
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = cut(joined.select(*by, "k", now.alias("kept")))
-        if not state.where("kept IS NULL").count():
-            return state
-    return cut(_folded(state, edges, by))
-
-
 def thinning_profiles(nodes: DataFrame, links: DataFrame, profiles: dict[str, tuple[int, float]], *, key: str, by: list[str] | None = None) -> DataFrame:
     """``greedy_thinning`` under several profiles (name: window, least r2) at once: profile, window, threshold
-    and its columns. Every profile is a group of its own in one fixpoint."""
+    and its columns. Every profile is a group of its own in one thinning."""
     items = F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(w).alias("window"), F.lit(t).alias("threshold")) for n, (w, t) in profiles.items()])
     each = lambda df: df.withColumn("__p", F.explode(items)).select("*", "__p.*").drop("__p")
     own = each(links).where((F.col("distance") <= F.col("window")) & (F.col("r2") >= F.col("threshold")))
@@ -245,27 +282,6 @@ def thinning_profiles(nodes: DataFrame, links: DataFrame, profiles: dict[str, tu
     return greedy_thinning(each(nodes), own, key=key, by=groups)
 
 
-def _folded(state: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """``state`` with the open nodes of each group decided one after the other."""
-    left = state.select(*by, F.col("k").alias("left_key"), F.col("kept").alias("left_kept"))
-    votes = edges.join(left, [*by, "left_key"]).groupBy(*by, F.col("right_key").alias("k")).agg(F.bool_or(F.coalesce("left_kept", F.lit(False))).alias("hit"), F.collect_list(F.when(F.col("left_kept").isNull(), F.col("left_key"))).alias("lefts"))
-    still = state.where("kept IS NULL").select(*by, "k").join(votes, [*by, "k"], "left")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        kept, out = set(), []
-        for k, hit, lefts in zip(rows["k"], rows["hit"], rows["lefts"], strict=True):
-            own = not hit and not (lefts is not None and any(x in kept for x in lefts))
-            if own:
-                kept.add(k)
-            out.append(own)
-        return rows[[*by, "k"]].assign(kept=out)
-
-    ready = still.select(*by, "k", F.coalesce("hit", F.lit(False)).alias("hit"), "lefts")
-    decided = ready.groupBy(*by).applyInPandas(fold, state.select(*by, "k", "kept").schema)
-    return state.where("kept IS NOT NULL").select(*by, "k", "kept").unionByName(decided)
-
-
 def threshold_counts(pairs: DataFrame, windows: list[int], thresholds: list[float]) -> DataFrame:
     """window, pairs, valid and a count for each r2 threshold."""
     items = F.filter(F.array(*[F.when(F.col("distance") <= w, F.lit(w)) for w in windows]), lambda x: x.isNotNull())
