@@ -33,7 +33,11 @@ def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``by``, value, n, rank: the tie-averaged rank of each distinct value in its group, at any size and any
     distribution. Rows are summed to distinct values first; these are ordered cell by cell, and a running sum over a
     group's cells gives each cell its start."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return count_ranks(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), value, by)
+
+
+def count_ranks(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``value_ranks`` from the counts ``n`` of distinct values."""
     cells = value_cells(counts, value, by).repartition(*by, "__cell")  # the one exchange that sums and ranks share
     sums = cells.groupBy(*by, "__cell").agg(F.sum("n").alias("__n"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # at most CELLS squared rows a group
@@ -72,6 +76,33 @@ def medians(df: DataFrame, value: str, by: list[str], out: str = "median") -> Da
     return middle.select(*by, ((F.col("__low") + F.col("__high")) / 2).alias(out))
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """``by`` and the exact quantiles of ``wanted`` (name: share), interpolated as ``percentile`` does, of groups of any size, from
+    the ranks of their distinct values: no task gathers a group's. A null in ``by`` is a group like others; groups without
+    a value have no row."""
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("__all"), *by).alias("__by"), F.col(value).cast("double").alias("__v"))
+    ranks = value_ranks(rows, "__v", ["__by"])
+    ranks = ranks.join(ranks.groupBy("__by").agg((F.sum("n") - 1).alias("__last")), "__by")
+    before = F.col("rank") - (F.col("n") + 1) / 2
+    at = lambda place: F.max(F.when((before <= place) & (place < before + F.col("n")), F.col("__v")))
+    ends = [f(at_(F.col("__last") * F.lit(q))).alias(f"__{e}{i}") for i, q in enumerate(wanted.values()) for e, f, at_ in (("l", at, F.floor), ("h", at, F.ceil))]
+    found = ranks.groupBy("__by").agg(F.max("__last").alias("__last"), *ends)
+    out = []
+    for i, (name, q) in enumerate(wanted.items()):
+        place, low, high = F.col("__last") * F.lit(q), F.col(f"__l{i}"), F.col(f"__h{i}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(name))
+    return found.select(*[F.col(f"__by.`{c}`").alias(c) for c in by], *out)
+
+
+def with_quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float], columns: list[Column]) -> DataFrame:
+    """``by``, the aggregates ``columns`` and the ``quantiles`` of each group."""
+    own, found = df.groupBy(*by).agg(*columns), quantiles(df, value, by, wanted)
+    met = F.lit(True)
+    for c in by:
+        met = F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) & met
+    return own.alias("a").join(found.alias("b"), met, "left").select("a.*", *[F.col(f"b.`{n}`") for n in wanted])
+
+
 def group_average_rank(value: Column, by: list[Column | str]) -> Column:
     """The same as a window expression, for groups that fit in one task (candidates of a locus)."""
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lociscale.functions.columns import normal_quantile
 from lociscale.operators.contracts import ContractError
-from lociscale.operators.ranks import average_ranks
+from lociscale.operators.ranks import average_ranks, with_quantiles
 from lociscale.operators.stats import correlations
 from lociscale.plans.lineage import cut, numbered
 
@@ -60,8 +60,7 @@ def key_sets(tables: dict[str, DataFrame], key: list[str]) -> DataFrame:
 
 def genotype_groups(df: DataFrame, dosage: str, value: str) -> DataFrame:
     """dosage, n, quartiles and mean of a value by genotype class."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.where(F.col(dosage).isNotNull()).groupBy(dosage).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *[F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    return with_quantiles(df.where(F.col(dosage).isNotNull()), value, [dosage], {"q25": 0.25, "median": 0.5, "q75": 0.75}, [F.count(value).alias("n"), F.avg(value).alias("mean")])
 
 
 def panels(tables: dict[str, DataFrame]) -> DataFrame:
@@ -135,11 +134,9 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
     items = F.array(*[F.struct(F.lit(c).alias("column"), clean(c).alias("x")) for c in columns])
     long = df.select(*by, F.explode(items).alias("i")).select(*by, "i.*")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy(*by, "column").agg(
-        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).alias("sd"), F.min("x").alias("min"),
-        *[F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))], F.max("x").alias("max"),
-    )
+    own = [F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).alias("sd"), F.min("x").alias("min"), F.max("x").alias("max")]
+    quartiles = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    return with_quantiles(long, "x", [*by, "column"], quartiles, own).select(*by, "column", "n", "missing", "mean", "sd", "min", *quartiles, "max")
 
 
 def worked_locus(rankings: DataFrame, k: int = 5) -> DataFrame:

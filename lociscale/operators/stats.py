@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociscale.operators.ranks import rank_pairs, value_ranks
+from lociscale.operators.ranks import count_ranks, quantiles, value_ranks, with_quantiles
 
 
-def summary_columns(x: Column) -> list[Column]:
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.when(F.count(x) > 1, F.stddev_samp(x)).alias("sd"), F.get(q, F.lit(1)).alias("median"), F.get(q, F.lit(0)).alias("q25"), F.get(q, F.lit(2)).alias("q75"), F.min(x).alias("min"), F.max(x).alias("max")]
+QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
 def group_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(*summary_columns(F.col(value)))
+    """by, n, mean, sd, median, quartiles, min and max; quartiles come from the ranks of distinct values."""
+    x = F.col(value)
+    out = with_quantiles(df, value, by, QUARTILES, [F.count(x).alias("n"), F.avg(x).alias("mean"), F.when(F.count(x) > 1, F.stddev_samp(x)).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max")])
+    return out.select(*by, "n", "mean", "sd", *QUARTILES, "min", "max")
 
 
 def score_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``group_summary`` and the share of negative values."""
     negative = F.avg(F.when(F.col(value).isNotNull(), (F.col(value) < 0).cast("double")))
-    return df.groupBy(*by).agg(*summary_columns(F.col(value)), negative.alias("proportion_negative"))
+    own, shares = group_summary(df, value, by), df.groupBy(*by).agg(negative.alias("proportion_negative"))
+    met = F.lit(True)
+    for c in by:
+        met = F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) & met
+    return own.alias("a").join(shares.alias("b"), met).select("a.*", "b.proportion_negative")
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -43,11 +48,31 @@ def complete(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """by, method, n, estimate for pearson and spearman, ranks taken inside each group's complete pairs."""
+    """by, method, n, estimate for pearson and spearman, ranks taken inside each group's complete pairs.
+
+    Pearson is one aggregation of the rows. For Spearman these are summed to distinct pairs first: one exchange, from which both
+    columns' counts are made and to whose rows the ranks are joined.
+    """
     by = by or []
     rows = complete(df, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranked = rank_pairs(rows, "x", "y", by)
-    both = ranked.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("pearson"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
+    plain = rows.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("pearson"))
+    grouped = rows  # null groups have no ranks; filtered here, all that follows can share one exchange
+    for c in by:
+        grouped = grouped.where(F.col(c).isNotNull())
+    pairs = grouped.groupBy(*by, "x", "y").agg(F.count("*").alias("w"))
+    ranked = pairs
+    for value, name in (("x", "rx"), ("y", "ry")):
+        ranks = count_ranks(pairs.groupBy(*by, value).agg(F.sum("w").alias("n")), value, by)
+        ranked = ranked.join(ranks.select(*by, value, (2 * F.col("rank")).alias(name)), [*by, value], "left")  # whole numbers
+    w, a, b = F.col("w"), F.col("rx"), F.col("ry")
+    sums = ranked.groupBy(*by).agg(*[F.sum(w * v).alias(f"__{n}") for n, v in (("n", F.lit(1.0)), ("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))], ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("__spread"))
+    n, sa, sb = F.col("__n"), F.col("__a"), F.col("__b")
+    rho = F.try_divide(n * F.col("__ab") - sa * sb, F.sqrt((n * F.col("__aa") - sa * sa) * (n * F.col("__bb") - sb * sb)))
+    found = sums.select(*by, F.when(F.col("__spread"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("spearman"))
+    met = F.lit(True)
+    for c in by:
+        met = F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) & met
+    both = plain.alias("a").join(found.alias("b"), met, "left").select("a.*", "b.spearman")
     return both.select(*by, "n", F.expr("stack(2, 'pearson', pearson, 'spearman', spearman) AS (method, estimate)"))
 
 
@@ -75,7 +100,8 @@ def subset_medians(df: DataFrame, x: str, y: str, subsets: dict[str, Column]) ->
     """subset, n, median_x, median_y over the complete rows of overlapping subsets."""
     flags = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in subsets.items()]), lambda v: v.isNotNull())
     rows = complete(df, x, y).withColumn("subset", F.explode(flags))
-    return rows.groupBy("subset").agg(F.count("*").alias("n"), F.percentile(x, F.lit(0.5)).alias("median_x"), F.percentile(y, F.lit(0.5)).alias("median_y"))
+    own = with_quantiles(rows, x, ["subset"], {"median_x": 0.5}, [F.count("*").alias("n")])
+    return own.join(quantiles(rows, y, ["subset"], {"median_y": 0.5}), "subset").select("subset", "n", "median_x", "median_y")
 
 
 def rank_biserial(df: DataFrame, value: str, label: str, a: object, b: object) -> DataFrame:
