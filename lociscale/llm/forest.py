@@ -269,9 +269,10 @@ def walk(sets: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999999)
         nodes = nodes.groupBy("n", "x", "s").agg(F.min(F.struct("tree", "node", "shingles")).alias("m")).select("n", "m.node", "m.shingles")
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         own = rows.join(nodes.select("node", blocks.alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        own = own.join(sets.select("id", "signature"), "id")  # a row a member; only then it is dealt to the pairs of its block
         other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = other.select("node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "tree", "block", "id", "walks", "label")
-        signed = dealt.join(sets.select("id", "signature"), "id").repartition(*group).sortWithinPartitions(*group, "label")
+        dealt = other.select("node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "tree", "block", "id", "walks", "label", "signature")
+        signed = dealt.repartition(*group).sortWithinPartitions(*group, "label")
         schema = "node long, one int, two int, tree int, block int, id long, walks boolean, n long" + "".join(f", w{d} double" for d in weighed)
         found.append(cut(signed.drop("label").mapInArrow(_met(threshold, length, weighed), schema)))
         if weighed:
@@ -384,7 +385,10 @@ def _linked(docs: DataFrame, threshold: float, recall: float, text: str, key: st
     picked = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.body") == F.col("b.body"))).select("a.text", "b.id", "b.copies")
     shingled = picked.mapInArrow(_shingled, "id long, copies long, shingles binary").dropDuplicates(["id"])
     group = ["length", "node", "one", "two"]
-    compared = active.join(shingled, "id").repartition(*group).sortWithinPartitions(*group)
+    # a node's member meets its shingles once, whatever the pairs of blocks it is compared in
+    members = active.groupBy("length", "node", "tree", "block", "id", "walks").agg(F.collect_list(F.struct("one", "two")).alias("pairs"))
+    dealt = members.join(shingled, "id").select("*", F.inline("pairs")).drop("pairs")
+    compared = dealt.repartition(*group).sortWithinPartitions(*group)
     found = cut(compared.mapInArrow(_verified(threshold), "id long, root long, links long, texts long"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))

@@ -116,3 +116,23 @@ def test_ranks_are_joined_to_distinct_pairs(spark):
         assert got[g, "spearman"] == (200, pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1], abs=1e-12))
     assert got["c", "spearman"] == got["c", "pearson"] == (2, None)
     assert got[None, "pearson"][0] == 2 and got[None, "spearman"] == (2, None)
+
+
+def test_members_meet_their_texts_before_they_are_dealt(spark, monkeypatch):
+    """op9: a member of a crowded node is joined once, and only then copied to the pairs of its block."""
+    from lociscale.llm import forest
+
+    plans, plain = [], forest.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(forest, "cut", cut)
+    monkeypatch.setattr(forest, "BLOCK", 4)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(30)] + [(99, "quite another text of seven words here")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in forest.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 29) for i in range(30)} | {99: (99, 0)}
+    dealt = [p for p in plans if "explode(sequence(0, (blocks" in p]
+    assert dealt and all(p.index("explode(sequence(0, (blocks") < p.index("Join ") for p in dealt)
