@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -155,15 +155,155 @@ def _by_stratum(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.nda
             yield name, batch.column(1).to_numpy()[own], int(batch.column(2)[int(own[0])].as_py()), batch.column(3).to_numpy()[own]
 
 
+#: Counts that a task holds at once: rows of a part times replicates.
+HELD = 1 << 22
+#: Cells of values, read side by side.
+VALUE_CELLS = 256
+
+
+def _changes(v: np.ndarray) -> np.ndarray:
+    """Where the values of a sorted array begin (NaN is one value)."""
+    return np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])) if len(v) else np.zeros(0, int)
+
+
+def _drawn(indexed: DataFrame, groups: list[tuple[int, list[Column]]], *, replicates: int, seed: str) -> DataFrame:
+    """cell, g, v, counts: how often each replicate draws a value, a byte a replicate (what is above 255 is in further rows).
+
+    ``indexed`` has g (a place in ``groups``, each of which has a size and what names its draws), i and v. Draws don't need
+    the rows: they are made from counters, sorted in batches, and go as packed numbers to the part of the rows that they
+    hit; a part has ``HELD`` counts. Rows are sorted by cell, a range of values, and value.
+    """
+    spark, width = indexed.sparkSession, max(1, HELD // replicates)
+    span = width * replicates
+
+    def packed(g: int):
+        def dealt(keys: np.ndarray) -> pa.RecordBatch:
+            keys.sort()
+            parts, first = np.unique(keys // span, return_index=True)
+            own = [(k - p * span).astype(np.uint32).tobytes() for p, k in zip(parts, np.split(keys, first[1:]), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([g] * len(parts), pa.int32()), pa.array(parts, pa.int64()), pa.array(own, pa.binary())], names=["g", "part", "draws"])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch.column(1).to_numpy() * replicates + batch.column(0).to_numpy())
+                n += batch.num_rows
+                if n >= HELD:
+                    yield dealt(np.concatenate(held))
+                    held, n = [], 0
+            if n:
+                yield dealt(np.concatenate(held))
+
+        return deal
+
+    dealt = None
+    for g, (size, name) in enumerate(groups):
+        slices = max(spark.sparkContext.defaultParallelism, -(-size * replicates // (2 * HELD)))
+        draws = spark.range(0, size, 1, slices).select("id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        own = draws.select("replicate", hash_draw(seed, F.lit(size), *name, F.col("replicate"), F.col("id")).alias("i")).mapInArrow(packed(g), "g int, part long, draws binary")
+        dealt = own if dealt is None else dealt.unionByName(own)
+
+    cuts = [c / VALUE_CELLS for c in range(1, VALUE_CELLS)]
+    ends = np.unique(np.array(indexed.where(~F.isnan("v")).agg(F.percentile_approx("v", cuts, F.lit(10_000))).first()[0] or [], float))
+
+    def counted(own: pa.Table, draws: pa.Table) -> pa.Table:
+        counts = np.zeros(span, np.int64)
+        for chunk in draws.column("draws").chunks:
+            for packed in chunk:
+                keys, n = np.unique(np.frombuffer(packed.as_buffer(), np.uint32), return_counts=True)
+                counts[keys] += n
+        v, g = own.column("v").to_numpy(), own.column("g")[0].as_py()
+        order = np.argsort(v, kind="stable")
+        v, counts = v[order], counts.reshape(width, replicates)[own.column("i").to_numpy()[order] % width]
+        first = _changes(v)
+        v, counts = v[first], np.add.reduceat(counts, first, axis=0)
+        out = []
+        while len(v := v[some := counts.any(axis=1)]):
+            counts = counts[some]
+            low = np.minimum(counts, 255)
+            at = np.arange(len(v) + 1, dtype=np.int32) * replicates
+            rows = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(at), pa.py_buffer(low.astype(np.uint8))])
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.searchsorted(ends, v, side="right"), pa.int32()), pa.array([g] * len(v), pa.int32()), pa.array(v, pa.float64()), rows], names=["cell", "g", "v", "counts"]))
+            counts = counts - low
+        return pa.Table.from_batches(out, schema=pa.schema([("cell", pa.int32()), ("g", pa.int32()), ("v", pa.float64()), ("counts", pa.binary())]))
+
+    rows = indexed.withColumn("part", F.floor(F.col("i") / width))
+    counts = rows.groupBy("g", "part").cogroup(dealt.groupBy("g", "part")).applyInArrow(counted, "cell int, g int, v double, counts binary")
+    return cut(counts.repartition("cell").sortWithinPartitions("cell", "v"))
+
+
+def _by_value(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """cell, values, counts (values by groups by replicates) of rows that are sorted by cell and value; each value comes once."""
+    step, held = max(1, HELD // (4 * replicates)), None
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            cell, g, v = (part.column(i).to_numpy() for i in range(3))
+            counts = np.zeros((len(v), 2, replicates), np.int64)
+            counts[np.arange(len(v)), g] = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(v), replicates)
+            if held:
+                cell, v, counts = (np.concatenate(x) for x in zip(held, (cell, v, counts), strict=True))
+            first = _changes(v)
+            cell, v, counts = cell[first], v[first], np.add.reduceat(counts, first, axis=0)
+            held = cell[-1:], v[-1:], counts[-1:]  # may go on in the next batch
+            for name in np.unique(cell[:-1]):
+                own = np.flatnonzero(cell[:-1] == name)
+                yield int(name), v[own], counts[own]
+    if held:
+        yield int(held[0][0]), held[1], held[2]
+
+
+def _estimates(drawn: DataFrame, sizes: list[int], replicates: int) -> tuple[DataFrame, DataFrame]:
+    """replicate, u (of pairs of the first and the second group, twice those where the first is greater and once the equal
+    ones), and replicate, g, median: cells are summed, then only those are read again in which a middle lies."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([cell] * replicates, pa.int32()), pa.array(range(replicates), pa.int32()), pa.array(total[0]), pa.array(total[1]), pa.array(u)], names=["cell", "replicate", "n0", "n1", "u"])
+
+        cell, total, u = None, None, None
+        for name, _, counts in _by_value(batches, replicates):
+            if name != cell:
+                if cell is not None:
+                    yield told()
+                cell, total, u = name, np.zeros((2, replicates), np.int64), np.zeros(replicates, np.int64)
+            upto = total[1] + np.cumsum(counts[:, 1], axis=0)
+            u += (counts[:, 0] * (2 * upto - counts[:, 1])).sum(axis=0)
+            total += counts.sum(axis=0)
+        if cell is not None:
+            yield told()
+
+    below = W.partitionBy("replicate").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = cut(drawn.mapInArrow(summed, "cell int, replicate int, n0 long, n1 long, u long").withColumns({f"b{g}": F.coalesce(F.sum(f"n{g}").over(below), F.lit(0)) for g in (0, 1)}))
+    middles = [F.struct(F.lit(g).alias("g"), (F.lit(place) - F.col(f"b{g}")).alias("place"), F.col(f"n{g}").alias("n")) for g, size in enumerate(sizes) if size for place in ((size - 1) // 2, size // 2)]
+    wanted: dict[int, list[tuple[int, int, int]]] = {}
+    for r in cells.select("cell", "replicate", F.inline(F.array(*middles))).where("place >= 0 AND place < n").collect():  # four a replicate
+        wanted.setdefault(r["cell"], []).append((r["replicate"], r["g"], r["place"]))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, total = None, None
+        for name, v, counts in _by_value(batches, replicates):
+            if name != cell:
+                cell, total = name, np.zeros((2, replicates), np.int64)
+            upto = total + np.cumsum(counts, axis=0)
+            hit = [(r, g, float(v[np.searchsorted(upto[:, g, r], place, side="right")])) for r, g, place in wanted[name] if total[g, r] <= place < upto[-1, g, r]]
+            total = upto[-1]
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hit, strict=True), (pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["replicate", "g", "v"])
+
+    medians = drawn.where(F.col("cell").isin(list(wanted))).mapInArrow(found, "replicate int, g int, v double").groupBy("replicate", "g").agg(F.sum(F.col("v") * 0.5).alias("median"))
+    return cells.groupBy("replicate").agg(F.sum(F.col("n0") * 2 * F.col("b1") + F.col("u")).alias("u")), medians
+
+
 def median_bootstrap(df: DataFrame, value: str, key: str, *, replicates: int, seed: str) -> DataFrame:
-    """replicate, estimate: medians of as many values as there are, drawn with replacement (for samples of
-    bounded size: replicates times rows are made)."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
-    placed = numbered(rows, "i", "k")
-    indexed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("m"))))  # one row
-    draws = indexed.select("m", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = draws.select("replicate", hash_draw(seed, F.col("m"), F.col("replicate"), F.col("d")).alias("i"))
-    return drawn.join(indexed.select("i", "v"), "i").groupBy("replicate").agg(F.percentile("v", F.lit(0.5)).alias("estimate"))
+    """replicate, estimate: medians of as many values as there are, drawn with replacement. Replicates times rows are drawn,
+    but no task holds a replicate."""
+    rows = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("g"), F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
+    indexed = numbered(rows, "i", "k").drop("k")
+    if not (size := indexed.count()):
+        return df.sparkSession.createDataFrame([], "replicate int, estimate double")
+    _, medians = _estimates(_drawn(indexed, [(size, [])], replicates=replicates, seed=seed), [size], replicates)
+    return medians.select("replicate", F.col("median").alias("estimate"))
 
 
 def _split(draws: int, left: int, whole: int, *node: object) -> int:
@@ -229,20 +369,16 @@ def pairwise_bootstrap(df: DataFrame, value: str, label: str, a: object, b: obje
     """replicate, median_difference, rank_biserial: two groups drawn independently, each as often as it has rows.
 
     Draws are hashes of counters over the rows in order of ``key``, which has to tell rows apart. Replicates times
-    rows are made and spread over the tasks; each replicate is reduced to counts of its distinct values before
-    these are ranked.
+    rows are drawn and spread over the tasks as packed numbers; no task holds a replicate.
     """
-    rows = df.where(F.col(label).isin(a, b) & F.col(value).isNotNull()).select((F.col(label) == a).alias("g"), F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
+    rows = df.where(F.col(label).isin(a, b) & F.col(value).isNotNull()).select(F.when(F.col(label) == a, 0).otherwise(1).alias("g"), F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
     placed = numbered(rows, "p", "g", "k")
-    starts = placed.groupBy("g").agg(F.min("p").alias("s"), F.count("*").alias("m"))  # two rows
-    indexed = cut(placed.join(F.broadcast(starts), "g").select("g", "v", "m", (F.col("p") - F.col("s")).alias("i")))
-    draws = indexed.select("g", "m", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = draws.select("g", "replicate", hash_draw(seed, F.col("m"), F.col("g"), F.col("replicate"), F.col("d")).alias("i"))
-    counts = drawn.groupBy("g", "replicate", "i").agg(F.count("*").alias("n")).join(indexed.select("g", "i", "v"), ["g", "i"])
-    both = counts.groupBy("replicate", "v").agg(F.sum(F.when(F.col("g"), F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(F.col("g"), 0).otherwise(F.col("n"))).alias("nb"))
-    below = W.partitionBy("replicate").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = both.withColumn("before", F.coalesce(F.sum("nb").over(below), F.lit(0)))
-    sums = ranked.groupBy("replicate").agg(
-        F.percentile("v", F.lit(0.5), F.col("na")).alias("ma"), F.percentile("v", F.lit(0.5), F.col("nb")).alias("mb"), F.sum(F.col("na") * (2 * F.col("before") + F.col("nb"))).alias("u"), (F.sum("na") * F.sum("nb")).alias("pairs"),
-    )
-    return sums.select("replicate", (F.col("ma") - F.col("mb")).alias("median_difference"), (F.try_divide("u", "pairs") - 1).alias("rank_biserial"))
+    known = {r["g"]: r["n"] for r in placed.groupBy("g").agg(F.count("*").alias("n")).collect()}  # two rows
+    sizes = [known.get(g, 0) for g in (0, 1)]
+    if not known:
+        return df.sparkSession.createDataFrame([], "replicate int, median_difference double, rank_biserial double")
+    indexed = placed.select("g", "v", (F.col("p") - F.col("g") * sizes[0]).alias("i"))
+    drawn = _drawn(indexed, [(sizes[0], [F.lit("true")]), (sizes[1], [F.lit("false")])], replicates=replicates, seed=seed)
+    sums, medians = _estimates(drawn, sizes, replicates)
+    m = medians.groupBy("replicate").agg(*[F.max(F.when(F.col("g") == g, F.col("median"))).alias(f"m{g}") for g in (0, 1)])
+    return sums.join(m, "replicate").select("replicate", (F.col("m0") - F.col("m1")).alias("median_difference"), (F.try_divide("u", F.lit(sizes[0] * sizes[1]).cast("long")) - 1).alias("rank_biserial"))
