@@ -14,11 +14,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociscale.plans.lineage import cut
 
 #: Rows that stand for cells of a neighbour search.
 MOST_PIVOTS = 2_048
+#: Into how many parts the blocks of a neighbour search are put, each of which a block is sent to once, and the most rows of one.
+HOLDERS, HOLDER_ROWS = 64, 1 << 18
 #: Bytes of fitted phenotypes up to which these are broadcast to where the variants are.
 BROADCAST_BYTES = 64 << 20
 
@@ -327,8 +330,8 @@ def randomised_components(df: DataFrame, vector: str, key: str, k: int = 50, *,
 
 
 def near_blocks(df: DataFrame, vector: str, key: str, k: int, block: int) -> DataFrame:
-    """block, key, x, targets: rows in blocks of about ``block``, keys and vectors side by side, and the blocks that may have
-    one of their nearest ``k`` in it.
+    """block, key, x, targets, holders: rows in blocks of about ``block``, keys and vectors side by side, the blocks that may
+    have one of their nearest ``k`` in it, and the holder of each of these: blocks of near names, up to ``HOLDER_ROWS`` rows.
 
     Rows go to the nearest of up to ``MOST_PIVOTS`` rows, drawn by hash; large cells are cut by hash. A block finds its
     rows' nearest in itself first: the farthest of these bounds how far away anything of use to it can be. By the
@@ -338,7 +341,7 @@ def near_blocks(df: DataFrame, vector: str, key: str, k: int, block: int) -> Dat
     n = rows.count()
     pack = lambda own: own.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("r")).select("block", "r.key", F.flatten("r.v").alias("x"))
     if n <= block:  # one block, which meets itself
-        return pack(rows.withColumn("block", F.lit(0).cast("long"))).withColumn("targets", F.array("block"))
+        return pack(rows.withColumn("block", F.lit(0).cast("long"))).withColumns({"targets": F.array("block"), "holders": F.array("block")})
     rows = cut(rows)
     cells = min(MOST_PIVOTS, max(1, -(-n // block)))
     drawn = rows.orderBy(F.xxhash64("key"), "key", "v").limit(cells).select("v").toArrow()  # at most MOST_PIVOTS rows
@@ -367,88 +370,124 @@ def near_blocks(df: DataFrame, vector: str, key: str, k: int, block: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([float(radius)]), pa.array([float(np.sqrt(near.near[:, -1].max()))])], names=["block", "radius", "reach"])
 
     known = packed.mapInArrow(bounds, "block long, radius double, reach double").toArrow()  # a row for each block
-    names, radius, reach = (known.column(c).to_numpy() for c in ("block", "radius", "reach"))
+    names, radius, reach = (known.sort_by("block").column(c).to_numpy() for c in ("block", "radius", "reach"))
+    holder = np.arange(len(names)) // max(1, min(-(-len(names) // HOLDERS), HOLDER_ROWS // block))
 
     def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            targets = []
+            targets, holders = [], []
             for name in batch.column(0).to_pylist():
                 away = np.sqrt(((pivots[names >> 32] - pivots[name >> 32]) ** 2).sum(1))
                 slack = 1e-9 * (1 + away + radius)  # of the roundings of all these distances
-                targets.append(names[(away - radius - radius[names == name] <= reach + slack) | (names == name)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(targets, pa.list_(pa.int64()))], names=["block", "key", "x", "targets"])
+                met = (away - radius - radius[names == name] <= reach + slack) | (names == name)
+                targets.append(names[met])
+                holders.append(holder[met])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.list_(pa.int64())) for c in (targets, holders)]], names=["block", "key", "x", "targets", "holders"])
 
-    return packed.mapInArrow(aimed, "block long, key array<long>, x array<double>, targets array<long>")
+    return packed.mapInArrow(aimed, "block long, key array<long>, x array<double>, targets array<long>, holders array<long>")
 
 
 def _block(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and vectors of a packed block."""
     keys = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
-    return keys, batch.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+    return keys, batch.column(2)[i].values.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(keys), -1)
 
 
 def neighbour_sets(df: DataFrame, vector: str, key: str, k: int = 15, block: int = 2048) -> DataFrame:
     """key, neighbours: the k nearest other rows by Euclidean distance, ties to the smaller key.
 
-    Each block of ``near_blocks`` is held by one task and meets, one by one, the blocks that may matter to it; no
-    task or driver holds all vectors. Where the rows have clusters most blocks are ruled out before they are sent;
-    where they have none, all meet all, and the work grows with the square of the rows. Matrix products only rule pairs
-    out (with a margin for their rounding); the order is that of the plain sums of squares. Rows without a vector take
-    no part.
+    Blocks of ``near_blocks`` are put into up to ``HOLDERS`` holders, each held by one task, which meet, one by one, the
+    blocks that may matter to them; no task or driver holds all vectors. So a block is sent ``HOLDERS`` times at most, as long
+    as a holder has no more than ``HOLDER_ROWS`` rows. Where the rows have clusters most blocks are ruled out before they are
+    sent; where they have none, all meet all, and the comparisons grow with the square of the rows. Matrix products only rule
+    pairs out (with a margin for their rounding); the order is that of the plain sums of squares. Rows without a vector
+    take no part.
     """
-    packed = near_blocks(df, vector, key, k, block)
-    dealt = packed.withColumn("target", F.explode("targets")).withColumn("other", F.col("target") != F.col("block"))
-    dealt = dealt.repartition("target").sortWithinPartitions("target", "other", "block").select("target", "key", "x")
+    packed = dealt_blocks(near_blocks(df, vector, key, k, block))
+    if isinstance(df.schema[vector].dataType.elementType, T.FloatType):
+        packed = packed.withColumn("x", F.col("x").cast("array<float>"))
+    dealt = packed.repartition("holder").sortWithinPartitions("holder", "other", "block").select("holder", "key", "x", "other", "block", "targets")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, held = None, None
+        holder, held, own = None, {}, []
+
+        def among() -> None:
+            for x, targets in own:
+                for target in targets:
+                    held[target].meet(held[x].keys, held[x].x)
+            own.clear()
+
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, x = _block(batch, i)
-                if batch.column(0)[i].as_py() != target:  # a block comes first among those it meets
-                    if held:
-                        yield held.result()
-                    target, held = batch.column(0)[i].as_py(), _Nearest(keys, x, k)
-                held.meet(keys, x)
-        if held:
-            yield held.result()
+                at, other, name, targets = (batch.column(c)[i].as_py() for c in (0, 3, 4, 5))
+                if at != holder:
+                    among()
+                    for h in held.values():
+                        yield h.result()
+                    holder, held = at, {}
+                if other:  # a holder's own blocks come first
+                    among()
+                    for target in targets:
+                        held[target].meet(keys, x)
+                else:
+                    held[name] = _Nearest(keys, x, k)
+                    own.append((name, targets))
+        among()
+        for h in held.values():
+            yield h.result()
 
     return dealt.mapInArrow(nearest, "key long, neighbours array<long>")
 
 
+def dealt_blocks(packed: DataFrame) -> DataFrame:
+    """Blocks by holder: those of a holder's own and all others that may matter to some of them, with these as targets."""
+    each = packed.withColumn("holder", F.explode(F.array_distinct("holders")))
+    met = F.filter(F.arrays_zip("targets", "holders"), lambda p: p["holders"] == F.col("holder"))["targets"]
+    return each.withColumns({"other": ~F.array_contains(met, F.col("block")), "targets": met}).drop("holders")
+
+
 class _Nearest:
     """The nearest rows to those of one block, among the blocks it has met."""
 
     def __init__(self, keys: np.ndarray, x: np.ndarray, k: int) -> None:
         self.keys, self.x, self.k = keys.copy(), x.copy(), k
+        self.sizes = (x * x).sum(axis=1)
         self.near = np.full((len(keys), k), np.inf)
         self.who = np.full((len(keys), k), np.iinfo(np.int64).max)
 
-    def meet(self, keys: np.ndarray, x: np.ndarray, step: int = 256, most: int = 200_000) -> None:
+    def meet(self, keys: np.ndarray, x: np.ndarray, step: int = 64, most: int = 200_000) -> None:
         sizes = (x * x).sum(axis=1)
+        left = np.column_stack([-2 * self.x, self.sizes, np.ones(len(self.x))])
+        right = np.ascontiguousarray(np.column_stack([x, np.ones(len(x)), sizes]).T)  # one product gives the squared distances
+        margin = (1e-12 + 1e-15 * x.shape[1]) * (self.sizes + sizes[np.isfinite(sizes)].max(initial=0))[:, None]
+        found, n = [], 0
         for at in range(0, len(self.keys), step):
-            own, v = self.keys[at : at + step], self.x[at : at + step]
-            size = (v * v).sum(axis=1)[:, None]
-            about = size + sizes - 2 * (v @ x.T)
-            about[own[:, None] == keys] = np.inf
-            limit = self.near[at : at + step, -1:]
+            own, limit = self.keys[at : at + step], self.near[at : at + step, -1:]
+            about = left[at : at + step] @ right
             if len(keys) > self.k and np.isinf(limit).any():
+                about[own[:, None] == keys] = np.inf
                 limit = np.minimum(limit, np.partition(about, self.k - 1, axis=1)[:, self.k - 1 : self.k])
-            margin = 1e-12 * (size + sizes.max(initial=0))
-            i, j = np.nonzero((about <= limit + 2 * margin) & ~np.isinf(about))
-            for part in range(0, len(i), most):
-                self._add(at, i[part : part + most], keys, v, x, j[part : part + most])
-
-    def _add(self, at: int, i: np.ndarray, keys: np.ndarray, v: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
+            i, j = divmod(hit := np.flatnonzero(about <= limit + 2 * margin[at : at + step]), len(keys))
+            real = np.isfinite(about.ravel()[hit]) & (own[i] != keys[j])
+            found.append((i[real] + at, j[real]))
+            n += len(i)
+            if n > most or at + step >= len(self.keys):
+                i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+                for part in range(0, len(i), most):
+                    self._add(i[part : part + most], keys, x, j[part : part + most])
+                found, n = [], 0
+
+    def _add(self, i: np.ndarray, keys: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
         touched, row = np.unique(i, return_inverse=True)
-        d = ((v[i] - x[j]) ** 2).sum(axis=1)
+        d = ((self.x[i] - x[j]) ** 2).sum(axis=1)
         rows = np.concatenate([np.repeat(np.arange(len(touched)), self.k), row])
-        near = np.concatenate([self.near[at + touched].ravel(), d])
-        who = np.concatenate([self.who[at + touched].ravel(), keys[j]])
+        near = np.concatenate([self.near[touched].ravel(), d])
+        who = np.concatenate([self.who[touched].ravel(), keys[j]])
         order = np.lexsort((who, near, rows))
         first = np.searchsorted(rows[order], np.arange(len(touched)))
         best = order[first[:, None] + np.arange(self.k)]
-        self.near[at + touched], self.who[at + touched] = near[best], who[best]
+        self.near[touched], self.who[touched] = near[best], who[best]
 
     def result(self) -> pa.RecordBatch:
         out = [w[~np.isinf(d)] for w, d in zip(self.who, self.near, strict=True)]
