@@ -145,12 +145,17 @@ def _pruned(sites: DataFrame, wanted: DataFrame) -> DataFrame:
     return sites.where(hit)
 
 
+def _folder(at: Column, shift: int) -> Column:
+    """The bin after which the folder of a bin is named."""
+    return F.shiftleft(F.shiftright(at, shift), shift)
+
+
 def indexed_genotypes(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """The calls of the variants in ``keys`` (chrom, pos, ref, alt) from what ``index_vcf`` wrote: only the folders that a
     key's position is in are read, and there the whole key has to be equal. Keys that aren't there give no rows."""
     index = json_document(spark, f"{path}/index.json")
     sites = spark.read.schema(T.StructType.fromJson(index["columns"])).parquet(f"{path}/sites")
-    wanted = keys.select(F.col("chrom").cast("string").alias("chrom"), F.col("pos").cast("long").alias("pos"), "ref", "alt", F.floor(F.col("pos") / index["width"]).alias("bin"))
+    wanted = keys.select(F.col("chrom").cast("string").alias("chrom"), F.col("pos").cast("long").alias("pos"), "ref", "alt", _folder(F.floor(F.col("pos") / index["width"]), index.get("shift", 0)).alias("bin"))
     hit = F.broadcast(wanted) if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else wanted
     return _calls(_pruned(sites, wanted).join(hit, ["chrom", "bin", "pos", "ref", "alt"], "left_semi"), index["samples"])
 
@@ -186,9 +191,11 @@ def indexed_sites(spark: SparkSession, path: str, regions: DataFrame, *, width:
     """The sites of a table that ``write_indexed_sites`` wrote which lie in any of ``regions`` (chrom, start, end,
     1-based, inclusive), each once. Contigs and bins are folders: the regions' are named to the scan, which reads no
     others."""
-    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
-    wanted = regions.select(F.col("chrom").cast("string").alias("chrom"), bins.alias("bin"), "start", "end")
-    schema = T.StructType([T.StructField("chrom", T.StringType()) if f.name == "chrom" else f for f in spark.read.parquet(path).schema])
+    found = spark.read.parquet(path).schema
+    shift = found["pos"].metadata.get("shift", 0)
+    named = F.explode(F.sequence(*[F.shiftright(F.floor(F.col(c) / width), shift) for c in ("start", "end")]))
+    wanted = regions.select(F.col("chrom").cast("string").alias("chrom"), named.alias("bin"), "start", "end").withColumn("bin", F.shiftleft("bin", shift))
+    schema = T.StructType([T.StructField("chrom", T.StringType()) if f.name == "chrom" else T.StructField(f.name, f.dataType) for f in found])
     sites = _pruned(spark.read.schema(schema).parquet(path), wanted)  # names of contigs stay text, numbers too
     hit = F.broadcast(wanted) if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else wanted
     met = sites.alias("s").join(hit.alias("r"), (F.col("s.chrom") == F.col("r.chrom")) & (F.col("s.bin") == F.col("r.bin")) & F.col("s.pos").between(F.col("r.start"), F.col("r.end")), "left_semi")

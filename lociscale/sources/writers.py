@@ -68,25 +68,37 @@ def write_vcf(df: DataFrame, path: str, header: list[str]) -> None:
     both.orderBy("part", F.col("c").try_cast("int").asc_nulls_last(), "c", "p", "r", "a").select("value").write.mode("errorifexists").text(path)
 
 
-def write_indexed_sites(df: DataFrame, path: str, *, width: int = 1 << 20) -> None:
+#: Most folders of an indexed table, beside one for each contig.
+FOLDERS = 2_000
+
+
+def write_indexed_sites(df: DataFrame, path: str, *, width: int = 1 << 20) -> int:
     """Sites (chrom, pos, ...) as Parquet in folders by contig and bin of positions, sorted inside them: the
-    partitions that ``indexed_sites`` fetches."""
-    binned = df.withColumn("bin", F.floor(F.col("pos") / width))
+    partitions that ``indexed_sites`` fetches. Where that would be more than ``FOLDERS``, a folder has 2, 4, 8, ... bins and
+    the first one's name, so their number doesn't grow with the span of positions. The power is told and kept with ``pos``."""
+    at = F.floor(F.col("pos") / width)
+    ends = df.groupBy("chrom").agg(F.min(at).alias("low"), F.max(at).alias("high"))  # a row a contig
+    spans = ends.agg(*[F.coalesce(F.sum(F.shiftright("high", s) - F.shiftright("low", s) + 1), F.lit(0)).alias(str(s)) for s in range(63)]).first()
+    shift = next(s for s, n in enumerate(spans) if n <= FOLDERS + spans[-1])
+    binned = df.withColumn("bin", F.shiftleft(F.shiftright(at, shift), shift)).withMetadata("pos", {SHIFT: shift})
     binned.repartition("chrom", "bin").sortWithinPartitions("chrom", "bin", "pos").write.mode("errorifexists").partitionBy("chrom", "bin").parquet(path)
+    return shift
 
 
 INDEX = "index.json"
+#: What the power of two of an indexed table's bins is called where it is kept.
+SHIFT = "shift"
 
 
 def index_vcf(spark: SparkSession, path: str, out: str, *, width: int = 1 << 20, passing: bool = True) -> None:
     """A table of a VCF's sites with their calls, in ``out``, from which ``indexed_genotypes`` and ``indexed_sites`` fetch
     what they need without reading the rest: folders by contig and bin of ``width`` positions, sorted inside them. The
-    VCF is read once; what a fetch must know of it (samples, width, columns) is in one small file."""
+    VCF's positions are read first, then it is read once; what a fetch must know of it (samples, width, columns) is in one small file."""
     from lociscale.sources.readers import vcf_samples, vcf_sites
 
     sites = vcf_sites(spark, path, passing=passing)
-    write_indexed_sites(sites, f"{out}/sites", width=width)
-    write_json(spark, {"samples": vcf_samples(spark, path), "width": width, "columns": json.loads(sites.withColumn("bin", F.lit(0).cast("long")).schema.json())}, f"{out}/{INDEX}")
+    shift = write_indexed_sites(sites, f"{out}/sites", width=width)
+    write_json(spark, {"samples": vcf_samples(spark, path), "width": width, SHIFT: shift, "columns": json.loads(sites.withColumn("bin", F.lit(0).cast("long")).schema.json())}, f"{out}/{INDEX}")
 
 
 def _file_system(spark: SparkSession, path: str):
