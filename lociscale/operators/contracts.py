@@ -53,13 +53,19 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
-def enforce(df: DataFrame, rules: Mapping[str, Column], table: str, *, unique: list[str] | None = None) -> DataFrame:
-    """``df`` itself, or ContractError with all counts."""
-    if unique:  # keys and rules in one pass: what each key breaks, then the sums
-        broken = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"c{i}") for i, ok in enumerate(rules.values())]
-        keyed = df.groupBy(*unique).agg(F.count("*").alias("rows"), *broken)
-        row = keyed.agg(F.count_if(F.col("rows") > 1), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(len(rules))]).first()
-        found = {name: n for name, n in zip([*rules, f"duplicate {','.join(c.lstrip('_') for c in unique)}"], [*row[1:], row[0]], strict=True) if n}
+def enforce(df: DataFrame, rules: Mapping[str, Column], table: str, *, unique: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """``df`` itself, or ContractError with all counts. Keys are dealt to ``parts`` tasks, or to as many as the session says."""
+    if unique:  # keys and whether any rule is broken in one pass; only a broken table's rows are counted
+        broken = F.lit(False)
+        for ok in rules.values():
+            broken = broken | ~F.coalesce(ok, F.lit(False))
+        dealt = df.select(*unique, broken.alias("__broken"))
+        dealt = dealt.repartition(parts, *unique) if parts else dealt
+        keyed = dealt.groupBy(*unique).agg(F.count("*").alias("rows"), F.max("__broken").alias("__broken"))
+        doubled, faulty = keyed.agg(F.count_if(F.col("rows") > 1), F.max("__broken")).first()
+        found = {r["rule"]: r["rows"] for r in violations(df, rules).collect() if r["rows"]} if faulty else {}
+        if doubled:
+            found[f"duplicate {','.join(c.lstrip('_') for c in unique)}"] = doubled
     else:
         found = {r["rule"]: r["rows"] for r in violations(df, rules).collect() if r["rows"]}
     if found:
@@ -79,10 +85,10 @@ def variant_rules(score: str = "score") -> dict[str, Column]:
     }
 
 
-def score_table(df: DataFrame, table: str = "score table") -> DataFrame:
+def score_table(df: DataFrame, table: str = "score table", *, parts: int | None = None) -> DataFrame:
     """A typed copy of chrom, pos, ref, alt, score and whatever else is there, if all rules hold."""
     require_columns(df, [*VARIANT, "score"], table)
-    enforce(df, variant_rules(), table, unique=VARIANT)
+    enforce(df, variant_rules(), table, unique=VARIANT, parts=parts)
     return df.withColumns({"chrom": F.col("chrom").cast("string"), "pos": F.col("pos").cast("long"), "score": finite(F.col("score"))})
 
 

@@ -20,6 +20,10 @@ V = f"variants AS ({VARIANTS_SQL})"
 K = f"candidates AS ({CANDIDATES_SQL})"
 
 
+#: Rows of which one task holds the keys.
+TASK_ROWS = 2_000_000
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder in the shared one."""
     return f"{shared_folder(spark)}/lociscale-{uuid.uuid4().hex}"
@@ -554,8 +558,10 @@ def score_contract(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, " ").when(k % 11 != 0, F.col("l_returnflag")).alias("chrom"), F.when(F.col("l_linenumber") == 1, "0").when(F.col("l_linenumber") == 2, "2.5").when(F.col("l_linenumber") == 3, "x").otherwise(k.cast("string")).alias("pos"),
         F.when(F.col("l_partkey") % 9 != 0, pick("ACGTNa", F.col("l_partkey") % 6)).alias("ref"), pick("ACGT", F.col("l_suppkey") % 4).alias("alt"), F.when(q < 10, "NaN").when(q >= 20, q.cast("string")).alias("score"),
     )
-    sound = li.select(F.col("l_linenumber").cast("string").alias("chrom"), (k + 1).cast("string").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), (k % 7 / 10).cast("string").alias("score")).distinct()
-    typed = contracts.score_table(sound).agg(F.count(F.col("pos") + F.col("score")).alias("rows")).select(F.lit("typed rows").alias("rule"), "rows")
+    parts = max(spark.sparkContext.defaultParallelism, -(-li.count() // TASK_ROWS))
+    lines = li.select("l_linenumber", "l_orderkey").repartition(parts, "l_linenumber", "l_orderkey").distinct()
+    sound = lines.select(F.col("l_linenumber").cast("string").alias("chrom"), (k + 1).cast("string").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), (k % 7 / 10).cast("string").alias("score"))
+    typed = contracts.score_table(sound, parts=parts).agg(F.count(F.col("pos") + F.col("score")).alias("rows")).select(F.lit("typed rows").alias("rule"), "rows")
     return contracts.violations(faulty, contracts.variant_rules()).unionByName(typed)
 
 
